@@ -1,0 +1 @@
+"""No operators: the work this package covers is batch only, it has no streams, watermarks or state."""
