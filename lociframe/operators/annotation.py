@@ -70,7 +70,8 @@ def attach_af(
     return variants.join(last_by(usable, list(keys), [ord_col]).drop(ord_col), list(keys), "left")
 
 
-IMPACT_RANK = F.when(F.col("impact") == "HIGH", 0).otherwise(1)
+def impact_rank() -> Column:
+    return F.when(F.col("impact") == "HIGH", 0).otherwise(1)
 
 
 def best_effect(
@@ -86,7 +87,7 @@ def best_effect(
         & F.col("impact").isin("HIGH", "MODERATE")
         & (F.col("allele") == F.col("alt"))
     )
-    return first_by(usable, [*variant, gene], [IMPACT_RANK, F.col("ann_idx")])
+    return first_by(usable, [*variant, gene], [impact_rank(), F.col("ann_idx")])
 
 
 def dedupe_effects(
