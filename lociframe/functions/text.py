@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NBSP = " "
+NBSP = "\u00a0"
 
 
 def natural_key(name: Column, prefix: str = "chr") -> list[Column]:

@@ -9,7 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_BUCKETS = 1024
+SAMPLES_PER_BUCKET = 64
+
+
+def sample_buckets(dosages: DataFrame) -> int:
+    """Hash buckets so that each holds about SAMPLES_PER_BUCKET samples; one sketch per task, one number back."""
+    n = dosages.agg(F.approx_count_distinct("sample_id")).first()[0]
+    return max(1, -(-int(n) // SAMPLES_PER_BUCKET))
 
 
 def nonnegative_solve(gram: np.ndarray, rhs: np.ndarray, tol: float = 1e-10) -> np.ndarray:
@@ -50,7 +56,7 @@ def partial_grams(
     Samples are spread over hash buckets and the frequencies of a SNP block are sent to each bucket once, not to each
     sample, so one task sees one SNP block of a bounded share of the samples.
     """
-    bucket = F.pmod(F.xxhash64("sample_id"), F.lit(SAMPLE_BUCKETS)).cast("int")
+    bucket = F.pmod(F.xxhash64("sample_id"), F.lit(sample_buckets(dosages))).cast("int")
     x = dosages.where(F.col(dosage).isNotNull()).select(
         "sample_id",
         F.col(snp).alias("snp"),
@@ -58,10 +64,12 @@ def partial_grams(
         F.floor(F.col(snp) / block).cast("long").alias("blk"),
         bucket.alias("bkt"),
     )
-    needed = x.select("blk", "bkt").distinct()
-    p = components.select(
-        F.col(snp).alias("snp"), "p", F.floor(F.col(snp) / block).cast("long").alias("blk")
-    ).join(needed, "blk")
+    needed = x.select(F.col("blk").alias("_blk"), F.col("bkt").alias("_bkt")).distinct()
+    p = (
+        components.select(F.col(snp).alias("snp"), "p", F.floor(F.col(snp) / block).cast("long").alias("_blk"))
+        .join(needed, "_blk")
+        .select("snp", "p", F.col("_blk").alias("pblk"), F.col("_bkt").alias("pbkt"))
+    )
 
     def multiply(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if right.empty:
@@ -80,7 +88,7 @@ def partial_grams(
     sid = dosages.schema["sample_id"].dataType.simpleString()
     return (
         x.groupBy("blk", "bkt")
-        .cogroup(p.groupBy("blk", "bkt"))
+        .cogroup(p.groupBy("pblk", "pbkt"))
         .applyInPandas(multiply, f"sample_id {sid}, gram array<double>, rhs array<double>, n long")
     )
 

@@ -19,7 +19,7 @@ def explode_annotations(variants: DataFrame, ann: str = "ann_text") -> DataFrame
     rows = variants.where(F.length(ann) > 0).select("*", F.posexplode(F.split(ann, ",")).alias("ann_idx", "_a"))
     return rows.withColumn("n_fields", F.size(fields)).select(
         "*", *[F.get(fields, i).alias(name) for i, name in enumerate(ANN_FIELDS)]
-    ).drop("_a")
+    ).drop("_a", ann)
 
 
 def base_effect(effect: Column) -> Column:
@@ -70,24 +70,35 @@ def attach_af(
     return variants.join(last_by(usable, list(keys), [ord_col]).drop(ord_col), list(keys), "left")
 
 
-def impact_rank() -> Column:
-    return F.when(F.col("impact") == "HIGH", 0).otherwise(1)
+def best_effect(variants: DataFrame, ann: str = "ann_text", alt: str = "alt") -> DataFrame:
+    """HIGH before MODERATE per variant and gene, the earlier annotation on ties: ann_idx, gene_name, impact, effect.
 
+    The annotation must be for the full ALT text, so a multi-allelic ALT never matches. A variant carries all its
+    annotations in one text, so the choice is made on an array inside the row, without a shuffle.
+    """
 
-def best_effect(
-    annotations: DataFrame, variant: Sequence[str] = ("sample_id", "ord"), gene: str = "gene_name"
-) -> DataFrame:
-    """HIGH before MODERATE per variant and gene, the earlier annotation on ties.
+    def read(text, i):
+        f = F.split(text, r"\|")
+        rank = F.when(F.get(f, 2) == "HIGH", 0).when(F.get(f, 2) == "MODERATE", 1)
+        return F.struct(
+            rank.alias("rank"),
+            i.alias("ann_idx"),
+            F.get(f, 3).alias("gene_name"),
+            F.get(f, 2).alias("impact"),
+            F.get(f, 1).alias("effect"),
+            F.get(f, 0).alias("allele"),
+        )
 
-    The annotation must be for the full ALT text, so a multi-allelic ALT never matches.
-    """
-    usable = annotations.where(
-        (F.col("n_fields") >= 4)
-        & (F.col(gene) != "")
-        & F.col("impact").isin("HIGH", "MODERATE")
-        & (F.col("allele") == F.col("alt"))
+    def usable(x):
+        return x["rank"].isNotNull() & (F.coalesce(x["gene_name"], F.lit("")) != "") & (x["allele"] == F.col(alt))
+
+    rows = variants.withColumn("_a", F.array_sort(F.filter(F.transform(F.split(ann, ","), read), usable)))
+    rows = rows.withColumn("_g", F.transform("_a", lambda x: x["gene_name"]))
+    first_of_gene = F.filter("_a", lambda x, i: F.array_position(F.col("_g"), x["gene_name"]) == i + 1)
+    return (
+        rows.withColumn("_x", F.explode(first_of_gene))
+        .select(*[c for c in variants.columns if c != ann], "_x.ann_idx", "_x.gene_name", "_x.impact", "_x.effect")
     )
-    return first_by(usable, [*variant, gene], [impact_rank(), F.col("ann_idx")])
 
 
 def dedupe_effects(
@@ -163,4 +174,4 @@ def impact_summary(effects: DataFrame, keys: Sequence[str] = ("sample_id",)) ->
 def functional_effects(annotated: DataFrame, calls: DataFrame) -> DataFrame:
     """Deduplicated HIGH and MODERATE effects of the variants a sample carries, with zygosity and frequency."""
     carried = annotated.where(gt.carries_alt("gt")).withColumn("zygosity", gt.zygosity_alt("gt"))
-    return attach_af(dedupe_effects(best_effect(explode_annotations(carried))), calls)
+    return attach_af(dedupe_effects(best_effect(carried)), calls)

@@ -1 +1,219 @@
-"""Pending."""
+"""Profile queries: suppliers are samples, their parts the taxa, shares of quantity the abundances."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lociframe.operators import inbreeding as inb
+from lociframe.operators import microbiome as mb
+from lociframe.queries.base import query, r, table
+from lociframe.sources.taxa import is_genus, is_species, parse_profile
+
+FRAGMENTS = [("s__red", "red", "first"), ("s__blue_b", "orange", "second"), ("s__small_ring", "red", "third"), ("s__none", "red", "never")]
+_F = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in FRAGMENTS)
+
+# Lines of a profile per supplier: kingdom, genus and species rows, a strain row that must be ignored, a comment.
+PROFILE = f"""
+q AS (SELECT l_suppkey AS sample_id, p_brand, p_name, sum(l_quantity) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+t AS (SELECT sample_id, sum(v) AS tot FROM q GROUP BY 1),
+species AS (SELECT sample_id, 'k__Bacteria|p__P|g__' || replace(p_brand, '#', '') || '|s__' || replace(p_name, ' ', '_') AS clade,
+  replace(p_brand, '#', '') AS genus, p_name AS name, v * 100 / tot AS pct FROM q JOIN t USING (sample_id)),
+share AS (SELECT sample_id, 60.0 + sample_id % 40 AS classified FROM t),
+frag(fragment, color, association) AS (VALUES {_F})"""
+
+
+def quantities(spark, sf):
+    line = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", "l_quantity")
+    part = table(spark, sf, "part").select("p_partkey", "p_brand", "p_name")
+    q = line.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(
+        F.col("l_suppkey").alias("sample_id"), "p_brand", "p_name"
+    ).agg(F.sum("l_quantity").alias("v"))
+    return q.join(q.groupBy("sample_id").agg(F.sum("v").alias("tot")), "sample_id")
+
+
+def profile(spark, sf):
+    """The same profile as text lines, read back by the profile parser."""
+    q = quantities(spark, sf)
+    genus = F.concat(F.lit("k__Bacteria|p__P|g__"), F.replace("p_brand", F.lit("#"), F.lit("")))
+    clade = F.concat(genus, F.lit("|s__"), F.replace("p_name", F.lit(" "), F.lit("_")))
+    pct = F.col("v") * 100 / F.col("tot")
+    species = q.select("sample_id", F.concat_ws("\t", clade, F.lit("2|77"), pct.cast("string"), F.lit("")).alias("value"))
+    strains = q.select("sample_id", F.concat_ws("\t", F.concat(clade, F.lit("|t__SGB1")), F.lit("2|77|9"), pct.cast("string")).alias("value"))
+    samples = q.select("sample_id").distinct()
+    kingdom = samples.select("sample_id", F.concat_ws("\t", F.lit("k__Bacteria"), (60 + F.col("sample_id") % 40).cast("string")).alias("value"))
+    comment = samples.select("sample_id", F.lit("#clade_name\trelative_abundance").alias("value"))
+    lines = species.unionByName(strains).unionByName(kingdom).unionByName(comment)
+    return parse_profile(lines.withColumn("ord", F.xxhash64("value")))
+
+
+def fragments(spark):
+    return spark.createDataFrame(FRAGMENTS, "fragment string, color string, association string")
+
+
+def samples(spark, sf):
+    return table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("sample_id")).distinct()
+
+
+@query(
+    "profile_lines",
+    f"""WITH {PROFILE} SELECT sample_id, 's' AS rank, clade, name, round(pct, 6) AS rel_abundance FROM species
+UNION ALL SELECT sample_id, 'k', 'k__Bacteria', 'Bacteria', classified FROM share""",
+)
+def profile_lines(spark, sf):
+    return profile(spark, sf).select("sample_id", "rank", "clade", "name", r("rel_abundance").alias("rel_abundance"))
+
+
+@query(
+    "scaled_profile",
+    f"""WITH {PROFILE} SELECT sample_id, clade, classified AS total_classified_pct, round(pct * classified / 100, 6) AS relative_abundance,
+round(pct, 6) AS within FROM species JOIN share USING (sample_id)""",
+)
+def scaled_profile(spark, sf):
+    out = mb.scale_profile(profile(spark, sf)).where(F.col("rank") == "s")
+    return out.select("sample_id", "clade", "total_classified_pct", r("relative_abundance").alias("relative_abundance"), r("within").alias("within"))
+
+
+@query(
+    "ordered_taxa",
+    f"""WITH {PROFILE}, o AS (SELECT sample_id, name, row_number() OVER (PARTITION BY sample_id ORDER BY round(-pct, 9), clade) AS place, count(*) OVER (PARTITION BY sample_id) AS n FROM species)
+SELECT sample_id, any_value(n) AS n_taxa, max(name) FILTER (place = 1) AS first_name FROM o GROUP BY sample_id""",
+)
+def ordered_taxa(spark, sf):
+    scaled = mb.scale_profile(profile(spark, sf)).where(F.col("rank") == "s")
+    scaled = scaled.withColumn("relative_abundance", F.round("within", 9)).withColumn("ord", F.col("clade"))
+    taxa = mb.order_taxa(scaled)
+    return taxa.select("sample_id", F.size("taxa").cast("long").alias("n_taxa"), F.get("taxa", 0)["name"].alias("first_name"))
+
+
+@query(
+    "genus_rollup",
+    f"WITH {PROFILE} SELECT sample_id, genus, round(sum(pct), 6) AS abundance FROM species GROUP BY ALL",
+)
+def genus_rollup(spark, sf):
+    species = mb.scale_profile(profile(spark, sf)).where(F.col("rank") == "s")
+    return mb.rollup_genus(species).withColumn("abundance", r("abundance"))
+
+
+@query(
+    "prevalent_features",
+    f"""WITH {PROFILE}, n AS (SELECT count(*) AS n FROM t)
+SELECT clade, round(count(*) / any_value(n), 6) AS prevalence FROM species, n WHERE pct > 0.2 GROUP BY clade HAVING count(*) / any_value(n) > 0.10""",
+)
+def prevalent_features(spark, sf):
+    long = profile(spark, sf).where((F.col("rank") == "s") & (F.col("rel_abundance") > 0.2)).select("sample_id", "clade", F.col("rel_abundance").alias("abundance"))
+    n = samples(spark, sf).agg(F.count(F.lit(1)).alias("n"))
+    return mb.prevalent(long, n).withColumn("prevalence", r("prevalence"))
+
+
+DIV = f"""{PROFILE}, d AS (SELECT sample_id, count(*) AS richness, -sum(pct / tt * ln(pct / tt)) AS shannon FROM species
+  JOIN (SELECT sample_id, sum(pct) AS tt FROM species GROUP BY 1) USING (sample_id) GROUP BY sample_id)"""
+
+
+def diversities(spark, sf):
+    species = profile(spark, sf).where(F.col("rank") == "s")
+    return mb.diversity(species, ["sample_id"], "rel_abundance", samples(spark, sf))
+
+
+@query("sample_diversity", f"WITH {DIV} SELECT sample_id, richness, round(shannon, 6) AS shannon FROM d")
+def sample_diversity(spark, sf):
+    return diversities(spark, sf).withColumn("shannon", r("shannon"))
+
+
+@query(
+    "diversity_percentiles",
+    f"""WITH {DIV} SELECT a.sample_id, a.richness, round((count(*) FILTER (b.richness < a.richness) + count(*) FILTER (b.richness <= a.richness)
+  + 1) * 50.0 / count(*), 6) AS richness_percentile FROM d a, d b GROUP BY a.sample_id, a.richness""",
+)
+def diversity_percentiles(spark, sf):
+    d = diversities(spark, sf).select("sample_id", "richness")
+    out = inb.percentile_rank(d, d, "richness", "richness", "rank", out="richness_percentile")
+    return out.withColumn("richness_percentile", r("richness_percentile"))
+
+
+HITS = f"""{PROFILE}, hits AS (SELECT sample_id, fragment, color, association, sum(pct) AS pct FROM species JOIN frag ON contains(clade, fragment) GROUP BY ALL)"""
+
+
+def hits(spark, sf):
+    species = mb.scale_profile(profile(spark, sf)).where(F.col("rank") == "s")
+    return mb.pathobiont_hits(species, fragments(spark))
+
+
+@query("fragment_hits", f"WITH {HITS} SELECT sample_id, fragment, color, association, round(pct, 6) AS pct FROM hits")
+def fragment_hits(spark, sf):
+    return hits(spark, sf).withColumn("pct", r("pct"))
+
+
+@query(
+    "dysbiosis_index",
+    f"""WITH {HITS}, b AS (SELECT sample_id, COALESCE(sum(pct), 0) AS burden FROM t LEFT JOIN hits USING (sample_id) GROUP BY 1)
+SELECT sample_id, round(burden, 6) AS pathobiont_burden_pct, round(greatest(0, 100 - burden), 6) AS commensal_pct,
+  round(burden / (greatest(0, 100 - burden) + 1e-6), 6) AS dysbiosis_index FROM b""",
+)
+def dysbiosis_index(spark, sf):
+    out = mb.dysbiosis(hits(spark, sf), samples(spark, sf))
+    return out.select("sample_id", *[r(c).alias(c) for c in out.columns if c != "sample_id"])
+
+
+@query(
+    "reference_burden",
+    f"""WITH {PROFILE}, c AS (SELECT fragment, min(clade) AS clade FROM species JOIN frag ON contains(clade, fragment) GROUP BY 1)
+SELECT sample_id AS ref_id, round(COALESCE(sum(pct) FILTER (fragment IS NOT NULL), 0), 4) AS burden FROM t
+LEFT JOIN (SELECT sample_id, pct, fragment FROM species JOIN c USING (clade)) USING (sample_id) GROUP BY 1""",
+)
+def reference_burden(spark, sf):
+    """Each name counts one species only: the first in clade order."""
+    long = profile(spark, sf).where(is_species(F.col("clade")) & ~is_genus(F.col("clade"))).select(
+        F.col("sample_id").alias("ref_id"), "clade", F.col("clade").alias("feature_ord"), (F.col("rel_abundance") / 100).alias("abundance")
+    )
+    refs = samples(spark, sf).withColumnRenamed("sample_id", "ref_id")
+    return mb.ref_burden(long, refs, fragments(spark)).withColumn("burden", r("burden", 4))
+
+
+@query(
+    "aligned_features",
+    f"""WITH {PROFILE}, f AS (SELECT clade FROM species GROUP BY 1 HAVING count(*) >= (SELECT count(*) FROM t) * 0.3)
+SELECT sample_id, clade, round(COALESCE(pct, 0), 6) AS abundance FROM t CROSS JOIN f LEFT JOIN species USING (sample_id, clade)""",
+)
+def aligned_features(spark, sf):
+    long = profile(spark, sf).where(F.col("rank") == "s").select("sample_id", "clade", F.col("rel_abundance").alias("abundance"))
+    n = samples(spark, sf).agg(F.count(F.lit(1)).alias("n"))
+    # 0.2999…: prevalence is a strict test and the SQL uses >= 0.3.
+    wanted = mb.prevalent(long, n, 0.3 - 1e-9)
+    return mb.align_features(wanted, samples(spark, sf), long).withColumn("abundance", r("abundance"))
+
+
+def ridge_inputs(spark, sf):
+    v = table(spark, sf, "embeddings")
+    n = v.count()
+    p = v.select(F.size("embedding")).first()[0]
+    rows = v.select(
+        F.col("vec_id").alias("row_no"), F.col("label").cast("double").alias("y"), F.transform("embedding", lambda e: e.cast("double")).alias("x")
+    )
+    return rows, n, p
+
+
+@query("ridge_models")
+def ridge_models(spark, sf):
+    """Chosen penalty, R² and first coefficients of every outer fold (checked against NumPy in the tests)."""
+    rows, n, p = ridge_inputs(spark, sf)
+    models = mb.ridge_cv(rows, n, p)
+    return models.select("outer", "alpha", r("r2").alias("r2"), r(F.get("beta", 0)).alias("intercept"), r(F.get("beta", 1)).alias("coef_1"))
+
+
+@query("ridge_predictions")
+def ridge_predictions(spark, sf):
+    rows, n, p = ridge_inputs(spark, sf)
+    model = mb.ridge_cv(rows, n, p).where(F.col("outer") == -1).select("beta")
+    # The model is one row of p + 1 numbers.
+    return rows.join(F.broadcast(model), F.lit(True)).select(
+        F.col("row_no").alias("sample_id"), r(mb.linear_predict(F.col("x"), F.col("beta"))).alias("predicted")
+    )
+
+
+@query("ridge_top_features")
+def ridge_top_features(spark, sf):
+    rows, n, p = ridge_inputs(spark, sf)
+    model = mb.ridge_cv(rows, n, p).where(F.col("outer") == -1).select("beta")
+    features = table(spark, sf, "embeddings").select(F.explode(F.sequence(F.lit(0), F.size("embedding") - 1)).alias("f_idx")).distinct()
+    features = features.withColumn("clade", F.concat(F.lit("dim_"), "f_idx"))
+    return mb.top_features(model, features).withColumn("coefficient", r("coefficient"))
