@@ -44,8 +44,7 @@ def clean_label(text: Column) -> Column:
 
 def is_fusion_name(name: Column) -> Column:
     """Two names of more than four letters joined by one hyphen."""
-    halves = F.split(name, "-")
-    return (F.size(halves) == 2) & F.forall(halves, lambda h: F.length(h) > 4)
+    return name.rlike("^[^-]{5,}-[^-]{5,}$")
 
 
 def contains_any(text: Column, terms: list[str]) -> Column:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociframe.plans.grouped import map_sorted_groups
+
 SAMPLES_PER_BUCKET = 64
 
 
@@ -76,13 +78,23 @@ def partial_grams(
             return pd.DataFrame({"sample_id": [], "gram": [], "rhs": [], "n": []})
         freq = np.vstack(right["p"].to_numpy()).astype(np.float64)
         row_of = pd.Series(np.arange(len(right)), index=right["snp"].to_numpy())
+        rows = left[left["snp"].isin(row_of.index)]
+        codes, names = pd.factorize(rows["sample_id"])
+        at = row_of.loc[rows["snp"]].to_numpy()
+        dense = np.zeros((len(names), len(freq)))
+        seen = np.zeros((len(names), len(freq)), dtype=bool)
+        dense[codes, at] = rows["x"].to_numpy()
+        seen[codes, at] = True
+        whole, sums = freq.T @ freq, dense @ freq
         out = []
-        for sample, rows in left.groupby("sample_id", sort=False):
-            rows = rows[rows["snp"].isin(row_of.index)]
-            if rows.empty:
-                continue
-            part = freq[row_of.loc[rows["snp"]].to_numpy()]
-            out.append((sample, (part.T @ part).ravel(), part.T @ rows["x"].to_numpy(), len(rows)))
+        for i, name in enumerate(names):
+            # Most samples miss few SNPs, so their part is the whole block minus what is missing.
+            gone = freq[~seen[i]]
+            if len(gone) * 2 <= len(freq):
+                gram = whole - gone.T @ gone
+            else:
+                gram = freq[seen[i]].T @ freq[seen[i]]
+            out.append((name, gram.ravel(), sums[i], int(seen[i].sum())))
         return pd.DataFrame(out, columns=["sample_id", "gram", "rhs", "n"])
 
     sid = dosages.schema["sample_id"].dataType.simpleString()
@@ -103,17 +115,18 @@ def project_mixture(
     """
     parts = partial_grams(dosages, components, k, snp, dosage, block)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        gram = np.sum(np.vstack(pdf["gram"].to_numpy()), axis=0).reshape(k, k) + 1.0
-        rhs = np.sum(np.vstack(pdf["rhs"].to_numpy()), axis=0) + 1.0
+    def solve(_key: tuple, c: dict) -> list[tuple]:
+        gram = np.sum(np.vstack(c["gram"]), axis=0).reshape(k, k) + 1.0
+        rhs = np.sum(np.vstack(c["rhs"]), axis=0) + 1.0
         q = nonnegative_solve(gram, rhs)
         q = q / (q.sum() + 1e-12)
-        return pd.DataFrame(
-            {"sample_id": pdf["sample_id"].iloc[0], "k": np.arange(k), "proportion": q, "snps_used": int(pdf["n"].sum())}
-        )
+        used = int(c["n"].sum())
+        return [(i, float(v), used) for i, v in enumerate(q)]
 
     sid = dosages.schema["sample_id"].dataType.simpleString()
-    return parts.groupBy("sample_id").applyInPandas(solve, f"sample_id {sid}, k int, proportion double, snps_used long")
+    return map_sorted_groups(
+        parts, ["sample_id"], [], solve, f"sample_id {sid}, k int, proportion double, snps_used long"
+    )
 
 
 def ordered_labels(lines: DataFrame, label: str = "label", ord_col: str = "ord") -> DataFrame:

@@ -77,8 +77,7 @@ def best_effect(variants: DataFrame, ann: str = "ann_text", alt: str = "alt") ->
     annotations in one text, so the choice is made on an array inside the row, without a shuffle.
     """
 
-    def read(text, i):
-        f = F.split(text, r"\|")
+    def read(f, i):
         rank = F.when(F.get(f, 2) == "HIGH", 0).when(F.get(f, 2) == "MODERATE", 1)
         return F.struct(
             rank.alias("rank"),
@@ -92,7 +91,9 @@ def best_effect(variants: DataFrame, ann: str = "ann_text", alt: str = "alt") ->
     def usable(x):
         return x["rank"].isNotNull() & (F.coalesce(x["gene_name"], F.lit("")) != "") & (x["allele"] == F.col(alt))
 
-    rows = variants.withColumn("_a", F.array_sort(F.filter(F.transform(F.split(ann, ","), read), usable)))
+    # Split once per annotation, then read the fields: lambdas do not share sub-expressions.
+    split = F.transform(F.split(ann, ","), lambda text: F.split(text, r"\|"))
+    rows = variants.withColumn("_a", F.array_sort(F.filter(F.transform(split, read), usable)))
     rows = rows.withColumn("_g", F.transform("_a", lambda x: x["gene_name"]))
     first_of_gene = F.filter("_a", lambda x, i: F.array_position(F.col("_g"), x["gene_name"]) == i + 1)
     return (

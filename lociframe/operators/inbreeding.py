@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociframe.plans import blockscan as bs
+from lociframe.plans.grouped import map_sorted_groups
 from lociframe.plans.quantiles import exact_quantiles
 from lociframe.session import cut_lineage
 
@@ -92,56 +92,42 @@ def roh(
     blocks = copies.join(totals.drop("_first_pos"), keys)
 
     key_fields = [f"`{k}` {sites.schema[k].dataType.simpleString()}" for k in keys]
-    schema = ", ".join([*key_fields, "kb long, entry int, leaves int, start double, end double"])
     size = hets_per_block
 
-    def walk_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_k")
-        first_k = int(pdf["_k"].iloc[0])
-        kb = int(pdf["_kb"].iloc[0])
-        n_sites, last_pos = int(pdf["n_sites"].iloc[0]), float(pdf["_last_pos"].iloc[0])
-        columns = [pdf[c].to_numpy() for c in ("ordinal", "prev_pos", "_pos", "next_pos")]
-        own = pdf["_own"].to_numpy()
+    def walk_block(key: tuple, c: dict) -> list[tuple]:
+        first_k, kb = int(c["_k"][0]), int(key[-1])
+        n_sites, last_pos = int(c["n_sites"][0]), float(c["_last_pos"][0])
+        columns = [c[name] for name in ("ordinal", "prev_pos", "_pos", "next_pos")]
         states = [(first_k, False)] + [(first_k + s, True) for s in range(max_het + 1)]
         rows = []
-        for entry, state in enumerate(states):
-            if kb == 0 and entry > 0:
-                break
-            runs, after = _walk(*columns, own, first_k, n_sites, window, max_het, state)
+        for entry, state in enumerate(states[:1] if kb == 0 else states):
+            runs, after = _walk(*columns, c["_own"], first_k, n_sites, window, max_het, state)
             leaves = -1 if after is None else (0 if not after[1] else 1 + after[0] - (kb + 1) * size)
-            rows.append((kb, entry, leaves, None, None))
-            rows += [(kb, entry, None, a, last_pos if b is None else b) for a, b in runs]
-        out = pd.DataFrame(rows, columns=["kb", "entry", "leaves", "start", "end"]).astype(
-            {"leaves": "Int32", "start": "float64", "end": "float64"}
-        )
-        for name in reversed(keys):
-            out.insert(0, name, pdf[name].iloc[0])
-        return out
+            rows.append((entry, leaves, None, None))
+            rows += [(entry, None, float(x), last_pos if y is None else float(y)) for x, y in runs]
+        return rows
 
-    walked = blocks.groupBy(*keys, "_kb").applyInPandas(walk_block, schema)
-    moves = walked.where(F.col("leaves").isNotNull())
+    walked = map_sorted_groups(
+        blocks, [*keys, "_kb"], ["_k"], walk_block, ", ".join([*key_fields, "_kb long", "entry int", "leaves int", "start double", "end double"])
+    )
 
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        step = {(kb, e): nxt for kb, e, nxt in zip(pdf["kb"], pdf["entry"], pdf["leaves"], strict=True)}
+    def follow(_key: tuple, c: dict) -> list[tuple]:
+        step = {(kb, e): nxt for kb, e, nxt in zip(c["_kb"], c["entry"], c["leaves"], strict=True)}
         taken, entry = [], 0
-        for kb in range(int(pdf["kb"].max()) + 1):
+        for kb in range(int(c["_kb"].max()) + 1):
             if entry < 0:
                 break
             taken.append((kb, entry))
             entry = int(step[(kb, entry)])
-        out = pd.DataFrame(taken, columns=["kb", "entry"])
-        for name in reversed(keys):
-            out.insert(0, name, pdf[name].iloc[0])
-        return out
+        return taken
 
     # Three small rows per block of hets, so this fold is short even for the longest key.
-    taken = moves.select(*keys, "kb", "entry", "leaves").groupBy(*keys).applyInPandas(
-        follow, ", ".join([*key_fields, "kb long, entry int"])
-    )
+    moves = walked.where(F.col("leaves").isNotNull()).select(*keys, "_kb", "entry", "leaves")
+    taken = map_sorted_groups(moves, keys, ["_kb", "entry"], follow, ", ".join([*key_fields, "_kb long", "entry int"]))
     dtype = sites.schema[pos].dataType
     return (
         walked.where(F.col("start").isNotNull())
-        .join(taken, [*keys, "kb", "entry"])
+        .join(taken, [*keys, "_kb", "entry"])
         .where(F.col("end") - F.col("start") >= min_length)
         .select(*keys, F.col("start").cast(dtype), F.col("end").cast(dtype))
     )

@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociframe.plans.picks import last_by
-
 ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
 FOLDS = 5
 
@@ -21,9 +19,9 @@ def leaf_name(clade: Column) -> Column:
 
 def classified_share(profile: DataFrame, ord_col: str = "ord") -> DataFrame:
     """Percent on the last kingdom row that names Bacteria, per sample; null without one."""
-    rows = profile.where((F.col("rank") == "k") & F.col("clade").contains("Bacteria"))
-    found = last_by(rows.select("sample_id", ord_col, F.col("rel_abundance").alias("total_classified_pct")), ["sample_id"], [ord_col])
-    return profile.select("sample_id").distinct().join(found.drop(ord_col), "sample_id", "left")
+    named = (F.col("rank") == "k") & F.col("clade").contains("Bacteria")
+    last = F.max_by("rel_abundance", F.when(named, F.col(ord_col)))
+    return profile.groupBy("sample_id").agg(last.alias("total_classified_pct"))
 
 
 def scale_profile(profile: DataFrame, ord_col: str = "ord") -> DataFrame:

@@ -15,9 +15,9 @@ _F = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in FRAGMENTS)
 # Lines of a profile per supplier: kingdom, genus and species rows, a strain row that must be ignored, a comment.
 PROFILE = f"""
 q AS (SELECT l_suppkey AS sample_id, p_brand, p_name, sum(l_quantity) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
-t AS (SELECT sample_id, sum(v) AS tot FROM q GROUP BY 1),
+t AS (SELECT DISTINCT sample_id FROM q),
 species AS (SELECT sample_id, 'k__Bacteria|p__P|g__' || replace(p_brand, '#', '') || '|s__' || replace(p_name, ' ', '_') AS clade,
-  replace(p_brand, '#', '') AS genus, p_name AS name, v * 100 / tot AS pct FROM q JOIN t USING (sample_id)),
+  replace(p_brand, '#', '') AS genus, p_name AS name, v / 100 AS pct FROM q),
 share AS (SELECT sample_id, 60.0 + sample_id % 40 AS classified FROM t),
 frag(fragment, color, association) AS (VALUES {_F})"""
 
@@ -25,10 +25,9 @@ frag(fragment, color, association) AS (VALUES {_F})"""
 def quantities(spark, sf):
     line = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", "l_quantity")
     part = table(spark, sf, "part").select("p_partkey", "p_brand", "p_name")
-    q = line.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(
+    return line.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(
         F.col("l_suppkey").alias("sample_id"), "p_brand", "p_name"
     ).agg(F.sum("l_quantity").alias("v"))
-    return q.join(q.groupBy("sample_id").agg(F.sum("v").alias("tot")), "sample_id")
 
 
 def profile(spark, sf):
@@ -36,14 +35,14 @@ def profile(spark, sf):
     q = quantities(spark, sf)
     genus = F.concat(F.lit("k__Bacteria|p__P|g__"), F.replace("p_brand", F.lit("#"), F.lit("")))
     clade = F.concat(genus, F.lit("|s__"), F.replace("p_name", F.lit(" "), F.lit("_")))
-    pct = F.col("v") * 100 / F.col("tot")
-    species = q.select("sample_id", F.concat_ws("\t", clade, F.lit("2|77"), pct.cast("string"), F.lit("")).alias("value"))
-    strains = q.select("sample_id", F.concat_ws("\t", F.concat(clade, F.lit("|t__SGB1")), F.lit("2|77|9"), pct.cast("string")).alias("value"))
-    samples = q.select("sample_id").distinct()
-    kingdom = samples.select("sample_id", F.concat_ws("\t", F.lit("k__Bacteria"), (60 + F.col("sample_id") % 40).cast("string")).alias("value"))
-    comment = samples.select("sample_id", F.lit("#clade_name\trelative_abundance").alias("value"))
-    lines = species.unionByName(strains).unionByName(kingdom).unionByName(comment)
-    return parse_profile(lines.withColumn("ord", F.xxhash64("value")))
+    pct = (F.col("v") / 100).cast("string")
+    species = F.concat_ws("\t", clade, F.lit("2|77"), pct, F.lit(""))
+    strain = F.concat_ws("\t", F.concat(clade, F.lit("|t__SGB1")), F.lit("2|77|9"), pct)
+    taxa = q.select("sample_id", F.explode(F.array(species, strain)).alias("value"))
+    kingdom = F.concat_ws("\t", F.lit("k__Bacteria"), (60 + F.col("sample_id") % 40).cast("string"))
+    comment = F.lit("#clade_name\trelative_abundance")
+    heads = samples(spark, sf).select("sample_id", F.explode(F.array(kingdom, comment)).alias("value"))
+    return parse_profile(taxa.unionByName(heads).withColumn("ord", F.xxhash64("value")))
 
 
 def fragments(spark):
@@ -97,10 +96,10 @@ def genus_rollup(spark, sf):
 @query(
     "prevalent_features",
     f"""WITH {PROFILE}, n AS (SELECT count(*) AS n FROM t)
-SELECT clade, round(count(*) / any_value(n), 6) AS prevalence FROM species, n WHERE pct > 0.2 GROUP BY clade HAVING count(*) / any_value(n) > 0.10""",
+SELECT clade, round(count(*) / any_value(n), 6) AS prevalence FROM species, n WHERE pct > 0.3 GROUP BY clade HAVING count(*) / any_value(n) > 0.10""",
 )
 def prevalent_features(spark, sf):
-    long = profile(spark, sf).where((F.col("rank") == "s") & (F.col("rel_abundance") > 0.2)).select("sample_id", "clade", F.col("rel_abundance").alias("abundance"))
+    long = profile(spark, sf).where((F.col("rank") == "s") & (F.col("rel_abundance") > 0.3)).select("sample_id", "clade", F.col("rel_abundance").alias("abundance"))
     n = samples(spark, sf).agg(F.count(F.lit(1)).alias("n"))
     return mb.prevalent(long, n).withColumn("prevalence", r("prevalence"))
 

@@ -35,12 +35,18 @@ def unpack_genotypes(packed: DataFrame, n_ind: int, snp: str = "snp_idx", column
 
     Four individuals per byte, lowest bits first; 00 → 0, 01 → missing, 10 → 1, 11 → 2.
     """
-    digits = F.hex(column)
-
-    def genotype(j):
-        byte = F.conv(F.substr(digits, (F.floor(j / 4) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
-        code = F.call_function("shiftright", byte, (j % 4 * 2).cast("int")).bitwiseAND(F.lit(3))
-        return F.when(code == 0, 0.0).when(code == 2, 1.0).when(code == 3, 2.0)
-
-    unpacked = F.transform(F.sequence(F.lit(0), F.lit(n_ind - 1)), genotype)
-    return packed.select(snp, F.posexplode(unpacked).alias("ind_idx", "g"))
+    n_bytes = (n_ind + 3) // 4
+    first = F.explode(F.sequence(F.lit(0), F.lit(n_bytes - 1), F.lit(7)))
+    # Seven bytes fit a long, so 28 genotypes are cut out of one number with shifts.
+    chunks = packed.select(snp, column, first.alias("_at")).select(
+        snp,
+        "_at",
+        F.least(F.lit(7), F.lit(n_bytes) - F.col("_at")).alias("_len"),
+        F.conv(F.hex(F.substr(column, F.col("_at") + 1, F.lit(7))), 16, 10).cast("long").alias("_bits"),
+    )
+    inside = chunks.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(27))))
+    ind = F.col("_at") * 4 + F.col("_j")
+    shift = (F.col("_len") - 1 - F.floor(F.col("_j") / 4)) * 8 + F.col("_j") % 4 * 2
+    code = F.call_function("shiftright", F.col("_bits"), shift.cast("int")).bitwiseAND(F.lit(3))
+    g = F.when(code == 0, 0.0).when(code == 2, 1.0).when(code == 3, 2.0)
+    return inside.where((F.col("_j") < F.col("_len") * 4) & (ind < n_ind)).select(snp, ind.cast("int").alias("ind_idx"), g.alias("g"))
