@@ -174,5 +174,6 @@ def impact_summary(effects: DataFrame, keys: Sequence[str] = ("sample_id",)) ->
 
 def functional_effects(annotated: DataFrame, calls: DataFrame) -> DataFrame:
     """Deduplicated HIGH and MODERATE effects of the variants a sample carries, with zygosity and frequency."""
-    carried = annotated.where(gt.carries_alt("gt")).withColumn("zygosity", gt.zygosity_alt("gt"))
+    needed = ["sample_id", "ord", "chrom", "pos", "ref", "alt", "ann_text"]
+    carried = annotated.where(gt.carries_alt("gt")).select(*needed, gt.zygosity_alt("gt").alias("zygosity"))
     return attach_af(dedupe_effects(best_effect(carried)), calls)

@@ -67,28 +67,28 @@ def roh(
         raise ValueError("hets_per_block must exceed max_het + 1")
     keys = list(keys)
     order = [F.col(pos), *[F.col(t) for t in tie]]
-    placed = bs.ordinals_with_neighbours(bs.with_block(sites, pos, block_span), keys, pos, order)
+    placed = bs.ordinals_with_neighbours(bs.with_block(sites, pos, block_span), keys, pos, order, het)
     totals = sites.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_sites"), F.min(pos).alias("_first_pos"), F.max(pos).alias("_last_pos")
     ).where(F.col("n_sites") >= window)
     hets = placed.where(F.col(het)).select(
-        *keys, bs.BLOCK, "ordinal", "prev_pos", F.col(pos).alias("_pos"), "next_pos"
+        *keys, "ordinal", "prev_pos", F.col(pos).alias("_pos"), "next_pos", F.col("mark_no").alias("_k")
     )
-    ranked = bs.running_number(hets, keys, [F.col("ordinal")], "_k").drop(bs.BLOCK)
     # A het in front of the first site stands for "the search starts at site 0".
+    nothing = F.lit(None).cast(sites.schema[pos].dataType)
     lead_in = totals.select(
         *keys,
         F.lit(-1).cast("long").alias("ordinal"),
-        F.lit(None).cast(sites.schema[pos].dataType).alias("prev_pos"),
-        F.lit(None).cast(sites.schema[pos].dataType).alias("_pos"),
+        nothing.alias("prev_pos"),
+        nothing.alias("_pos"),
         F.col("_first_pos").alias("next_pos"),
         F.lit(0).cast("long").alias("_k"),
     )
-    numbered = ranked.unionByName(lead_in).withColumn("_kb", F.floor(F.col("_k") / hets_per_block).cast("long"))
-    ahead = (F.col("_k") % hets_per_block <= max_het) & (F.col("_kb") > 0)
-    copies = numbered.select("*", F.lit(True).alias("_own")).unionByName(
-        numbered.where(ahead).withColumn("_kb", F.col("_kb") - 1).withColumn("_own", F.lit(False))
-    )
+    kb = F.floor(F.col("_k") / hets_per_block).cast("long")
+    here, ahead = F.struct(kb.alias("kb"), F.lit(True).alias("own")), F.struct((kb - 1).alias("kb"), F.lit(False).alias("own"))
+    needed_ahead = (F.col("_k") % hets_per_block <= max_het) & (kb > 0)
+    places = F.explode(F.when(needed_ahead, F.array(here, ahead)).otherwise(F.array(here)))
+    copies = hets.unionByName(lead_in).withColumn("_x", places).withColumns({"_kb": F.col("_x.kb"), "_own": F.col("_x.own")}).drop("_x")
     blocks = copies.join(totals.drop("_first_pos"), keys)
 
     key_fields = [f"`{k}` {sites.schema[k].dataType.simpleString()}" for k in keys]
@@ -107,9 +107,9 @@ def roh(
             rows += [(entry, None, float(x), last_pos if y is None else float(y)) for x, y in runs]
         return rows
 
-    walked = map_sorted_groups(
-        blocks, [*keys, "_kb"], ["_k"], walk_block, ", ".join([*key_fields, "_kb long", "entry int", "leaves int", "start double", "end double"])
-    )
+    fields = ", ".join([*key_fields, "_kb long", "entry int", "leaves int", "start double", "end double"])
+    # Written once: both the moves and the runs are read from it, and the walk is the costly part.
+    walked = cut_lineage(map_sorted_groups(blocks, [*keys, "_kb"], ["_k"], walk_block, fields))
 
     def follow(_key: tuple, c: dict) -> list[tuple]:
         step = {(kb, e): nxt for kb, e, nxt in zip(c["_kb"], c["entry"], c["leaves"], strict=True)}

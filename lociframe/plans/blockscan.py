@@ -89,26 +89,32 @@ def running_max(
 
 
 def ordinals_with_neighbours(
-    df: DataFrame, keys: Sequence[str], pos: str, order: Sequence[Column | str]
+    df: DataFrame, keys: Sequence[str], pos: str, order: Sequence[Column | str], mark: str
 ) -> DataFrame:
-    """Add `ordinal` (from 0) and the previous and next `pos` of the key as `prev_pos`, `next_pos`."""
+    """Add to each row, in one scan over the blocks: `ordinal` (from 0), the previous and next `pos` of the key as
+    `prev_pos` and `next_pos`, and `mark_no`, the number of rows with `mark` up to and including this one."""
+    marked = F.count_if(F.col(mark))
     carry = _carried(
         df,
         keys,
         {
             "_before": (F.count(F.lit(1)), "sum", False),
+            "_marks": (marked, "sum", False),
             "_last": (F.max(pos), "max", False),
             "_first": (F.min(pos), "min", True),
         },
     )
     window = _local(keys, order)
+    upto = window.rowsBetween(Window.unboundedPreceding, 0)
     return (
         df.withColumn("ordinal", F.row_number().over(window).cast("long") - 1)
         .withColumn("prev_pos", F.lag(pos).over(window))
         .withColumn("next_pos", F.lead(pos).over(window))
+        .withColumn("mark_no", F.sum(F.col(mark).cast("long")).over(upto))
         .join(carry, [*keys, BLOCK])
         .withColumn("ordinal", F.col("ordinal") + F.coalesce("_before", F.lit(0)))
+        .withColumn("mark_no", F.col("mark_no") + F.coalesce("_marks", F.lit(0)))
         .withColumn("prev_pos", F.coalesce("prev_pos", "_last"))
         .withColumn("next_pos", F.coalesce("next_pos", "_first"))
-        .drop("_before", "_last", "_first")
+        .drop("_before", "_marks", "_last", "_first")
     )

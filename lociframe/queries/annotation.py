@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lociframe.operators import annotation as ann
-from lociframe.queries.base import query, table
+from lociframe.queries.base import query, spread, table
 
 EFFECTS = ["missense_variant&splice_region_variant", "stop_gained", "intron_variant", "frameshift_variant", "3_prime_UTR_variant"]
 IMPACTS = ["MODERATE", "HIGH", "MODIFIER", "HIGH", "MODERATE"]
@@ -46,7 +46,7 @@ effects AS (SELECT d.*, f.af, split_part(effect, '&', 1) AS base_effect
 
 def variants(spark, sf):
     """Lines of annotated calls with the annotation as text."""
-    line = table(spark, sf, "lineitem")
+    line = spread(table(spark, sf, "lineitem"))
     effects, impacts = (F.array(*[F.lit(x) for x in xs]) for xs in (EFFECTS, IMPACTS))
     codes = F.array(*[F.lit(g) for g in ("0|0", "0|1", "1|1", "./.", "1|2", "", "1/0")])
     part, supp = F.col("l_partkey"), F.col("l_suppkey")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lociframe.operators import reads as rd
-from lociframe.queries.base import query, r, table
+from lociframe.queries.base import query, r, spread, table
 from lociframe.sources.jsondocs import fragment_histogram
 
 # Reads: position = part key, four to seven bases spelled from the supplier key, one quality per base.
@@ -99,7 +99,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, seq, CAST(length(seq) AS
 WHERE length(seq) >= 36 AND 1.0 * bad / length(seq) <= 0.4""",
 )
 def cleaned_reads(spark, sf):
-    line = table(spark, sf, "lineitem")
+    line = spread(table(spark, sf, "lineitem"))
     body = F.translate(F.lpad(F.col("l_suppkey").cast("string"), 5, "0"), "0123456789", "ACGTACGTGC")
     tail = (
         F.when(F.col("l_linenumber") == 1, "G").when(F.col("l_linenumber") == 2, "A").when(F.col("l_linenumber") == 3, "CT").otherwise("T")

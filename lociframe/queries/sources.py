@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lociframe.functions.text import NBSP, clean_label, contains_any, is_autosome, is_fusion_name
-from lociframe.queries.base import query, r, table
+from lociframe.queries.base import query, r, spread, table
 from lociframe.sources import jsondocs, plink, tables, vcf
 
 
@@ -75,7 +75,7 @@ FROM lineitem WHERE l_suppkey % 9 <> 0""",
 )
 def variant_lines(spark, sf):
     """Eight to ten columns, GT at different places of FORMAT, INFO entries with and without '='."""
-    line = table(spark, sf, "lineitem")
+    line = spread(table(spark, sf, "lineitem"))
     n = F.col("l_linenumber")
     codes = F.array(*[F.lit(g) for g in ("0|0", "0|1", "1|1", "./.", "", "1|2", "0/1")])
     ann = F.when(n != 2, F.concat(F.lit("ANN="), "l_linestatus", F.lit("|"), "l_returnflag", F.lit("|x=1"))).otherwise("FLAG")
@@ -99,7 +99,7 @@ def call_lines(spark, sf):
     n = F.col("l_linenumber")
     raf = F.concat_ws(",", F.when(n == 3, ".").otherwise(F.col("l_discount").cast("string")), F.lit("0.5"))
     gp = F.concat_ws(",", F.lit("0.1"), F.when(n == 4, "x").otherwise("0.2"), F.col("l_tax").cast("string"))
-    lines = table(spark, sf, "lineitem").select(
+    lines = spread(table(spark, sf, "lineitem")).select(
         F.col("l_orderkey").alias("ord"),
         F.concat_ws("\t", F.lit("chr1"), "l_partkey", F.lit("A"), F.concat("l_linestatus", F.lit(",C")), raf, F.lit("0|1"), gp).alias("value"),
     )
