@@ -48,8 +48,8 @@ class Cohort:
         """Rows of an earlier stage's table for the given samples."""
         return load(self.spark, name, self.tables).join(samples.select("sample_id"), "sample_id", "left_semi")
 
-    def keep(self, df: DataFrame, name: str) -> None:
-        save(df, name, self.tables)
+    def keep(self, df: DataFrame, name: str, samples: DataFrame) -> None:
+        save(df, name, self.tables, samples)
 
     def show(self, df: DataFrame, name: str) -> None:
         publish(df, name, self.public)
@@ -68,13 +68,13 @@ def stage_coverage(c: Cohort, samples: DataFrame) -> None:
     )
     megabases = samples.select("sample_id").withColumn("width", F.lit(MEGABASE).cast("long"))
     wide = cov.with_depth(cover_tiles(cov.tile_by(contigs, megabases), cov.window_coverage(usable, MEGABASE), ["sample_id", "chrom"]))
-    c.keep(wide, "coverage_1mb")
+    c.keep(wide, "coverage_1mb", samples)
     widths = cov.adaptive_width(c.stored("coverage_1mb", samples))
-    c.keep(widths, "region_widths")
+    c.keep(widths, "region_widths", samples)
     widths = c.stored("region_widths", samples)
     narrow = cov.window_coverage(usable.join(widths, "sample_id"), "width")
     tiles = cov.tile_by(contigs, widths)
-    c.keep(cov.with_depth(cover_tiles(tiles, narrow, ["sample_id", "chrom"])), "coverage_regions")
+    c.keep(cov.with_depth(cover_tiles(tiles, narrow, ["sample_id", "chrom"])), "coverage_regions", samples)
 
 
 def stage_quality(c: Cohort, samples: DataFrame) -> None:
@@ -89,10 +89,10 @@ def stage_quality(c: Cohort, samples: DataFrame) -> None:
         "sample_id", F.col("primary_mapped").alias("reads_mapped"), F.round("duplication_rate_pct", 1).alias("duplication_rate_pct")
     )
     quality = docs.qc_document(windows, stats)
-    c.keep(quality, "quality")
+    c.keep(quality, "quality", samples)
     c.show(c.stored("quality", samples), "qc_result")
     cells = c.stored("coverage_regions", samples)
-    c.keep(reg.call_regions(cells, c.inputs["genes"], c.inputs["panel_coverage"]), "regions")
+    c.keep(reg.call_regions(cells, c.inputs["genes"], c.inputs["panel_coverage"]), "regions", samples)
     publish_regions(c, samples, "regions")
 
 
@@ -146,10 +146,10 @@ def stage_annotation(c: Cohort, samples: DataFrame) -> None:
         "biotype", F.col("start").alias("gene_start"), F.col("end").alias("gene_end"),
     )
     fresh = reg.reannotate_regions(c.stored("regions", samples), genes, ann.exonic_points(exploded))
-    c.keep(fresh, "regions_annotated")
+    c.keep(fresh, "regions_annotated", samples)
     publish_regions(c, samples, "regions_annotated")
     frequencies = single_alt_calls(c, samples).select("sample_id", "chrom", "pos", "alt", F.col("raf").alias("af"), "ord")
-    c.keep(ann.functional_effects(annotated, frequencies), "effects")
+    c.keep(ann.functional_effects(annotated, frequencies), "effects", samples)
     c.show(docs.functional_document(c.stored("effects", samples)), "functional_variants")
 
 
@@ -172,7 +172,7 @@ def stage_scores(c: Cohort, samples: DataFrame) -> None:
     ).where(F.col("value").isNotNull())
     length = sc.breed_trait(people, names, length)
     every = behaviour.unionByName(sizes).unionByName(coats).unionByName(length)
-    c.keep(sc.trait_scores(dosages, c.inputs["genotypes"], people, every), "scores")
+    c.keep(sc.trait_scores(dosages, c.inputs["genotypes"], people, every), "scores", samples)
     scored = c.stored("scores", samples)
     bound = F.col("trait")
     low, high = F.lit(float(fv.TRAIT_BOUNDS["behaviour"][0])), F.lit(float(fv.TRAIT_BOUNDS["behaviour"][1]))
@@ -196,7 +196,7 @@ def stage_scores(c: Cohort, samples: DataFrame) -> None:
 def stage_inbreeding(c: Cohort, samples: DataFrame) -> None:
     calls = c.of("calls", samples).where(is_autosome(F.col("chrom")))
     sites = calls.withColumn("is_het", gt.is_het("gt")).where(F.col("is_het").isNotNull())
-    c.keep(inb.roh(sites.select("sample_id", "chrom", "pos", "ord", "is_het"), tie=["ord"]), "runs")
+    c.keep(inb.roh(sites.select("sample_id", "chrom", "pos", "ord", "is_het"), tie=["ord"]), "runs", samples)
     runs = c.stored("runs", samples)
     c.show(docs.inbreeding_document(runs, inb.froh(runs, samples)), "inbreeding_result")
     joined = inb.join_af(calls, c.inputs["panel_af"])
@@ -259,14 +259,21 @@ def stage_health(c, samples, scaled, species, refs, long, n) -> None:
     pairs = mine.select("sample_id", "genus", "abundance").join(common.select("genus").distinct(), "genus", "left_semi")
     sample_div = mb.diversity(pairs, ["sample_id"], frame=samples.select("sample_id"))
     matched = pairs.select("sample_id", "genus").join(common, "genus")
-    frame = samples.select("sample_id").join(refs.select("ref_id"), F.lit(True))
-    ref_div = mb.diversity(matched, ["sample_id", "ref_id"], frame=frame)
-    rich = inb.percentile_rank(ref_div, sample_div, "richness", "richness", "rank", ["sample_id"], "richness_percentile")
-    both = inb.percentile_rank(ref_div, rich, "shannon", "shannon", "rank", ["sample_id"], "shannon_percentile")
+    positive = mb.diversity(matched, ["sample_id", "ref_id"]).withColumn("w", F.lit(1).cast("long"))
+    # Reference samples without any matched genus are one row of zeros that counts as many times as there are of them.
+    seen = samples.select("sample_id").join(positive.groupBy("sample_id").agg(F.count("ref_id").alias("k")), "sample_id", "left")
+    zeros = seen.join(n, F.lit(True)).select(
+        "sample_id", F.lit(0).cast("long").alias("richness"), F.lit(0.0).alias("shannon"), (F.col("n") - F.coalesce("k", F.lit(0))).alias("w")
+    )
+    ref_div = positive.drop("ref_id").unionByName(zeros.where(F.col("w") > 0))
+    rich = inb.percentile_rank(
+        ref_div, sample_div, "richness", "richness", "rank", ["sample_id"], "richness_percentile", weight="w"
+    )
+    both = inb.percentile_rank(ref_div, rich, "shannon", "shannon", "rank", ["sample_id"], "shannon_percentile", weight="w")
     quart = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
     spread = ref_div.groupBy("sample_id").agg(
-        *[F.percentile("richness", q).cast("int").alias(f"ref_richness_{k}") for k, q in quart.items()],
-        *[F.percentile("shannon", q).alias(f"ref_shannon_{k}") for k, q in quart.items()],
+        *[F.percentile("richness", q, F.col("w")).cast("int").alias(f"ref_richness_{k}") for k, q in quart.items()],
+        *[F.percentile("shannon", q, F.col("w")).alias(f"ref_shannon_{k}") for k, q in quart.items()],
     )
     whole = mb.diversity(species, ["sample_id"], frame=samples.select("sample_id")).select(
         "sample_id", F.col("richness").alias("sample_richness"), F.col("shannon").alias("sample_shannon")
@@ -321,7 +328,7 @@ def run(c: Cohort, samples: DataFrame, stages: list[int] | None = None, skip_don
         if due.isEmpty():
             continue
         STAGES[number](c, due)
-        c.keep(due.select("sample_id", F.lit(number).alias("stage")), f"done_{number}")
+        c.keep(due.select("sample_id", F.lit(number).alias("stage")), f"done_{number}", due)
         worked.append(number)
     return worked
 

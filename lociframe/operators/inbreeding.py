@@ -199,18 +199,19 @@ def percentile_rank(
     kind: str = "strict",
     keys: Sequence[str] = (),
     out: str = "percentile",
+    weight: str | None = None,
 ) -> DataFrame:
     """Percentile of each score among the reference values of its key.
 
     strict: share below; weak: share not above; rank: mean of both plus half a step for a tie. Reference values and
     scores are merged into one axis of distinct values per key and counted by range, so no pair of a score and a
-    reference value is ever formed and a long list never sits in one task.
+    reference value is ever formed and a long list never sits in one task. `weight` counts a reference row many times.
     """
     grouping = list(keys) or ["_all"]
     if not keys:
         reference, scores = reference.withColumn("_all", F.lit(0)), scores.withColumn("_all", F.lit(0))
     values = reference.where(F.col(value).isNotNull()).select(
-        *grouping, F.col(value).cast("double").alias("_v"), F.lit(1).cast("long").alias("_n")
+        *grouping, F.col(value).cast("double").alias("_v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_n")
     )
     asked = scores.where(F.col(score).isNotNull()).select(
         *grouping, F.col(score).cast("double").alias("_v"), F.lit(0).cast("long").alias("_n")

@@ -313,14 +313,24 @@ def cv_metrics(rows: DataFrame, models: DataFrame, n: int, folds: int = FOLDS) -
 def predict_age(features: DataFrame, samples: DataFrame, profile: DataFrame, model: DataFrame, unit: float = 1.0) -> DataFrame:
     """Predicted value per sample. `features`: clade, f_idx; `model`: one row with beta.
 
-    Sample abundances are percents while the reference may hold fractions; `unit` multiplies them before the log, 1.0
-    leaves them as they are.
+    Features a profile lacks count as 0.0, so every sample starts from the value of an empty profile and only its own
+    rows change it; no sample × feature grid is built. Sample abundances are percents while the reference may hold
+    fractions; `unit` multiplies them before the log, 1.0 leaves them as they are.
     """
-    coefs = model.select(F.posexplode(F.slice("beta", F.lit(2), F.size("beta") - 1)).alias("f_idx", "coef"), F.element_at("beta", 1).alias("b"))
+    coefs = model.select(
+        F.posexplode(F.slice("beta", F.lit(2), F.size("beta") - 1)).alias("f_idx", "coef"), F.element_at("beta", 1).alias("b")
+    )
     weights = features.join(coefs, "f_idx")
-    aligned = align_features(weights, samples, profile).join(weights, "clade")
-    x = log_abundance(F.col("abundance") * unit)
-    return aligned.groupBy("sample_id").agg((F.sum(x * F.col("coef")) + F.first("b")).alias("predicted"))
+    absent = log_abundance(F.lit(0.0))
+    empty = weights.agg((F.first("b") + F.sum(F.col("coef") * absent)).alias("_empty"))
+    shift = F.col("coef") * (log_abundance(F.col("abundance") * unit) - absent)
+    moved = profile.join(weights, "clade").groupBy("sample_id").agg(F.sum(shift).alias("_moved"))
+    return (
+        samples.select("sample_id")
+        .join(moved, "sample_id", "left")
+        .join(empty, F.lit(True))
+        .select("sample_id", (F.col("_empty") + F.coalesce("_moved", F.lit(0.0))).alias("predicted"))
+    )
 
 
 def top_features(model: DataFrame, features: DataFrame, k: int = 10) -> DataFrame:

@@ -25,8 +25,13 @@ def rounded(**digits: int) -> list[Column]:
 
 def listed(order: list[Column], item: Column, out: str) -> Column:
     """Ordered list of structs in a group."""
-    keys = [k.alias(f"k{i}") for i, k in enumerate(order)]
-    packed = F.array_sort(F.collect_list(F.struct(*keys, item.alias("item"))))
+    key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(order)])
+
+    # The items may hold maps, which have no order, so only the keys are compared.
+    def by_key(a, b):
+        return F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+
+    packed = F.array_sort(F.collect_list(F.struct(key.alias("key"), item.alias("item"))), by_key)
     return F.transform(packed, lambda x: x["item"]).alias(out)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lociframe.sources.jsondocs import path_exists
 
@@ -21,17 +22,25 @@ def publish_panel(document: DataFrame, path: str) -> str:
     return target
 
 
-def save(df: DataFrame, name: str, path: str) -> str:
-    """Internal table, partitioned by sample so that one sample can be written again on its own."""
+def save(df: DataFrame, name: str, path: str, samples: DataFrame) -> str:
+    """Internal table, partitioned by sample so that one sample can be written again on its own.
+
+    Each of `samples` also gets one empty marker row. So a sample whose result has no rows still replaces its older
+    rows, and the table can be read when no sample has any. The id is kept as a data column too, because Spark would
+    read a partition value such as 007 as a number.
+    """
     target = f"{path}/{name}"
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample_id").parquet(target)
+    marked = df.withColumn("_empty", F.lit(False)).unionByName(
+        samples.select("sample_id").distinct().withColumn("_empty", F.lit(True)), allowMissingColumns=True
+    )
+    marked = marked.withColumn("_sample", F.col("sample_id"))
+    marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample_id").parquet(target)
     return target
 
 
 def load(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """Partition values are read as text: sample ids that look like numbers stay as they are."""
-    table = spark.read.parquet(f"{path}/{name}")
-    return table.withColumn("sample_id", table["sample_id"].cast("string"))
+    stored = spark.read.parquet(f"{path}/{name}").where(~F.col("_empty"))
+    return stored.withColumn("sample_id", F.col("_sample")).drop("_sample", "_empty")
 
 
 def exists(spark: SparkSession, name: str, path: str) -> bool:
