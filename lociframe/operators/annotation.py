@@ -38,18 +38,12 @@ def drop_fusion_genes(annotations: DataFrame) -> DataFrame:
 
 def gene_extents(annotations: DataFrame, keys: Sequence[str] = ("sample_id",), order: Sequence[str] = ("ord", "ann_idx")) -> DataFrame:
     """Gene intervals from all annotated sites; name, chromosome and biotype as first seen."""
-    first = F.struct(*order)
+    first = F.struct(F.struct(*order).alias("gene_ord"), F.col("gene_name").alias("name"), "chrom", "biotype")
     return (
         drop_fusion_genes(annotations)
         .groupBy(*keys, "gene_id")
-        .agg(
-            F.min_by("gene_name", first).alias("name"),
-            F.min_by("chrom", first).alias("chrom"),
-            F.min("pos").alias("start"),
-            F.max("pos").alias("end"),
-            F.min_by("biotype", first).alias("biotype"),
-            F.min(first).alias("gene_ord"),
-        )
+        .agg(F.min(first).alias("_first"), F.min("pos").alias("start"), F.max("pos").alias("end"))
+        .select(*keys, "gene_id", "_first.*", "start", "end")
         .withColumn("strand", F.lit("+"))
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lociframe.fixed_values import KNOWN_SITES, LOCUS_TEXT
 from lociframe.operators import loci as lc
 from lociframe.operators.reads import counts_map
-from lociframe.queries.base import query, table
+from lociframe.queries.base import query, spread, table
 
 
 def _q(v):
@@ -65,7 +65,8 @@ g AS (
 
 def site_calls(spark, sf):
     sites = lc.known_sites(spark)
-    line = table(spark, sf, "lineitem").withColumns(
+    used = ["l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_returnflag", "l_linestatus"]
+    line = spread(table(spark, sf, "lineitem").select(*used)).withColumns(
         {
             "sample_id": F.col("l_suppkey"),
             "so": ((F.col("l_partkey") * 7 + F.col("l_orderkey")) % 16).cast("int"),
