@@ -207,7 +207,7 @@ def stage_inbreeding(c: Cohort, samples: DataFrame) -> None:
 def stage_coat(c: Cohort, samples: DataFrame) -> None:
     sites = lc.known_sites(c.spark)
     piled = rd.pileup(c.of("reads", samples), sites)
-    calls = lc.loci_calls(sites, samples, single_alt_calls(c, samples), piled)
+    calls = lc.loci_calls(samples, single_alt_calls(c, samples), piled)
     looks = lc.predict_phenotype(lc.validate_E(lc.call_loci(lc.locus_evidence(calls))))
     called = samples.select("sample_id").join(
         c.stored("region_widths", samples).select("sample_id", F.lit(True).alias("_r")), "sample_id", "left"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lociframe.functions import genotypes as gt
 from lociframe.operators.reads import call_from_counts
+from lociframe.plans.grid import every_pair
 from lociframe.plans.picks import first_by, last_by
 
 MIN_MEAN_DEPTH = 10
@@ -93,9 +94,9 @@ def call_with_fallback(rows: DataFrame, min_gp: float = 0.90, min_depth: float =
 def genotype_catalogue(
     catalogue: DataFrame, calls: DataFrame, samples: DataFrame, pileups: DataFrame, min_gp: float = 0.90
 ) -> DataFrame:
-    """Every sample × every catalogue variant. `samples`: sample_id, mean_depth."""
+    """A call for every catalogue variant in every sample. `samples`: sample_id, mean_depth."""
     found = lookup_catalogue(catalogue, calls).withColumn("in_panel", F.lit(True))
-    grid = samples.join(catalogue, F.lit(True))
+    grid = every_pair(samples, catalogue, "cat_id")
     rows = (
         grid.join(found, ["cat_id", "sample_id"], "left")
         .withColumn("in_panel", F.coalesce("in_panel", F.lit(False)))

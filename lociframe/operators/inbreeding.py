@@ -165,19 +165,18 @@ def join_af(
 ) -> DataFrame:
     """One-to-one join of calls to panel frequencies on the position.
 
-    The n-th call at a position meets the n-th panel row there. Few positions repeat, so the numbering is done on
-    arrays of the repeats instead of a window over all rows.
+    The n-th call at a position meets the n-th panel row there. No call beyond the longest run of panel repeats can
+    match; that number (usually 1) is read first and bounds the numbering, so Spark drops later repeats before the
+    shuffle and a position that repeats a million times costs each task only its first few rows.
     """
     site, sample = list(site), list(sample)
-    mine = calls.groupBy(*sample, *site).agg(F.array_sort(F.collect_list(F.struct("ord", "gt"))).alias("_c"))
-    theirs = panel_af.groupBy(*site).agg(F.array_sort(F.collect_list(F.struct("ord", "af"))).alias("_p"))
-    pairs = F.slice(F.arrays_zip("_c", "_p"), F.lit(1), F.least(F.size("_c"), F.size("_p")))
-    return (
-        mine.join(theirs, site)
-        .select(*sample, *site, F.explode(pairs).alias("_x"))
-        .select(*sample, *site, F.col("_x._c.gt").alias("gt"), F.col("_x._p.af").alias("af"))
-        .where(F.col("af").isNotNull())
-    )
+    repeats = panel_af.groupBy(*site).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    mine = Window.partitionBy(*sample, *site).orderBy("ord")
+    theirs = Window.partitionBy(*site).orderBy("ord")
+    first_calls = calls.select(*sample, *site, "gt", F.row_number().over(mine).alias("_n"))
+    first_calls = first_calls.where(F.col("_n") <= F.lit(repeats))
+    rows = panel_af.select(*site, "af", F.row_number().over(theirs).alias("_n"))
+    return first_calls.join(rows, [*site, "_n"]).where(F.col("af").isNotNull()).drop("_n")
 
 
 def genotype_f(joined: DataFrame, is_hom: Column, keys: Sequence[str] = ("sample_id",), af: str = "af") -> DataFrame:

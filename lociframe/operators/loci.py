@@ -14,6 +14,9 @@ from lociframe.plans.picks import last_by
 LOCI = ("E", "K", "A", "B", "D", "M", "S", "W")
 
 
+SITE_FIELDS = ("site_ord", "locus", "chrom", "pos", "exp_ref", "exp_alt", "allele", "inheritance", "effect")
+
+
 def known_sites(spark: SparkSession) -> DataFrame:
     rows = [(i, *row) for i, row in enumerate(fv.KNOWN_SITES)]
     return spark.createDataFrame(
@@ -23,18 +26,30 @@ def known_sites(spark: SparkSession) -> DataFrame:
     )
 
 
+def with_known_sites(samples: DataFrame) -> DataFrame:
+    """Each sample with the twelve known sites, exploded from literals."""
+
+    def literal(i: int, row: tuple) -> Column:
+        kinds = ("int", "string", "string", "long", "string", "string", "string", "string", "string")
+        values = (i, *row)
+        return F.struct(*[F.lit(v).cast(k).alias(n) for n, k, v in zip(SITE_FIELDS, kinds, values, strict=True)])
+
+    sites = F.array(*[literal(i, row) for i, row in enumerate(fv.KNOWN_SITES)])
+    return samples.select("sample_id", F.explode(sites).alias("_s")).select("sample_id", "_s.*")
+
+
 def loci_calls(
-    sites: DataFrame, samples: DataFrame, calls: DataFrame, pileups: DataFrame, accept: float = 0.80, min_reads: int = 5
+    samples: DataFrame, calls: DataFrame, pileups: DataFrame, accept: float = 0.80, min_reads: int = 5
 ) -> DataFrame:
     """Every sample × every known site: found, source, n_alt, conf, counts and the call fields.
 
     `calls`: sample_id, chrom, pos, ref, alt (text), raf (first), gt, gp, ord; the last call at a position wins.
     A panel call below `accept` is kept with low confidence; reads are used only where the panel has nothing.
     """
-    spots = sites.select("chrom", "pos").distinct()
+    spots = known_sites(samples.sparkSession).select("chrom", "pos")
     near = calls.join(spots, ["chrom", "pos"], "left_semi")
     hits = last_by(near.select("sample_id", "chrom", "pos", "ref", "alt", "raf", "gt", "gp", "ord"), ["sample_id", "chrom", "pos"], ["ord"])
-    grid = samples.select("sample_id").join(sites, F.lit(True))
+    grid = with_known_sites(samples)
     rows = grid.join(hits.withColumn("_hit", F.lit(True)), ["sample_id", "chrom", "pos"], "left").join(
         pileups.where(F.col("total") >= min_reads).select("sample_id", "chrom", "pos", "counts", "total"),
         ["sample_id", "chrom", "pos"],

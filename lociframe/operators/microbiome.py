@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociframe.plans.grid import every_pair
+
 ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
 FOLDS = 5
 
@@ -94,7 +96,7 @@ def diversity(
 
 def align_features(features: DataFrame, samples: DataFrame, profile: DataFrame, feature: str = "clade", value: str = "abundance") -> DataFrame:
     """Every sample × every feature with 0.0 where the profile has nothing."""
-    grid = samples.select("sample_id").join(features.select(feature), F.lit(True))
+    grid = every_pair(samples.select("sample_id"), features.select(feature), feature)
     return grid.join(profile.select("sample_id", feature, value), ["sample_id", feature], "left").na.fill(0.0, [value])
 
 

@@ -57,29 +57,35 @@ def overlap_kind(gene_start: Column, gene_end: Column, start: Column, end: Colum
     return F.when((gene_start >= start) & (gene_end <= end), "full").otherwise("partial")
 
 
-def overlap_genes(regions: DataFrame, genes: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
+def overlap_genes(
+    regions: DataFrame, genes: DataFrame, keys: Sequence[str] = ("chrom",), bucket: int = 1_000_000
+) -> DataFrame:
     """Region × gene pairs (closed bounds) with `overlap` and `exon_overlap`.
 
     `genes`: keys, gene_ord, gene, biotype, gene_start, gene_end, exons.
     """
-    pairs = intervals.overlap_join(regions, genes, keys, ("start", "end"), ("gene_start", "gene_end"))
+    pairs = intervals.overlap_join(regions, genes, keys, ("start", "end"), ("gene_start", "gene_end"), bucket)
     return pairs.withColumn(
         "overlap", overlap_kind(F.col("gene_start"), F.col("gene_end"), F.col("start"), F.col("end"))
     ).withColumn("exon_overlap", exon_overlap(F.col("exons"), F.col("start"), F.col("end")))
 
 
 def overlap_genes_by_points(
-    regions: DataFrame, genes: DataFrame, exonic_points: DataFrame, region_id: Sequence[str] = REGION
+    regions: DataFrame,
+    genes: DataFrame,
+    exonic_points: DataFrame,
+    region_id: Sequence[str] = REGION,
+    bucket: int = 1_000_000,
 ) -> DataFrame:
     """Like overlap_genes, but a gene is exonic when one of its exonic positions lies in the region.
 
     `exonic_points`: sample_id, gene_id, pos. `genes` needs sample_id and gene_id.
     """
     keys = ["sample_id", "chrom"]
-    pairs = intervals.overlap_join(regions, genes, keys, ("start", "end"), ("gene_start", "gene_end"))
+    pairs = intervals.overlap_join(regions, genes, keys, ("start", "end"), ("gene_start", "gene_end"), bucket)
     ids = [*region_id, "gene_id"]
     hits = intervals.points_in_intervals(
-        pairs.select(*ids), exonic_points, ["sample_id", "gene_id"], ("start", "end"), "pos", ids
+        pairs.select(*ids), exonic_points, ["sample_id", "gene_id"], ("start", "end"), "pos", ids, bucket
     )
     return (
         pairs.join(hits, ids, "left")

@@ -1,0 +1,17 @@
+"""Results that are, by definition, every row of one table with every row of another (sample × catalogue)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def every_pair(samples: DataFrame, items: DataFrame, item_key: str) -> DataFrame:
+    """All pairs as an equi-join on a salt: the items are spread by hash, the samples are sent to every salt.
+
+    The pairs are the wanted rows, so their number cannot shrink, but no task sees more than its share of the items.
+    """
+    salts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left = samples.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = items.withColumn("_salt", F.pmod(F.xxhash64(item_key), F.lit(salts)).cast("int"))
+    return left.join(right, "_salt").drop("_salt")

@@ -93,7 +93,7 @@ def site_calls(spark, sf):
         .agg(F.count(F.lit(1)).alias("n"))
     )
     piles = counts_map(per_base, ["sample_id", "chrom", "pos"])
-    return lc.loci_calls(sites, line.select("sample_id").distinct(), calls, piles)
+    return lc.loci_calls(line.select("sample_id").distinct(), calls, piles)
 
 
 def genotypes(spark, sf):

@@ -77,7 +77,7 @@ def genes(spark, sf):
 
 
 def pairs(spark, sf):
-    return reg.overlap_genes(merged(spark, sf), genes(spark, sf), ["sample_id"])
+    return reg.overlap_genes(merged(spark, sf), genes(spark, sf), ["sample_id"], WIDTH)
 
 
 @query("low_windows", f"""WITH {LOW} SELECT sample_id, start, "end", depth, norm FROM low""")
@@ -132,7 +132,7 @@ GROUP BY ALL""",
 def points_in_regions(spark, sf):
     points = table(spark, sf, "events").select(F.col("user_id").alias("sample_id"), (seconds("ts") - T0).alias("pos"))
     return intervals.points_in_intervals(
-        merged(spark, sf), points, ["sample_id"], ("start", "end"), "pos", ["sample_id", "start", "end"], bucket=86400
+        merged(spark, sf), points, ["sample_id"], ("start", "end"), "pos", ["sample_id", "start", "end"], bucket=WIDTH
     )
 
 
@@ -196,9 +196,9 @@ def reannotated_regions(spark, sf):
     inside = clicks.withColumn("pos_end", F.col("pos"))
     exonic = intervals.overlap_join(
         inside, found.select("sample_id", "gene_id", "gene_start", "gene_end"), ["sample_id"],
-        ("pos", "pos_end"), ("gene_start", "gene_end"), bucket=86400,
+        ("pos", "pos_end"), ("gene_start", "gene_end"), bucket=WIDTH,
     ).select("sample_id", "gene_id", "pos")
-    out = reg.overlap_genes_by_points(merged(spark, sf), found, exonic)
+    out = reg.overlap_genes_by_points(merged(spark, sf), found, exonic, bucket=WIDTH)
     return out.select("sample_id", "start", "end", "gene", "gene_ord", "overlap", "exon_overlap")
 
 
