@@ -332,3 +332,12 @@ def test_trait_scores_match_numpy(spark):
     raw = beta @ dosage[idx]
     assert abs(out["prs_z"] - (raw - ref.mean()) / (ref.std() + 1e-8)) < 1e-6
     assert abs(out["percentile"] - np.mean(ref <= raw) * 100) < 1e-9 and out["n_snps_used"] == len(idx)
+
+
+def test_breed_tables_join(spark):
+    from lociframe.breed_tables import adult_sizes, trait_names
+
+    panel = spark.createDataFrame([("GOLD",), ("ECKR",), ("XYZ",)], "breed string")
+    got = rows(sc.breed_trait(panel, trait_names(spark), adult_sizes(spark)), "breed", "trait", "value")
+    assert got == [("GOLD", "height_cm", "58.0"), ("GOLD", "weight_kg", "30.0")]
+    assert rows(sc.unmatched_codes(panel, trait_names(spark), adult_sizes(spark)), "breed") == [("ECKR",), ("XYZ",)]
