@@ -45,8 +45,9 @@ def sql_days(col: str, origin: str = "1995-01-01") -> str:
 
 
 def seconds(col: str) -> Column:
-    """Whole seconds since 1970."""
-    return F.floor(F.unix_micros(F.col(col).cast("timestamp")) / 1_000_000).cast("long")
+    """Whole seconds since 1970, from the calendar fields, so that the session's time zone plays no part."""
+    c = F.col(col)
+    return (F.unix_date(c.cast("date")).cast("long") * 86_400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)).cast("long")
 
 
 def sql_seconds(col: str) -> str:

@@ -209,7 +209,7 @@ def bin_arrays(spark, sf):
     tracks = cov.bins_to_array(mine, ["sample_id", "chrom"], "bin_idx", "bases", "arr")
     counts = (
         table(spark, sf, "orders")
-        .where(F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp"))
+        .where(F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp_ntz"))
         .groupBy(F.concat(F.lit("chr"), F.substring("o_orderpriority", 1, 1)).alias("chrom"), F.floor(days("o_orderdate") / 30).alias("bin_idx"))
         .agg(F.count(F.lit(1)).cast("double").alias("n"))
     )

@@ -50,7 +50,7 @@ def contig_lines(spark, sf):
     "coverage_lines",
     """SELECT l_returnflag AS sample_id, 'chr' || (l_partkey % 38 + 1) AS chrom, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS bases,
   round(sum(CAST(l_quantity AS BIGINT) / (1.0 * l_linenumber - 1)), 4) AS depth
-FROM lineitem WHERE l_linenumber > 1 AND l_suppkey % 7 <> 0 GROUP BY ALL""",
+FROM lineitem WHERE l_linenumber > 1 GROUP BY ALL""",
 )
 def coverage_lines(spark, sf):
     """Zero-length windows and lines with three columns are dropped."""
@@ -58,7 +58,7 @@ def coverage_lines(spark, sf):
     short = F.concat_ws("\t", F.lit("chr1"), start, start)
     full = F.concat_ws("\t", F.concat(F.lit("chr"), F.col("l_partkey") % 38 + 1), start, start + F.col("l_linenumber") - 1, F.col("l_quantity").cast("long"))
     lines = table(spark, sf, "lineitem").select(
-        F.col("l_returnflag").alias("sample_id"), F.when(F.col("l_suppkey") % 7 == 0, short).otherwise(full).alias("value")
+        F.col("l_returnflag").alias("sample_id"), F.explode(F.array(full, short)).alias("value")
     )
     parsed = tables.parse_coverage(lines, ["sample_id"])
     return parsed.groupBy("sample_id", "chrom").agg(
@@ -71,7 +71,7 @@ def coverage_lines(spark, sf):
     """SELECT l_orderkey AS ord, 'chr' || (l_partkey % 38 + 1) AS chrom, l_partkey AS pos, 'A' AS ref, l_linestatus AS alt,
   ['0|0', '0|1', '1|1', './.', '', '1|2', '0/1'][l_linenumber] AS gt,
   CASE WHEN l_linenumber <> 2 THEN l_linestatus || '|' || l_returnflag || '|x=1' ELSE '' END AS ann_text, CAST(l_suppkey AS VARCHAR) AS dp
-FROM lineitem WHERE l_suppkey % 9 <> 0""",
+FROM lineitem""",
 )
 def variant_lines(spark, sf):
     """Eight to ten columns, GT at different places of FORMAT, INFO entries with and without '='."""
@@ -84,7 +84,7 @@ def variant_lines(spark, sf):
     gt = F.element_at(codes, n)
     tail = F.when(n == 5, F.lit("")).when(n % 2 == 0, F.concat(F.lit("\tGP:GT\t0,1,0:"), gt)).otherwise(F.concat(F.lit("\tGT:GP\t"), gt, F.lit(":0,1,0")))
     lines = line.select(
-        F.col("l_orderkey").alias("ord"), F.when(F.col("l_suppkey") % 9 == 0, F.concat(F.lit("##"), fixed)).otherwise(F.concat(fixed, tail)).alias("value")
+        F.col("l_orderkey").alias("ord"), F.explode(F.array(F.concat(F.lit("##"), fixed), F.concat(fixed, tail))).alias("value")
     )
     out = vcf.parse_vcf(lines, [])
     return out.select("ord", "chrom", "pos", "ref", "alt", "gt", "ann_text", F.element_at("info", "DP").alias("dp"))
@@ -151,14 +151,13 @@ def frequency_lines(spark, sf):
     return tables.parse_panel_af(lines).drop("chrom")
 
 
-@query("reference_f_lines", "SELECT c_name AS ref_id, c_acctbal AS f_value FROM customer WHERE c_custkey > 0 AND c_nationkey <> 4")
+@query("reference_f_lines", "SELECT c_name AS ref_id, c_acctbal AS f_value FROM customer WHERE c_custkey > 0")
 def reference_f_lines(spark, sf):
-    lines = table(spark, sf, "customer").select(
-        F.col("c_custkey").alias("ord"),
-        F.concat_ws("  ", "c_name", F.lit("10 20.5"), F.when(F.col("c_nationkey") != 4, F.lit("30"))).alias("head"),
-        F.when(F.col("c_nationkey") != 4, F.col("c_acctbal").cast("string")).otherwise("").alias("tail"),
-    )
-    return tables.parse_ref_f(lines.select("ord", F.concat_ws(" ", "head", "tail").alias("value")))
+    """Line 0 is the header; a short line follows each full one."""
+    full = F.concat_ws("  ", "c_name", F.lit("10 20.5"), F.lit("30"), F.col("c_acctbal").cast("string"))
+    short = F.concat_ws(" ", "c_name", F.lit("10 20.5"))
+    lines = table(spark, sf, "customer").select(F.col("c_custkey").alias("ord"), F.explode(F.array(full, short)).alias("value"))
+    return tables.parse_ref_f(lines)
 
 
 @query(
