@@ -138,7 +138,8 @@ def joined(spans: Column) -> Column:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, n_assign, n_access, n_hex, n_entropy, base_sha256, spans."""
     found = docs.select(F.col(id_col).alias("id"), span_column(F.col(text_col)).alias("spans"))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, F.lit(k).__eq__)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     base = F.filter("spans", lambda s: s["kind"] < 3)
     return found.select(F.col("id").alias(id_col), *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
