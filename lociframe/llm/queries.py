@@ -2,12 +2,37 @@
 
 from __future__ import annotations
 
-from lociframe.llm import decontaminate, language, mixing, secrets, simhash
+from lociframe.llm import decontaminate, language, licenses, mixing, pseudolm, secrets, simhash, sketches, tokens, urls
 from lociframe.llm.base import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
 
+def _op1_sql() -> str:
+    """Containment of every template in every window, counted from exact shingles."""
+    s = licenses
+    given = ", ".join(f"('{k}', '{v}')" for k, v in s.TEMPLATES.items())
+    fold = r"list_filter(regexp_split_to_array(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' '), lambda x: x <> '')"
+    return f"""
+WITH t AS (SELECT name, {fold} AS ws FROM (VALUES {given}) v(name, text)),
+ts AS (
+  SELECT name, shingle, count(*) OVER (PARTITION BY name) AS n, any_value(step) AS step
+  FROM (SELECT name, array_to_string(ws[i:i + 4], ' ') AS shingle, {s.BLOCK} * CAST(2 ** greatest(0, ceil(log2((len(ws) - 4) / {s.BLOCK}.0))) AS BIGINT) AS step
+        FROM (SELECT name, ws, unnest(range(1, len(ws) - 3)) AS i FROM t)) GROUP BY name, shingle),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {fold} AS ws FROM documents),
+ds AS (SELECT rid, i - 1 AS p, array_to_string(ws[i:i + 4], ' ') AS shingle FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM d WHERE len(ws) >= 5)),
+hit AS (SELECT rid, name, n, shingle, unnest([p // step, p // step - 1]) AS win FROM ds JOIN ts USING (shingle)),
+w AS (SELECT rid, name, count(DISTINCT shingle) / max(n) AS share FROM hit WHERE win >= 0 GROUP BY rid, name, win),
+m AS (SELECT rid, name, max(share) AS share FROM w WHERE share >= {s.CONTAINMENT} GROUP BY rid, name),
+g AS (SELECT rid, count(*) AS n_licenses, string_agg(name, ',' ORDER BY name) AS licenses, max(share) AS best FROM m GROUP BY rid)
+SELECT doc_id, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS licenses, best FROM d LEFT JOIN g USING (rid)"""
+
+
+@query("op1_license_scan", _op1_sql())
+def op1(spark, sf_dir):
+    return licenses.find_licenses(table(spark, sf_dir, "documents"))
+
+
 @query("op2_source_mixing")
 def op2(spark, sf_dir):
     return mixing.mixture(table(spark, sf_dir, "documents"))
@@ -93,3 +118,38 @@ FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 @query("op8_benchmark_decontamination", OP8_SQL)
 def op8(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_token_counts")
+def op6(spark, sf_dir):
+    return tokens.section_tokens(table(spark, sf_dir, "documents"))
+
+
+@query("op7_pseudo_likelihood")
+def op7(spark, sf_dir):
+    return pseudolm.scores(table(spark, sf_dir, "documents"))
+
+
+@query("op9_document_fingerprints")
+def op9(spark, sf_dir):
+    return sketches.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def _op10_sql() -> str:
+    words = "|".join(urls.BLOCKED_WORDS)
+    fits = "(h.host = r.host OR ends_with(h.host, '.' || r.host)) AND starts_with(h.path, r.path)"
+    given = ", ".join(f"('{e.split('/')[0]}', '{e[e.index('/'):]}', '{v}')" for e, v in urls.RULES.items())
+    return f"""
+WITH p AS (SELECT row_number() OVER () AS rid, page_id, coalesce(url, '') AS url FROM pages),
+h AS (
+  SELECT rid, page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM p),
+r AS (SELECT * FROM (VALUES {given}) v(host, path, verdict)),
+f AS (SELECT rid, r.host || r.path AS rule, r.verdict, row_number() OVER (PARTITION BY rid ORDER BY length(r.host || r.path) DESC) AS k FROM h JOIN r ON {fits})
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN regexp_matches(host, '(^|[.-])({words})([.:-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM h LEFT JOIN (SELECT * FROM f WHERE k = 1) USING (rid)"""
+
+
+@query("op10_url_filter", _op10_sql())
+def op10(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"))
