@@ -1,17 +1,17 @@
 """Document fingerprints as invertible Bloom lookup sketches, with DataFrame functions only.
 
-A text is cut into paragraphs (up to a line feed or the end of a sentence, in stretches of at most PIECE characters from
-the paragraph's start), and each distinct one becomes a 64-bit digest. A sketch is blocks of CELLS cells; a digest's
-block and its HASHES cells in the block follow from the digest. A cell holds a count, the xor of digests and the xor of
-their check hashes.
+A text is cut into paragraphs (lines, in stretches of at most PIECE characters from the line's start), and each distinct
+one becomes a 64-bit digest. A digest goes to HASHES cells of a sketch, one in each equal part of its cells. A cell
+holds a count, the xor of digests and the xor of their check hashes. Sketches are kept sparse: only cells that are not
+empty, by number, so a larger sketch costs no more than a small one.
 
 Two versions are compared by the difference of their sketches, cell by cell: common digests cancel. Peeling then takes
-digests out of cells that hold exactly one (count 1 or -1 and a check hash that agrees) until all cells are empty, which
-recovers the digests that only one version has. If a block does not empty, the whole comparison starts again with FAN
-times as many blocks, built anew from both versions' digests, up to LEVELS times. Likeness is the share of common
-digests among all distinct ones.
+digests out of all cells that hold exactly one (count 1 or -1 and a check hash that agrees), round after round, until no
+cell is left, which recovers the digests that only one version has. If cells remain, the comparison starts again with
+sketches of FAN times as many cells, built anew from both versions' digests, up to LEVELS times. Likeness is the share
+of common digests among all distinct ones.
 
-The fingerprint is the sketch of the lowest level as text, with the number of digests, so equal texts have equal
+The fingerprint is the sketch of CELLS cells as text, with the number of digests, so equal texts have equal
 fingerprints.
 
 Defined results: null texts are empty; an empty text has no digests, and two such texts have likeness 1; a paragraph
@@ -28,13 +28,19 @@ from pyspark.sql import functions as F
 from lociframe.session import cut_lineage
 
 PIECE = 400
-PARAGRAPH = r"[^\n.!?]{1,%d}" % PIECE
-CELLS, HASHES = 30, 3  # of a block; cells are dealt in HASHES equal parts, so that a digest's cells differ
-FAN, LEVELS = 4, 9  # blocks: 1, 4, 16, ...; the digest's low 16 bits say which
+PARAGRAPH = r"[^\n]{1,%d}" % PIECE
+CELLS, HASHES = 96, 3
+FAN, LEVELS = 4, 10
+ROUNDS = 64  # of peeling; below the threshold a handful is enough, and a round that finds nothing ends it
 CHECK_SEED = 77
 ORDER_ROWS = 20_000  # documents of one range of the order
 
-_PART = CELLS // HASHES
+_ENTRY = "array<struct<c:int,n:int,x:bigint,h:bigint>>"
+
+
+def _let(value: Column, fn) -> Column:
+    """`fn` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), fn), 0)
 
 
 def digests(text: Column) -> Column:
@@ -47,56 +53,59 @@ def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(CHECK_SEED))
 
 
-def _in_cell(digest: Column, cell: Column) -> Column:
-    """Whether a digest is in the cell of this number: each part of the cells reads bits of its own."""
-    bits = F.call_function("shiftright", digest, F.lit(20) + F.lit(14) * F.floor(cell / _PART).cast("int"))
-    return F.pmod(bits, F.lit(_PART)) == cell % _PART
+def _entries(all_: Column, sign: int, cells: Column) -> Column:
+    """Cell number, count, digest and check hash of each digest in each of its cells."""
+    part = F.floor(cells / HASHES).cast("int")
+
+    def of(d):
+        rest = (F.lit(sign).alias("n"), d.alias("x"), _check(d).alias("h"))
+        return F.array(*[F.struct((F.pmod(F.xxhash64(d, F.lit(j)), part) + part * j).cast("int").alias("c"), *rest) for j in range(HASHES)])
+
+    return F.flatten(F.transform(all_, of))
+
 
+def _merged(entries: Column) -> Column:
+    """Cells that are not empty, by number: sums of the entries of each cell."""
 
-def _cells(plus: Column, minus: Column) -> Column:
-    """Count (plus less minus), xor of digests and xor of check hashes of each cell."""
-    zero = F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("h"))
-    add = lambda acc, d: F.struct(acc["x"].bitwiseXOR(d).alias("x"), acc["h"].bitwiseXOR(_check(d)).alias("h"))
-    sides = lambda i: F.struct(*[F.filter(s, lambda d: _in_cell(d, i)).alias(k) for k, s in (("p", plus), ("m", minus))])
-    sums = lambda s: F.struct((F.size(s["p"]) - F.size(s["m"])).alias("n"), F.aggregate(F.concat(s["p"], s["m"]), zero, add).alias("s"))
-    cells = F.transform(F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), sides), sums)
-    return F.transform(cells, lambda c: F.struct(c["n"].alias("n"), c["s"]["x"].alias("x"), c["s"]["h"].alias("h")))
+    def runs(s):
+        m = F.size(s)
+        begins = F.filter(F.sequence(F.lit(1), m), lambda i: (i == 1) | (F.get(s, i - 1)["c"] != F.get(s, i - 2)["c"]))
+        cut = lambda f: F.transform(f, lambda b, i: F.slice(s, b, F.coalesce(F.get(f, i + 1), m + 1) - b))
+        return F.when(m > 0, _let(begins, cut)).otherwise(F.array().cast(f"array<{_ENTRY}>"))
 
+    zero = F.struct(F.lit(0).alias("c"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("h"))
 
-def _peeled(cells: Column) -> Column:
-    """Number of digests that peeling recovers from the cells of one block's difference; null if they do not empty."""
+    def add(acc, e):
+        return F.struct(e["c"].alias("c"), (acc["n"] + e["n"]).alias("n"), acc["x"].bitwiseXOR(e["x"]).alias("x"), acc["h"].bitwiseXOR(e["h"]).alias("h"))
+
+    cells = F.transform(_let(F.sort_array(entries), runs), lambda run: F.aggregate(run, zero, add))
+    return F.filter(cells, lambda c: (c["n"] != 0) | (c["x"] != 0) | (c["h"] != 0))
+
+
+def _peeled(cells: Column, size: Column) -> Column:
+    """Number of digests that peeling recovers; null if cells remain."""
     start = F.struct(cells.alias("cells"), F.lit(0).alias("found"), F.lit(False).alias("stuck"))
-    pure = lambda c: (F.abs(c["n"]) == 1) & (_check(c["x"]) == c["h"])
 
     def take(acc, _):
-        def without(one):
-            def less(c, i):
-                rest = F.struct((c["n"] - one["n"]).alias("n"), c["x"].bitwiseXOR(one["x"]).alias("x"), c["h"].bitwiseXOR(one["h"]).alias("h"))
-                return F.when(_in_cell(one["x"], i), rest).otherwise(c)
+        pure = lambda n: F.array_distinct(F.transform(F.filter(acc["cells"], lambda c: (c["n"] == n) & (_check(c["x"]) == c["h"])), lambda c: c["x"]))
+        both = F.struct(pure(1).alias("p"), pure(-1).alias("m"))
 
-            return F.struct(F.transform(acc["cells"], less).alias("cells"), (acc["found"] + 1).alias("found"), F.lit(False).alias("stuck"))
+        def without(own):
+            n = F.size(own["p"]) + F.size(own["m"])
+            less = lambda: _merged(F.concat(acc["cells"], _entries(own["p"], -1, size), _entries(own["m"], 1, size)))
+            return F.struct(F.when(n > 0, less()).otherwise(acc["cells"]).alias("cells"), (acc["found"] + n).alias("found"), (n == 0).alias("stuck"))
 
-        after = F.get(F.transform(F.slice(F.filter(acc["cells"], pure), 1, 1), without), 0)
-        stop = F.struct(acc["cells"].alias("cells"), acc["found"].alias("found"), F.lit(True).alias("stuck"))
-        return F.when(acc["stuck"], acc).otherwise(F.coalesce(after, stop))
+        return F.when(acc["stuck"] | (F.size(acc["cells"]) == 0), acc).otherwise(_let(both, without))
 
-    empty = lambda acc: ~F.exists(acc["cells"], lambda c: (c["n"] != 0) | (c["x"] != 0) | (c["h"] != 0))
-    rounds = F.sequence(F.lit(1), F.lit(CELLS))  # no more digests than cells can be told from one block
-    return F.aggregate(rounds, start, take, lambda acc: F.when(empty(acc), acc["found"]))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, take, lambda acc: F.when(F.size(acc["cells"]) == 0, acc["found"]))
 
 
 def difference(a: Column, b: Column) -> Column:
     """Number of digests that only one of two arrays of distinct digests has, by peeling. A level, with FAN times the
-    blocks of the one below, is tried only where all below it failed."""
-
-    def told(blocks: Column) -> Column:
-        own = lambda all_, k: F.filter(all_, lambda d: F.pmod(d, blocks) == k)
-        split = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(own(a, k).alias("a"), own(b, k).alias("b")))
-        found = F.transform(F.transform(split, lambda s: _cells(s["a"], s["b"])), _peeled)
-        return F.aggregate(found, F.lit(0), lambda s, x: s + x)
-
-    levels = F.array(*[F.lit(FAN**k) for k in range(LEVELS)])
-    return F.aggregate(levels, F.lit(None).cast("int"), lambda acc, blocks: F.when(acc.isNotNull(), acc).otherwise(told(blocks)))
+    cells of the one below, is tried only where all below it failed."""
+    told = lambda size: _peeled(_merged(F.concat(_entries(a, 1, size), _entries(b, -1, size))), size)
+    levels = F.array(*[F.lit(CELLS * FAN**k) for k in range(LEVELS)])
+    return F.aggregate(levels, F.lit(None).cast("int"), lambda acc, size: F.when(acc.isNotNull(), acc).otherwise(told(size)))
 
 
 def likeness(a: Column, b: Column, differing: Column) -> Column:
@@ -106,10 +115,9 @@ def likeness(a: Column, b: Column, differing: Column) -> Column:
 
 
 def sketch_text(all_: Column) -> Column:
-    """The sketch of the lowest level: number of digests, then count, xor and check of each cell, in hexadecimal."""
-    text = lambda c: F.when(c["n"] == 0, "").otherwise(F.concat_ws(".", *[F.lower(F.hex(x)) for x in (c["n"], c["x"], c["h"])]))
-    cells = F.transform(_cells(all_, F.array().cast("array<bigint>")), text)
-    return F.concat_ws(":", F.size(all_).cast("string"), F.array_join(cells, ":"))
+    """Number of digests, then number, count, xor and check of each cell, in hexadecimal."""
+    text = lambda c: F.concat_ws(".", *[F.lower(F.hex(c[k])) for k in ("c", "n", "x", "h")])
+    return F.concat_ws(":", F.size(all_).cast("string"), F.array_join(F.transform(_merged(_entries(all_, 1, F.lit(CELLS))), text), ":"))
 
 
 def successors(keys: DataFrame) -> DataFrame:
