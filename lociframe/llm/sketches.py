@@ -147,37 +147,35 @@ def successors(keys: DataFrame) -> DataFrame:
     return near.select("id", "h", F.col("prev.id").alias("prev_id"), F.col("prev.h").alias("prev_h"), F.col("prev.n").alias("prev_n"))
 
 
-def _key(id_: Column, h: Column) -> Column:
-    """One number for (id, hash of the text) to join on; the pair itself is compared as well."""
-    return F.xxhash64(id_, h)
+def _named(id_: Column, h: Column, prefix: str) -> list[Column]:
+    """Plain join keys, none of them null, of an id that may be null and a text hash."""
+    return [h.alias(f"{prefix}h"), F.coalesce(id_.cast("string"), F.lit("")).alias(f"{prefix}i"), id_.isNull().alias(f"{prefix}z")]
+
+
+def _joined(a: DataFrame, b: DataFrame, x: str, y: str) -> DataFrame:
+    return a.join(b, (F.col(f"{x}h") == F.col(f"{y}h")) & (F.col(f"{x}i") == F.col(f"{y}i")) & (F.col(f"{x}z") == F.col(f"{y}z")))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The text moves once, by its key. A text also sends what the one in front of it needs: its first code points, and its
-    digests.
+    The texts are shuffled once, by id and text hash, and that shuffle serves both joins. In the first a text meets what
+    the one in front of it needs, its first code points and its digests, which are sent on to that one in the second.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     keys = rows.select("id", "h", F.length("text").alias("n")).distinct()
-    placed = successors(keys).withColumn("k", _key(F.col("id"), F.col("h"))).select("k", F.struct("id", "h").alias("own"), "prev_id", "prev_h", "prev_n")
-    whole = rows.select(_key(F.col("id"), F.col("h")).alias("k"), F.struct("id", "h").alias("own"), "text")
-    sent = (
-        whole.alias("w")
-        .join(placed.alias("p"), (F.col("w.k") == F.col("p.k")) & F.col("w.own").eqNullSafe(F.col("p.own")))
-        .select(
-            F.col("w.k").alias("from"),
-            F.struct(F.col("p.prev_id").alias("id"), F.col("p.prev_h").alias("h")).alias("to"),
-            F.left("w.text", F.floor(F.col("p.prev_n") / 3).cast("int")).alias("head"),
-            digests(F.col("w.text")).alias("next"),
-        )
+    placed = successors(keys).select(*_named(F.col("id"), F.col("h"), "p"), *_named(F.col("prev_id"), F.col("prev_h"), "t"), "prev_n")
+    whole = rows.select(*_named(F.col("id"), F.col("h"), "w"), "text")  # no other column, or the two shuffles would differ
+    sent = _joined(whole, placed, "w", "p").select(
+        "wh", "wi", "wz", "th", "ti", "tz", F.left("text", F.floor(F.col("prev_n") / 3).cast("int")).alias("head"), digests(F.col("text")).alias("next")
     )
     # equal rows send the same; one of them is enough
-    sent = sent.dropDuplicates(["from", "to"]).select(_key(F.col("to.id"), F.col("to.h")).alias("k"), "to", "head", "next")
-    met = whole.alias("w").join(sent.alias("s"), (F.col("w.k") == F.col("s.k")) & F.col("w.own").eqNullSafe(F.col("s.to")))
-    n = F.length("w.text")
-    edited = F.concat(F.left(F.col("w.text"), n - F.floor(n / 3).cast("int")), F.col("s.head"))
-    full = met.select(F.col("w.own.id").alias("id"), n.cast("long").alias("n_chars"), digests(F.col("w.text")).alias("a"), edited.alias("edited"), F.col("s.next").alias("c"))
+    sent = sent.dropDuplicates(["wh", "wi", "wz"]).select("th", "ti", "tz", "head", "next")
+    met = _joined(whole, sent, "w", "t")
+    n = F.length("text")
+    edited = F.concat(F.left(F.col("text"), n - F.floor(n / 3).cast("int")), F.col("head"))
+    own = F.when(~F.col("wz"), F.col("wi").cast(rows.schema["id"].dataType))
+    full = met.select(own.alias("id"), n.cast("long").alias("n_chars"), digests(F.col("text")).alias("a"), edited.alias("edited"), F.col("next").alias("c"))
     seen = full.select("id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), "a", digests(F.col("edited")).alias("b"), "c")
     a, b, c = F.col("a"), F.col("b"), F.col("c")
     told = seen.select("id", "n_chars", "edited_sha256", "a", "b", "c", difference(a, b).alias("d_edited"), difference(a, c).alias("d_next"))

@@ -13,7 +13,7 @@ from check_queries import TABLES, compare  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from __spark_entry__ import oracle_sql, queries  # noqa: E402
 
-from .conftest import prose  # noqa: E402
+from llm_cases import prose  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 

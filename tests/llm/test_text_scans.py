@@ -16,7 +16,7 @@ from lociframe.llm import licenses as li
 from lociframe.llm import secrets as se
 from lociframe.llm.bytewords import normalise, shingle_hashes, word_hashes, words_of
 
-from .conftest import as_dict, prose
+from llm_cases import as_dict, prose
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
