@@ -45,7 +45,7 @@ def _let(value: Column, fn) -> Column:
 
 def digests(text: Column) -> Column:
     """Distinct digests of the paragraphs of a text that is not null."""
-    parts = F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), F.trim)
+    parts = F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.trim(p))
     return F.array_distinct(F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
