@@ -20,13 +20,15 @@ def sample_buckets(dosages: DataFrame) -> int:
     return max(1, -(-int(n) // SAMPLES_PER_BUCKET))
 
 
-def nonnegative_solve(gram: np.ndarray, rhs: np.ndarray, tol: float = 1e-10) -> np.ndarray:
-    """Minimise qᵀGq/2 − rᵀq over q ≥ 0 by an active set on the K × K normal equations."""
+def nonnegative_solve(gram: np.ndarray, rhs: np.ndarray, tol: float = 1e-10, max_rounds: int | None = None) -> np.ndarray:
+    """Minimise qᵀGq/2 − rᵀq over q ≥ 0 by an active set on the K × K normal equations; raises if it does not end."""
+    if not (np.isfinite(gram).all() and np.isfinite(rhs).all()):
+        raise ValueError("the normal equations hold values that are not finite")
     k = len(rhs)
     q = np.zeros(k)
     free = np.zeros(k, dtype=bool)
     limit = tol * max(1.0, float(np.abs(rhs).max(initial=0.0)))
-    for _ in range(30 * k):
+    for _ in range(max_rounds or 30 * k):
         slope = rhs - gram @ q
         slope[free] = -np.inf
         best = int(np.argmax(slope))
@@ -47,6 +49,8 @@ def nonnegative_solve(gram: np.ndarray, rhs: np.ndarray, tol: float = 1e-10) ->
             q[~free] = 0.0
             if not free.any():
                 break
+    else:
+        raise ArithmeticError(f"no solution after {max_rounds or 30 * k} rounds")
     return q
 
 

@@ -205,7 +205,12 @@ def percentile_rank(
     strict: share below; weak: share not above; rank: mean of both plus half a step for a tie. Reference values and
     scores are merged into one axis of distinct values per key and counted by range, so no pair of a score and a
     reference value is ever formed and a long list never sits in one task. `weight` counts a reference row many times.
+
+    The scores are written once, and both the axis and the result read that copy: a float sum that Spark computed a
+    second time could differ in its last digits and miss its place on the axis. Callers whose reference holds the same
+    rows as the scores must write those once as well, or ties may part.
     """
+    scores = cut_lineage(scores)
     grouping = list(keys) or ["_all"]
     if not keys:
         reference, scores = reference.withColumn("_all", F.lit(0)), scores.withColumn("_all", F.lit(0))

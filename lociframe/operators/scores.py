@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lociframe.operators.inbreeding import percentile_rank
 from lociframe.plans import blockscan as bs
+from lociframe.session import cut_lineage
 
 MIN_INDIVIDUALS = 30
 MIN_BREEDS = 20
@@ -81,6 +82,7 @@ def score_and_standardise(
     `reference` holds one row per group, trait and reference individual.
     """
     keys = [*group, "trait"]
+    reference = cut_lineage(reference)
     stats = reference.groupBy(*keys).agg(F.avg(ref_score).alias("_mean"), F.stddev_pop(ref_score).alias("_sd"))
     ranked = percentile_rank(reference, scores, ref_score, score, "weak", keys)
     return (

@@ -29,12 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share of a small input before costly per-row work; large inputs have splits enough."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def days(col: str, origin: str = "1995-01-01") -> Column:
     """Whole days since `origin`."""
     return F.datediff(F.col(col).cast("date"), F.lit(origin).cast("date")).cast("long")

@@ -194,7 +194,7 @@ def window_coverage(spark, sf):
     f"""WITH {BINNED},
 a AS (SELECT sample_id, chrom, list(CAST(depth * 30 AS BIGINT) ORDER BY bin_idx) AS arr FROM filled GROUP BY ALL),
 o AS (SELECT o_orderpriority[1] AS p, {sql_days('o_orderdate')} // 30 AS bin_idx, count(*) AS n
-  FROM orders WHERE o_orderdate >= DATE '1995-01-01' GROUP BY ALL),
+  FROM orders GROUP BY ALL),
 of AS (SELECT 'chr' || p AS chrom, unnest(range(0, MAX(bin_idx) + 1)) AS bin_idx FROM o GROUP BY p),
 b AS (SELECT chrom, list(COALESCE(n, 0) ORDER BY bin_idx) AS panel FROM of
   LEFT JOIN (SELECT 'chr' || p AS chrom, bin_idx, n FROM o) USING (chrom, bin_idx) GROUP BY chrom)
@@ -209,7 +209,6 @@ def bin_arrays(spark, sf):
     tracks = cov.bins_to_array(mine, ["sample_id", "chrom"], "bin_idx", "bases", "arr")
     counts = (
         table(spark, sf, "orders")
-        .where(F.col("o_orderdate") >= F.lit("1995-01-01").cast("timestamp_ntz"))
         .groupBy(F.concat(F.lit("chr"), F.substring("o_orderpriority", 1, 1)).alias("chrom"), F.floor(days("o_orderdate") / 30).alias("bin_idx"))
         .agg(F.count(F.lit(1)).cast("double").alias("n"))
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lociframe.functions import genotypes as gt
 from lociframe.operators import inbreeding as inb
 from lociframe.queries.base import query, r, seconds, sql_seconds, table
+from lociframe.session import cut_lineage
 
 ROH_WINDOW, ROH_MIN = 6, 50_000
 
@@ -126,6 +127,19 @@ for _kind, _expr in (
         return inb.percentile_rank(reference, scores, "v", "score", kind).withColumn("percentile", r("percentile"))
 
 
+MEANS = """m AS MATERIALIZED (SELECT o_custkey AS sample_id, avg(o_totalprice / 7) AS score FROM orders GROUP BY 1),
+c AS (SELECT *, count(*) OVER (ORDER BY score) AS upto, count(*) OVER (ORDER BY score) - count(*) OVER (PARTITION BY score) AS lower, count(*) OVER () AS t FROM m)"""
+
+for _kind, _expr in (("strict", "100.0 * lower / t"), ("weak", "100.0 * upto / t"), ("rank", "(lower + upto + 1) * 50.0 / t")):
+
+    @query(f"percentile_of_means_{_kind}", f"WITH {MEANS} SELECT sample_id, round({_expr}, 6) AS percentile FROM c")
+    def _means(spark, sf, kind=_kind):
+        """Unrounded float means among themselves."""
+        means = cut_lineage(table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("sample_id")).agg(F.avg(F.col("o_totalprice") / 7).alias("score")))
+        found = inb.percentile_rank(means.select(F.col("score").alias("v")), means, "v", "score", kind)
+        return found.select("sample_id", r("percentile").alias("percentile"))
+
+
 @query(
     "value_histogram",
     """WITH b AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) + 0.001 AS hi FROM orders),

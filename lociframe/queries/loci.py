@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lociframe.fixed_values import KNOWN_SITES, LOCUS_TEXT
 from lociframe.operators import loci as lc
 from lociframe.operators.reads import counts_map
-from lociframe.queries.base import query, spread, table
+from lociframe.queries.base import query, table
 
 
 def _q(v):
@@ -17,14 +17,14 @@ def _q(v):
 _SITES = ", ".join("(" + ", ".join(_q(v) for v in (i, *row)) + ")" for i, row in enumerate(KNOWN_SITES))
 HITS = f"""
 sites(site_ord, locus, chrom, pos, exp_ref, exp_alt, allele, inheritance, effect) AS (VALUES {_SITES}),
-line AS (SELECT l_suppkey AS sample_id, (l_partkey * 7 + l_orderkey) % 16 AS so, (l_partkey + l_suppkey) % 14 AS ro, * FROM lineitem),
+line AS (SELECT l_suppkey AS sample_id, (l_partkey * 7 + l_orderkey) % 12 AS so, * FROM lineitem),
 hits AS (SELECT sample_id, so AS site_ord, CASE WHEN l_returnflag = 'A' THEN COALESCE(exp_alt, 'G') ELSE COALESCE(exp_ref, 'A') END AS ref,
     CASE WHEN l_returnflag = 'A' THEN COALESCE(exp_ref, 'A') ELSE COALESCE(exp_alt, 'G') END AS alt, l_tax AS raf,
     ['0|0', '0|1', '1|1', './.', '0|0', '1|2', '1/1'][l_linenumber] AS gt, 0.5 + l_discount * 5 AS gp_max
-  FROM line JOIN sites ON so = site_ord WHERE l_quantity > 30
+  FROM line JOIN sites ON so = site_ord WHERE (sample_id + so) % 4 <> 0
   QUALIFY row_number() OVER (PARTITION BY sample_id, so ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_extendedprice DESC) = 1),
-piles AS (SELECT sample_id, ro AS site_ord, count(*) AS total, count(*) FILTER (l_linestatus = 'F') AS n_a FROM line
-  WHERE l_quantity < 8 GROUP BY ALL HAVING count(*) >= 5),
+piles AS (SELECT sample_id, so AS site_ord, count(*) AS total, count(*) FILTER (l_linestatus = 'F') AS n_a FROM line
+  WHERE (sample_id + so) % 4 = 0 GROUP BY ALL HAVING count(*) >= 5),
 calls AS (
   SELECT u.sample_id, s.*, h.gt, h.raf, h.gp_max AS max_gp, h.sample_id IS NOT NULL AS hit, h.sample_id IS NOT NULL OR p.total IS NOT NULL AS found,
     h.gp_max >= 0.8 AND h.ref = s.exp_alt AND h.alt = s.exp_ref AS swapped,
@@ -66,18 +66,18 @@ g AS (
 def site_calls(spark, sf):
     sites = lc.known_sites(spark)
     used = ["l_suppkey", "l_partkey", "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice", "l_returnflag", "l_linestatus"]
-    line = spread(table(spark, sf, "lineitem").select(*used)).withColumns(
+    line = table(spark, sf, "lineitem").select(*used).withColumns(
         {
             "sample_id": F.col("l_suppkey"),
-            "so": ((F.col("l_partkey") * 7 + F.col("l_orderkey")) % 16).cast("int"),
-            "ro": ((F.col("l_partkey") + F.col("l_suppkey")) % 14).cast("int"),
+            "so": ((F.col("l_partkey") * 7 + F.col("l_orderkey")) % 12).cast("int"),
         }
     )
     place = F.broadcast(sites.select("site_ord", "chrom", "pos", "exp_ref", "exp_alt"))  # twelve fixed rows
+    read = (F.col("sample_id") + F.col("so")) % 4 == 0  # every line is a call or, at every fourth site, a read
     exp_ref, exp_alt = F.coalesce("exp_ref", F.lit("A")), F.coalesce("exp_alt", F.lit("G"))
     back = F.col("l_returnflag") == "A"
     codes = F.array(*[F.lit(g) for g in ("0|0", "0|1", "1|1", "./.", "0|0", "1|2", "1/1")])
-    calls = line.where(F.col("l_quantity") > 30).join(place, F.col("so") == F.col("site_ord")).select(
+    calls = line.where(~read).join(place, F.col("so") == F.col("site_ord")).select(
         "sample_id", "chrom", "pos",
         F.when(back, exp_alt).otherwise(exp_ref).alias("ref"),
         F.when(back, exp_ref).otherwise(exp_alt).alias("alt"),
@@ -87,8 +87,8 @@ def site_calls(spark, sf):
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("ord"),
     )
     per_base = (
-        line.where(F.col("l_quantity") < 8)
-        .join(place, F.col("ro") == F.col("site_ord"))
+        line.where(read)
+        .join(place, F.col("so") == F.col("site_ord"))
         .groupBy("sample_id", "chrom", "pos", F.when(F.col("l_linestatus") == "F", "A").otherwise("C").alias("base"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

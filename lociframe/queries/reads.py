@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lociframe.operators import reads as rd
-from lociframe.queries.base import query, r, spread, table
+from lociframe.queries.base import query, r, table
 from lociframe.sources.jsondocs import fragment_histogram
 
 # Reads: position = part key, four to seven bases spelled from the supplier key, one quality per base.
@@ -44,7 +44,7 @@ def reads(spark, sf):
 @query(
     "site_pileup",
     f"""WITH {READS},
-sites AS (SELECT DISTINCT 'chr' || (p_partkey % 3 + 1) AS chrom, p_partkey AS pos FROM part WHERE p_size <= 10),
+sites AS (SELECT DISTINCT 'chr' || (p_partkey % 3 + 1) AS chrom, p_partkey AS pos FROM part),
 hits AS (SELECT sample_id, r.chrom, s.pos, read_id, flag, substr(seq, CAST(s.pos - r.pos + 1 AS INTEGER), 1) AS base,
     (l_orderkey + (s.pos - r.pos + 1) * l_suppkey) % 41 AS bq
   FROM reads r JOIN sites s ON r.chrom = s.chrom AND s.pos BETWEEN r.pos AND r."end"
@@ -56,7 +56,7 @@ SELECT sample_id, chrom, pos, count(*) AS total, count(*) FILTER (base = 'A') AS
 FROM once GROUP BY ALL""",
 )
 def site_pileup(spark, sf):
-    sites = table(spark, sf, "part").where(F.col("p_size") <= 10).select(
+    sites = table(spark, sf, "part").select(
         F.concat(F.lit("chr"), F.col("p_partkey") % 3 + 1).alias("chrom"), F.col("p_partkey").alias("pos")
     )
     piled = rd.pileup(reads(spark, sf), sites)
@@ -99,7 +99,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, seq, CAST(length(seq) AS
 WHERE length(seq) >= 36 AND 1.0 * bad / length(seq) <= 0.4""",
 )
 def cleaned_reads(spark, sf):
-    line = spread(table(spark, sf, "lineitem"))
+    line = table(spark, sf, "lineitem")
     body = F.translate(F.lpad(F.col("l_suppkey").cast("string"), 5, "0"), "0123456789", "ACGTACGTGC")
     tail = (
         F.when(F.col("l_linenumber") == 1, "G").when(F.col("l_linenumber") == 2, "A").when(F.col("l_linenumber") == 3, "CT").otherwise("T")

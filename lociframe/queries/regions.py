@@ -96,7 +96,7 @@ def merged_regions(spark, sf):
 @query(
     "region_panel_depth",
     f"""WITH {LOW},
-p AS (SELECT ({sql_seconds('ts')} - {T0}) // 86400 AS b, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY 1),
+p AS (SELECT ({sql_seconds('ts')} - {T0}) // 86400 AS b, count(*) AS n FROM events GROUP BY 1),
 pr AS (SELECT b, n / (SELECT median(n) FROM p) AS ratio FROM p),
 d AS (SELECT sample_id, start, "end", CAST(round(avg(ratio) * 100) AS BIGINT) AS ref_depth_pct
   FROM (SELECT sample_id, start, "end", unnest(range(start // 86400, "end" // 86400 + 1)) AS b FROM merged)
@@ -106,7 +106,6 @@ SELECT m.sample_id, m.start, m."end", d.ref_depth_pct FROM merged m LEFT JOIN d
 def region_panel_depth(spark, sf):
     daily = (
         table(spark, sf, "events")
-        .where(F.col("event_type") != "error")
         .groupBy(F.lit("t").alias("chrom"), F.floor((seconds("ts") - T0) / 86400).alias("bin_idx"))
         .agg(F.count(F.lit(1)).cast("double").alias("depth"))
     )

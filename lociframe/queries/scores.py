@@ -8,6 +8,7 @@ from lociframe.fixed_values import COAT_LENGTH
 from lociframe.operators import ancestry as anc
 from lociframe.operators import scores as sc
 from lociframe.queries.base import query, r, table
+from lociframe.session import cut_lineage
 from lociframe.sources.plink import unpack_genotypes
 
 # Genotypes: the sign and size of each embedding value as 0, 1, 2 or missing; individuals are vectors.
@@ -141,7 +142,7 @@ def mean_imputed(spark, sf):
 
 BETA = f"""{LONG},
 m AS (SELECT snp_idx, avg(g) AS mean FROM geno GROUP BY 1),
-filled AS (SELECT ind_idx, label, snp_idx, COALESCE(g, mean) AS g FROM geno JOIN m USING (snp_idx) WHERE snp_idx % 5 = 0),
+filled AS (SELECT ind_idx, label, snp_idx, COALESCE(g, mean) AS g FROM geno JOIN m USING (snp_idx)),
 y AS (SELECT 'label' AS trait, vec_id AS ind_idx, CAST(label AS DOUBLE) AS y FROM embeddings WHERE label < 8
   UNION ALL SELECT 'even', vec_id, CAST(label % 2 = 0 AS INTEGER)::DOUBLE FROM embeddings),
 sums AS (SELECT trait, snp_idx, covar_pop(g, y) * count(*) AS gy, var_pop(g) * count(*) AS gg FROM filled JOIN y USING (ind_idx) GROUP BY ALL),
@@ -156,7 +157,7 @@ def traits(spark, sf):
 
 
 def filled(spark, sf):
-    return sc.impute_mean(geno(spark, sf)).where(F.col("snp_idx") % 5 == 0)
+    return sc.impute_mean(geno(spark, sf))
 
 
 @query("marginal_ridge", f"WITH {BETA} SELECT trait, snp_idx, round(beta, 6) AS beta FROM beta")
@@ -165,7 +166,7 @@ def marginal_ridge(spark, sf):
 
 
 SCORED = f"""{BETA},
-scored AS (SELECT trait, ind_idx, sum(g * beta) AS sc FROM filled JOIN beta USING (snp_idx) GROUP BY ALL),
+scored AS MATERIALIZED (SELECT trait, ind_idx, sum(g * beta) AS sc FROM filled JOIN beta USING (snp_idx) GROUP BY ALL),
 refs AS (SELECT c.* FROM scored c SEMI JOIN y USING (trait, ind_idx)),
 st AS (SELECT trait, avg(sc) AS mu, stddev_pop(sc) AS sd FROM refs GROUP BY trait),
 std AS (SELECT c.trait, c.ind_idx AS sample_id, c.sc AS score, (c.sc - mu) / (sd + 1e-8) AS prs_z FROM scored c JOIN st USING (trait))"""
@@ -174,18 +175,21 @@ std AS (SELECT c.trait, c.ind_idx AS sample_id, c.sc AS score, (c.sc - mu) / (sd
 def standardised(spark, sf):
     g, y = filled(spark, sf), traits(spark, sf)
     betas = sc.marginal_ridge(g, y)
-    every = sc.weighted_sum(g, betas, "g", ["ind_idx"], ["snp_idx"], "score")
+    every = cut_lineage(sc.weighted_sum(g, betas, "g", ["ind_idx"], ["snp_idx"], "score"))  # scores and reference share rows
     valid = every.join(y.select("trait", "ind_idx"), ["trait", "ind_idx"], "left_semi").withColumnRenamed("score", "ref_score")
     return sc.score_and_standardise(every.withColumnRenamed("ind_idx", "sample_id"), valid)
 
 
 @query(
     "standardised_scores",
-    f"WITH {SCORED} SELECT trait, sample_id, round(score, 5) AS score, round(prs_z, 5) AS prs_z FROM std",
+    f"""WITH {SCORED}, n AS (SELECT trait, count(*) AS n FROM refs GROUP BY trait),
+p AS (SELECT s.trait, s.sample_id, count(*) AS upto FROM std s JOIN refs r ON r.trait = s.trait AND r.sc <= s.score GROUP BY ALL)
+SELECT trait, sample_id, round(score, 5) AS score, round(prs_z, 5) AS prs_z, round(100.0 * COALESCE(upto, 0) / n, 6) AS percentile
+FROM std JOIN n USING (trait) LEFT JOIN p USING (trait, sample_id)""",
 )
 def standardised_scores(spark, sf):
     out = standardised(spark, sf)
-    return out.select("trait", "sample_id", r("score", 5).alias("score"), r("prs_z", 5).alias("prs_z"))
+    return out.select("trait", "sample_id", r("score", 5).alias("score"), r("prs_z", 5).alias("prs_z"), r("percentile").alias("percentile"))
 
 
 @query("rescaled_scores", f"""WITH {SCORED}, b AS (SELECT 'label' AS trait, label, label::DOUBLE AS v FROM embeddings WHERE label < 8 GROUP BY ALL
@@ -203,10 +207,10 @@ def rescaled_scores(spark, sf):
 
 @query(
     "eligible_groups",
-    "SELECT p_brand AS trait, count(p_retailprice) AS n_breeds FROM part WHERE p_size < 15 GROUP BY 1 HAVING count(p_retailprice) >= 20",
+    "SELECT p_brand AS trait, count(p_retailprice) AS n_breeds FROM part GROUP BY 1 HAVING count(p_retailprice) >= 20",
 )
 def eligible_groups(spark, sf):
-    values = table(spark, sf, "part").where(F.col("p_size") < 15).select(F.col("p_brand").alias("trait"), F.col("p_retailprice").alias("value"))
+    values = table(spark, sf, "part").select(F.col("p_brand").alias("trait"), F.col("p_retailprice").alias("value"))
     return sc.eligible_traits(values)
 
 

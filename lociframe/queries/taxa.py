@@ -96,10 +96,10 @@ def genus_rollup(spark, sf):
 @query(
     "prevalent_features",
     f"""WITH {PROFILE}, n AS (SELECT count(*) AS n FROM t)
-SELECT clade, round(count(*) / any_value(n), 6) AS prevalence FROM species, n WHERE pct > 0.3 GROUP BY clade HAVING count(*) / any_value(n) > 0.10""",
+SELECT clade, round(count(*) / any_value(n), 6) AS prevalence FROM species, n GROUP BY clade HAVING count(*) / any_value(n) > 0.10""",
 )
 def prevalent_features(spark, sf):
-    long = profile(spark, sf).where((F.col("rank") == "s") & (F.col("rel_abundance") > 0.3)).select("sample_id", "clade", F.col("rel_abundance").alias("abundance"))
+    long = profile(spark, sf).where(F.col("rank") == "s").select("sample_id", "clade", F.col("rel_abundance").alias("abundance"))
     n = samples(spark, sf).agg(F.count(F.lit(1)).alias("n"))
     return mb.prevalent(long, n).withColumn("prevalence", r("prevalence"))
 

@@ -199,9 +199,9 @@ def read_failed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def version_key(name: Column) -> Column:
-    """Sort key that compares runs of digits by value: digits are padded to twelve places."""
+    """Sort key that compares runs of digits by value: each has its number of significant digits in front of it."""
     pieces = F.regexp_extract_all(name, F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^[0-9]+$"), F.lpad(p, 12, "0")).otherwise(p)), "")
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^[0-9]+$"), F.concat(F.lpad(F.length(F.ltrim(p, F.lit("0"))).cast("string"), 10, "0"), F.ltrim(p, F.lit("0")))).otherwise(p)), "")
 
 
 def union_lanes(spark: SparkSession, folder: str, mate: int) -> DataFrame:
