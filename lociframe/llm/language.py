@@ -2,7 +2,8 @@
 
 A text is put in normal form (lower case, letters only, single spaces), cut into even chunks, and each chunk is
 compressed once for every language with a zstandard compressor primed with that language's raw-content dictionary. The
-language with the fewest bytes over all chunks is chosen; a narrow margin to the second is a rejection.
+language with the fewest bytes over all chunks is chosen. Where the margin to the second is narrow (mostly short texts),
+the sizes are taken again at STRONG_LEVEL, whose search is finer; a margin that is still narrow is a rejection.
 
 Learning reads a bounded sample of labelled rows: at most SAMPLE_TEXTS texts of at most SAMPLE_CHARS characters per
 language (the texts with the least hash in each of SAMPLE_TEXTS hash classes), of which DICTIONARY_BYTES go into the
@@ -29,8 +30,10 @@ SAMPLE_CHARS = 20_000
 DICTIONARY_BYTES = 96 << 10
 MAX_LANGUAGES = 500
 CHUNK_BYTES = 4096
-LEVEL = 3
-#: Least margin to the second language, as a share of the smallest size and in bytes.
+LEVEL, STRONG_LEVEL = 3, 12
+#: Least margin to the second language, as a share of the smallest size and in bytes: to be sure at LEVEL, and to be
+#: accepted at STRONG_LEVEL.
+SURE, SURE_BYTES = 0.05, 6
 MARGIN, MARGIN_BYTES = 0.005, 1
 RESULT = "lang_pred string, score double, rejected boolean"
 _OTHER = re.compile(r"[\W\d_]+")
@@ -62,29 +65,35 @@ class Classifier:
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.labels = sorted(dictionaries)
-        self.compress = []
-        for label in self.labels:
-            data = zstandard.ZstdCompressionDict(dictionaries[label], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            data.precompute_compress(level=LEVEL)
-            self.compress.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_dict_id=False).compress)
+        self.levels = {level: [self._compressor(dictionaries[k], level) for k in self.labels] for level in (LEVEL, STRONG_LEVEL)}
 
-    def sizes(self, data: bytes) -> list[int]:
+    @staticmethod
+    def _compressor(dictionary: bytes, level: int):
+        data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data.precompute_compress(level=level)
+        return zstandard.ZstdCompressor(level=level, dict_data=data, write_content_size=False, write_dict_id=False).compress
+
+    def sizes(self, data: bytes, level: int = LEVEL) -> list[int]:
         n = -(-len(data) // CHUNK_BYTES)
         cuts = [len(data) * k // n for k in range(n + 1)]
         chunks = [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        return [sum(len(compress(c)) for c in chunks) for compress in self.compress]
+        return [sum(len(compress(c)) for c in chunks) for compress in self.levels[level]]
+
+    @staticmethod
+    def narrow(sizes: list[int], share: float, least: int) -> bool:
+        first, second = sorted(sizes)[:2] if len(sizes) > 1 else (sizes[0], 2 * sizes[0])
+        return second - first < max(least, share * first)
 
     def judge(self, text: str | None) -> tuple[str, float, bool]:
         data = normal_form(text or "")
         if not data or not self.labels:
             return "und", 0.0, True
         sizes = self.sizes(data)
-        best = min(range(len(sizes)), key=sizes.__getitem__)
-        least = sizes[best]
+        if self.narrow(sizes, SURE, SURE_BYTES):
+            sizes = self.sizes(data, STRONG_LEVEL)
+        least = min(sizes)
         score = 1 / sum(2.0 ** -min(s - least, 60) for s in sizes)
-        second = min((s for k, s in enumerate(sizes) if k != best), default=2 * least)
-        narrow = second - least < max(MARGIN_BYTES, MARGIN * least)
-        return self.labels[best], score, narrow
+        return self.labels[sizes.index(least)], score, self.narrow(sizes, MARGIN, MARGIN_BYTES)
 
 
 def language_columns(text: Column, dictionaries: dict[str, bytes]) -> Column:
