@@ -5,9 +5,10 @@ keys, bounds, and the full strings. Executors get the files through Spark, map t
 batch of URLs with one vectorised binary search, and compare the stored string of every key found, so a collision of
 digests never decides. The longest entry that fits wins.
 
-Rules are given; the method's own entries block hosts whose name has a blocked word in one of its labels. Those hosts
-are gathered from the pages by Spark. Up to MAX_ENTRIES entries go into the array; a longer list is split by digest into
-as many arrays, which are probed one after the other.
+Two lists are probed: the rules, by the host and its parent domains with each prefix of the path that has a rule's
+length, and the method's own list of blocked names, by the parts of the host's labels. A host with a blocked part is
+blocked. Both lists are parameters, so what executors load does not grow with the pages, and no page takes part in a
+shuffle. A list of more than MAX_ENTRIES is kept as several arrays that are probed one after the other.
 
 A rule fits its host and all subdomains if the path starts with the rule's path. A rule decides before the method; a URL
 that neither decides is allowed.
@@ -20,8 +21,9 @@ length would be equal in host and path; repeated rows repeat.
 from __future__ import annotations
 
 import os
-import tempfile
+import re
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from lociframe.llm.base import lower_ascii, text_function
 
 #: The rules.
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
-#: Words that block a host when they are a label of its name or a hyphenated part of one.
+#: Names that block a host when they are a label of it or a hyphenated part of one.
 BLOCKED_WORDS = ("adult", "ads", "bets", "casino", "pills", "porn", "spam", "warez", "xxx")
 MAX_ENTRIES = 1_000_000
 RESULT = "struct<entry:string,verdict:string>"
@@ -93,43 +95,45 @@ def prefixes(host: str, path: str, lengths: list[int]) -> list[str]:
     return [h + path[:n] for n in lengths if n <= len(path) for h in own]
 
 
-def longest(urls: list[str], arrays: list[DigestArray], lengths: list[int]) -> list[tuple[str, str] | None]:
-    """Longest entry that fits each host and path (joined by the separator), with its verdict."""
-    wanted, owner = [], []
-    for i, url in enumerate(urls):
-        host, path = url.split(_SEP, 1)
-        own = prefixes(host, path, lengths)
-        wanted += own
-        owner += [i] * len(own)
-    keys = [w.encode("utf-8", "replace") for w in wanted]
-    best: list[tuple[str, str] | None] = [None] * len(urls)
+def name_parts(host: str) -> list[str]:
+    """Labels of a host and their hyphenated parts, as entries without a path; a port is no part."""
+    return [part.split(":", 1)[0] + "/" for part in re.split("[.-]", host)] if host else []
+
+
+def longest(wanted: list[list[str]], arrays: list[DigestArray]) -> list[tuple[str, str] | None]:
+    """Of the strings wanted for each URL the longest that is stored, with its verdict."""
+    flat = [w for own in wanted for w in own]
+    owner = np.repeat(np.arange(len(wanted)), [len(own) for own in wanted])
+    keys = [w.encode("utf-8", "replace") for w in flat]
+    best: list[tuple[str, str] | None] = [None] * len(wanted)
     for array in arrays:
         for k, verdict in array.probe(keys).items():
-            i = owner[k]
-            if best[i] is None or len(wanted[k]) > len(best[i][0]):
-                best[i] = (wanted[k], verdict)
+            i = int(owner[k])
+            if best[i] is None or len(flat[k]) > len(best[i][0]):
+                best[i] = (flat[k], verdict)
     return best
 
 
-def send(spark: SparkSession, entries: dict[str, str]) -> tuple[list[str], list[int]]:
-    """Hand the files of the entries to all executors; their names, and the lengths of the entries' paths."""
-    folder = tempfile.mkdtemp(prefix="spark-")
-    paths = write_array(entries, folder)
-    for path in paths:
-        spark.sparkContext.addFile(path)
-    return [os.path.basename(p) for p in paths], sorted({len(e) - e.index("/") for e in entries})
+def send(spark: SparkSession, entries: dict[str, str]) -> list[list[str]]:
+    """Hand the entries to all executors, in arrays of at most MAX_ENTRIES; the names of each array's files."""
+    names = sorted(entries)
+    sent = []
+    for k in range(0, len(names), MAX_ENTRIES):
+        paths = write_array({e: entries[e] for e in names[k : k + MAX_ENTRIES]}, SparkFiles.getRootDirectory())
+        for path in paths:
+            spark.sparkContext.addFile(path)
+        sent.append([os.path.basename(p) for p in paths])
+    return sent
 
 
-def entry_column(host: Column, path: Column, sent: list[tuple[list[str], list[int]]]) -> Column:
-    """Struct of RESULT, null without an entry that fits."""
-    names = [n for n, _ in sent]
-    lengths = sorted({x for _, own in sent for x in own})
+def entry_column(host: Column, path: Column, sent: list[list[str]], ask: Callable[[str, str], list[str]]) -> Column:
+    """Struct of RESULT, null without an entry that fits. `ask`: the strings wanted for a host and a path."""
 
     def make():
-        arrays = [DigestArray([SparkFiles.get(n) for n in own]) for own in names]
+        arrays = [DigestArray([SparkFiles.get(n) for n in own]) for own in sent]
 
         def run(urls: pa.Array) -> pa.Array:
-            found = longest(urls.to_pylist(), arrays, lengths)
+            found = longest([ask(*url.split(_SEP, 1)) for url in urls.to_pylist()], arrays)
             return pa.array([f and {"entry": f[0], "verdict": f[1]} for f in found], pa.struct([("entry", pa.string()), ("verdict", pa.string())]))
 
         return run
@@ -137,22 +141,15 @@ def entry_column(host: Column, path: Column, sent: list[tuple[list[str], list[in
     return text_function(make, RESULT)(F.concat(host, F.lit(_SEP), path))
 
 
-def blocked_hosts(pages: DataFrame, url_col: str = "url", words: tuple[str, ...] = BLOCKED_WORDS) -> DataFrame:
-    """Distinct hosts of the pages with a blocked word, as entries `host/`... the column `entry`, without a path."""
-    host = host_of(F.col(url_col))
-    return pages.select(host.alias("host")).where(F.col("host").rlike(rf"(^|[.-])({'|'.join(words)})([.:-]|$)")).distinct()
-
-
-def judge(pages: DataFrame, rules: dict[str, str] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: dict[str, str] = RULES, blocked: tuple[str, ...] = BLOCKED_WORDS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: its id, host, path, rule, verdict."""
     spark = pages.sparkSession
-    given = [send(spark, rules)]
-    hosts = blocked_hosts(pages, url_col).select("host")
-    n = -(-hosts.count() // MAX_ENTRIES)
-    part = F.pmod(F.xxhash64("host"), F.lit(max(n, 1)))
-    own = [send(spark, {f"{r.host}/": "block" for r in hosts.where(part == k).collect()}) for k in range(n)]
+    lengths = sorted({len(e) - e.index("/") for e in rules})
     seen = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    marked = seen.select("*", entry_column(F.col("host"), F.col("path"), given).alias("g"), entry_column(F.col("host"), F.lit("/"), own).alias("m"))
+    host, path = F.col("host"), F.col("path")
+    given = entry_column(host, path, send(spark, rules), lambda h, p: prefixes(h, p, lengths))
+    own = entry_column(host, F.lit(""), send(spark, {f"{name}/": "block" for name in blocked}), lambda h, _: name_parts(h))
+    marked = seen.select("*", given.alias("g"), own.alias("m"))
     return marked.select(
         F.col("id").alias(id_col),
         "host",
