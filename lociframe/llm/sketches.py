@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lociframe.session import cut_lineage
 
-PIECE = 400
+PIECE = 160
 PARAGRAPH = r"[^\n]{1,%d}" % PIECE
 CELLS, HASHES = 96, 3
 FAN, LEVELS = 4, 10
