@@ -12,8 +12,9 @@ the layout; equal rows share it.
 
 Defined results: null source, language or topic is a category of its own; a category's target is its share of the
 tokens to the power given (1: as it is, 0: even), over the categories that occur; null and empty texts have no tokens
-and probability 0, as do cells of such texts only; an empty table gives no rows; fitting that does not meet the targets
-within TOLERANCE after MAX_ROUNDS, as with cells that cannot meet them, raises unless `strict` is off.
+and probability 0, as do cells of such texts only; an empty table gives no rows; where no weights of the cells that occur
+can meet all three targets (fitting stands still or takes MAX_ROUNDS), all targets move towards the shares as they are,
+by the next part in EASED, and fitting starts again; the last part is the shares as they are, which the cells meet.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ from lociframe.session import cut_lineage
 
 MAX_PAIRS = 50_000
 TOLERANCE, MAX_ROUNDS = 1e-6, 200
+#: Parts of the way from the targets to the shares as they are, tried in turn.
+EASED = (0.0, 0.25, 0.5, 0.75, 1.0)
+#: Fitting stands still if the gap is not below this part of what it was STILL_ROUNDS before.
+STILL, STILL_ROUNDS = 0.97, 10
 #: Cells that are broadcast at most; more are joined by key.
 MAX_SENT_CELLS = 100_000
 SEED = 7
@@ -57,13 +62,15 @@ def form_topic(text: Column) -> Column:
 
 @dataclass
 class Fit:
-    """`cells`: source, lang, topic, tokens, factor; factors times tokens sum to 1. `gap`: largest difference to a target share."""
+    """`cells`: source, lang, topic, tokens, factor; factors times tokens sum to 1. `gap`: largest difference to a target share.
+    `eased`: how far the targets were moved towards the shares as they are."""
 
     cells: DataFrame
     n_cells: int
     tokens: int
     gap: float
     rounds: int
+    eased: float
 
 
 def _targets(tokens: np.ndarray, power: float) -> np.ndarray:
@@ -71,21 +78,22 @@ def _targets(tokens: np.ndarray, power: float) -> np.ndarray:
     return raised / raised.sum() if raised.sum() else raised
 
 
-def rake(cells: DataFrame, powers: dict[str, float] = POWERS, strict: bool = True) -> Fit:
+def rake(cells: DataFrame, powers: dict[str, float] = POWERS) -> Fit:
     """Fit the cells (source, lang, topic, tokens), each given once, to the target shares."""
     cells = cut_lineage(cells.where("tokens > 0"))
     pairs = cells.groupBy("lang", "topic").agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("cells")).limit(MAX_PAIRS + 1).collect()
     if len(pairs) > MAX_PAIRS:
         raise ValueError(f"more than {MAX_PAIRS} pairs of language and topic")
     if not pairs:
-        return Fit(cells.withColumn("factor", F.lit(0.0)), 0, 0, 0.0, 0)
+        return Fit(cells.withColumn("factor", F.lit(0.0)), 0, 0, 0.0, 0, 0.0)
     order = lambda values: sorted(set(values), key=lambda x: (x is None, x))
     langs, topics = order(p.lang for p in pairs), order(p.topic for p in pairs)
     shape = (len(langs), len(topics))
     tokens = np.zeros(shape)
     for p in pairs:
         tokens[langs.index(p.lang), topics.index(p.topic)] = p.n
-    want_lang, want_topic = _targets(tokens.sum(1), powers["lang"]), _targets(tokens.sum(0), powers["topic"])
+    targets = [_targets(tokens.sum(1), powers["lang"]), _targets(tokens.sum(0), powers["topic"])]
+    as_is = [_targets(tokens.sum(1), 1), _targets(tokens.sum(0), 1)]
 
     index = lambda col, values: F.coalesce(*[F.when(col.eqNullSafe(F.lit(v)), F.lit(k)) for k, v in enumerate(values)])
     rows = cells.groupBy("source").agg(
@@ -94,34 +102,40 @@ def rake(cells: DataFrame, powers: dict[str, float] = POWERS, strict: bool = Tru
     )  # one entry per pair, so at most MAX_PAIRS
     raised = F.pow("n", F.lit(powers["source"]))
     norm = rows.agg(F.sum(raised)).first()[0]
-    rows = cut_lineage(rows.select("source", "own", (raised / F.lit(norm)).alias("want")))
-
-    by_lang, by_topic = np.ones(shape[0]), np.ones(shape[1])
+    given = cut_lineage(rows.select("source", "own", (raised / F.lit(norm)).alias("target"), (F.col("n") / F.lit(float(tokens.sum()))).alias("share")))
 
     def weighted() -> Column:
         a, b = (F.array(*[F.lit(float(x)) for x in v]) for v in (by_lang, by_topic))
         return F.aggregate("own", F.lit(0.0), lambda s, x: s + x["t"] * F.get(a, x["l"]) * F.get(b, x["k"]))
 
-    for done in range(1, MAX_ROUNDS + 1):
-        scaled = rows.select((F.col("want") / weighted()).alias("u"), F.explode("own").alias("x"))
-        table = np.zeros(shape)
-        for r in scaled.groupBy("x.l", "x.k").agg(F.sum(F.col("u") * F.col("x.t")).alias("s")).collect():
-            table[r.l, r.k] = r.s
-        now = table * by_lang[:, None] * by_topic[None, :]
-        gap = max(np.abs(now.sum(1) - want_lang).max(), np.abs(now.sum(0) - want_topic).max())  # sources fit exactly here
+    done = 0
+    for eased in EASED:
+        rows = given.select("source", "own", ((1 - eased) * F.col("target") + eased * F.col("share")).alias("want"))
+        want_lang, want_topic = ((1 - eased) * t + eased * s for t, s in zip(targets, as_is, strict=True))
+        by_lang, by_topic = np.ones(shape[0]), np.ones(shape[1])
+        gaps: list[float] = []
+        while True:
+            scaled = rows.select((F.col("want") / weighted()).alias("u"), F.explode("own").alias("x"))
+            table = np.zeros(shape)
+            for r in scaled.groupBy("x.l", "x.k").agg(F.sum(F.col("u") * F.col("x.t")).alias("s")).collect():
+                table[r.l, r.k] = r.s
+            done += 1
+            now = table * by_lang[:, None] * by_topic[None, :]
+            gap = max(np.abs(now.sum(1) - want_lang).max(), np.abs(now.sum(0) - want_topic).max())  # sources fit exactly here
+            gaps.append(gap)
+            still = len(gaps) > STILL_ROUNDS and gap > STILL * gaps[-1 - STILL_ROUNDS]
+            if gap < TOLERANCE or still or len(gaps) == MAX_ROUNDS:
+                break
+            by_lang = want_lang / (table * by_topic[None, :]).sum(1)
+            by_topic = want_topic / (table * by_lang[:, None]).sum(0)
         if gap < TOLERANCE:
             break
-        by_lang = want_lang / (table * by_topic[None, :]).sum(1)
-        by_topic = want_topic / (table * by_lang[:, None]).sum(0)
-    else:
-        if strict:
-            raise ValueError(f"targets are not met: a share is off by {gap:.2g} after {MAX_ROUNDS} rounds")
     pick = lambda v, values: F.get(F.array(*[F.lit(x) for x in values]), v)
     factor = F.col("want") / weighted() * F.get(F.array(*[F.lit(float(x)) for x in by_lang]), F.col("x.l")) * F.get(F.array(*[F.lit(float(x)) for x in by_topic]), F.col("x.k"))
     fitted = rows.select("*", F.explode("own").alias("x")).select(
         "source", pick(F.col("x.l"), langs).alias("lang"), pick(F.col("x.k"), topics).alias("topic"), F.col("x.t").alias("tokens"), factor.alias("factor")
     )
-    return Fit(cut_lineage(fitted), sum(p.cells for p in pairs), int(tokens.sum()), float(gap), done)
+    return Fit(cut_lineage(fitted), sum(p.cells for p in pairs), int(tokens.sum()), float(gap), done, eased)
 
 
 def calibrate(fit: Fit, rate: float) -> float:

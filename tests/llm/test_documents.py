@@ -304,11 +304,12 @@ def test_rake_matches_plain_fitting(spark):
     assert abs(kept / sum(cells.values()) - 0.4) < 1e-4
 
 
-def test_targets_that_cannot_be_met_raise(spark):
+def test_targets_that_cannot_be_met_are_eased(spark):
     rows = spark.createDataFrame([("a", "x", "p", 10), ("b", "y", "q", 90)], "source string, lang string, topic string, tokens long")
-    with pytest.raises(ValueError):
-        mi.rake(rows)
-    assert mi.rake(rows, strict=False).gap > 1e-6
+    fit = mi.rake(rows)
+    assert fit.eased == 1.0 and fit.gap < mi.TOLERANCE
+    assert {(r.source, round(r.factor * r.tokens, 9)) for r in fit.cells.collect()} == {("a", 0.1), ("b", 0.9)}
+    assert mi.rake(rows, {"source": 0.7, "lang": 0.7, "topic": 0.7}).eased == 0.0
 
 
 def test_sampling_meets_the_rate(make_docs):
@@ -326,6 +327,7 @@ def test_mixing_stands_awkward_rows(awkward, no_docs):
     assert len(found) == awkward.count()
     assert all(r.probability == 0 and not r.sampled for r in found if r.n_tokens == 0)
     assert mi.sample(awkward, powers={"source": 1, "lang": 1, "topic": 1}).columns == awkward.columns
+    assert mi.with_probability(awkward).count() == awkward.count()
     assert mi.sample(no_docs).count() == 0 and mi.mixture(no_docs).count() == 0
 
 
