@@ -105,7 +105,7 @@ def publish_regions(c: Cohort, samples: DataFrame, version: str) -> None:
         detail["overlap"].alias("overlap"), detail["exon_overlap"].alias("exon_overlap"),
     )
     summary = reg.region_summary(regions, c.stored("region_widths", samples))
-    c.show(docs.region_document(regions, pairs, summary), "cnv_homdel")
+    c.show(docs.region_document(regions, pairs, summary, "last" if version == "regions_annotated" else "first"), "cnv_homdel")
 
 
 def stage_catalogue(c: Cohort, samples: DataFrame) -> None:
@@ -204,6 +204,16 @@ def stage_inbreeding(c: Cohort, samples: DataFrame) -> None:
     c.show(docs.f_distribution_document(f, c.inputs["reference_f"]), "inbreeding_f_result")
 
 
+def latest_regions(c: Cohort, samples: DataFrame) -> DataFrame:
+    """Regions by gene and verdict: the annotated ones of samples that are through stage 10, else those of the first pass."""
+    shape = ["sample_id", "chrom", "start", "end", "verdict", "disrupted_genes"]
+    if not (exists(c.spark, "regions_annotated", c.tables) and exists(c.spark, "done_10", c.tables)):
+        return c.stored("regions", samples).select(*shape)
+    through = samples.join(load(c.spark, "done_10", c.tables).select("sample_id"), "sample_id", "left_semi")
+    first = c.stored("regions", samples).join(through.select("sample_id"), "sample_id", "left_anti")
+    return c.stored("regions_annotated", through).select(*shape).unionByName(first.select(*shape))
+
+
 def stage_coat(c: Cohort, samples: DataFrame) -> None:
     sites = lc.known_sites(c.spark)
     piled = rd.pileup(c.of("reads", samples), sites)
@@ -212,8 +222,7 @@ def stage_coat(c: Cohort, samples: DataFrame) -> None:
     called = samples.select("sample_id").join(
         c.stored("region_widths", samples).select("sample_id", F.lit(True).alias("_r")), "sample_id", "left"
     ).select("sample_id", F.coalesce("_r", F.lit(False)).alias("regions_called"))
-    version = "regions_annotated" if exists(c.spark, "regions_annotated", c.tables) else "regions"
-    flags = reg.flag_gene(c.stored(version, samples), called, fv.GRAYING_GENE)
+    flags = reg.flag_gene(latest_regions(c, samples), called, fv.GRAYING_GENE)
     c.show(docs.coat_document(looks, lc.locus_document(calls), flags), "coat_color")
 
 

@@ -48,10 +48,10 @@ def call_with_fallback(rows: DataFrame, min_gp: float = 0.90, min_depth: float =
     """Final call of each (sample, catalogue variant).
 
     `rows`: ref, alt, pos, in_panel, gt, gp, mean_depth, counts, total. Order of the rules: indel, panel call behind
-    the posterior gate, read call where the mean depth (1 decimal) allows it, else a reason-coded no-call.
+    the posterior gate (posteriors at 4 decimals), read call where the mean depth (1 decimal) allows it, else a reason-coded no-call.
     """
     snv = gt.is_snv(F.col("ref"), F.col("alt"), F.col("pos"))
-    best = gt.max_posterior(F.col("gp"))
+    best = F.round(gt.max_posterior(F.col("gp")), 4)
     confident = best >= min_gp
     deep = F.round("mean_depth", 1) >= min_depth
     read_ok = F.col("read_zygosity").isNotNull()

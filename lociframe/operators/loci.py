@@ -369,9 +369,9 @@ def locus_document(calls: DataFrame, alt_af_from_raf: bool = True) -> DataFrame:
         F.col("counts").alias("read_counts"),
         F.col("total").alias("depth"),
     )
-    # Maps cannot be ordered, so the site order decides and the rows are looked up behind it.
-    listed = F.collect_list(F.struct(F.col("site_ord").alias("o"), F.to_json(observed.dropFields("site_ord")).alias("doc")))
-    found = calls.where(F.col("found")).groupBy("sample_id", "locus").agg(
-        F.transform(F.array_sort(listed), lambda x: x["doc"]).alias("observed_variants")
+    # The read counts are a map, which has no order, so only the sites are compared.
+    by_site = lambda a, b: F.when(a["site_ord"] < b["site_ord"], -1).when(a["site_ord"] > b["site_ord"], 1).otherwise(0)
+    listed = F.array_sort(F.collect_list(observed), by_site)
+    return calls.where(F.col("found")).groupBy("sample_id", "locus").agg(
+        F.transform(listed, lambda x: x.dropFields("site_ord")).alias("observed_variants")
     )
-    return found

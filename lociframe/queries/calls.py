@@ -76,7 +76,7 @@ samples AS (SELECT l_returnflag AS sample_id, CASE l_returnflag WHEN 'A' THEN 9.
 piled AS (SELECT l_returnflag AS sample_id, l_partkey AS pos, count(*) AS total, count(*) FILTER (l_linestatus = 'F') AS n_f,
   count(*) FILTER (l_linestatus = 'O') AS n_o FROM lineitem GROUP BY ALL),
 graded AS (
-  SELECT s.sample_id, s.mean_depth, k.*, f.cat_id IS NOT NULL AS in_panel, f.gt, f.gp, COALESCE(list_max(f.gp), 0.0) AS best,
+  SELECT s.sample_id, s.mean_depth, k.*, f.cat_id IS NOT NULL AS in_panel, f.gt, f.gp, round(COALESCE(list_max(f.gp), 0.0), 4) AS best,
     COALESCE(p.total, 0) AS total, CASE k.alt WHEN 'F' THEN COALESCE(n_f, 0) WHEN 'O' THEN COALESCE(n_o, 0) ELSE 0 END AS alt_count,
     length(k.ref) = 1 AND COALESCE(k.pos, 0) <> 0 AS snv
   FROM samples s CROSS JOIN catalogue k LEFT JOIN found f ON f.cat_id = k.cat_id AND f.sample_id = s.sample_id

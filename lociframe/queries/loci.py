@@ -174,8 +174,8 @@ def locus_interpretations(spark, sf):
 )
 def locus_documents(spark, sf):
     docs = lc.locus_document(site_calls(spark, sf))
-    pos = F.transform("observed_variants", lambda d: F.get_json_object(d, "$.pos"))
-    afs = F.filter(F.transform("observed_variants", lambda d: F.get_json_object(d, "$.af").try_cast("double")), lambda x: x.isNotNull())
+    pos = F.transform("observed_variants", lambda d: d["pos"].cast("string"))
+    afs = F.filter(F.transform("observed_variants", lambda d: d["af"].cast("double")), lambda x: x.isNotNull())
     total = F.aggregate(afs, F.lit(0.0), lambda acc, x: acc + x)
     return docs.select(
         "sample_id", "locus", F.size("observed_variants").cast("long").alias("n_observed"), F.array_join(pos, ",").alias("positions"),

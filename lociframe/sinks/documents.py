@@ -77,8 +77,11 @@ def qc_document(windows: DataFrame, read_stats: DataFrame | None = None) -> Data
     return doc if read_stats is None else doc.join(read_stats, "sample_id", "left")
 
 
-def region_document(regions: DataFrame, pairs: DataFrame, summary: DataFrame) -> DataFrame:
-    """Real and artefact regions, genes of the real ones and the counters."""
+def region_document(regions: DataFrame, pairs: DataFrame, summary: DataFrame, keep: str = "first") -> DataFrame:
+    """Real and artefact regions, genes of the real ones and the counters.
+
+    `keep`: which detail of a gene in several regions is shown: the first of all regions, or the last of the real ones.
+    """
     item = F.struct(
         "chrom", "start", "end", "size", "sample_pct_mean", "ref_depth_pct", "disrupted_genes", "disrupted_gene_details", "verdict"
     )
@@ -87,7 +90,10 @@ def region_document(regions: DataFrame, pairs: DataFrame, summary: DataFrame) ->
     real = regions.where(~artefact).groupBy("sample_id").agg(listed(order, item, "regions"))
     fake = regions.where(artefact).groupBy("sample_id").agg(listed(order, item, "artefact_regions"))
     names = regions.where(~artefact).select("sample_id", F.explode("disrupted_genes").alias("gene")).distinct()
-    found = unique_genes(pairs, ["chrom", "start", "gene_ord"]).join(names, ["sample_id", "gene"], "left_semi")
+    if keep == "last":
+        real_keys = regions.where(~artefact).select("sample_id", "chrom", "start")
+        pairs = pairs.join(real_keys, ["sample_id", "chrom", "start"], "left_semi")
+    found = unique_genes(pairs, ["chrom", "start", "gene_ord"], keep=keep).join(names, ["sample_id", "gene"], "left_semi")
     gene = F.struct("gene", "biotype", "chrom", F.col("gene_start").alias("start"), F.col("gene_end").alias("end"), "overlap", "exon_overlap")
     genes = found.groupBy("sample_id").agg(listed([F.col("gene")], gene, "disrupted_genes"))
     counters = F.struct(*[c for c in summary.columns if c != "sample_id"]).alias("summary")
@@ -106,7 +112,7 @@ def catalogue_document(called: DataFrame, summary: DataFrame) -> DataFrame:
         "call_confidence",
         F.when(F.col("in_panel"), F.col("gt")).alias("panel_gt"),
         F.when(F.col("in_panel"), F.transform("gp", lambda g: F.round(g, 4))).alias("panel_gp"),
-        F.round("panel_af", 4).alias("panel_af"),
+        F.when(F.col("zygosity") != "low_gp_no_call", F.round("panel_af", 4)).alias("panel_af"),
         "source",
         "note",
         *[F.when(F.col("source") == "reads_direct", F.col(c)).alias(o) for c, o in (("total", "depth"), ("ref_count", "ref_count"), ("alt_count", "alt_count"))],
@@ -219,6 +225,7 @@ def f_distribution_document(f: DataFrame, reference: DataFrame, value: str = "f_
 def coat_document(phenotype: DataFrame, observed: DataFrame, flags: DataFrame) -> DataFrame:
     """`phenotype`: predict_phenotype; `observed`: locus_document; `flags`: flag_gene on the graying gene."""
     info = {row[0]: row for row in fv.LOCI}
+    variants = observed.schema["observed_variants"].dataType
     observed_by_locus = observed.groupBy("sample_id").agg(
         F.map_from_entries(F.collect_list(F.struct("locus", "observed_variants"))).alias("_obs")
     )
@@ -238,7 +245,7 @@ def coat_document(phenotype: DataFrame, observed: DataFrame, flags: DataFrame) -
             F.array(f"{name}.a1", f"{name}.a2").alias("predicted_alleles"),
             F.col(f"{name}.conf").alias("confidence"),
             F.col(f"{name}.text").alias("interpretation"),
-            F.coalesce(F.try_element_at("_obs", F.lit(name)), F.array().cast("array<string>")).alias("observed_variants"),
+            F.coalesce(F.try_element_at("_obs", F.lit(name)), F.array().cast(variants)).alias("observed_variants"),
             *extra,
         ).alias(name)
 

@@ -7,8 +7,8 @@ import pytest
 from cohort_data import build, samples_table
 from pyspark.sql import functions as F
 
-from lociframe.cohort import Cohort, build_panel, run
-from lociframe.sinks.documents import panel_document
+from lociframe.cohort import Cohort, build_panel, latest_regions, run
+from lociframe.sinks.documents import panel_document, region_document
 from lociframe.sinks.publish import publish_panel
 
 NAMES = ["S1", "S2"]
@@ -76,6 +76,7 @@ def test_other_documents(ran):
         assert sum(f["hist_counts"]) == 120 and len(f["hist_edges"]) == 41
         (coat,) = read_documents(cohort.public, "coat_color", sample)
         assert set(coat["loci"]) == set("EKABDMSW")
+        assert all(isinstance(v, dict) and "pos" in v for locus in coat["loci"].values() for v in locus["observed_variants"])
         (health,) = read_documents(cohort.public, "microbiome_health_result", sample)
         assert 0 <= health["richness_percentile"] <= 100 and health["n_matched_genera"] == 2
 
@@ -101,3 +102,30 @@ def test_panel_document(spark, ran, tmp_path):
     doc = spark.read.json(target).first()
     assert [c["chrom"] for c in doc["chromosomes"]] == ["chr1", "chr2", "chr5", "chrX"]
     assert doc["_meta"]["n_samples"] == 2
+
+
+def test_gene_in_several_regions_is_shown_by_pass(spark):
+    item = "chrom string, start long, end long, size string, sample_pct_mean long, ref_depth_pct double, verdict string"
+    rows = [("S", "chr1", s, s + 10, "10 bp", 0, 90.0, v, ["G"], []) for s, v in ((10, "real"), (30, "real"), (50, "mappability_artefact"))]
+    regions = spark.createDataFrame(rows, f"sample_id string, {item}, disrupted_genes array<string>, disrupted_gene_details array<string>")
+    pairs = spark.createDataFrame(
+        [("S", 0, "G", "b", "chr1", s, s, s + 5, "partial", False) for s in (10, 30, 50)],
+        "sample_id string, gene_ord int, gene string, biotype string, chrom string, start long, gene_start long, gene_end long, overlap string, exon_overlap boolean",
+    )
+    summary = spark.createDataFrame([("S", 3)], "sample_id string, total_regions long")
+    shown = {keep: [g.start for g in region_document(regions, pairs, summary, keep).first().disrupted_genes] for keep in ("first", "last")}
+    assert shown == {"first": [10], "last": [30]}
+
+
+def test_regions_are_the_latest_of_each_sample(spark, tmp_path):
+    part = Cohort(spark, {}, f"{tmp_path}/tables", f"{tmp_path}/public")
+    both = samples_table(spark, NAMES)
+    second = both.where("sample_id = 'S2'")
+    schema = "sample_id string, chrom string, start long, end long, verdict string, disrupted_genes array<string>"
+    first_pass = spark.createDataFrame([(s, "chr1", 1, 9, "real", ["OLD"]) for s in NAMES], schema)
+    part.keep(first_pass, "regions", both)
+    genes = lambda: {r.sample_id: r.disrupted_genes for r in latest_regions(part, both).collect()}
+    assert genes() == {"S1": ["OLD"], "S2": ["OLD"]}
+    part.keep(first_pass.where("sample_id = 'S2'").withColumn("disrupted_genes", F.array(F.lit("NEW"))), "regions_annotated", second)
+    part.keep(second.select("sample_id", F.lit(10).alias("stage")), "done_10", second)
+    assert genes() == {"S1": ["OLD"], "S2": ["NEW"]}

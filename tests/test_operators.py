@@ -341,3 +341,10 @@ def test_breed_tables_join(spark):
     got = rows(sc.breed_trait(panel, trait_names(spark), adult_sizes(spark)), "breed", "trait", "value")
     assert got == [("GOLD", "height_cm", "58.0"), ("GOLD", "weight_kg", "30.0")]
     assert rows(sc.unmatched_codes(panel, trait_names(spark), adult_sizes(spark)), "breed") == [("ECKR",), ("XYZ",)]
+
+
+def test_catalogue_gate_takes_posteriors_at_four_decimals(spark):
+    table = "cat_id long, ref string, alt string, pos long, in_panel boolean, gt string, gp array<double>, mean_depth double, counts map<string,long>, total long"
+    given = [(k, "A", "C", 5, True, "0|1", [0.0, p, 1 - p], 3.0, {}, 0) for k, p in enumerate((0.89994, 0.89996, 0.9))]
+    got = {r.cat_id: r.zygosity for r in cat.call_with_fallback(spark.createDataFrame(given, table)).collect()}
+    assert got == {0: "low_gp_no_call", 1: "het", 2: "het"}
