@@ -23,6 +23,7 @@ from lociframe.operators import regions as reg
 from lociframe.operators import scores as sc
 from lociframe.sinks import documents as docs
 from lociframe.sinks.publish import exists, load, publish, save
+from lociframe.sources.jsondocs import extract_read_stats
 from lociframe.sources.taxa import is_genus, is_species
 
 MEGABASE = 1_000_000
@@ -51,8 +52,8 @@ class Cohort:
     def keep(self, df: DataFrame, name: str, samples: DataFrame) -> None:
         save(df, name, self.tables, samples)
 
-    def show(self, df: DataFrame, name: str) -> None:
-        publish(df, name, self.public)
+    def show(self, df: DataFrame, name: str, samples: DataFrame) -> None:
+        publish(df, name, self.public, samples)
 
 
 def cover_tiles(tiles: DataFrame, coverage: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,14 +84,15 @@ def stage_quality(c: Cohort, samples: DataFrame) -> None:
         windows.select("sample_id", "chrom", "bin_idx", F.round("depth", 4).alias("depth")), ["sample_id", "chrom"], "bin_idx", {"depth": 0.0}
     )
     sexed = cov.predict_sex(cov.baseline_depth(binned))
-    c.show(docs.coverage_document(cov.normalise_x(binned, sexed), c.inputs.get("reference_tracks")), "coverage_1mb")
+    c.show(docs.coverage_document(cov.normalise_x(binned, sexed), c.inputs.get("reference_tracks")), "coverage_1mb", samples)
     flags = rd.flag_summary(c.of("reads", samples))
-    stats = rd.duplication_rate(flags, F.col("primary")).select(
-        "sample_id", F.col("primary_mapped").alias("reads_mapped"), F.round("duplication_rate_pct", 1).alias("duplication_rate_pct")
-    )
-    quality = docs.qc_document(windows, stats)
+    if "read_reports" in c.inputs:
+        figures = extract_read_stats(c.of("read_reports", samples))
+        flags = flags.join(figures.drop("histogram").join(rd.fragment_size(figures, ["sample_id"]), "sample_id", "left"), "sample_id", "left")
+    cleaned = F.col("total_reads_after_qc") if "read_reports" in c.inputs else F.col("primary")
+    quality = docs.qc_document(windows, docs.read_figures(rd.duplication_rate(flags, cleaned)))
     c.keep(quality, "quality", samples)
-    c.show(c.stored("quality", samples), "qc_result")
+    c.show(c.stored("quality", samples), "qc_result", samples)
     cells = c.stored("coverage_regions", samples)
     c.keep(reg.call_regions(cells, c.inputs["genes"], c.inputs["panel_coverage"]), "regions", samples)
     publish_regions(c, samples, "regions")
@@ -105,7 +107,7 @@ def publish_regions(c: Cohort, samples: DataFrame, version: str) -> None:
         detail["overlap"].alias("overlap"), detail["exon_overlap"].alias("exon_overlap"),
     )
     summary = reg.region_summary(regions, c.stored("region_widths", samples))
-    c.show(docs.region_document(regions, pairs, summary, "last" if version == "regions_annotated" else "first"), "cnv_homdel")
+    c.show(docs.region_document(regions, pairs, summary, "last" if version == "regions_annotated" else "first"), "cnv_homdel", samples)
 
 
 def stage_catalogue(c: Cohort, samples: DataFrame) -> None:
@@ -116,7 +118,7 @@ def stage_catalogue(c: Cohort, samples: DataFrame) -> None:
     summary = cat.catalogue_summary(called).join(depth, "sample_id").withColumn(
         "read_fallback_used", F.col("mean_depth") >= cat.MIN_MEAN_DEPTH
     )
-    c.show(docs.catalogue_document(called, summary), "catalogue_result")
+    c.show(docs.catalogue_document(called, summary), "catalogue_result", samples)
 
 
 def single_alt_calls(c: Cohort, samples: DataFrame) -> DataFrame:
@@ -133,14 +135,14 @@ def stage_ancestry(c: Cohort, samples: DataFrame) -> None:
     mixture = anc.project_mixture(dosages, components, k).join(order.withColumnRenamed("label", "breed"), "k")
     named = anc.decode(mixture, c.inputs["breed_names"], "breed", "name", "breed_name")
     coverage = cat.panel_coverage(dosages, snps.count())
-    c.show(docs.mixture_document(anc.top_components(named), coverage), "breed_result")
+    c.show(docs.mixture_document(anc.top_components(named), coverage), "breed_result", samples)
 
 
 def stage_annotation(c: Cohort, samples: DataFrame) -> None:
     annotated = c.of("annotated", samples)
     exploded = ann.explode_annotations(annotated)
     extents = ann.gene_extents(exploded)
-    c.show(docs.gene_map_document(extents), "cnv_genes")
+    c.show(docs.gene_map_document(extents), "cnv_genes", samples)
     genes = extents.select(
         "sample_id", "chrom", "gene_id", F.col("gene_ord"), F.col("name").alias("gene"),
         "biotype", F.col("start").alias("gene_start"), F.col("end").alias("gene_end"),
@@ -150,7 +152,7 @@ def stage_annotation(c: Cohort, samples: DataFrame) -> None:
     publish_regions(c, samples, "regions_annotated")
     frequencies = single_alt_calls(c, samples).select("sample_id", "chrom", "pos", "alt", F.col("raf").alias("af"), "ord")
     c.keep(ann.functional_effects(annotated, frequencies), "effects", samples)
-    c.show(docs.functional_document(c.stored("effects", samples)), "functional_variants")
+    c.show(docs.functional_document(c.stored("effects", samples)), "functional_variants", samples)
 
 
 def stage_scores(c: Cohort, samples: DataFrame) -> None:
@@ -190,7 +192,7 @@ def stage_scores(c: Cohort, samples: DataFrame) -> None:
     best = sc.carry_over(best, known, "trait", ["heritability"])
     physical = F.col("trait").isin("height_cm", "weight_kg", "coat_length")
     counts = dosages.groupBy("sample_id").agg(F.count("dosage").alias("snps_imputed"))
-    c.show(docs.scores_document(plain.where(~physical), plain.where(physical).unionByName(best), counts), "prs_result")
+    c.show(docs.scores_document(plain.where(~physical), plain.where(physical).unionByName(best), counts), "prs_result", samples)
 
 
 def stage_inbreeding(c: Cohort, samples: DataFrame) -> None:
@@ -198,10 +200,10 @@ def stage_inbreeding(c: Cohort, samples: DataFrame) -> None:
     sites = calls.withColumn("is_het", gt.is_het("gt")).where(F.col("is_het").isNotNull())
     c.keep(inb.roh(sites.select("sample_id", "chrom", "pos", "ord", "is_het"), tie=["ord"]), "runs", samples)
     runs = c.stored("runs", samples)
-    c.show(docs.inbreeding_document(runs, inb.froh(runs, samples)), "inbreeding_result")
+    c.show(docs.inbreeding_document(runs, inb.froh(runs, samples)), "inbreeding_result", samples)
     joined = inb.join_af(calls, c.inputs["panel_af"])
     f = inb.genotype_f(joined, gt.is_hom_biallelic(F.col("gt")))
-    c.show(docs.f_distribution_document(f, c.inputs["reference_f"]), "inbreeding_f_result")
+    c.show(docs.f_distribution_document(f, c.inputs["reference_f"]), "inbreeding_f_result", samples)
 
 
 def latest_regions(c: Cohort, samples: DataFrame) -> DataFrame:
@@ -223,13 +225,13 @@ def stage_coat(c: Cohort, samples: DataFrame) -> None:
         c.stored("region_widths", samples).select("sample_id", F.lit(True).alias("_r")), "sample_id", "left"
     ).select("sample_id", F.coalesce("_r", F.lit(False)).alias("regions_called"))
     flags = reg.flag_gene(latest_regions(c, samples), called, fv.GRAYING_GENE)
-    c.show(docs.coat_document(looks, lc.locus_document(calls), flags), "coat_color")
+    c.show(docs.coat_document(looks, lc.locus_document(calls), flags), "coat_color", samples)
 
 
 def stage_taxa(c: Cohort, samples: DataFrame) -> None:
     profile = c.of("profiles", samples)
     scaled = mb.scale_profile(profile)
-    c.show(docs.taxa_document(scaled), "microbiome_result")
+    c.show(docs.taxa_document(scaled), "microbiome_result", samples)
     refs, long = c.inputs["taxa_refs"], c.inputs["taxa_long"]
     n = refs.agg(F.count(F.lit(1)).alias("n"))
     n_refs = n.first()["n"]
@@ -256,7 +258,7 @@ def stage_age(c, samples, species, refs, long, n, n_refs) -> None:
         predicted, mb.cv_metrics(rows, models, n_refs), mb.top_features(model, indexed), samples,
         {"n_training_samples": n_refs, "n_species_features": p},
     )
-    c.show(doc.join(matched, "sample_id", "left"), "microbiome_age_result")
+    c.show(doc.join(matched, "sample_id", "left"), "microbiome_age_result", samples)
 
 
 def stage_health(c, samples, scaled, species, refs, long, n) -> None:
@@ -304,7 +306,7 @@ def stage_health(c, samples, scaled, species, refs, long, n) -> None:
         .join(ref_load, F.lit(True))
         .join(pairs.groupBy("sample_id").agg(F.count("genus").alias("n_matched_genera")), "sample_id", "left")
     )
-    c.show(docs.health_document(health, hits), "microbiome_health_result")
+    c.show(docs.health_document(health, hits), "microbiome_health_result", samples)
 
 
 STAGES: dict[int, Callable[[Cohort, DataFrame], None]] = {

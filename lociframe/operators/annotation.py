@@ -58,9 +58,11 @@ def attach_af(
 ) -> DataFrame:
     """Panel frequency by position and ALT text; the last call with a readable frequency wins.
 
-    `calls` carries the ALT text in `alt` and the first listed frequency in `af`.
+    `calls` carries the ALT text in `alt` and the first listed frequency in `af`. Calls without a variant are left out
+    before the pick, which sorts what it gets.
     """
     usable = calls.where(F.col("af").isNotNull()).select(*keys, "af", ord_col)
+    usable = usable.join(variants.select(*keys).distinct(), list(keys), "left_semi")
     return variants.join(last_by(usable, list(keys), [ord_col]).drop(ord_col), list(keys), "left")
 
 

@@ -59,6 +59,16 @@ def coverage_document(ratios: DataFrame, reference: DataFrame | None = None) ->
     return docs.select("sample_id", "chromosomes", meta.alias("_meta"))
 
 
+def read_figures(stats: DataFrame) -> DataFrame:
+    """Read figures of the quality document, those that the trimming report gives only if `stats` has them."""
+    reported = {
+        "total_reads_raw": None, "total_reads_after_qc": None, "total_bases_raw_gb": 2, "pct_q30_raw": 1,
+        "read_length_bp": None, "read_length_after_trimming_bp": None, "fragment_size_mean_bp": None,
+    }
+    shown = [F.col(k) if places is None else F.round(k, places).alias(k) for k, places in reported.items() if k in stats.columns]
+    return stats.select("sample_id", *shown, F.col("primary_mapped").alias("reads_mapped"), F.round("duplication_rate_pct", 1).alias("duplication_rate_pct"))
+
+
 def qc_document(windows: DataFrame, read_stats: DataFrame | None = None) -> DataFrame:
     genome = cov.qc_genome(windows)
     item = F.struct("chrom", *rounded(mean_depth=1, median_depth=1, p10_depth=1), "n_bins", "low_bins")

@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lociframe.sources.jsondocs import path_exists
 
+#: Files of one sample in a stored table, at most.
+SALTS = 8
 
-def publish(df: DataFrame, name: str, path: str) -> str:
-    """One JSON document per sample under `path`/`name`/sample_id=…; other samples' documents stay."""
+
+def publish(df: DataFrame, name: str, path: str, samples: DataFrame) -> str:
+    """One JSON document per sample under `path`/`name`/sample_id=…; other samples' documents stay.
+
+    A sample of `samples` without a row gets an empty document, so that an older one does not outlive its result.
+    """
     target = f"{path}/{name}"
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample_id").json(target)
+    due = samples.select("sample_id").distinct()
+    due.join(df, "sample_id", "left").repartition("sample_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample_id").json(target)
     return target
 
 
@@ -26,21 +34,25 @@ def save(df: DataFrame, name: str, path: str, samples: DataFrame) -> str:
     """Internal table, partitioned by sample so that one sample can be written again on its own.
 
     Each of `samples` also gets one empty marker row. So a sample whose result has no rows still replaces its older
-    rows, and the table can be read when no sample has any. The id is kept as a data column too, because Spark would
-    read a partition value such as 007 as a number.
+    rows, and the table can be read when no sample has any. Rows are spread by sample and a few salts before writing, so
+    a sample has at most SALTS files and none of its tasks holds a whole large sample.
     """
     target = f"{path}/{name}"
     marked = df.withColumn("_empty", F.lit(False)).unionByName(
         samples.select("sample_id").distinct().withColumn("_empty", F.lit(True)), allowMissingColumns=True
     )
-    marked = marked.withColumn("_sample", F.col("sample_id"))
-    marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample_id").parquet(target)
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c, kind in marked.dtypes if "map<" not in kind]), F.lit(SALTS))
+    marked.repartition("sample_id", spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sample_id").parquet(target)
     return target
 
 
 def load(spark: SparkSession, name: str, path: str) -> DataFrame:
-    stored = spark.read.parquet(f"{path}/{name}").where(~F.col("_empty"))
-    return stored.withColumn("sample_id", F.col("_sample")).drop("_sample", "_empty")
+    """Rows of a stored table. The id stays a partition column, so a join on it prunes the files that are read; its
+    type is given, because Spark would read a value such as 007 as a number."""
+    target = f"{path}/{name}"
+    held = spark.read.parquet(target).schema
+    typed = StructType([StructField("sample_id", StringType()) if f.name == "sample_id" else f for f in held.fields])
+    return spark.read.schema(typed).parquet(target).where(~F.col("_empty")).drop("_empty")
 
 
 def exists(spark: SparkSession, name: str, path: str) -> bool:

@@ -49,6 +49,9 @@ def build(spark, names=("S1", "S2", "S3"), seed=42):
         annotated, "sample_id string, ord long, chrom string, pos long, ref string, alt string, gt string, ann_text string"
     )
     inputs["profiles"] = parse_profile(spark.createDataFrame(profiles, "sample_id string, ord long, value string"))
+    side = '{"total_reads": %d, "total_bases": 1234567890, "q30_rate": 0.9312, "read1_mean_length": %d}'
+    report = '{"summary": {"before_filtering": ' + side % (5000, 150) + ', "after_filtering": ' + side % (4000, 148) + '}, "insert_size": {"histogram": [9, 0, 1, 3]}}'
+    inputs["read_reports"] = spark.createDataFrame([(name, report) for name in names], "sample_id string, json string")
     rng = random.Random(seed)
     inputs["genes"] = spark.createDataFrame(
         [("chr1", 1, "g1", "IRF4", "protein_coding", 1_250_000, 1_260_000, "+", [(1_250_000, 1_251_000)]),

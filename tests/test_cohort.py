@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lociframe.cohort import Cohort, build_panel, latest_regions, run
 from lociframe.sinks.documents import panel_document, region_document
-from lociframe.sinks.publish import publish_panel
+from lociframe.sinks.publish import load, publish, publish_panel, save
 
 NAMES = ["S1", "S2"]
 DOCUMENTS = {
@@ -42,6 +42,37 @@ def test_every_document_is_written(ran):
             assert len(read_documents(cohort.public, name, sample)) == 1, (name, sample)
 
 
+def test_read_figures_reach_the_quality_document(ran):
+    cohort, _ = ran
+    (doc,) = read_documents(cohort.public, "qc_result", "S1")
+    wanted = {
+        "total_reads_raw": 5000, "total_reads_after_qc": 4000, "total_bases_raw_gb": 1.23, "pct_q30_raw": 93.1,
+        "read_length_bp": 150.0, "read_length_after_trimming_bp": 148.0, "fragment_size_mean_bp": 3,
+    }
+    assert {k: doc[k] for k in wanted} == wanted
+    marked = cohort.inputs["reads"].where("sample_id = 'S1' AND flag & 2304 = 0 AND flag & 1024 <> 0").count()
+    assert doc["duplication_rate_pct"] == round(marked / 4000 * 100, 1)
+
+
+def test_stored_tables_are_pruned_by_sample_and_keep_ids_as_text(spark, tmp_path):
+    ids = spark.createDataFrame([("007",), ("8",)], "sample_id string")
+    save(ids.withColumn("v", F.lit(1)), "t", str(tmp_path), ids)
+    found = load(spark, "t", str(tmp_path))
+    assert sorted(r.sample_id for r in found.collect()) == ["007", "8"]
+    one = found.where("sample_id = '007'")
+    assert "PartitionFilters: [isnotnull(sample_id" in one._jdf.queryExecution().executedPlan().toString()
+    assert one.count() == 1
+
+
+def test_a_rerun_without_rows_replaces_the_document(spark, tmp_path):
+    ids = spark.createDataFrame([("a",), ("b",)], "sample_id string")
+    found = ids.withColumn("v", F.lit(1))
+    publish(found, "d", str(tmp_path), ids)
+    publish(found.where(F.lit(False)), "d", str(tmp_path), ids.where("sample_id = 'a'"))
+    assert read_documents(tmp_path, "d", "a") == [{}]
+    assert read_documents(tmp_path, "d", "b") == [{"v": 1}]
+
+
 def test_deletion_is_found_and_annotated(ran):
     cohort, _ = ran
     (doc,) = read_documents(cohort.public, "cnv_homdel", "S1")
