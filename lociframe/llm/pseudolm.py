@@ -4,11 +4,14 @@ A document's score is the sum over its words of log p(word | the REACH words on
 learned vector per neighbour and place, takes tanh, and predicts the word in two steps: its class, then the word within
 the class, so a prediction costs CLASSES + MEMBERS products instead of one per vocabulary entry.
 
-Vocabulary: the most frequent words of the whole corpus, in order of count, in rows of MEMBERS; words beyond it share
-TAIL entries by hash. Training: every task passes over its share of the corpus (every document, every STRIDE-th word in
+Vocabulary: the most frequent words of the whole corpus, as many as make up COVERAGE of its words (SIZE - TAIL at least,
+where there are so many), in order of count, in rows whose number and length grow with the square root of the vocabulary;
+words beyond it share TAIL entries by hash. A word of such an entry has the entry's probability times its own share of
+the entry: its count plus UNSEEN, over the entry's count plus UNSEEN for each of its words and once more, which is left
+for words that the corpus does not have. The shares come from a join of the documents' words beyond the vocabulary with the counts. Training: every task passes over its share of the corpus (every document, every STRIDE-th word in
 each as a target, starting at a place given by the text) from the same start, and the weights are averaged by the number
 of targets, in two summing steps whose rows are bounded by the size of the model; ROUNDS passes are made. Spark counts,
-trains and averages; the driver holds one vocabulary and one set of weights, whose sizes are parameters.
+trains and averages; the driver holds one vocabulary and one set of weights, which grow with the number of words that COVERAGE takes.
 
 Defined results: null texts and texts without words have 0 words, log-probability 0 and a null mean; words beyond the
 start or end of a document are a padding entry; equal counts order words by name; with no words in the corpus the start
@@ -18,7 +21,7 @@ weights are used; rows are scored one by one, so repeated rows repeat.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,68 +33,99 @@ from lociframe.llm.bytewords import Words, word_hashes, words_of
 from lociframe.session import cut_lineage
 
 REACH = 2
-CLASSES, MEMBERS, TAIL = 32, 64, 64
+CLASSES, MEMBERS, TAIL = 32, 64, 64  # the least vocabulary; TAIL holds at every size
 SIZE = CLASSES * MEMBERS
+COVERAGE, UNSEEN = 0.75, 0.5
 HIDDEN = 16
 STRIDE, BATCH, RATE, ROUNDS = 8, 1024, 0.3, 1
 BLOCK = 1 << 14  # numbers in a row of weights
 SALTS = 16
-RESULT = "n_words long, log_prob double, mean_log_prob double"
+PARTS = "n_words long, log_prob double, tail array<long>"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 @dataclass
 class Vocabulary:
-    """Sorted hashes of the known words and the entry of each. Entries SIZE - TAIL and up are for all others."""
+    """Sorted hashes of the known words and the entry of each. The last TAIL entries are for all others."""
 
     hashes: np.ndarray
     entry: np.ndarray
+    shape: tuple[int, int] = field(default=(CLASSES, MEMBERS))
+
+    @property
+    def first_tail(self) -> int:
+        return self.shape[0] * self.shape[1] - TAIL
 
     def entries(self, w: Words) -> np.ndarray:
         hashes = word_hashes(w)
-        other = (SIZE - TAIL + (hashes >> np.uint64(20)) % np.uint64(TAIL)).astype(np.int64)
+        other = self.first_tail + tail_entry(hashes)
         if not len(self.hashes):
             return other
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return np.where(self.hashes[at] == hashes, self.entry[at], other)
 
 
+def tail_entry(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes >> np.uint64(20)) % np.uint64(TAIL)).astype(np.int64)
+
+
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`word`, `n` over all texts."""
     words = docs.select(F.explode(F.split(lower_ascii(F.col(text_col)), NOT_WORD)).alias("word")).where("word <> ''")
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def shape_for(n_words: int) -> tuple[int, int]:
+    """Classes and members for so many words and TAIL more: about equal numbers, the least shape at least."""
+    if n_words + TAIL <= SIZE:
+        return CLASSES, MEMBERS
+    members = 1 << int(np.ceil(np.log2(n_words + TAIL) / 2))
+    return -(-(n_words + TAIL) // members), members
+
+
 def vocabulary(counts: DataFrame) -> tuple[Vocabulary, np.ndarray]:
     """The vocabulary, and the share of each entry in the corpus (smoothed)."""
-    counts = cut_lineage(counts)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.orderBy(F.col("n").desc(), "word").limit(SIZE - TAIL).collect()
-    hashes = np.array([word_hashes(words_of(pa.array([r.word])))[0] for r in top], np.uint64)
+    by_count = sorted(counts.groupBy("n").agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True)  # few: at most the root of twice all words
+    total = sum(r.n * r.words for r in by_count)
+    size, got, least = 0, 0, 1
+    for r in by_count:
+        if size >= SIZE - TAIL and got >= COVERAGE * total:
+            break
+        wanted = max(SIZE - TAIL - size, -int(-(COVERAGE * total - got) // r.n))
+        size, got, least = size + min(r.words, wanted), got + r.n * min(r.words, wanted), r.n
+    top = counts.where(F.col("n") >= least).orderBy(F.col("n").desc(), "word").limit(size).collect() if size else []
+    hashes = word_hashes(words_of(pa.array([r.word for r in top], pa.string())))
     order = np.argsort(hashes)
-    shares = np.ones(SIZE)
+    shape = shape_for(len(top))
+    shares = np.ones(shape[0] * shape[1])
     shares[: len(top)] += [r.n for r in top]
-    shares[SIZE - TAIL :] += (total - sum(r.n for r in top)) / TAIL
-    return Vocabulary(hashes[order], order.astype(np.int64)), shares / shares.sum()
+    shares[-TAIL:] += (total - sum(r.n for r in top)) / TAIL
+    return Vocabulary(hashes[order], order.astype(np.int64), shape), shares / shares.sum()
 
 
 class Network:
     """Weights: `side` (place, entry or padding, hidden), `bias`, class weights and biases, member weights and biases."""
 
-    SHAPES = ((2 * REACH, SIZE + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,), (CLASSES, HIDDEN, MEMBERS), (CLASSES, MEMBERS))
+    @staticmethod
+    def shapes(classes: int, members: int) -> tuple[tuple[int, ...], ...]:
+        return (2 * REACH, classes * members + 1, HIDDEN), (HIDDEN,), (HIDDEN, classes), (classes,), (classes, HIDDEN, members), (classes, members)
+
+    SHAPES = shapes(CLASSES, MEMBERS)
 
-    def __init__(self, flat: np.ndarray):
-        cuts = np.cumsum([int(np.prod(s)) for s in self.SHAPES])
+    def __init__(self, flat: np.ndarray, shape: tuple[int, int] = (CLASSES, MEMBERS)):
+        self.classes, self.members = shape
+        shapes = self.shapes(*shape)
+        cuts = np.cumsum([int(np.prod(s)) for s in shapes])
         parts = np.split(flat.astype(np.float32), cuts[:-1])
-        self.weights = [p.reshape(s).copy() for p, s in zip(parts, self.SHAPES, strict=True)]
+        self.weights = [p.reshape(s).copy() for p, s in zip(parts, shapes, strict=True)]
         self.seen = [np.full(w.shape[:2] if k == 0 else w.shape, 1e-2, np.float32) for k, w in enumerate(self.weights)]
 
     @classmethod
-    def fresh(cls, shares: np.ndarray) -> Network:
+    def fresh(cls, shares: np.ndarray, shape: tuple[int, int] = (CLASSES, MEMBERS)) -> Network:
         """Small random vectors; biases that give every entry its share."""
         rng = np.random.default_rng(11)
-        own = cls(rng.normal(0, 0.1, sum(int(np.prod(s)) for s in cls.SHAPES)))
-        table = shares.reshape(CLASSES, MEMBERS)
+        own = cls(rng.normal(0, 0.1, sum(int(np.prod(s)) for s in cls.shapes(*shape))), shape)
+        table = shares.reshape(shape)
         own.weights[1][:] = 0
         own.weights[3][:] = np.log(table.sum(1))
         own.weights[5][:] = np.log(table / table.sum(1, keepdims=True))
@@ -116,14 +150,13 @@ class Network:
     def log_probs(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         _, _, to_class, class_bias, to_member, member_bias = self.weights
         h = self.hidden(around)
-        kind, member = np.divmod(target, MEMBERS)
+        kind, member = np.divmod(target, self.members)
         out = self._log_softmax(h @ to_class + class_bias)[np.arange(len(target)), kind].astype(np.float64)
         order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
+        cuts = np.searchsorted(kind[order], np.arange(self.classes + 1))
+        for k in np.unique(kind).tolist():
             own = order[cuts[k] : cuts[k + 1]]
-            if len(own):
-                out[own] += self._log_softmax(h[own] @ to_member[k] + member_bias[k])[np.arange(len(own)), member[own]]
+            out[own] += self._log_softmax(h[own] @ to_member[k] + member_bias[k])[np.arange(len(own)), member[own]]
         return out
 
     def _move(self, k: int, grad: np.ndarray, at=slice(None)) -> None:
@@ -136,22 +169,21 @@ class Network:
         _, _, to_class, class_bias, to_member, member_bias = self.weights
         n = len(target)
         h = self.hidden(around)
-        kind, member = np.divmod(target, MEMBERS)
+        kind, member = np.divmod(target, self.members)
         error = np.exp(self._log_softmax(h @ to_class + class_bias))
         error[np.arange(n), kind] -= 1
         error /= n
         back = error @ to_class.T
         moves = [(2, h.T @ error, slice(None)), (3, error.sum(0), slice(None))]
         order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
+        cuts = np.searchsorted(kind[order], np.arange(self.classes + 1))
+        for k in np.unique(kind).tolist():
             own = order[cuts[k] : cuts[k + 1]]
-            if len(own):
-                error = np.exp(self._log_softmax(h[own] @ to_member[k] + member_bias[k]))
-                error[np.arange(len(own)), member[own]] -= 1
-                error /= n
-                back[own] += error @ to_member[k].T
-                moves += [(4, h[own].T @ error, k), (5, error.sum(0), k)]
+            error = np.exp(self._log_softmax(h[own] @ to_member[k] + member_bias[k]))
+            error[np.arange(len(own)), member[own]] -= 1
+            error /= n
+            back[own] += error @ to_member[k].T
+            moves += [(4, h[own].T @ error, k), (5, error.sum(0), k)]
         back *= 1 - h * h
         moves.append((1, back.sum(0), slice(None)))
         for k, grad, at in moves:
@@ -165,16 +197,16 @@ class Network:
             self.weights[0][place][entries] -= RATE * grad / np.sqrt(seen[entries])[:, None]
 
 
-def neighbours(w: Words, entries: np.ndarray) -> np.ndarray:
-    """Entries of the words around each word; SIZE beyond its document."""
+def neighbours(w: Words, entries: np.ndarray, padding: int = SIZE) -> np.ndarray:
+    """Entries of the words around each word; `padding` beyond its document."""
     n = len(entries)
     doc = np.repeat(np.arange(len(w.first) - 1), np.diff(w.first))
-    out = np.full((n, 2 * REACH), SIZE, np.int64)
+    out = np.full((n, 2 * REACH), padding, np.int64)
     for place, step in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
         a, b = max(0, -step), min(n, n - step)
         if b > a:
             same = doc[a:b] == doc[a + step : b + step]
-            out[a:b, place] = np.where(same, entries[a + step : b + step], SIZE)
+            out[a:b, place] = np.where(same, entries[a + step : b + step], padding)
     return out
 
 
@@ -191,13 +223,13 @@ def _train_task(words: Vocabulary, start: np.ndarray):
     """Rows of weights, times the number of targets, of one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, done = Network(start), 0
+        net, done = Network(start, words.shape), 0
         for batch in batches:
             for piece in pieces(batch.column(0)):
                 w = words_of(piece)
                 entries = words.entries(w)
                 at = targets(w, entries)
-                around = neighbours(w, entries)[at]
+                around = neighbours(w, entries, words.first_tail + TAIL)[at]
                 order = np.random.default_rng(len(at)).permutation(len(at))
                 for k in range(0, len(order), BATCH):
                     own = order[k : k + BATCH]
@@ -229,7 +261,7 @@ def _sum_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, words: Vocabulary, shares: np.ndarray, text_col: str = "text", rounds: int = ROUNDS) -> np.ndarray:
     """Weights after `rounds` passes over all documents."""
-    flat = Network.fresh(shares).flat()
+    flat = Network.fresh(shares, words.shape).flat()
     schema = "block int, n double, part binary"
     texts = docs.select(F.col(text_col).alias("text"))
     for _ in range(rounds):
@@ -242,29 +274,52 @@ def train(docs: DataFrame, words: Vocabulary, shares: np.ndarray, text_col: str
 
 
 def score_column(text: Column, words: Vocabulary, flat: np.ndarray) -> Column:
-    """Struct of RESULT."""
+    """Struct of PARTS: the log-probability of the words' entries, and the hashes of the words beyond the vocabulary."""
 
     def make():
-        net = Network(flat)
+        net = Network(flat, words.shape)
 
         def run(texts: pa.Array) -> pa.Array:
             w = words_of(texts)
             entries = words.entries(w)
-            around = neighbours(w, entries)
+            around = neighbours(w, entries, words.first_tail + TAIL)
             logs = [net.log_probs(around[k : k + 8 * BATCH], entries[k : k + 8 * BATCH]) for k in range(0, len(entries), 8 * BATCH)]
             total = np.concatenate([[0.0], np.cumsum(np.concatenate(logs))]) if logs else np.zeros(1)
-            n = np.diff(w.first)
-            sums = total[w.first[1:]] - total[w.first[:-1]]
-            mean = pa.array(sums / np.maximum(n, 1), pa.float64(), mask=n == 0)
-            return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(sums), mean], ["n_words", "log_prob", "mean_log_prob"])
+            beyond = entries >= words.first_tail
+            before = np.concatenate([[0], np.cumsum(beyond)])
+            tail = pa.ListArray.from_arrays(pa.array(before[w.first], pa.int32()), pa.array(word_hashes(w)[beyond].view(np.int64)))
+            return pa.StructArray.from_arrays([pa.array(np.diff(w.first), pa.int64()), pa.array(total[w.first[1:]] - total[w.first[:-1]]), tail], ["n_words", "log_prob", "tail"])
 
         return run
 
-    return text_function(make, RESULT)(text)
+    return text_function(make, PARTS)(text)
+
+
+def tail_shares(counts: DataFrame, words: Vocabulary) -> DataFrame:
+    """`hash` and `log_share` of the counted words beyond the vocabulary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = words_of(batch.column(0))
+            own = words.entries(w) - words.first_tail
+            rest = own >= 0
+            yield pa.RecordBatch.from_arrays([pa.array(word_hashes(w)[rest].view(np.int64)), pa.array(own[rest].astype(np.int32)), batch.column(1).filter(pa.array(rest))], ["hash", "entry", "n"])
+
+    tail = counts.select("word", "n").mapInArrow(run, "hash long, entry int, n long")
+    sums = {r.entry: (r.t, r.d) for r in tail.groupBy("entry").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("d")).collect()}
+    whole = [sums.get(k, (0, 0)) for k in range(TAIL)]
+    logs = F.array(*[F.lit(float(np.log(t + UNSEEN * (d + 1)))) for t, d in whole])
+    return tail.select("hash", (F.log(F.col("n") + UNSEEN) - F.get(logs, F.col("entry"))).alias("log_share"))
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """One row per document: its id and RESULT."""
-    words, shares = vocabulary(word_counts(docs, text_col))
+    """One row per document: its id, n_words, log_prob, mean_log_prob."""
+    counts = cut_lineage(word_counts(docs, text_col))
+    words, shares = vocabulary(counts)
     flat = train(docs, words, shares, text_col, rounds)
-    return docs.select(F.col(id_col), score_column(F.col(text_col), words, flat).alias("r")).select(id_col, "r.*")
+    found = cut_lineage(docs.select(F.col(id_col).alias("id"), score_column(F.col(text_col), words, flat).alias("r"), F.monotonically_increasing_id().alias("row")).select("id", "row", "r.*"))
+    # every word was counted, so each has its share
+    own = found.select("row", F.explode("tail").alias("hash")).join(tail_shares(counts, words), "hash").groupBy("row").agg(F.sum("log_share").alias("own"))
+    log_prob = F.col("log_prob") + F.coalesce("own", F.lit(0.0))
+    whole = found.select("id", "row", "n_words", "log_prob").join(own, "row", "left")
+    return whole.select(F.col("id").alias(id_col), "n_words", log_prob.alias("log_prob"), F.when(F.col("n_words") > 0, log_prob / F.col("n_words")).alias("mean_log_prob"))

@@ -260,6 +260,23 @@ def test_training_tells_prose_from_noise(make_docs):
     assert r.n_words == 300 and abs(r.log_prob / 300 - r.mean_log_prob) < 1e-9
 
 
+def test_unique_random_words_score_below_prose_of_rare_words(make_docs):
+    rng = random.Random(12)
+    rare = [f"word{k}" for k in range(1500)]
+    clean = [(k, " ".join(rng.choices(rare, k=200)), "en", "a") for k in range(300)]
+    noise = [(1000 + k, " ".join(f"{rng.getrandbits(60):x}" for _ in range(200)), "en", "a") for k in range(100)]
+    rows = as_dict(lm.scores(make_docs(clean + noise)))
+    assert min(rows[k].mean_log_prob for k in range(300)) > max(rows[1000 + k].mean_log_prob for k in range(100)) + 1
+
+
+def test_the_vocabulary_covers_its_share(make_docs):
+    counts = lm.word_counts(make_docs([(1, " ".join(f"w{k} w{k}" for k in range(9000)), "en", "a")])).cache()
+    words, shares = lm.vocabulary(counts)
+    assert len(words.hashes) == lm.COVERAGE * 9000 and len(shares) == words.shape[0] * words.shape[1] >= len(words.hashes) + lm.TAIL
+    own = np.exp([r.log_share for r in lm.tail_shares(counts, words).collect()])
+    assert len(own) == 9000 - len(words.hashes) and lm.TAIL - 1 < own.sum() < lm.TAIL
+
+
 def test_scores_stand_awkward_rows(awkward, no_docs):
     rows = lm.scores(awkward).collect()
     assert len(rows) == awkward.count()
