@@ -8,8 +8,8 @@ Vocabulary: the most frequent words of the whole corpus, as many as make up COVE
 where there are so many), in order of count, in rows whose number and length grow with the square root of the vocabulary;
 words beyond it share TAIL entries by hash. A word of such an entry has the entry's probability times its own share of
 the entry: its count plus UNSEEN, over the entry's count plus UNSEEN for each of its words and once more, which is left
-for words that the corpus does not have. The shares come from a join of the documents' words beyond the vocabulary with the counts. Training: every task passes over its share of the corpus (every document, every STRIDE-th word in
-each as a target, starting at a place given by the text) from the same start, and the weights are averaged by the number
+for words that the corpus does not have. The shares come from a join of the documents' words beyond the vocabulary with the counts. Training: every task passes over its share of the corpus (every document, every word as a
+target) from the same start, and the weights are averaged by the number
 of targets, in two summing steps whose rows are bounded by the size of the model; ROUNDS passes are made. Spark counts,
 trains and averages; the driver holds one vocabulary and one set of weights, which grow with the number of words that COVERAGE takes.
 
@@ -37,7 +37,7 @@ CLASSES, MEMBERS, TAIL = 32, 64, 64  # the least vocabulary; TAIL holds at every
 SIZE = CLASSES * MEMBERS
 COVERAGE, UNSEEN = 0.75, 0.5
 HIDDEN = 16
-STRIDE, BATCH, RATE, ROUNDS = 8, 1024, 0.3, 1
+BATCH, RATE, ROUNDS = 8192, 0.3, 1
 BLOCK = 1 << 14  # numbers in a row of weights
 SALTS = 16
 PARTS = "n_words long, log_prob double, tail array<long>"
@@ -211,12 +211,8 @@ def neighbours(w: Words, entries: np.ndarray, padding: int = SIZE) -> np.ndarray
 
 
 def targets(w: Words, entries: np.ndarray) -> np.ndarray:
-    """Every STRIDE-th word of each document, from a start that its first word gives; all of a document's if it has none."""
-    counts = np.diff(w.first)
-    within = np.arange(len(entries)) - np.repeat(w.first[:-1], counts)
-    begin = np.where(counts > 0, entries[np.minimum(w.first[:-1], max(len(entries) - 1, 0))] if len(entries) else 0, 0) % STRIDE
-    begin = np.minimum(begin, np.maximum(counts - 1, 0))
-    return np.flatnonzero((within - np.repeat(begin, counts)) % STRIDE == 0)
+    """Words that the network is to predict in training: all."""
+    return np.arange(len(entries))
 
 
 def _train_task(words: Vocabulary, start: np.ndarray):
@@ -283,7 +279,7 @@ def score_column(text: Column, words: Vocabulary, flat: np.ndarray) -> Column:
             w = words_of(texts)
             entries = words.entries(w)
             around = neighbours(w, entries, words.first_tail + TAIL)
-            logs = [net.log_probs(around[k : k + 8 * BATCH], entries[k : k + 8 * BATCH]) for k in range(0, len(entries), 8 * BATCH)]
+            logs = [net.log_probs(around[k : k + BATCH], entries[k : k + BATCH]) for k in range(0, len(entries), BATCH)]
             total = np.concatenate([[0.0], np.cumsum(np.concatenate(logs))]) if logs else np.zeros(1)
             beyond = entries >= words.first_tail
             before = np.concatenate([[0], np.cumsum(beyond)])

@@ -291,6 +291,12 @@ def test_every_document_gives_targets():
     assert set(w.text_of(at).tolist()) == {0, 2, 3}
 
 
+def test_every_word_is_a_target_once():
+    words = lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    w = lm.words_of(pa.array([prose("en", k, 1 + 9 * k) for k in range(5)] + [""]))
+    assert sorted(lm.targets(w, words.entries(w)).tolist()) == list(range(1 + 10 + 19 + 28 + 37))
+
+
 def plain_rake(cells, powers, rounds=500):
     keys = sorted(cells, key=str)
     t = np.array([cells[k] for k in keys], float)
