@@ -1,5 +1,6 @@
 """The pipeline: its stages on planted rows, and the registered queries on the smallest tables."""
 
+import random
 import sys
 from pathlib import Path
 
@@ -47,6 +48,26 @@ def test_stages_on_planted_rows(spark, make_docs, scratch):
     assert {r.doc_id for r in corpus_pipeline.run(spark, scratch).collect()} == ids[5]
 
 
+def test_near_copies_with_edited_words_go(spark, make_docs, awkward, scratch):
+    rng = random.Random(3)
+    rows, far = [], set()
+    for k in range(30):
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        rows.append((100 * k, " ".join(base), "en", "a"))
+        for j in range(1, 6):  # 1 to 5 edited words of 200: similarity 0.95 to 0.77
+            other = list(base)
+            for i in range(j):
+                other[20 + 40 * i] = f"new{k}x{j}x{i}"
+            rows.append((100 * k + j, " ".join(other), "en", "a"))
+        rows.append((100 * k + 9, " ".join(base[:100] + [f"o{k}x{i}" for i in range(100)]), "en", "a"))
+        far.add(100 * k + 9)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, make_docs(rows), scratch).collect()}
+    assert not {100 * k + j for k in range(30) for j in range(1, 5)} & kept
+    assert {100 * k for k in range(30)} | far <= kept
+    ids = [r.doc_id for r in corpus_pipeline.near_dedup(spark, awkward, scratch).collect()]
+    assert len(ids) == 9 and ids.count(1) == 1 and ids.count(7) == 2 and ids.count(3) == 1
+
+
 def test_stages_stand_awkward_rows(spark, awkward, no_docs, scratch):
     spark.createDataFrame([(None, None)], "item_id long, text string").write.parquet(f"{scratch}/benchmark.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
