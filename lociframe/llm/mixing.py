@@ -6,8 +6,12 @@ factor and a topic factor. Languages and topics are few (MAX_PAIRS pairs at most
 the source factors are computed by Spark, one row per source, and a pass over the sources returns only the table of
 languages by topics, from which the other two factors follow. So the driver holds numbers for languages and topics.
 
-A document is then kept with probability min(1, scale * factor of its cell), the scale being calibrated so that the
-expected number of tokens is the wanted share of all. The draw is a hash of seed, id and text, so it does not depend on
+A document's expected copies are the wanted share of all tokens times the factor of its cell, so the expected tokens of
+the copies have the fitted shares in all margins; `copies` is their whole part, and one more by a draw for the rest. A
+document of a rare category that is to be raised has more than one.
+
+A sample without repeats cannot raise a category beyond its tokens: there a document is kept with probability min(1, scale * factor of its cell), the scale being calibrated so that the
+expected number of tokens is the wanted share of all; its shares miss the targets where that minimum is 1. The draw is a hash of seed, id and text, so it does not depend on
 the layout; equal rows share it.
 
 Defined results: null source, language or topic is a category of its own; a category's target is its share of the
@@ -154,7 +158,7 @@ def calibrate(fit: Fit, rate: float) -> float:
 
 
 def with_probability(docs: DataFrame, topic: Column | None = None, rate: float = RATE, powers: dict[str, float] = POWERS, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """`doc` (the row), topic, n_tokens, factor, probability and sampled for every document."""
+    """`doc` (the row), topic, n_tokens, factor, probability, sampled, expected_copies, copies, and the fit's eased and gap for every document."""
     keys = {"source": F.col("source"), "lang": F.col("lang"), "topic": form_topic(F.col(text_col)) if topic is None else topic}
     counted = docs.select(*[c.alias(k) for k, c in keys.items()], token_count(F.col(text_col)).alias("tokens"))
     fit = rake(counted.groupBy(*keys).agg(F.sum("tokens").alias("tokens")), powers)
@@ -167,15 +171,27 @@ def with_probability(docs: DataFrame, topic: Column | None = None, rate: float =
     same = [F.col(k).eqNullSafe(F.col(f"c_{k}")) for k in keys]
     chance = F.when(F.col("n_tokens") > 0, F.least(F.lit(1.0), F.lit(scale) * F.col("factor"))).otherwise(0.0)
     joined = rows.join(cells, same[0] & same[1] & same[2], "left").withColumn("probability", F.coalesce(chance, F.lit(0.0)))
-    return joined.select("doc", "topic", "n_tokens", F.coalesce("factor", F.lit(0.0)).alias("factor"), "probability", (F.col("draw") < F.col("probability")).alias("sampled"))
+    expected = F.when(F.col("n_tokens") > 0, F.coalesce("factor", F.lit(0.0)) * F.lit(rate * fit.tokens)).otherwise(0.0)
+    joined = joined.withColumn("expected_copies", expected)
+    whole = F.floor("expected_copies")
+    return joined.select(
+        "doc", "topic", "n_tokens", F.coalesce("factor", F.lit(0.0)).alias("factor"), "probability", (F.col("draw") < F.col("probability")).alias("sampled"),
+        "expected_copies", (whole + (F.col("draw") < F.col("expected_copies") - whole).cast("long")).alias("copies"), F.lit(fit.eased).alias("eased"), F.lit(fit.gap).alias("gap"),
+    )
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One row per document: its id, source, lang, topic, n_tokens, probability, sampled."""
+    """One row per document: its id, source, lang, topic, n_tokens, probability, sampled, expected_copies, copies, eased, gap."""
     needed = docs.select(id_col, "text", "source", "lang")
-    return with_probability(needed, id_col=id_col, **options).select(F.col(f"doc.{id_col}"), "doc.source", "doc.lang", "topic", "n_tokens", "probability", "sampled")
+    return with_probability(needed, id_col=id_col, **options).select(F.col(f"doc.{id_col}"), "doc.source", "doc.lang", "topic", "n_tokens", "probability", "sampled", "expected_copies", "copies", "eased", "gap")
 
 
 def sample(docs: DataFrame, **options) -> DataFrame:
     """The sampled documents, with their columns."""
     return with_probability(docs, **options).where("sampled").select("doc.*")
+
+
+def repeated(docs: DataFrame, **options) -> DataFrame:
+    """Every document as often as its copies, with its columns."""
+    rows = with_probability(docs, **options).where("copies > 0")
+    return rows.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")

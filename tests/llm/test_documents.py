@@ -344,6 +344,27 @@ def test_sampling_meets_the_rate(make_docs):
     assert mi.sample(docs).count() == sum(r.sampled for r in rows)
 
 
+def test_expected_copies_meet_the_targets(make_docs):
+    langs = ["en"] * 80 + ["de"] * 15 + ["fr"] * 5
+    docs = make_docs([(k, prose(langs[k % 100], k, 50 if k % 9 == 0 else 300), langs[k % 100], "aaaab"[k // 100 % 5]) for k in range(1500)])
+    rows = mi.mixture(docs).collect()
+    total = sum(r.n_tokens for r in rows)
+    assert any(r.expected_copies > 1.5 for r in rows) and {r.eased for r in rows} == {0.0} and max(r.gap for r in rows) < mi.TOLERANCE
+    assert abs(sum(r.n_tokens * r.expected_copies for r in rows) / total - mi.RATE) < 1e-3
+    for margin, power in mi.POWERS.items():
+        own, got, drawn = {}, {}, {}
+        for r in rows:
+            own[r[margin]] = own.get(r[margin], 0) + r.n_tokens
+            got[r[margin]] = got.get(r[margin], 0) + r.n_tokens * r.expected_copies
+            drawn[r[margin]] = drawn.get(r[margin], 0) + r.n_tokens * r.copies
+        norm = sum(n**power for n in own.values())
+        for c, n in own.items():
+            assert abs(got[c] / sum(got.values()) - n**power / norm) < 1e-4
+            assert abs(drawn[c] / sum(drawn.values()) - n**power / norm) < 0.05
+    found = mi.repeated(docs)
+    assert found.count() == sum(r.copies for r in rows) and found.columns == docs.columns
+
+
 def test_mixing_stands_awkward_rows(awkward, no_docs):
     rows = mi.with_probability(awkward, powers={"source": 1, "lang": 1, "topic": 1})
     found = rows.collect()
