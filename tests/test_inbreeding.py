@@ -2,8 +2,8 @@
 
 import random
 
-from conftest import rows
 from pyspark.sql import functions as F
+from table_rows import rows
 
 from lociframe.functions import genotypes as gt
 from lociframe.operators import inbreeding as inb

@@ -2,8 +2,8 @@
 
 import numpy as np
 import pytest
-from conftest import rows
 from pyspark.sql import functions as F
+from table_rows import rows
 
 from lociframe import fixed_values as fv
 from lociframe.functions import genotypes as gt

@@ -4,8 +4,8 @@ import random
 
 import numpy as np
 import pytest
-from conftest import rows
 from pyspark.sql import functions as F
+from table_rows import rows
 
 from lociframe.operators.inbreeding import histogram, percentile_rank
 from lociframe.plans import blockscan as bs

@@ -4,9 +4,9 @@ import gzip
 from pathlib import Path
 
 import pytest
-from conftest import rows
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
+from table_rows import rows
 
 from lociframe.sources import jsondocs, plink, tables, taxa, vcf
 from lociframe.sources.lines import read_lines
