@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lociframe.llm import decontaminate, language, licenses, mixing, pseudolm, secrets, simhash, sketches, tokens, urls
+from lociframe.llm import decontaminate, language, licenses, linededup, merkle, mixing, pseudolm, secrets, simhash, sketches, tokens, urls, whitening
 from lociframe.llm.base import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -153,3 +153,10 @@ FROM h LEFT JOIN (SELECT * FROM f WHERE k = 1) USING (rid)"""
 @query("op10_url_filter", _op10_sql())
 def op10(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op11_embedding_whitening")
+def op11(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors)
+    return whitening.components_of(whitening.whiten(vectors, model), model)

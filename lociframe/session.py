@@ -44,3 +44,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder, so that a lost executor cannot give a second, different layout."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, wherever it lies; it may be gone already."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
