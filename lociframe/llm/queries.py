@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from lociframe.llm import decontaminate, language, licenses, linededup, merkle, mixing, pseudolm, secrets, simhash, sketches, tokens, urls, whitening
 from lociframe.llm.base import ORACLES, QUERIES, query, table
 
@@ -160,3 +162,71 @@ def op11(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     model = whitening.fit(vectors)
     return whitening.components_of(whitening.whiten(vectors, model), model)
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT rid, doc_id, i, ls[i] AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+k AS (SELECT *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM l),
+r AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT rid) >= 5),
+m AS (SELECT k.*, r.key IS NOT NULL AND k.doc_id IS DISTINCT FROM r.top AS gone FROM k LEFT JOIN r USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY rid
+"""
+
+
+@query("op12_line_dedup", OP12_SQL)
+def op12(spark, sf_dir):
+    rows = linededup.dedupe_lines(table(spark, sf_dir, "documents"))
+    return rows.select("doc.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang,
+         coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+         n_chars, coalesce(strlen(text) || ':' || text, '-') AS z,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+             lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, u: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295::BIGINT) AS crc
+  FROM documents),
+f AS (
+  SELECT rid, doc_id, lang, sha256(a || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || z) AS leaf,
+         CASE WHEN crc % 7 = 0 THEN sha256(a || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || z) END AS touched FROM d),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g FROM f),
+tree AS (
+  SELECT 0 AS lv, g, i, n, leaf AS h FROM o
+  UNION ALL
+  SELECT lv + 1, g, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE n > 1 GROUP BY lv, g, i // 2, n),
+sub AS (SELECT g, h, count(*) OVER () AS n FROM tree WHERE n = 1),
+top AS (
+  SELECT 0 AS lv, g AS i, n, h FROM sub
+  UNION ALL
+  SELECT lv + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM top WHERE n > 1 GROUP BY lv, i // 2, n),
+walk AS (
+  SELECT rid, false AS up, 0 AS lv, g, i, n, coalesce(touched, leaf) AS h, '' AS proof FROM o
+  UNION ALL
+  SELECT rid, false, w.lv + 1, w.g, w.i // 2, (w.n + 1) // 2,
+         sha256(CASE WHEN w.i % 2 = 1 THEN t.h || w.h ELSE w.h || coalesce(t.h, '') END), proof || coalesce(t.h, '')
+  FROM walk w LEFT JOIN tree t ON t.lv = w.lv AND t.g = w.g AND t.i = w.i + 1 - 2 * (w.i % 2) WHERE w.n > 1),
+climb AS (
+  SELECT rid, 0 AS lv, g AS i, (SELECT any_value(n) FROM sub) AS n, h, proof FROM walk WHERE n = 1
+  UNION ALL
+  SELECT rid, c.lv + 1, c.i // 2, (c.n + 1) // 2, sha256(CASE WHEN c.i % 2 = 1 THEN t.h || c.h ELSE c.h || coalesce(t.h, '') END), proof || coalesce(t.h, '')
+  FROM climb c LEFT JOIN top t ON t.lv = c.lv AND t.i = c.i + 1 - 2 * (c.i % 2) WHERE c.n > 1)
+SELECT o.doc_id, o.leaf, sub.h AS subroot, r.h AS root, sha256(c.proof) AS proof_sha256, c.h AS folded_root, c.h = r.h AS verified
+FROM o JOIN sub USING (g) JOIN climb c ON c.rid = o.rid AND c.n = 1, (SELECT h FROM top WHERE n = 1) r
+"""
+
+
+@query("op13_merkle_manifest", OP13_SQL)
+def op13(spark, sf_dir):
+    columns = ("doc_id", "source", "lang", "n_chars", "text")
+    own = merkle.leaf([F.col(c) for c in columns])
+    touched = merkle.leaf([F.col(c) + 1 if c == "n_chars" else F.col(c) for c in columns])
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, touched)
+    rows = merkle.manifest(table(spark, sf_dir, "documents"), own, tampered)
+    proof = F.sha2(F.col("proof"), 256).alias("proof_sha256")
+    return rows.select("doc_id", "leaf", "subroot", "root", proof, "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
