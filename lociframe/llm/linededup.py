@@ -77,6 +77,7 @@ class LineRuns:
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[tuple[str, DataFrame]]] = []
         self.written = 0
+        self.merged_away: list[str] = []
 
     def _store(self, entries: DataFrame, level: int) -> None:
         """Write a sorted run."""
@@ -95,8 +96,11 @@ class LineRuns:
     def add(self, keys: DataFrame) -> DataFrame:
         """Take in a batch (h1, h2, id: a row for each document that has the key) and return its keys that are new.
 
-        Ids of the batch must be less than those of all batches before it.
+        Ids of the batch must be less than those of all batches before it. The returned frame can be read until the next
+        batch comes: files that compaction has merged away are removed then.
         """
+        while self.merged_away:
+            remove_folder(self.spark, self.merged_away.pop())
         own = keys.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("top"))
         fresh, known = own, None
         for run in self.runs():
@@ -122,8 +126,7 @@ class LineRuns:
     def _replace(self, level: int, target: int) -> None:
         old, self.levels[level] = self.levels[level], []
         self._store(_merged([run for _, run in old]), target)
-        for path, _ in old:
-            remove_folder(self.spark, path)
+        self.merged_away += [path for path, _ in old]
 
     def whole(self) -> DataFrame:
         """One entry per key, over all runs."""

@@ -248,28 +248,27 @@ def placed(rows: DataFrame) -> DataFrame:
     return met.select("g", "n", (F.col("front") + F.col("k")).alias("i"), "id", "d", "r")
 
 
-def _depth(fan: int) -> tuple[int, int]:
-    """Levels and leaves of a block."""
+def depth_of(fan: int, block: int) -> int:
+    """Levels of a block."""
     depth = 1
-    while fan ** (depth + 1) <= BLOCK:
+    while fan ** (depth + 1) <= block:
         depth += 1
-    return depth, fan**depth
+    return depth
 
 
-def _tree(table: pa.Table, fan: int) -> tuple[pa.Table, Tree]:
+def _tree(table: pa.Table, fan: int, depth: int) -> tuple[pa.Table, Tree]:
     """The rows of a block in their order, and their tree."""
-    depth, size = _depth(fan)
     table = table.sort_by("i")
-    n = table.column("n")[0].as_py()
-    return table, Tree(_words(table.column("d")), fan, None if n <= size else depth)
+    alone = table.column("n")[0].as_py() <= fan**depth
+    return table, Tree(_words(table.column("d")), fan, None if alone else depth)
 
 
-def _chain(nodes: DataFrame, fan: int) -> list[DataFrame]:
+def _chain(nodes: DataFrame, fan: int, depth: int) -> list[DataFrame]:
     """`nodes` and the tops of their blocks, round after round, up to one node a group."""
-    _, size = _depth(fan)
+    size = fan**depth
 
     def tops(table: pa.Table) -> pa.Table:
-        table, tree = _tree(table, fan)
+        table, tree = _tree(table, fan, depth)
         g, n, i = (table.column(c)[0].as_py() for c in ("g", "n", "i"))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         row = (g, -(-n // size), i // size, _bytes(tree.top)[0])
@@ -282,18 +281,17 @@ def _chain(nodes: DataFrame, fan: int) -> list[DataFrame]:
     return chain
 
 
-def _blocks(nodes: DataFrame, paths: DataFrame, fan: int):
+def _blocks(nodes: DataFrame, paths: DataFrame, size: int):
     """Blocks of `nodes` next to the path of their tops."""
-    _, size = _depth(fan)
     left = nodes.withColumn("b", F.floor(F.col("i") / size).cast("long")).groupBy("g", "b")
     return left.cogroup(paths.withColumnRenamed("i", "b").groupBy("g", "b"))
 
 
-def _down(chain: list[DataFrame], paths: DataFrame, fan: int) -> DataFrame:
+def _down(chain: list[DataFrame], paths: DataFrame, fan: int, depth: int) -> DataFrame:
     """Paths of the nodes above the first ones of `chain`, from those of its last nodes."""
 
     def extend(nodes: pa.Table, above: pa.Table) -> pa.Table:
-        nodes, tree = _tree(nodes, fan)
+        nodes, tree = _tree(nodes, fan, depth)
         sub, path = above.column("sub")[0], above.column("path")[0].as_py()
         kind = above.schema.field("path").type
         return pa.table(
@@ -302,17 +300,12 @@ def _down(chain: list[DataFrame], paths: DataFrame, fan: int) -> DataFrame:
         )
 
     for nodes in reversed(chain[1:-1]):
-        paths = cut_lineage(_blocks(nodes, paths, fan).applyInArrow(extend, PATH))
+        paths = cut_lineage(_blocks(nodes, paths, fan**depth).applyInArrow(extend, PATH))
     return paths
 
 
-def _spread(chain: list[DataFrame], paths: DataFrame, fan: int) -> DataFrame:
-    """Paths of the first nodes of `chain`, as rows of PATH."""
-    return _down([None, *chain], paths, fan) if len(chain) > 1 else paths
-
-
 def manifest(
-    docs: DataFrame, leaf_of: Column, instead: Column | None = None, id_col: str = "doc_id", group_col: str = "lang", fan: int = FAN
+    docs: DataFrame, leaf_of: Column, instead: Column | None = None, id_col: str = "doc_id", group_col: str = "lang", fan: int = FAN, block: int = BLOCK
 ) -> DataFrame:
     """One row per row of `docs`: its id, leaf, subroot, root, proof (the siblings' texts, 64 characters each, from the
     leaf up to the root) and folded_root, the root that `instead`, if not null, gives in the leaf's place.
@@ -326,18 +319,20 @@ def manifest(
     leaves = placed(rows)
     if leaves.isEmpty():
         return rows.where(F.lit(False)).select(F.col("id").alias(id_col), *[F.lit("").alias(c.split()[0]) for c in out.split(", ")[1:]])
-    chain = _chain(leaves, fan)
+    depth = depth_of(fan, block)
+    chain = _chain(leaves, fan, depth)
     groups = chain[-1].agg(F.count(F.lit(1))).first()[0]
     subroots = chain[-1].select(F.lit(0).cast("long").alias("g"), F.lit(groups).cast("long").alias("n"), F.col("g").alias("i"), "d")
-    over = _chain(subroots, fan)
+    over = _chain(subroots, fan, depth)
     root = bytes(over[-1].first()["d"])
     nowhere = F.array().cast(f"array<{STEP}>")
-    ends = _spread(over, over[-1].select("g", "i", F.col("d").alias("sub"), nowhere.alias("path")), fan)
+    # the subroots are the first nodes of their own chain, so one more step down than for leaves gives their paths
+    ends = _down([subroots, *over] if len(over) > 1 else over, over[-1].select("g", "i", F.col("d").alias("sub"), nowhere.alias("path")), fan, depth)
     tops = ends.select(F.col("i").alias("g"), "path").join(chain[-1].select("g", F.col("d").alias("sub")), "g").select("g", F.lit(0).cast("long").alias("i"), "sub", "path")
-    paths = _down(chain, tops, fan)
+    paths = _down(chain, tops, fan, depth)
 
     def told(table: pa.Table, above: pa.Table) -> pa.Table:
-        table, tree = _tree(table, fan)
+        table, tree = _tree(table, fan, depth)
         sub, path = above.column("sub")[0].as_py(), above.column("path")[0].as_py()
         n, own = len(table), tree.levels[0]
         given = [r or d for r, d in zip(table.column("r").to_pylist(), table.column("d").to_pylist(), strict=True)]
@@ -352,6 +347,4 @@ def manifest(
         columns = [table.column("id"), hexes(own), pa.array([sub.hex()] * n), pa.array([root.hex()] * n), proof, hexes(folded)]
         return pa.table(columns, names=[c.split()[0] for c in out.split(", ")])
 
-    if len(chain) == 1:  # every group has one leaf
-        paths = tops
-    return _blocks(leaves, paths, fan).applyInArrow(told, out).withColumnRenamed("id", id_col)
+    return _blocks(leaves, paths, fan**depth).applyInArrow(told, out).withColumnRenamed("id", id_col)
