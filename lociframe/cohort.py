@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lociframe import fixed_values as fv
 from lociframe.functions import genotypes as gt
+from lociframe.functions.cigar import with_blocks
 from lociframe.functions.text import is_autosome
 from lociframe.operators import ancestry as anc
 from lociframe.operators import annotation as ann
@@ -56,26 +57,25 @@ class Cohort:
         publish(df, name, self.public, samples)
 
 
-def cover_tiles(tiles: DataFrame, coverage: DataFrame, keys: list[str]) -> DataFrame:
-    """Coverage of every tile, zero where no read fell."""
-    found = coverage.select(*keys, "bin_idx", "bases")
-    return tiles.join(found, [*keys, "bin_idx"], "left").withColumn("bases", F.coalesce("bases", F.lit(0)))
+def read_spans(reads: DataFrame) -> DataFrame:
+    """Half-open stretches that count towards depth. Deletions and skips inside a read count, as in the usual per-region
+    sum of depths; pass gaps=False to `with_blocks` for aligned bases only."""
+    blocks = with_blocks(cov.countable_reads(reads), gaps=True)
+    return blocks.select("sample_id", "chrom", (F.col("b_start") - 1).alias("start"), F.col("b_end").alias("end"))
 
 
 def stage_coverage(c: Cohort, samples: DataFrame) -> None:
+    """Reads are scanned once, for the places where depth changes; both widths are integrated from those."""
     contigs = c.inputs["contigs"]
-    usable = cov.countable_reads(c.of("reads", samples)).select(
-        "sample_id", "chrom", (F.col("pos") - 1).alias("start"), "end"
-    )
+    c.keep(cov.depth_events(read_spans(c.of("reads", samples))), "depth_events", samples)
+    events = c.stored("depth_events", samples)
     megabases = samples.select("sample_id").withColumn("width", F.lit(MEGABASE).cast("long"))
-    wide = cov.with_depth(cover_tiles(cov.tile_by(contigs, megabases), cov.window_coverage(usable, MEGABASE), ["sample_id", "chrom"]))
-    c.keep(wide, "coverage_1mb", samples)
+    wide = cov.integrate_events(events, cov.tile_by(contigs, megabases))
+    c.keep(cov.with_depth(wide.drop("width")), "coverage_1mb", samples)
     widths = cov.adaptive_width(c.stored("coverage_1mb", samples))
     c.keep(widths, "region_widths", samples)
-    widths = c.stored("region_widths", samples)
-    narrow = cov.window_coverage(usable.join(widths, "sample_id"), "width")
-    tiles = cov.tile_by(contigs, widths)
-    c.keep(cov.with_depth(cover_tiles(tiles, narrow, ["sample_id", "chrom"])), "coverage_regions", samples)
+    tiles = cov.tile_by(contigs, c.stored("region_widths", samples))
+    c.keep(cov.with_depth(cov.integrate_events(events, tiles)), "coverage_regions", samples)
 
 
 def stage_quality(c: Cohort, samples: DataFrame) -> None:
@@ -346,8 +346,7 @@ def run(c: Cohort, samples: DataFrame, stages: list[int] | None = None, skip_don
 
 def build_panel(c: Cohort, names: list[str], source: str = "pooled reads") -> DataFrame:
     """Panel of normals from the pooled reads of chosen samples: chrom, bin_idx, depth, ratio."""
-    reads = cov.countable_reads(c.inputs["reads"].where(F.col("sample_id").isin(*names)))
-    spans = reads.select("chrom", (F.col("pos") - 1).alias("start"), "end")
-    tiles = cov.tile(c.inputs["contigs"], MEGABASE)
-    pooled = cov.with_depth(cover_tiles(tiles, cov.window_coverage(spans, MEGABASE, ["chrom"]), ["chrom"]))
-    return cov.panel_of_normals(pooled)
+    spans = read_spans(c.inputs["reads"].where(F.col("sample_id").isin(*names)))
+    tiles = cov.tile(c.inputs["contigs"].withColumn("width", F.lit(MEGABASE).cast("long")), "width")
+    pooled = cov.integrate_events(cov.depth_events(spans, ["chrom"]), tiles, ["chrom"], ["chrom"])
+    return cov.panel_of_normals(cov.with_depth(pooled.drop("width")))

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lociframe.functions.text import half_up
+from lociframe.plans import blockscan as bs
+
+TILES = 4096  # tiles of one block of a running sum
 
 
 def tile(contigs: DataFrame, width: int | str, length: str = "length") -> DataFrame:
@@ -45,6 +48,54 @@ def tile_by(contigs: DataFrame, widths: DataFrame) -> DataFrame:
     return tile(paired.select(*widths.columns, "_c.chrom", "_c.length"), "width")
 
 
+def depth_events(
+    intervals: DataFrame,
+    keys: Sequence[str] = ("sample_id", "chrom"),
+    start: str = "start",
+    end: str = "end",
+    weight: Column | None = None,
+) -> DataFrame:
+    """Where the depth of half-open [start, end) intervals changes: keys, pos, delta.
+
+    An interval is +weight at its start and -weight at its end, whatever its length, and equal positions are added up
+    before the shuffle. All coverage of any width follows from these rows, so reads are scanned once.
+    """
+    weight = F.lit(1) if weight is None else weight
+    first, last = F.col(start).cast("long"), F.col(end).cast("long")
+    ends = F.array(F.struct(first.alias("pos"), weight.alias("delta")), F.struct(last.alias("pos"), (-weight).alias("delta")))
+    spread = intervals.where(last > first).select(*keys, F.explode(ends).alias("_e")).select(*keys, "_e.*")
+    return spread.groupBy(*keys, "pos").agg(F.sum("delta").alias("delta")).where("delta <> 0")
+
+
+def _tile_sums(events: DataFrame, keys: Sequence[str], width: Column) -> DataFrame:
+    """Sums of the events of each tile: keys, bin_idx, d (of delta) and m (of delta times position)."""
+    rows = events.withColumn("bin_idx", F.floor(F.col("pos") / width).cast("long"))
+    return rows.groupBy(*keys, "bin_idx").agg(F.sum("delta").alias("d"), F.sum(F.col("delta") * F.col("pos")).alias("m"))
+
+
+def integrate_events(events: DataFrame, tiles: DataFrame, keys: Sequence[str] = ("sample_id", "chrom"), by: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """`tiles` (keys, width, bin_idx, start, end) with `bases`, the depth added up over each tile.
+
+    A tile's bases are its length times the depth that comes in from the left, plus (end - pos) * delta of its own events.
+    The incoming depth is a running sum over tiles, which a contig's length bounds, taken in blocks of tiles. Widths may
+    differ by `by` columns, and a key may be tiled at several widths.
+    """
+    sized = tiles.select(*by, "width").distinct()
+    wide = [*dict.fromkeys([*keys, "width"])]
+    # An interval may begin in front of the first tile or end behind the last one: that part counts nowhere.
+    ends = tiles.groupBy(*keys).agg(F.min("start").alias("_first"), F.max("end").alias("_last"))
+    inside = events.join(ends, list(keys)).withColumn("pos", F.least(F.greatest("pos", "_first"), "_last")).drop("_first", "_last")
+    sums = _tile_sums(inside.join(sized, list(by)), wide, F.col("width"))
+    rows = tiles.join(sums, [*wide, "bin_idx"], "left").fillna(0, ["d", "m"])
+    return _integrated(rows, wide)
+
+
+def _integrated(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    rows = bs.running_sum(bs.with_block(rows, "bin_idx", TILES), keys, ["bin_idx"], F.col("d"), "_depth").drop(bs.BLOCK)
+    bases = (F.col("end") - F.col("start")) * (F.col("_depth") - F.col("d")) + F.col("end") * F.col("d") - F.col("m")
+    return rows.withColumn("bases", bases).drop("d", "m", "_depth")
+
+
 def window_coverage(
     reads: DataFrame,
     width: int | str,
@@ -53,30 +104,18 @@ def window_coverage(
     end: str = "end",
     weight: Column | None = None,
 ) -> DataFrame:
-    """Bases of half-open [start, end) intervals in each fixed-width bin: keys, bin_idx, start, end, bases.
+    """Bases of half-open [start, end) intervals in each fixed-width bin that they touch: keys, bin_idx, start, end, bases.
 
-    An interval is spread over the bins it touches, so this is an equi-aggregation with partial sums, not a join.
+    Two events per interval, whatever its length and the width; `width` is a number or a column that keys determine.
     """
     w = F.lit(width).cast("long") if isinstance(width, int) else F.col(width).cast("long")
-    extra = [] if isinstance(width, int) else [width]
-    weight = F.lit(1) if weight is None else weight
-    first, last = F.col(start).cast("long"), F.col(end).cast("long")
-    spread = reads.where(last > first).select(
-        *keys,
-        *extra,
-        first.alias("_s"),
-        last.alias("_e"),
-        weight.alias("_w"),
-        F.explode(F.sequence(F.floor(first / w).cast("long"), F.floor((last - 1) / w).cast("long"))).alias("bin_idx"),
-    )
-    ws = F.col("bin_idx") * w
-    overlap = F.least(F.col("_e"), ws + w) - F.greatest(F.col("_s"), ws)
-    return (
-        spread.groupBy(*keys, *extra, "bin_idx")
-        .agg(F.sum(overlap * F.col("_w")).alias("bases"))
-        .withColumn("start", F.col("bin_idx") * w)
-        .withColumn("end", (F.col("bin_idx") + 1) * w)
-    )
+    own = [*keys] if isinstance(width, int) else [*keys, width]
+    sums = _tile_sums(depth_events(reads, own, start, end, weight), own, w)
+    framed = sums.groupBy(*own).agg(F.min("bin_idx").alias("_a"), F.max("bin_idx").alias("_z"))
+    framed = framed.withColumn("bin_idx", F.explode(F.sequence("_a", "_z"))).drop("_a", "_z")
+    rows = framed.join(sums, [*own, "bin_idx"], "left").fillna(0, ["d", "m"])
+    tiled = rows.withColumn("start", F.col("bin_idx") * w).withColumn("end", (F.col("bin_idx") + 1) * w)
+    return _integrated(tiled, own).where("bases <> 0").select(*own, "bin_idx", "bases", "start", "end")
 
 
 def countable_reads(reads: DataFrame, flag: str = "flag") -> DataFrame:

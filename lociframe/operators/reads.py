@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociframe.functions import cigar as cg
 from lociframe.functions import genotypes as gt
 from lociframe.plans.picks import first_by, last_by
 
@@ -88,6 +89,32 @@ def mark_duplicates(
     return reads.join(kept, read_id, "left").withColumn(out, F.col("_best").isNull()).drop("_best")
 
 
+def with_signature(reads: DataFrame) -> DataFrame:
+    """Adds what duplicates agree in: `five_prime`, the unclipped start of the fragment on the read's strand, and
+    `reverse`. Reads without a CIGAR start at `pos`, or on the reverse strand at `end`."""
+    back = has_bit(F.col("flag"), cg.REVERSE)
+    plain = F.when(back, F.col("end")).otherwise(F.col("pos")).cast("long")
+    if "cigar" not in reads.columns:
+        return reads.withColumns({"five_prime": plain, "reverse": back})
+    walked = reads.withColumn("_w", cg.walk(F.col("cigar"), F.col("pos")))
+    start = F.coalesce(cg.five_prime(F.col("_w"), F.col("pos"), F.col("flag")), plain)
+    return walked.withColumns({"five_prime": start, "reverse": back}).drop("_w")
+
+
+def mark_read_duplicates(reads: DataFrame, min_bq: int = 15) -> DataFrame:
+    """`is_duplicate` for primary mapped reads of equal sample, chromosome, unclipped 5' start, strand and mate start: all
+    but the one with the largest sum of base qualities of at least `min_bq`. Other reads are never duplicates."""
+    marked = with_signature(reads).withColumn(
+        "_score", F.aggregate("qual", F.lit(0).cast("long"), lambda acc, q: acc + F.when(q >= min_bq, q).otherwise(0))
+    )
+    counted = ~has_bit(F.col("flag"), UNMAPPED | SECONDARY | SUPPLEMENTARY)
+    signature = ["sample_id", "chrom", "five_prime", "reverse", "mate_pos"]
+    best = marked.where(counted).groupBy(*signature).agg(F.min(F.struct((-F.col("_score")).alias("s"), "read_id", "flag")).alias("_k"))
+    kept = best.select("sample_id", F.col("_k.read_id").alias("read_id"), F.col("_k.flag").alias("flag"), F.lit(True).alias("_best"))
+    joined = marked.join(kept, ["sample_id", "read_id", "flag"], "left")
+    return joined.withColumn("is_duplicate", counted & F.col("_best").isNull()).select(*reads.columns, "is_duplicate")
+
+
 def sort_reads(reads: DataFrame, by: Sequence[str] = ("sample_id", "chrom", "pos")) -> DataFrame:
     """Coordinate layout: range partitions sorted inside, so a scan by region touches few files."""
     return reads.repartitionByRange(*by).sortWithinPartitions(*by)
@@ -98,24 +125,23 @@ def pileup(
 ) -> DataFrame:
     """Base counts at listed sites: sample_id, chrom, pos, counts (map), total.
 
-    Reads (1-based closed pos..end, no gaps) meet sites in buckets of positions. Both mates over one site count
-    once: the read with the better base, then the smaller flag.
+    Aligned blocks of the reads (see `functions.cigar.with_blocks`) meet sites in buckets of positions, so a read has no
+    base at a site that it deletes or skips, and clips and insertions shift the bases behind them. Both mates over one
+    site count once: the read with the better base, then the smaller flag.
     """
     usable = reads.where(
         (F.col("mapq") >= min_mq) & (F.col("flag").bitwiseAND(F.lit(UNMAPPED | SECONDARY | QCFAIL | DUPLICATE)) == 0)
     )
     paired = F.col("flag").bitwiseAND(F.lit(1)) != 0
     proper = F.col("flag").bitwiseAND(F.lit(2)) != 0
-    usable = usable.where(~paired | proper)
-    spread = usable.withColumn(
-        "_b",
-        F.explode(F.sequence(F.floor(F.col("pos") / bucket).cast("long"), F.floor(F.col("end") / bucket).cast("long"))),
-    ).withColumnRenamed("pos", "_start")
+    blocks = cg.with_blocks(usable.where(~paired | proper)).drop("pos", "end")
+    touched = F.sequence(F.floor(F.col("b_start") / bucket).cast("long"), F.floor(F.col("b_end") / bucket).cast("long"))
+    spread = blocks.where(F.col("b_end") >= F.col("b_start")).withColumn("_b", F.explode(touched))
     listed = sites.select("chrom", "pos").distinct().withColumn("_b", F.floor(F.col("pos") / bucket).cast("long"))
-    offset = (F.col("pos") - F.col("_start")).cast("int")
+    offset = (F.col("pos") - F.col("b_start") + F.col("b_q")).cast("int")
     hits = (
         spread.join(listed, ["chrom", "_b"])
-        .where(F.col("pos").between(F.col("_start"), F.col("end")))
+        .where(F.col("pos").between(F.col("b_start"), F.col("b_end")))
         .select(
             "sample_id",
             "chrom",

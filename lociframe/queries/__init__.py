@@ -4,7 +4,7 @@ from importlib import import_module
 
 from lociframe.queries.base import ORACLES, QUERIES
 
-for _name in ("coverage", "regions", "reads", "calls", "annotation", "inbreeding", "scores", "loci", "taxa", "sources"):
+for _name in ("coverage", "regions", "reads", "alignments", "calls", "annotation", "inbreeding", "scores", "loci", "taxa", "sources"):
     import_module(f"lociframe.queries.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -10,6 +10,8 @@ READS = (
     "sample_id string, read_id string, flag int, chrom string, pos long, end long, mapq int, seq string,"
     " qual array<int>, mate_pos long"
 )
+#: Reads may also carry `cigar string`; without it a read covers pos..end without gaps.
+GAPPED_READS = READS + ", cigar string"
 CALLS = (
     "sample_id string, ord long, chrom string, pos long, ref string, alt array<string>, raf array<double>, gt string,"
     " gp array<double>"

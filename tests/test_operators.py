@@ -348,3 +348,81 @@ def test_catalogue_gate_takes_posteriors_at_four_decimals(spark):
     given = [(k, "A", "C", 5, True, "0|1", [0.0, p, 1 - p], 3.0, {}, 0) for k, p in enumerate((0.89994, 0.89996, 0.9))]
     got = {r.cat_id: r.zygosity for r in cat.call_with_fallback(spark.createDataFrame(given, table)).collect()}
     assert got == {0: "low_gp_no_call", 1: "het", 2: "het"}
+
+
+def plain_walk(cigar, pos):
+    """Aligned (place on the reference, place in the read) pairs, deleted and skipped places, and both clips."""
+    import re
+
+    r, q, aligned, deleted, skipped, lead, tail = pos, 0, [], [], [], 0, 0
+    for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar):
+        n = int(n)
+        if op in "M=X":
+            aligned += [(r + k, q + k) for k in range(n)]
+        if op in "DN":
+            (deleted if op == "D" else skipped).extend(range(r, r + n))
+        if op in "SH":
+            lead, tail = (lead + n, tail) if not aligned else (lead, tail + n)
+        r += n if op in "M=XDN" else 0
+        q += n if op in "M=XIS" else 0
+    return aligned, deleted, skipped, lead, tail
+
+
+def test_cigar_walk_on_random_reads(spark):
+    import random
+
+    from lociframe.functions.cigar import five_prime, walk, with_blocks
+
+    rng, cases = random.Random(8), []
+    for i in range(120):
+        clips = rng.choice(["", "3S", "2H", "1H4S"]), rng.choice(["", "5S", "1S2H"])
+        middle = "".join(f"{rng.randint(1, 9)}{rng.choice('IDNMP=X')}" for _ in range(rng.randint(0, 8)))
+        cases.append((f"r{i}", f"{clips[0]}{rng.randint(1, 9)}M{middle}4M{clips[1]}", 100 + i, rng.choice([0, 16])))
+    df = spark.createDataFrame(cases, "read_id string, cigar string, pos long, flag int").withColumn("end", F.col("pos") + 9)
+    got = df.withColumn("w", walk(F.col("cigar"), F.col("pos"))).withColumn("p", five_prime(F.col("w"), F.col("pos"), F.col("flag"))).collect()
+    for r in got:
+        aligned, deleted, skipped, lead, tail = plain_walk(r.cigar, r.pos)
+        assert [(b.start + k, b.q + k) for b in r.w.blocks for k in range(b.end - b.start + 1)] == aligned
+        assert [x for s in r.w.deleted for x in range(s.start, s.end + 1)] == deleted
+        assert [x for s in r.w.skipped for x in range(s.start, s.end + 1)] == skipped
+        assert (r.w.lead, r.w.tail) == (lead, tail)
+        last = max([r.pos - 1, *[a for a, _ in aligned], *deleted, *skipped])
+        assert r.p == (last + tail if r.flag & 16 else r.pos - lead)
+    spans = {r.read_id: (r.b_start, r.b_end) for r in with_blocks(df, gaps=True).collect()}
+    assert all(spans[r.read_id] == (r.pos, r.w.r - 1) for r in got) and len(spans) == len(got)
+    bare = spark.createDataFrame([("a", None, 5, 0), ("b", "*", 6, 0), ("c", "", 7, 0)], "read_id string, cigar string, pos long, flag int").withColumn("end", F.col("pos") + 9)
+    assert rows(with_blocks(bare), "read_id", "b_start", "b_end", "b_q") == [("a", 5, 14, 0), ("b", 6, 15, 0), ("c", 7, 16, 0)]
+
+
+def test_pileup_passes_over_deleted_and_skipped_bases(spark):
+    read = ("S", "r", 0, "chr1", 10, 40, 60, "AACCGGTT", [30] * 8, 0, "2S2M1D2M5N2M")  # bases from the third on are aligned
+    columns = "sample_id string, read_id string, flag int, chrom string, pos long, end long, mapq int, seq string, qual array<int>, mate_pos long, cigar string"
+    sites = spark.createDataFrame([("chr1", p) for p in range(5, 30)], "chrom string, pos long")
+    got = {r["pos"]: dict(r["counts"]) for r in rd.pileup(spark.createDataFrame([read], columns), sites, bucket=4).collect()}
+    assert got == {10: {"C": 1}, 11: {"C": 1}, 13: {"G": 1}, 14: {"G": 1}, 20: {"T": 1}, 21: {"T": 1}}
+
+
+def test_duplicates_agree_in_the_unclipped_start(spark):
+    columns = "sample_id string, read_id string, flag int, chrom string, pos long, end long, mapq int, seq string, qual array<int>, mate_pos long, cigar string"
+    made = [
+        ("a", 0, 10, "10M", 30), ("b", 0, 13, "3S7M", 20), ("c", 0, 12, "2H8M", 25), ("d", 0, 13, "10M", 30),  # a, b and c start at 10
+        ("e", 16, 10, "8M2S", 20), ("f", 16, 12, "8M", 30), ("g", 16, 12, "4M2D2M", 10),  # all end at 19
+        ("h", 256, 10, "10M", 40), ("i", 4, 10, None, 40),
+    ]
+    reads = spark.createDataFrame([("S", n, f, "chr1", p, p + 9, 60, "A" * 10, [q] * 10, 100, c) for n, f, p, c, q in made], columns)
+    assert {r["read_id"] for r in rd.mark_read_duplicates(reads).where("is_duplicate").collect()} == {"b", "c", "e", "g"}
+
+
+def test_coverage_from_events_equals_counting(spark):
+    import random
+
+    rng = random.Random(3)
+    spans = [(rng.choice("ST"), rng.choice(["c1", "c2"]), s, s + rng.randint(0, 60)) for s in (rng.randint(-5, 230) for _ in range(300))]
+    contigs = spark.createDataFrame([("c1", 201), ("c2", 77), ("c3", 5)], "chrom string, length long")
+    widths = spark.createDataFrame([("S", 7), ("S", 50), ("T", 300)], "sample_id string, width long")
+    tiles = cov.tile_by(contigs, widths)
+    events = cov.depth_events(spark.createDataFrame(spans, "sample_id string, chrom string, start long, end long"))
+    got = {(r.sample_id, r.chrom, r.width, r.start): (r.end, r.bases) for r in cov.integrate_events(events, tiles).collect()}
+    assert len(got) == tiles.count()
+    for (sample, chrom, _, start), (end, bases) in got.items():
+        assert bases == sum(max(0, min(b, end) - max(a, start)) for s, c, a, b in spans if (s, c) == (sample, chrom))
