@@ -41,6 +41,30 @@ def ancestry_mixture(spark, sf):
     return anc.project_mixture(dosages, components, 10, block=16).withColumn("proportion", r("proportion"))
 
 
+@query(
+    "ancestry_two",
+    """WITH long AS (SELECT vec_id, label, unnest(range(0, len(embedding))) AS snp, unnest(embedding)::DOUBLE AS e FROM embeddings),
+p AS (SELECT snp, avg(e) FILTER (label % 2 = 0) + 0.5 AS p1, avg(e) FILTER (label % 2 = 1) + 0.5 AS p2 FROM long GROUP BY snp),
+d AS (SELECT vec_id, snp, e + 0.5 AS x FROM long WHERE snp % 7 <> vec_id % 7 AND (vec_id % 5 <> 0 OR snp < 9)),
+s AS (SELECT vec_id, count(*) AS n, sum(p1 * p1) + 1 AS g11, sum(p1 * p2) + 1 AS g12, sum(p2 * p2) + 1 AS g22, sum(p1 * x) + 1 AS r1, sum(p2 * x) + 1 AS r2
+  FROM d JOIN p USING (snp) GROUP BY vec_id),
+u AS (SELECT *, (r1 * g22 - r2 * g12) / (g11 * g22 - g12 * g12) AS u1, (r2 * g11 - r1 * g12) / (g11 * g22 - g12 * g12) AS u2,
+  greatest(r1, 0) ^ 2 / g11 >= greatest(r2, 0) ^ 2 / g22 AS one FROM s),
+q AS (SELECT vec_id, n, CASE WHEN u1 >= 0 AND u2 >= 0 THEN u1 WHEN one THEN greatest(r1, 0) / g11 ELSE 0 END AS q1,
+  CASE WHEN u1 >= 0 AND u2 >= 0 THEN u2 WHEN one THEN 0 ELSE greatest(r2, 0) / g22 END AS q2 FROM u)
+SELECT vec_id AS sample_id, CAST(k AS INTEGER) AS k, round(CASE k WHEN 0 THEN q1 ELSE q2 END / (q1 + q2 + 1e-12), 6) AS proportion, n AS snps_used
+FROM q, (VALUES (0), (1)) v(k)""",
+)
+def ancestry_two(spark, sf):
+    """Two components, which have a closed form; vectors lack a seventh of their SNPs, every fifth one all but a few."""
+    long = table(spark, sf, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("snp_idx", "e")).withColumn("e", F.col("e").cast("double"))
+    mean = lambda rest: F.avg(F.when(F.col("label") % 2 == rest, F.col("e"))) + 0.5
+    components = long.groupBy("snp_idx").agg(F.array(mean(0), mean(1)).alias("p"))
+    kept = (F.col("snp_idx") % 7 != F.col("vec_id") % 7) & ((F.col("vec_id") % 5 != 0) | (F.col("snp_idx") < 9))
+    dosages = long.where(kept).select(F.col("vec_id").alias("sample_id"), "snp_idx", (F.col("e") + 0.5).alias("dosage"))
+    return anc.project_mixture(dosages, components, 2, block=16).withColumn("proportion", r("proportion"))
+
+
 SHARES = """
 shares AS (SELECT l_suppkey AS sample_id, p_type AS breed, sum(l_quantity) / sum(sum(l_quantity)) OVER (PARTITION BY l_suppkey) AS proportion
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey, p_type)"""
