@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,9 @@ from lociframe.plans import blockscan as bs
 from lociframe.session import cut_lineage
 
 MIN_INDIVIDUALS = 30
+UNITS = 256  # individuals or samples of one dense block
+SETS = 16  # SNP sets whose coefficients stand next to each other in one block
+SNP_BLOCK = 4096
 MIN_BREEDS = 20
 
 
@@ -43,30 +48,70 @@ def impute_mean(geno: DataFrame, snp: str = "snp_idx", g: str = "g") -> DataFram
     return geno.join(means, snp).withColumn(g, F.coalesce(F.col(g).cast("double"), F.col("_mean"))).drop("_mean")
 
 
-def marginal_ridge(
-    geno: DataFrame,
-    traits: DataFrame,
-    frac: float = 0.1,
-    min_individuals: int = MIN_INDIVIDUALS,
-    group: Sequence[str] = (),
-    snp: str = "snp_idx",
-    ind: str = "ind_idx",
+def snp_moments(
+    geno: DataFrame, traits: DataFrame, min_individuals: int = MIN_INDIVIDUALS, snp: str = "snp_idx", ind: str = "ind_idx"
 ) -> DataFrame:
-    """One-SNP ridge weights: group, trait, snp, beta.
+    """Σ(g−ḡ)(y−ȳ) and Σ(g−ḡ)² of every trait and SNP: trait, snp, gy, gg. They do not depend on SNP sets.
 
-    `geno`: group, snp, ind, g (filled). `traits`: trait, ind, y without nulls. The penalty is `frac` times the mean
-    SNP variation of the trait. Traits with fewer individuals give no rows.
+    `geno`: snp, ind, g (filled). `traits`: trait, ind, y without nulls. Traits with fewer individuals give no rows.
     """
-    group = list(group)
     enough = traits.groupBy("trait").agg(F.count("y").alias("_n")).where(F.col("_n") >= min_individuals).select("trait")
     rows = geno.join(traits.join(enough, "trait", "left_semi"), ind)
-    sums = rows.groupBy(*group, "trait", snp).agg(
-        (F.covar_pop("g", "y") * F.count("y")).alias("_gy"), (F.var_pop("g") * F.count("y")).alias("_gg")
-    )
-    scale = sums.groupBy(*group, "trait").agg(F.avg("_gg").alias("_scale"))
-    return sums.join(scale, [*group, "trait"]).select(
-        *group, "trait", snp, (F.col("_gy") / (F.col("_gg") + frac * F.col("_scale"))).alias("beta")
+    n = F.count("y")
+    return rows.groupBy("trait", snp).agg((F.covar_pop("g", "y") * n).alias("gy"), (F.var_pop("g") * n).alias("gg"))
+
+
+def ridge_weights(moments: DataFrame, frac: float = 0.1, group: Sequence[str] = ()) -> DataFrame:
+    """Weights from moments: group, trait, snp, beta; the penalty is `frac` times the mean variation over the group's SNPs."""
+    keys = [*group, "trait"]
+    scale = moments.groupBy(*keys).agg(F.avg("gg").alias("_scale"))
+    beta = F.col("gy") / (F.col("gg") + frac * F.col("_scale"))
+    return moments.join(scale, keys).withColumn("beta", beta).drop("gy", "gg", "_scale")
+
+
+def marginal_ridge(
+    geno: DataFrame, traits: DataFrame, frac: float = 0.1, min_individuals: int = MIN_INDIVIDUALS, snp: str = "snp_idx", ind: str = "ind_idx"
+) -> DataFrame:
+    """One-SNP ridge weights: trait, snp, beta."""
+    return ridge_weights(snp_moments(geno, traits, min_individuals, snp, ind), frac)
+
+
+def block_products(values: DataFrame, betas: DataFrame, group: str, unit: str, out: str, snp: str = "snp_idx") -> DataFrame:
+    """Σ value · beta per group, unit, set and trait, as products of dense blocks: UNITS units by SNP_BLOCK SNPs, times those
+    SNPs by the coefficients of the group's sets and traits. No row per unit, set and SNP is ever made.
+
+    `values`: group, unit, snp, v. `betas`: group, set_id, trait, snp, beta; a SNP that a set lacks is zero there.
+    """
+    n = max(1, -(-int(values.agg(F.approx_count_distinct(unit)).first()[0]) // UNITS))
+    spot = F.floor(F.col(snp) / SNP_BLOCK).cast("long").alias("blk")
+    left = values.select(F.col(group).alias("grp"), F.col(unit).alias("u"), F.col(snp).alias("s"), F.col("v").cast("double").alias("v"), spot, F.pmod(F.xxhash64(unit), F.lit(n)).alias("part"))
+    used = left.select(F.col("grp").alias("g2"), F.col("blk").alias("b2"), F.col("part").alias("p2")).distinct()
+    right = betas.select(F.col(group).alias("g1"), "set_id", "trait", F.col(snp).alias("s"), "beta", spot)
+    right = right.join(used, (F.col("g1") == F.col("g2")) & (F.col("blk") == F.col("b2"))).select("g2", "b2", "p2", "set_id", "trait", "s", "beta")
+    names = ["grp", "u", "set_id", "trait", "x"]
+
+    def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({c: [] for c in names})
+        units, u = pd.factorize(a["u"])[::-1]
+        snps, s = pd.factorize(a["s"])[::-1]
+        sets = b[["set_id", "trait"]].drop_duplicates().reset_index(drop=True)
+        column = b.merge(sets.reset_index(names="_c"), on=["set_id", "trait"])
+        row = pd.Index(snps).get_indexer(column["s"])
+        known = row >= 0
+        dense, weights = np.zeros((len(units), len(snps))), np.zeros((len(snps), len(sets)))
+        dense[u, s] = a["v"].to_numpy()
+        weights[row[known], column["_c"].to_numpy()[known]] = column["beta"].to_numpy()[known]
+        made = dense @ weights
+        at, c = np.divmod(np.arange(made.size), len(sets))
+        pick = sets.iloc[c].reset_index(drop=True)
+        return pd.DataFrame({"grp": a["grp"].iloc[0], "u": np.asarray(units)[at], "set_id": pick["set_id"], "trait": pick["trait"], "x": made.ravel()})[names]
+
+    kinds = {f.name: f.dataType.simpleString() for f in left.schema.fields}
+    parts = left.groupBy("grp", "blk", "part").cogroup(right.groupBy("g2", "b2", "p2")).applyInPandas(
+        multiply, f"grp {kinds['grp']}, u {kinds['u']}, set_id string, trait string, x double"
     )
+    return parts.groupBy("u", "set_id", "trait").agg(F.sum("x").alias(out)).withColumnRenamed("u", unit)
 
 
 def weighted_sum(rows: DataFrame, betas: DataFrame, value: str, keys: Sequence[str], on: Sequence[str], out: str) -> DataFrame:
@@ -170,14 +215,18 @@ def trait_scores(dosages: DataFrame, geno: DataFrame, individuals: DataFrame, br
     """
     kept = thin(dosages.where(F.col("dosage").isNotNull()), step)
     members, sets = snp_sets(kept)
+    sets, members = cut_lineage(sets), cut_lineage(members)
     filled = impute_mean(geno.join(sets.select("snp_idx").distinct(), "snp_idx", "left_semi"))
-    in_set = filled.join(sets, "snp_idx")
     y = individuals.join(breed_scores, "breed").select("trait", "ind_idx", F.col("value").alias("y"))
-    betas = marginal_ridge(in_set, y, group=["set_id"])
-    mine = weighted_sum(
-        kept.join(members, "sample_id"), betas, "dosage", ["sample_id", "set_id"], ["set_id", "snp_idx"], "score"
-    )
-    theirs = weighted_sum(in_set, betas, "g", ["set_id", "ind_idx"], ["set_id", "snp_idx"], "ref_score")
+    # Moments are taken once per trait and SNP; sets meet them, never the genotypes.
+    betas = cut_lineage(ridge_weights(snp_moments(filled, y).join(sets, "snp_idx"), group=["set_id"]))
+    n_sets = int(sets.agg(F.approx_count_distinct("set_id")).first()[0])
+    parts = max(1, -(-n_sets // SETS))
+    shared = betas.withColumn("bunch", F.pmod(F.xxhash64("set_id"), F.lit(parts)))
+    everyone = filled.select("ind_idx", "snp_idx", F.col("g").alias("v"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("bunch"))
+    theirs = block_products(everyone, shared, "bunch", "ind_idx", "ref_score")
+    own = kept.join(members, "sample_id").select("sample_id", "snp_idx", F.col("dosage").alias("v"), F.col("set_id").alias("own"))
+    mine = block_products(own, betas.withColumn("own", F.col("set_id")), "own", "sample_id", "score")
     valid = theirs.join(y.select("trait", "ind_idx"), ["trait", "ind_idx"], "left_semi")
     counts = kept.groupBy("sample_id").agg(F.count("snp_idx").alias("n_snps_used"))
     return score_and_standardise(mine, valid, ["set_id"]).drop("set_id").join(counts, "sample_id")

@@ -312,26 +312,29 @@ def test_trait_scores_match_numpy(spark):
     breeds = [f"b{i % 12}" for i in range(n_ind)]
     value = {f"b{i}": float(i) for i in range(10)}
     dosage = rng.random(n_snp) * 2
-    missing = {3, 8}
-    d = [("s", i, float(dosage[i])) for i in range(n_snp) if i not in missing]
+    lost = {"s": {3, 8}, "t": {3, 8}, "u": set(), "v": set(range(11, 30))}  # s and t share a set, the others have their own
+    gain = {"s": 1.0, "t": 0.5, "u": 0.9, "v": 0.7}
+    d = [(n, i, float(dosage[i]) * gain[n]) for n in lost for i in range(n_snp) if i not in lost[n]]
     out = sc.trait_scores(
         spark.createDataFrame(d, "sample_id string, snp_idx long, dosage double"),
         spark.createDataFrame([(s, i, None if np.isnan(g[s, i]) else float(g[s, i])) for s in range(n_snp) for i in range(n_ind)], "snp_idx long, ind_idx int, g double"),
         spark.createDataFrame(list(enumerate(breeds)), "ind_idx int, breed string"),
-        spark.createDataFrame([(b, "t", v) for b, v in value.items()], "breed string, trait string, value double"),
-    ).first()
-    idx = [i for i in range(n_snp) if i not in missing][::5]
-    sub = g[idx]
-    sub = np.where(np.isnan(sub), np.nanmean(sub, axis=1, keepdims=True), sub)
-    y = np.array([value.get(b, np.nan) for b in breeds])
-    ok = ~np.isnan(y)
-    gc = sub[:, ok] - sub[:, ok].mean(axis=1, keepdims=True)
-    var = (gc**2).sum(axis=1)
-    beta = gc @ (y[ok] - y[ok].mean()) / (var + 0.1 * var.mean())
-    ref = (sub.T @ beta)[ok]
-    raw = beta @ dosage[idx]
-    assert abs(out["prs_z"] - (raw - ref.mean()) / (ref.std() + 1e-8)) < 1e-6
-    assert abs(out["percentile"] - np.mean(ref <= raw) * 100) < 1e-9 and out["n_snps_used"] == len(idx)
+        spark.createDataFrame([(b, "t", v) for b, v in value.items()] + [(b, "w", v * v % 7) for b, v in value.items()], "breed string, trait string, value double"),
+    ).collect()
+    assert len(out) == 8
+    for r in out:
+        idx = [i for i in range(n_snp) if i not in lost[r.sample_id]][::5]
+        sub = g[idx]
+        sub = np.where(np.isnan(sub), np.nanmean(sub, axis=1, keepdims=True), sub)
+        y = np.array([np.nan if b not in value else value[b] if r.trait == "t" else value[b] ** 2 % 7 for b in breeds])
+        ok = ~np.isnan(y)
+        gc = sub[:, ok] - sub[:, ok].mean(axis=1, keepdims=True)
+        var = (gc**2).sum(axis=1)
+        beta = gc @ (y[ok] - y[ok].mean()) / (var + 0.1 * var.mean())
+        ref = (sub.T @ beta)[ok]
+        raw = beta @ dosage[idx] * gain[r.sample_id]
+        assert abs(r.prs_z - (raw - ref.mean()) / (ref.std() + 1e-8)) < 1e-6
+        assert abs(r.percentile - np.mean(ref <= raw) * 100) < 1e-9 and r.n_snps_used == len(idx)
 
 
 def test_breed_tables_join(spark):
