@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociframe.plans.grid import every_pair
+from lociframe.session import cut_lineage
 
 ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
 FOLDS = 5
@@ -197,35 +198,91 @@ def feature_rows(long: DataFrame, y: DataFrame, features: DataFrame) -> DataFram
     return y.join(dense, "ref_id").select("row_no", F.col("y").cast("double").alias("y"), F.transform("_f", lambda p: p["v"]).alias("x"))
 
 
-def _ridge_from_gram(gram: np.ndarray, alpha: float) -> np.ndarray:
-    """Intercept and coefficients from ZᵀZ of Z = [1, X, y]."""
-    n = gram[0, 0]
-    mean = gram[0, 1:] / n
-    centred = gram[1:, 1:] - n * np.outer(mean, mean)
-    p = len(mean) - 1
-    coef = np.linalg.solve(centred[:p, :p] + alpha * np.eye(p), centred[:p, p])
-    return np.concatenate([[mean[p] - mean[:p] @ coef], coef])
+class _Spectrum:
+    """A centred symmetric matrix by its eigenvalues and vectors: one decomposition serves every penalty."""
 
+    def __init__(self, matrix: np.ndarray):
+        self.values, self.vectors = np.linalg.eigh(matrix)
+        self.values = np.maximum(self.values, 0.0)
 
-def _r2_from_gram(gram: np.ndarray, beta: np.ndarray) -> float:
-    w = np.concatenate([beta, [-1.0]])
-    sse = float(w @ gram @ w)
-    sst = float(gram[-1, -1] - gram[0, -1] ** 2 / gram[0, 0])
-    return 1.0 - sse / sst
+    def solve(self, rhs: np.ndarray, alpha: float) -> np.ndarray:
+        """(matrix + alpha) x = rhs."""
+        return self.vectors @ ((self.vectors.T @ rhs) / (self.values + alpha))
+
+
+class _Primal:
+    """A training set by ZᵀZ of Z = [1, X, y]: p × p work, for more rows than features."""
+
+    def __init__(self, gram: np.ndarray):
+        self.mean = gram[0, 1:] / gram[0, 0]
+        centred = gram[1:, 1:] - gram[0, 0] * np.outer(self.mean, self.mean)
+        self.rhs = centred[:-1, -1]
+        self.spectrum = _Spectrum(centred[:-1, :-1])
+
+    def fit(self, alpha: float) -> np.ndarray:
+        coef = self.spectrum.solve(self.rhs, alpha)
+        return np.concatenate([[self.mean[-1] - self.mean[:-1] @ coef], coef])
+
+    def r2(self, alpha: float, test: np.ndarray) -> float:
+        w = np.concatenate([self.fit(alpha), [-1.0]])
+        return 1.0 - float(w @ test @ w) / float(test[-1, -1] - test[0, -1] ** 2 / test[0, 0])
+
+
+class _Dual:
+    """A training set by the products of its rows: n × n work, for more features than rows."""
+
+    def __init__(self, kernel: np.ndarray, y: np.ndarray, train: np.ndarray):
+        own = kernel[np.ix_(train, train)]
+        self.train, self.across, self.mean = train, own.mean(axis=0), float(own.mean())
+        self.y = float(y[train].mean())
+        self.rhs = y[train] - self.y
+        self.spectrum = _Spectrum(own - self.across[None] - self.across[:, None] + self.mean)
+
+    def weights(self, alpha: float) -> np.ndarray:
+        """How much each training row, centred, goes into the coefficients."""
+        return self.spectrum.solve(self.rhs, alpha)
+
+    def predict(self, alpha: float, kernel: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        met = kernel[np.ix_(rows, self.train)]
+        centred = met - met.mean(axis=1, keepdims=True) - self.across[None] + self.mean
+        return self.y + centred @ self.weights(alpha)
+
+    def r2(self, alpha: float, kernel: np.ndarray, y: np.ndarray, rows: np.ndarray) -> float:
+        error = y[rows] - self.predict(alpha, kernel, rows)
+        return 1.0 - float(error @ error) / float(((y[rows] - y[rows].mean()) ** 2).sum())
+
+
+def _row_numbers(ranges: list[tuple[int, int]]) -> np.ndarray:
+    return np.concatenate([np.arange(a, b) for a, b in ranges] or [np.zeros(0, int)])
+
+
+def _choose(scored: DataFrame) -> DataFrame:
+    """The first penalty with the best mean R² of each outer fold."""
+    means = scored.groupBy("outer", "a_idx").agg(F.avg("r2").alias("r2"))
+    return means.groupBy("outer").agg(F.min_by("a_idx", F.struct(-F.col("r2"), "a_idx")).alias("a_idx"))
+
+
+MODEL = "outer int, alpha double, beta array<double>, r2 double"
+SCORE = "outer int, a_idx int, r2 double"
 
 
 def ridge_cv(rows: DataFrame, n: int, p: int, alphas: Sequence[float] = ALPHAS, folds: int = FOLDS, block: int = 2048) -> DataFrame:
     """Ridge fits with the penalty chosen by mean R² over contiguous folds: outer, alpha, beta, r2.
 
     `rows`: row_no (0..n-1), y, x. outer = −1 is the model on all rows; outer = 0..folds-1 repeats the whole choice
-    without that fold and carries its R² on it. All fits share additive ZᵀZ parts per row segment (segments are the
-    pieces between all fold bounds), so the data is read once and a fit only adds up small matrices.
+    without that fold and carries its R² on it. Every training set (36 of them for five folds) is decomposed once, and
+    that serves all penalties. With more features than rows all of it runs on the n × n products of rows.
     """
+    return _dual_cv(rows, n, alphas, folds) if p > n else _primal_cv(rows, n, p, alphas, folds, block)
+
+
+def _primal_cv(rows: DataFrame, n: int, p: int, alphas: Sequence[float], folds: int, block: int) -> DataFrame:
+    """Additive ZᵀZ parts per row segment (the pieces between all fold bounds). A fit gets the sum of all rows and the
+    segments it leaves out, and takes those off."""
     plans = training_plans(n, folds)
     cuts = sorted({c for plan in plans for side in ("train", "test") for r in plan[side] for c in r} | {0, n})
     segments = [(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
-    spark = rows.sparkSession
-    size = p + 2
+    spark, size = rows.sparkSession, p + 2
 
     segment_id = F.lit(0)
     for i, (a, _) in enumerate(segments):
@@ -237,58 +294,124 @@ def ridge_cv(rows: DataFrame, n: int, p: int, alphas: Sequence[float] = ALPHAS,
         z = np.column_stack([np.ones(len(pdf)), x, pdf["y"].to_numpy(dtype=np.float64)])
         return pd.DataFrame({"seg": pdf["seg"].iloc[:1], "blk": pdf["blk"].iloc[:1], "gram": [(z.T @ z).ravel()]})
 
-    parts = placed.select("seg", "blk", "y", "x").groupBy("seg", "blk").applyInPandas(part, "seg int, blk long, gram array<double>")
-
     def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"seg": [int(pdf["seg"].iloc[0])], "gram": [np.sum(np.vstack(pdf["gram"].to_numpy()), axis=0)]})
 
-    # Sum up to 32 blocks of a segment before the parts are handed to the fits.
+    parts = placed.select("seg", "blk", "y", "x").groupBy("seg", "blk").applyInPandas(part, "seg int, blk long, gram array<double>")
+    # Sum up to 32 blocks of a segment, then the few sums of each, so that a segment is one matrix.
     parts = parts.groupBy("seg", F.floor(F.col("blk") / 32).alias("_g")).applyInPandas(add_up, "seg int, gram array<double>")
+    parts = cut_lineage(parts.groupBy("seg").applyInPandas(add_up, "seg int, gram array<double>"))
+
+    def every(pdf: pd.DataFrame) -> pd.DataFrame:
+        return add_up(pdf.assign(seg=-1))
+
+    whole = parts.groupBy(F.floor(F.col("seg") / 6)).applyInPandas(every, "seg int, gram array<double>")
+    whole = whole.groupBy("seg").applyInPandas(every, "seg int, gram array<double>")
 
     def inside(seg: tuple[int, int], ranges) -> bool:
         return any(a <= seg[0] and seg[1] <= b for a, b in ranges)
 
-    uses = [
-        (plan["outer"], plan["inner"], s, side)
-        for plan in plans
-        for s, seg in enumerate(segments)
-        for side in ("train", "test")
-        if inside(seg, plan[side])
-    ]
-    use_table = spark.createDataFrame(uses, "outer int, inner int, seg int, side string")
-    grams = parts.join(F.broadcast(use_table), "seg")  # a few hundred fixed rows
-
-    def add(pdf: pd.DataFrame, side: str) -> np.ndarray:
-        chosen = pdf.loc[pdf["side"] == side, "gram"]
-        total = np.zeros(size * size)
-        for g in chosen:
-            total += g
-        return total.reshape(size, size)
+    uses = [(plan["outer"], plan["inner"], -1, True) for plan in plans]
+    for plan in plans:
+        out = [s for s, seg in enumerate(segments) if not inside(seg, plan["train"])]
+        uses += [(plan["outer"], plan["inner"], s, inside(segments[s], plan["test"])) for s in out]
+    use_table = spark.createDataFrame(uses, "outer int, inner int, seg int, tested boolean")
+    grams = parts.unionByName(whole).join(F.broadcast(use_table), "seg")  # a few hundred fixed rows
+
+    def sides(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """ZᵀZ of the training rows (all less those left out) and of the test rows."""
+        left_out = np.zeros((size, size))
+        test = np.zeros((size, size))
+        total = np.zeros((size, size))
+        for seg, tested, gram in zip(pdf["seg"], pdf["tested"], pdf["gram"], strict=True):
+            matrix = gram.reshape(size, size)
+            if seg < 0:
+                total = matrix
+            else:
+                left_out += matrix
+                test += matrix if tested else 0.0
+        return total - left_out, test
 
     def inner_scores(pdf: pd.DataFrame) -> pd.DataFrame:
-        train, test = add(pdf, "train"), add(pdf, "test")
-        scores = [_r2_from_gram(test, _ridge_from_gram(train, a)) for a in alphas]
-        return pd.DataFrame({"outer": int(pdf["outer"].iloc[0]), "a_idx": range(len(alphas)), "r2": scores})
+        train, test = sides(pdf)
+        model = _Primal(train)
+        return pd.DataFrame({"outer": int(pdf["outer"].iloc[0]), "a_idx": range(len(alphas)), "r2": [model.r2(a, test) for a in alphas]})
 
-    scored = grams.where(F.col("inner") >= 0).groupBy("outer", "inner").applyInPandas(
-        inner_scores, "outer int, a_idx int, r2 double"
-    )
-    means = scored.groupBy("outer", "a_idx").agg(F.avg("r2").alias("r2"))
-    chosen = means.groupBy("outer").agg(F.min_by("a_idx", F.struct(-F.col("r2"), "a_idx")).alias("a_idx"))
+    scored = grams.where(F.col("inner") >= 0).groupBy("outer", "inner").applyInPandas(inner_scores, SCORE)
 
     def final_fit(pdf: pd.DataFrame) -> pd.DataFrame:
         alpha = float(alphas[int(pdf["a_idx"].iloc[0])])
-        beta = _ridge_from_gram(add(pdf, "train"), alpha)
-        test = add(pdf, "test")
-        r2 = _r2_from_gram(test, beta) if test[0, 0] > 0 else None
-        return pd.DataFrame({"outer": [int(pdf["outer"].iloc[0])], "alpha": [alpha], "beta": [beta], "r2": [r2]})
+        train, test = sides(pdf)
+        model = _Primal(train)
+        r2 = model.r2(alpha, test) if test[0, 0] > 0 else None
+        return pd.DataFrame({"outer": [int(pdf["outer"].iloc[0])], "alpha": [alpha], "beta": [model.fit(alpha)], "r2": [r2]})
 
-    return (
-        grams.where(F.col("inner") < 0)
-        .join(chosen, "outer")
-        .groupBy("outer")
-        .applyInPandas(final_fit, "outer int, alpha double, beta array<double>, r2 double")
-    )
+    return grams.where(F.col("inner") < 0).join(_choose(scored), "outer").groupBy("outer").applyInPandas(final_fit, MODEL)
+
+
+def _dual_cv(rows: DataFrame, n: int, alphas: Sequence[float], folds: int, width: int = 512) -> DataFrame:
+    """Products of all pairs of the n rows, added over blocks of features, and one n × n decomposition per training set.
+    Coefficients are taken from the blocks again at the end; nothing of features by features is formed."""
+    plans = training_plans(n, folds)
+    spark = rows.sparkSession
+    pieces = F.sequence(F.lit(0), F.floor((F.size("x") - 1) / width).cast("int"))
+    laid = rows.select("row_no", "y", F.explode(F.transform(pieces, lambda b: F.struct(b.alias("b"), F.slice("x", b * width + 1, width).alias("v")))).alias("e"))
+    laid = cut_lineage(laid.select("row_no", F.col("y").cast("double").alias("y"), "e.b", "e.v"))
+
+    def matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        pdf = pdf.sort_values("row_no")
+        return np.vstack(pdf["v"].to_numpy()).astype(np.float64), pdf["y"].to_numpy(dtype=np.float64)
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = matrix(pdf)
+        return pd.DataFrame({"g": [int(pdf["b"].iloc[0]) // 32], "k": [(x @ x.T).ravel()], "y": [y]})
+
+    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"g": [0], "k": [np.sum(np.vstack(pdf["k"].to_numpy()), axis=0)], "y": [pdf["y"].iloc[0]]})
+
+    kind = "g int, k array<double>, y array<double>"
+    kernel = laid.groupBy("b").applyInPandas(products, kind).groupBy("g").applyInPandas(add_up, kind)
+    kernel = cut_lineage(kernel.groupBy().applyInPandas(add_up, kind))  # a matrix for every 32 blocks of features
+    fits = spark.createDataFrame([(p["outer"], p["inner"]) for p in plans], "outer int, inner int")
+    every = fits.join(kernel, F.lit(True))  # three dozen fits, one matrix
+    of = {(p["outer"], p["inner"]): (_row_numbers(p["train"]), _row_numbers(p["test"])) for p in plans}
+
+    def read(pdf: pd.DataFrame):
+        key = int(pdf["outer"].iloc[0]), int(pdf["inner"].iloc[0])
+        return key, pdf["k"].iloc[0].reshape(n, n), pdf["y"].iloc[0], *of[key]
+
+    def inner_scores(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, k, y, train, test = read(pdf)
+        model = _Dual(k, y, train)
+        return pd.DataFrame({"outer": key[0], "a_idx": range(len(alphas)), "r2": [model.r2(a, k, y, test) for a in alphas]})
+
+    scored = every.where(F.col("inner") >= 0).groupBy("outer", "inner").applyInPandas(inner_scores, SCORE)
+
+    def final_weights(pdf: pd.DataFrame) -> pd.DataFrame:
+        key, k, y, train, test = read(pdf)
+        alpha = float(alphas[int(pdf["a_idx"].iloc[0])])
+        model = _Dual(k, y, train)
+        share = np.zeros(n)
+        share[train] = model.weights(alpha)
+        share[train] -= share[train].mean()  # centred rows: their mean has no weight of its own
+        mean = np.zeros(n)
+        mean[train] = 1 / len(train)
+        r2 = model.r2(alpha, k, y, test) if len(test) else None
+        return pd.DataFrame({"outer": [key[0]], "alpha": [alpha], "w": [share], "m": [mean], "y0": [model.y], "r2": [r2]})
+
+    final = every.where(F.col("inner") < 0).join(_choose(scored), "outer").groupBy("outer")
+    weights = cut_lineage(final.applyInPandas(final_weights, "outer int, alpha double, w array<double>, m array<double>, y0 double, r2 double"))
+
+    def coefficients(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, _ = matrix(pdf)
+        w = pdf["w"].iloc[0]
+        return pd.DataFrame({"outer": pdf["outer"].iloc[:1], "b": pdf["b"].iloc[:1], "c": [w @ x], "t": [float(w @ x @ (pdf["m"].iloc[0] @ x))]})
+
+    spread = laid.join(F.broadcast(weights.select("outer", "w", "m")), F.lit(True))  # one row per outer fold
+    parts = spread.groupBy("outer", "b").applyInPandas(coefficients, "outer int, b int, c array<double>, t double")
+    told = parts.groupBy("outer").agg(F.array_sort(F.collect_list(F.struct("b", "c"))).alias("l"), F.sum("t").alias("t"))
+    beta = F.concat(F.array(F.col("y0") - F.col("t")), F.flatten(F.transform("l", lambda e: e["c"])))
+    return told.join(weights, "outer").select("outer", "alpha", beta.alias("beta"), "r2")
 
 
 def linear_predict(x: Column, beta: Column) -> Column:

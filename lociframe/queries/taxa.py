@@ -216,3 +216,39 @@ def ridge_top_features(spark, sf):
     features = table(spark, sf, "embeddings").select(F.explode(F.sequence(F.lit(0), F.size("embedding") - 1)).alias("f_idx")).distinct()
     features = features.withColumn("clade", F.concat(F.lit("dim_"), "f_idx"))
     return mb.top_features(model, features).withColumn("coefficient", r("coefficient"))
+
+
+@query(
+    "ridge_two_features",
+    """WITH r AS (SELECT vec_id AS row_no, label::DOUBLE AS y, embedding[1]::DOUBLE AS x1, embedding[2]::DOUBLE AS x2 FROM embeddings),
+n AS (SELECT count(*) AS n FROM r),
+o AS (SELECT -1 AS k, 0 AS ha, 0 AS hb UNION ALL
+  SELECT f, f * (n // 5) + least(f, n % 5), (f + 1) * (n // 5) + least(f + 1, n % 5) FROM n, (VALUES (0), (1), (2), (3), (4)) v(f)),
+t AS (SELECT k, r.*, row_no - CASE WHEN row_no >= hb THEN hb - ha ELSE 0 END AS rr, (SELECT n FROM n) - (hb - ha) AS m FROM r, o
+  WHERE NOT (row_no >= ha AND row_no < hb)),
+f AS (SELECT *, CASE WHEN rr < (m % 5) * (m // 5 + 1) THEN rr // (m // 5 + 1) ELSE m % 5 + (rr - (m % 5) * (m // 5 + 1)) // (m // 5) END AS fold FROM t),
+s AS (SELECT k, fold, count(*) AS c, sum(x1) AS a, sum(x2) AS b, sum(y) AS e, sum(x1 * x1) AS aa, sum(x1 * x2) AS ab, sum(x2 * x2) AS bb,
+  sum(x1 * y) AS ae, sum(x2 * y) AS be FROM f GROUP BY ALL),
+w AS (SELECT k, sum(c) AS c, sum(a) AS a, sum(b) AS b, sum(e) AS e, sum(aa) AS aa, sum(ab) AS ab, sum(bb) AS bb, sum(ae) AS ae, sum(be) AS be FROM s GROUP BY k),
+tr AS (SELECT k, fold, w.c - s.c AS c, w.a - s.a AS a, w.b - s.b AS b, w.e - s.e AS e, w.aa - s.aa AS aa, w.ab - s.ab AS ab, w.bb - s.bb AS bb,
+    w.ae - s.ae AS ae, w.be - s.be AS be FROM w JOIN s USING (k)
+  UNION ALL SELECT k, -1, c, a, b, e, aa, ab, bb, ae, be FROM w),
+z AS (SELECT k, fold, i, alpha, a / c AS ma, b / c AS mb, e / c AS me, aa - a * a / c + alpha AS p, ab - a * b / c AS q, bb - b * b / c + alpha AS u,
+  ae - a * e / c AS g, be - b * e / c AS h FROM tr, (VALUES (0, 0.01::DOUBLE), (1, 0.1), (2, 1.0), (3, 10.0), (4, 100.0)) v(i, alpha)),
+m AS (SELECT k, fold, i, alpha, (g * u - h * q) / (p * u - q * q) AS b1, (h * p - g * q) / (p * u - q * q) AS b2,
+  me - ma * (g * u - h * q) / (p * u - q * q) - mb * (h * p - g * q) / (p * u - q * q) AS b0 FROM z),
+sc AS (SELECT k, fold, i, 1 - sum((y - b0 - b1 * x1 - b2 * x2) ^ 2) / (sum(y * y) - sum(y) ^ 2 / count(*)) AS r2 FROM f JOIN m USING (k, fold) GROUP BY ALL),
+best AS (SELECT k, i FROM (SELECT k, i, avg(r2) AS r2 FROM sc GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY k ORDER BY r2 DESC, i) = 1),
+held AS (SELECT k, 1 - sum((y - b0 - b1 * x1 - b2 * x2) ^ 2) / (sum(y * y) - sum(y) ^ 2 / count(*)) AS r2
+  FROM o JOIN best USING (k) JOIN m USING (k, i) JOIN r ON row_no >= ha AND row_no < hb WHERE fold = -1 GROUP BY k)
+SELECT CAST(k AS INTEGER) AS outer_fold, alpha, round(r2, 6) AS r2, round(b0, 6) AS intercept, round(b1, 6) AS coef_1, round(b2, 6) AS coef_2
+FROM best JOIN m USING (k, i) LEFT JOIN held USING (k) WHERE fold = -1""",
+)
+def ridge_two_features(spark, sf):
+    """The whole nested choice of a penalty, on two features, which have a closed form."""
+    rows, n, _ = ridge_inputs(spark, sf)
+    models = mb.ridge_cv(rows.withColumn("x", F.slice("x", 1, 2)), n, 2)
+    beta = lambda i: r(F.get("beta", i))
+    return models.select(
+        F.col("outer").alias("outer_fold"), "alpha", r("r2").alias("r2"), beta(0).alias("intercept"), beta(1).alias("coef_1"), beta(2).alias("coef_2")
+    )

@@ -256,9 +256,9 @@ def numpy_ridge_cv(x, y, alphas, folds):
     return out
 
 
-def test_nested_ridge_matches_numpy(spark):
+@pytest.mark.parametrize(("n", "p"), [(53, 7), (31, 1100)])
+def test_nested_ridge_matches_numpy(spark, n, p):
     rng = np.random.default_rng(2)
-    n, p = 53, 7
     x = rng.normal(size=(n, p))
     y = x @ rng.normal(size=p) + rng.normal(0, 2, n)
     rows_in = spark.createDataFrame([(i, float(y[i]), x[i].tolist()) for i in range(n)], "row_no long, y double, x array<double>")
