@@ -3,23 +3,41 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lociframe.fixed_values import ANN_FIELDS, EXONIC_EFFECTS
 from lociframe.functions import genotypes as gt
 from lociframe.functions.text import contains_any, is_fusion_name
-from lociframe.plans.picks import first_by, last_by
 
 
-def explode_annotations(variants: DataFrame, ann: str = "ann_text") -> DataFrame:
-    """One row per annotation with `ann_idx` and the named fields; variants without text give no row."""
-    fields = F.split("_a", r"\|")
+def explode_annotations(variants: DataFrame, ann: str = "ann_text", keep: Sequence[str] = ()) -> DataFrame:
+    """One row per annotation with `ann_idx` and the named fields; variants without text give no row.
+
+    `keep` names impacts: annotations of others are dropped by a test of their text, before it is split. The split is
+    made once per annotation, and reading a field is an array access.
+    """
     rows = variants.where(F.length(ann) > 0).select("*", F.posexplode(F.split(ann, ",")).alias("ann_idx", "_a"))
-    return rows.withColumn("n_fields", F.size(fields)).select(
-        "*", *[F.get(fields, i).alias(name) for i, name in enumerate(ANN_FIELDS)]
-    ).drop("_a", ann)
+    if keep:
+        rows = rows.where(reduce(or_, [F.col("_a").contains(f"|{impact}|") for impact in keep]))
+    # An explode of one element keeps the split from being repeated for every field that is read.
+    rows = rows.select(*[c for c in rows.columns if c not in ("_a", ann)], F.explode(F.array(F.split("_a", r"\|"))).alias("_f"))
+    named = [F.get("_f", i).alias(name) for i, name in enumerate(ANN_FIELDS)]
+    return rows.select("*", F.size("_f").alias("n_fields"), *named).drop("_f")
+
+
+def order_number(df: DataFrame, order: Sequence[str], width: int = 1 << 20) -> Column:
+    """One number that orders like `order`, a whole number and the place within it (below `width`), so that its minimum
+    is a hash aggregate; other kinds of columns stay a struct, whose minimum sorts."""
+    first, place = order
+    kind = df.schema[first].dataType
+    if not isinstance(kind, (T.IntegralType, T.DecimalType)):
+        return F.struct(*order)
+    return (F.col(first).cast("decimal(31,0)") * F.lit(width).cast("decimal(7,0)") + F.col(place)).cast("decimal(38,0)")
 
 
 def base_effect(effect: Column) -> Column:
@@ -37,12 +55,17 @@ def drop_fusion_genes(annotations: DataFrame) -> DataFrame:
 
 
 def gene_extents(annotations: DataFrame, keys: Sequence[str] = ("sample_id",), order: Sequence[str] = ("ord", "ann_idx")) -> DataFrame:
-    """Gene intervals from all annotated sites; name, chromosome and biotype as first seen."""
-    first = F.struct(F.struct(*order).alias("gene_ord"), F.col("gene_name").alias("name"), "chrom", "biotype")
+    """Gene intervals from all annotated sites; name, chromosome and biotype as first seen (`gene_ord`).
+
+    Rows are reduced to one per gene and way of naming it first, with plain minima, and only those are compared whole.
+    """
+    named = ["gene_name", "chrom", "biotype"]
+    spread = F.min("pos").alias("start"), F.max("pos").alias("end"), F.min(order_number(annotations, order)).alias("gene_ord")
+    few = drop_fusion_genes(annotations).groupBy(*keys, "gene_id", *named).agg(*spread)
+    first = F.struct("gene_ord", F.col("gene_name").alias("name"), "chrom", "biotype")
     return (
-        drop_fusion_genes(annotations)
-        .groupBy(*keys, "gene_id")
-        .agg(F.min(first).alias("_first"), F.min("pos").alias("start"), F.max("pos").alias("end"))
+        few.groupBy(*keys, "gene_id")
+        .agg(F.min(first).alias("_first"), F.min("start").alias("start"), F.max("end").alias("end"))
         .select(*keys, "gene_id", "_first.*", "start", "end")
         .withColumn("strand", F.lit("+"))
     )
@@ -58,52 +81,42 @@ def attach_af(
 ) -> DataFrame:
     """Panel frequency by position and ALT text; the last call with a readable frequency wins.
 
-    `calls` carries the ALT text in `alt` and the first listed frequency in `af`. Calls without a variant are left out
-    before the pick, which sorts what it gets.
+    `calls` carries the ALT text in `alt` and the first listed frequency in `af`. The pick is an aggregate of two numbers
+    per key, so the calls shrink before they are shuffled, and `variants` is read once.
     """
-    usable = calls.where(F.col("af").isNotNull()).select(*keys, "af", ord_col)
-    usable = usable.join(variants.select(*keys).distinct(), list(keys), "left_semi")
-    return variants.join(last_by(usable, list(keys), [ord_col]).drop(ord_col), list(keys), "left")
+    usable = calls.where(F.col("af").isNotNull())
+    last = usable.groupBy(*keys).agg(F.max_by("af", ord_col).alias("af"))
+    return variants.join(last, list(keys), "left")
 
 
-def best_effect(variants: DataFrame, ann: str = "ann_text", alt: str = "alt") -> DataFrame:
-    """HIGH before MODERATE per variant and gene, the earlier annotation on ties: ann_idx, gene_name, impact, effect.
+SITE = ("sample_id", "chrom", "pos", "ref", "alt")
 
-    The annotation must be for the full ALT text, so a multi-allelic ALT never matches. A variant carries all its
-    annotations in one text, so the choice is made on an array inside the row, without a shuffle.
-    """
 
-    def read(f, i):
-        rank = F.when(F.get(f, 2) == "HIGH", 0).when(F.get(f, 2) == "MODERATE", 1)
-        return F.struct(
-            rank.alias("rank"),
-            i.alias("ann_idx"),
-            F.get(f, 3).alias("gene_name"),
-            F.get(f, 2).alias("impact"),
-            F.get(f, 1).alias("effect"),
-            F.get(f, 0).alias("allele"),
-        )
-
-    def usable(x):
-        return x["rank"].isNotNull() & (F.coalesce(x["gene_name"], F.lit("")) != "") & (x["allele"] == F.col(alt))
-
-    # Split once per annotation, then read the fields: lambdas do not share sub-expressions.
-    split = F.transform(F.split(ann, ","), lambda text: F.split(text, r"\|"))
-    rows = variants.withColumn("_a", F.array_sort(F.filter(F.transform(split, read), usable)))
-    rows = rows.withColumn("_g", F.transform("_a", lambda x: x["gene_name"]))
-    first_of_gene = F.filter("_a", lambda x, i: F.array_position(F.col("_g"), x["gene_name"]) == i + 1)
-    return (
-        rows.withColumn("_x", F.explode(first_of_gene))
-        .select(*[c for c in variants.columns if c != ann], "_x.ann_idx", "_x.gene_name", "_x.impact", "_x.effect")
-    )
+def listed_effects(variants: DataFrame, alt: str = "alt") -> DataFrame:
+    """HIGH and MODERATE annotations that name a gene and are for the full ALT text, so a multi-allelic ALT never matches."""
+    rows = explode_annotations(variants, keep=("HIGH", "MODERATE"))
+    named = F.col("impact").isin("HIGH", "MODERATE") & (F.coalesce("gene_name", F.lit("")) != "") & (F.col("allele") == F.col(alt))
+    fields = [c for c in variants.columns if c != "ann_text"]
+    return rows.where(named).select(*fields, "ann_idx", "gene_name", "impact", "effect")
 
 
-def dedupe_effects(
-    effects: DataFrame,
-    keys: Sequence[str] = ("sample_id", "chrom", "pos", "ref", "alt", "gene_name", "impact"),
-    order: Sequence[str] = ("ord", "ann_idx"),
-) -> DataFrame:
-    return first_by(effects, list(keys), list(order))
+def best_effect(variants: DataFrame, ord_col: str = "ord") -> DataFrame:
+    """HIGH before MODERATE per variant (`ord_col` and what it has of SITE) and gene, the earlier annotation on ties: the
+    columns of `variants` without its text, ann_idx, gene_name, impact, effect.
+
+    Rows are dealt out by site and gene, which `dedupe_effects` asks for as well, so both picks share one shuffle.
+    """
+    keys = [c for c in SITE if c in variants.columns]
+    rows = listed_effects(variants).repartition(*keys, "gene_name")
+    rank = F.when(F.col("impact") == "HIGH", 0).otherwise(1)
+    own = Window.partitionBy(*keys, "gene_name", ord_col).orderBy(rank, "ann_idx")
+    return rows.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
+
+
+def dedupe_effects(effects: DataFrame, keys: Sequence[str] = SITE, order: Sequence[str] = ("ord", "ann_idx")) -> DataFrame:
+    """One row per site, gene and impact, the first in file order."""
+    own = Window.partitionBy(*keys, "gene_name", "impact").orderBy(*order)
+    return effects.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
 
 
 def rare_count(af: Column, zygosity: Column, threshold: float) -> Column:

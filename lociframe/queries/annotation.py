@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from lociframe.operators import annotation as ann
@@ -44,6 +46,13 @@ effects AS (SELECT d.*, f.af, split_part(effect, '&', 1) AS base_effect
   FROM dedup d LEFT JOIN freq f USING (sample_id, chrom, pos, alt))"""
 
 
+def ordinal():
+    """A number that orders lines by order, line, part, supplier and price."""
+    front = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("decimal(11,0)")
+    rest = (F.col("l_partkey") * 100_000 + F.col("l_suppkey")) * 100_000_000 + F.round(F.col("l_extendedprice") * 100).cast("long")
+    return (front * F.lit(Decimal(10**19)) + rest.cast("decimal(20,0)")).cast("decimal(31,0)")
+
+
 def variants(spark, sf):
     """Lines of annotated calls with the annotation as text."""
     line = table(spark, sf, "lineitem")
@@ -71,7 +80,7 @@ def variants(spark, sf):
         F.lit("A").alias("ref"),
         alt.alias("alt"),
         F.element_at(codes, F.col("l_linenumber")).alias("gt"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("ord"),
+        ordinal().alias("ord"),
         text.alias("ann_text"),
         F.when(F.col("l_linenumber") != 3, F.col("l_tax")).alias("af"),
     )
