@@ -88,5 +88,41 @@ def test_query_matches_sql(spark, name):
 
 def test_every_operator_has_its_query():
     found = sorted(int(n[2:].split("_")[0]) for n in queries() if n.startswith("op") and n[2:].split("_")[0].isdigit())
-    assert found == list(range(1, 11)) and "pipeline" in queries()
+    assert found == list(range(1, 14)) and "pipeline" in queries()
     assert {n for n in oracle_sql() if n.startswith("op")} >= {"op1_license_scan", "op3_secret_scan", "op8_benchmark_decontamination", "op10_url_filter"}
+
+
+def test_near_copies_of_template_families(spark, make_docs):
+    """Families of texts from one template, against all pairs with an exact similarity of 0.8 or more."""
+    import random
+
+    from lociframe.llm import nearcopies
+
+    rng, texts = random.Random(12), []
+    words = [f"w{k}" for k in range(400)]
+    for _ in range(6):
+        base = [rng.choice(words) for _ in range(90)]
+        for _ in range(25):
+            edited = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 3, 6])):
+                edited[rng.randrange(90)] = rng.choice(words)
+            texts.append(" ".join(edited))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(86)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    linked = 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                linked += 1
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    classes = {find(k) for k in range(len(texts))}
+    kept = {r.doc_id for r in nearcopies.keep_one(make_docs([(k, t, "en", "a") for k, t in enumerate(texts)])).collect()}
+    assert classes <= kept  # nothing but near copies goes
+    gone = len(texts) - len(classes)
+    assert linked > 300 and len(texts) - len(kept) >= 0.95 * gone, (len(kept), len(classes), gone)
