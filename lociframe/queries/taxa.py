@@ -218,9 +218,8 @@ def ridge_top_features(spark, sf):
     return mb.top_features(model, features).withColumn("coefficient", r("coefficient"))
 
 
-@query(
-    "ridge_two_features",
-    """WITH r AS (SELECT vec_id AS row_no, label::DOUBLE AS y, embedding[1]::DOUBLE AS x1, embedding[2]::DOUBLE AS x2 FROM embeddings),
+# The whole nested choice of a penalty on two features, which have a closed form: `best` penalty and model `m` per outer fold.
+RIDGE_TWO = """WITH r AS (SELECT vec_id AS row_no, label::DOUBLE AS y, {x1} AS x1, {x2} AS x2 FROM embeddings),
 n AS (SELECT count(*) AS n FROM r),
 o AS (SELECT -1 AS k, 0 AS ha, 0 AS hb UNION ALL
   SELECT f, f * (n // 5) + least(f, n % 5), (f + 1) * (n // 5) + least(f + 1, n % 5) FROM n, (VALUES (0), (1), (2), (3), (4)) v(f)),
@@ -240,9 +239,21 @@ m AS (SELECT k, fold, i, alpha, (g * u - h * q) / (p * u - q * q) AS b1, (h * p
 sc AS (SELECT k, fold, i, 1 - sum((y - b0 - b1 * x1 - b2 * x2) ^ 2) / (sum(y * y) - sum(y) ^ 2 / count(*)) AS r2 FROM f JOIN m USING (k, fold) GROUP BY ALL),
 best AS (SELECT k, i FROM (SELECT k, i, avg(r2) AS r2 FROM sc GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY k ORDER BY r2 DESC, i) = 1),
 held AS (SELECT k, 1 - sum((y - b0 - b1 * x1 - b2 * x2) ^ 2) / (sum(y * y) - sum(y) ^ 2 / count(*)) AS r2
-  FROM o JOIN best USING (k) JOIN m USING (k, i) JOIN r ON row_no >= ha AND row_no < hb WHERE fold = -1 GROUP BY k)
-SELECT CAST(k AS INTEGER) AS outer_fold, alpha, round(r2, 6) AS r2, round(b0, 6) AS intercept, round(b1, 6) AS coef_1, round(b2, 6) AS coef_2
+  FROM o JOIN best USING (k) JOIN m USING (k, i) JOIN r ON row_no >= ha AND row_no < hb WHERE fold = -1 GROUP BY k)"""
+
+
+def ridge_two(x1: str, x2: str, select: str) -> str:
+    return RIDGE_TWO.format(x1=x1, x2=x2) + "\n" + select
+
+
+@query(
+    "ridge_two_features",
+    ridge_two(
+        "embedding[1]::DOUBLE",
+        "embedding[2]::DOUBLE",
+        """SELECT CAST(k AS INTEGER) AS outer_fold, alpha, round(r2, 6) AS r2, round(b0, 6) AS intercept, round(b1, 6) AS coef_1, round(b2, 6) AS coef_2
 FROM best JOIN m USING (k, i) LEFT JOIN held USING (k) WHERE fold = -1""",
+    ),
 )
 def ridge_two_features(spark, sf):
     """The whole nested choice of a penalty, on two features, which have a closed form."""
@@ -252,3 +263,40 @@ def ridge_two_features(spark, sf):
     return models.select(
         F.col("outer").alias("outer_fold"), "alpha", r("r2").alias("r2"), beta(0).alias("intercept"), beta(1).alias("coef_1"), beta(2).alias("coef_2")
     )
+
+
+SHARES = ["log10(CASE WHEN abs(embedding[%d]) < 0.05 THEN 0 ELSE abs(embedding[%d])::DOUBLE END + 0.00001)" % (i, i) for i in (1, 2)]
+
+
+def share_model(spark, sf):
+    """Two features as shares of a profile, of which small ones are absent: the profile's rows, the features, the model."""
+    long = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("sample_id"), F.col("label").cast("double").alias("y"), F.posexplode(F.slice("embedding", 1, 2)).alias("f_idx", "e")
+    ).withColumn("v", F.abs("e").cast("double"))
+    value = mb.log_abundance(F.when(F.col("v") < F.lit(0.05).cast("float"), 0.0).otherwise(F.col("v")))
+    rows = long.groupBy(F.col("sample_id").alias("row_no"), "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("f_idx", value.alias("x")))), lambda p: p["x"]).alias("x"))
+    features = spark.createDataFrame([("a", 0), ("b", 1)], "clade string, f_idx int")
+    profile = long.where(F.col("v") >= F.lit(0.05).cast("float")).join(features, "f_idx").select("sample_id", "clade", F.col("v").alias("abundance"))
+    model = mb.ridge_cv(rows, rows.count(), 2).where(F.col("outer") == -1).select("beta")
+    return long.select("sample_id").distinct(), profile, features, model
+
+
+@query(
+    "ridge_two_ages",
+    ridge_two(*SHARES, "SELECT row_no AS sample_id, round(b0 + b1 * x1 + b2 * x2, 6) AS predicted FROM r, best JOIN m USING (k, i) WHERE k = -1 AND fold = -1"),
+)
+def ridge_two_ages(spark, sf):
+    """Values predicted from a profile without its absent features."""
+    samples, profile, features, model = share_model(spark, sf)
+    return mb.predict_age(features, samples, profile, model).withColumn("predicted", r("predicted"))
+
+
+@query(
+    "ridge_two_top",
+    ridge_two(*SHARES, """SELECT CASE WHEN abs(b1) >= abs(b2) THEN 'a' ELSE 'b' END AS clade,
+  round(CASE WHEN abs(b1) >= abs(b2) THEN b1 ELSE b2 END, 6) AS coefficient FROM best JOIN m USING (k, i) WHERE k = -1 AND fold = -1"""),
+)
+def ridge_two_top(spark, sf):
+    """The feature with the largest coefficient."""
+    _, _, features, model = share_model(spark, sf)
+    return mb.top_features(model, features, 1).select("clade", r("coefficient").alias("coefficient"))
