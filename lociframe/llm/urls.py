@@ -133,12 +133,14 @@ def entry_column(host: Column, path: Column, sent: list[list[str]], ask: Callabl
         arrays = [DigestArray([SparkFiles.get(n) for n in own]) for own in sent]
 
         def run(urls: pa.Array) -> pa.Array:
-            found = longest([ask(*url.split(_SEP, 1)) for url in urls.to_pylist()], arrays)
+            # a host holds no slash, and a path is empty or begins with one
+            parts = [url.partition("/") for url in urls.to_pylist()]
+            found = longest([ask(host, slash + rest) for host, slash, rest in parts], arrays)
             return pa.array([f and {"entry": f[0], "verdict": f[1]} for f in found], pa.struct([("entry", pa.string()), ("verdict", pa.string())]))
 
         return run
 
-    return text_function(make, RESULT)(F.concat(host, F.lit(_SEP), path))
+    return text_function(make, RESULT)(F.concat(host, path))
 
 
 def judge(pages: DataFrame, rules: dict[str, str] = RULES, blocked: tuple[str, ...] = BLOCKED_WORDS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:

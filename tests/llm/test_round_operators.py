@@ -229,3 +229,11 @@ def test_long_texts(make_docs):
     docs = make_docs([(k, long, "en", "a") for k in range(5)])
     got = {r.doc.doc_id: r.n_dropped for r in ld.dedupe_lines(docs).select("doc", "n_dropped").collect()}
     assert got == {4: 0, **{k: 20_000 for k in range(4)}}
+
+
+def test_control_characters_in_urls(spark):
+    from lociframe.llm import urls
+
+    given = [("http://evil\x1f.com/fr/x", "com/fr/"), ("http://com/fr/\x1f", "com/fr/"), ("http://\x1f.com/en", None), ("x://a.com", None), ("http://a.com/fr/?/de/", "com/fr/")]
+    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(given)], "page_id long, url string")
+    assert [r.rule for r in sorted(urls.judge(pages).collect(), key=lambda r: r.page_id)] == [rule for _, rule in given]
