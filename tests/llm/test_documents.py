@@ -192,7 +192,7 @@ def test_token_counts_round_trip(make_docs):
     assert got.count() == sum(len(to.count(t or "", encode, "most")) for t in texts)
 
 
-def test_crossing_tokens_follow_the_rule():
+def test_crossing_tokens_follow_the_rule(spark):  # F.col needs a session
     ends, bounds = np.array([2, 6, 7, 12]), np.array([5, 8, 9])
     plain = {"first": [], "last": [], "most": []}
     edges = [0, 5, 8, 9, 12]
