@@ -48,6 +48,8 @@ TERMS = [round(c * math.log2(c) * _POINT) if c else 0 for c in range(WINDOW + 1)
 #: Largest sum of terms at which a window reaches the threshold of its class.
 LIMITS = {k: round((math.log2(WINDOW) - bits) * WINDOW * _POINT) for k, bits in THRESHOLDS.items()}
 MASK = "[SECRET]"
+BLOCK = 128  # elements that a running fold takes at once
+STRETCH = 1024  # code points of a piece of a text that is masked
 
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -56,18 +58,45 @@ def _no_spans() -> Column:
     return F.array().cast(_SPAN)
 
 
+def _let(value: Column, fn) -> Column:
+    """`fn` of a value that is computed once; a plain expression inside a lambda runs again for every element."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
+def running(values: Column, zero: Column, combine) -> Column:
+    """What `combine` makes of all elements in front of each element, `zero` for the first.
+
+    A fold that appends to its result copies it at every step, so only blocks of BLOCK elements are folded that way.
+    """
+
+    def fold(items, start):
+        begin = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, x: F.struct(combine(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(items, begin, step, lambda acc: acc["out"])
+
+    def of(v):
+        numbers = F.filter(F.sequence(F.lit(0), F.floor(F.size(v) / BLOCK).cast("int")), lambda k: k * BLOCK < F.size(v))
+        blocks = F.transform(numbers, lambda k: F.slice(v, k * BLOCK + 1, F.lit(BLOCK)))
+        whole = lambda bs: fold(F.transform(bs, lambda b: F.aggregate(b, zero, combine)), zero)
+        return _let(blocks, lambda bs: _let(whole(bs), lambda offsets: F.flatten(F.transform(bs, lambda b, k: fold(b, F.get(offsets, k))))))
+
+    return _let(values, of)
+
+
 def _placed(text: Column, pattern: str) -> Column:
     """start, match for every leftmost non-overlapping match."""
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.transform(F.split(text, pattern, -1), F.length)
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string>>").alias("out"))
+    rows = F.zip_with(found, gaps, lambda m, gap: F.struct(m.alias("match"), gap.alias("gap")))
+    # The last gap has no match behind it.
+    rows = F.filter(rows, lambda r: r["match"].isNotNull())
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        return F.struct((start + F.length(x["match"])).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), x["match"].alias("match")))).alias("out"))
+    def place(rs):
+        sizes = F.transform(rs, lambda r: r["gap"] + F.length(r["match"]))
+        starts = running(sizes, F.lit(0), lambda at, size: at + size)
+        return F.zip_with(rs, starts, lambda r, at: F.struct((at + r["gap"]).alias("start"), r["match"].alias("match")))
 
-    rows = F.transform(found, lambda m, i: F.struct(F.get(sizes, i).alias("gap"), m.alias("match")))
-    return F.aggregate(rows, empty, step, lambda acc: acc["out"])
+    return _let(rows, place)
 
 
 def _span(start: Column, kind: int, end: Column) -> Column:
@@ -91,7 +120,10 @@ def hot_windows(candidate: Column) -> Column:
         F.lit(None).cast("int").alias("last"),
     )
     slots = F.transform(chars, lambda c: F.position(c, F.lit(ALPHABET)) - 1)
-    steps = F.transform(slots, lambda s, i: F.struct(s.alias("come"), F.when(i >= WINDOW, F.get(slots, i - WINDOW)).otherwise(-1).alias("go"), i.alias("i")))
+    # Each character next to the one that leaves when it enters.
+    late = lambda s: F.slice(F.concat(F.array_repeat(F.lit(-1), WINDOW), s), F.lit(1), F.size(s))
+    pairs = lambda s: F.zip_with(s, late(s), lambda come, go: F.struct(come.alias("come"), go.alias("go")))
+    steps = F.transform(_let(slots, pairs), lambda p, i: F.struct(p["come"].alias("come"), p["go"].alias("go"), i.alias("i")))
 
     def watch(acc, x):
         come, go = x["come"], x["go"]
@@ -145,16 +177,25 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """`text` with every stretch that spans cover replaced by MASK; overlapping and touching spans are one stretch."""
-    start = F.struct(F.lit(-1).alias("at"), F.array().cast("array<string>").alias("out"))
+    """`text` with every stretch that spans cover replaced by MASK; overlapping and touching spans are one stretch.
+
+    The text is cut into pieces of STRETCH code points, so that taking a part of it does not read it from its start.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s).{1,%d}" % STRETCH), F.lit(0))
+    number = lambda at: F.floor(at / STRETCH).cast("int")
+
+    def between(cuts, a, b):
+        held = F.slice(cuts, number(a) + 1, number(b) - number(a) + 1)
+        return F.substring(F.array_join(held, ""), a - number(a) * STRETCH + 1, b - a)
 
-    def step(acc, s):
-        new = s["start"] > acc["at"]
-        piece = F.concat(F.substring(text, F.greatest(acc["at"], F.lit(0)) + 1, s["start"] - F.greatest(acc["at"], F.lit(0))), F.lit(MASK))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
+    def kept(cuts):
+        before = running(F.transform(spans, lambda s: s["end"]), F.lit(-1), lambda at, end: F.greatest(at, end))
+        reached = F.zip_with(spans, before, lambda s, at: F.struct(at.alias("at"), s["start"].alias("start")))
+        begins = F.filter(reached, lambda r: r["start"] > r["at"])
+        parts = F.transform(begins, lambda r: F.concat(between(cuts, F.greatest(r["at"], F.lit(0)), r["start"]), F.lit(MASK)))
+        return F.concat(F.array_join(parts, ""), between(cuts, F.array_max(F.transform(spans, lambda s: s["end"])), F.length(text)))
 
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, F.greatest(acc["at"], F.lit(0)) + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(text)
+    return F.when(F.size(spans) > 0, _let(pieces, kept)).otherwise(text)
 
 
 def mask_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
