@@ -16,9 +16,8 @@ rows repeat; labels that are null teach nothing. Chunks bound the memory for ver
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +35,8 @@ LEVEL, STRONG_LEVEL = 3, 12
 SURE, SURE_BYTES = 0.05, 6
 MARGIN, MARGIN_BYTES = 0.005, 1
 RESULT = "lang_pred string, score double, rejected boolean"
-_OTHER = re.compile(r"[\W\d_]+")
+#: Letters only: fractions, superscripts and Roman-numeral signs are word characters, but no letters.
+_OTHER = regex.compile(r"\P{L}+")
 
 
 def normal_form(text: str) -> bytes:

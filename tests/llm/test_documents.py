@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from lociframe.llm import language as la
@@ -118,6 +119,36 @@ def test_language_never_reads_held_out_labels(make_docs):
     assert sorted(map(str, la.identify(docs).collect())) == sorted(map(str, la.identify(wrong).collect()))
 
 
+def test_language_matches_a_plain_classifier(make_docs):
+    own = {k: prose(("en", "de", "fr")[k % 3], k, 2 + k % 7 * 40) for k in range(60)}
+    own |= {100: "½ ²", 101: "Ⅷ ① ٣", 102: "straße ½", 103: "12 ³", 104: "e\u0301te\u0301", 105: "die" * 5000, 106: None}
+    docs = make_docs([(k, t, ("en", "de", "fr")[k % 3], "a") for k, t in own.items()])
+    learned = la.learn(docs.where(~la.held_out()))
+
+    def judged(text):
+        data = " ".join("".join(c if c.isalpha() else " " for c in (text or "").lower()).split()).encode()
+        if not data:
+            return "und", 0.0
+        n = -(-len(data) // la.CHUNK_BYTES)
+        chunks = [data[len(data) * k // n : len(data) * (k + 1) // n] for k in range(n)]
+        for level in (la.LEVEL, la.STRONG_LEVEL):
+            sizes = {}
+            for label, raw in learned.items():
+                words = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                packer = zstandard.ZstdCompressor(level=level, dict_data=words, write_content_size=False, write_dict_id=False)
+                sizes[label] = sum(len(packer.compress(c)) for c in chunks)
+            first, second = sorted(sizes.values())[:2]
+            if second - first >= max(la.SURE_BYTES, la.SURE * first):
+                break
+        return min(sizes, key=lambda k: (sizes[k], k)), 1 / sum(2.0 ** -min(v - first, 60) for v in sizes.values())
+
+    found = as_dict(la.identify(docs))
+    for k, text in own.items():
+        want, score = judged(text)
+        assert found[k].lang_pred == want and abs(found[k].score - score) < 1e-9, text
+    assert [found[k].lang_pred for k in (100, 101, 103, 106)] == ["und"] * 4
+
+
 def test_language_borders(awkward, no_docs, make_docs):
     rows = la.identify(awkward).collect()
     assert len(rows) == awkward.count()
