@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +23,8 @@ from lociframe.operators import reads as rd
 from lociframe.operators import regions as reg
 from lociframe.operators import scores as sc
 from lociframe.sinks import documents as docs
-from lociframe.sinks.publish import exists, load, publish, save
+from lociframe.sinks import publish as store
+from lociframe.sinks.publish import exists, load
 from lociframe.sources.jsondocs import extract_read_stats
 from lociframe.sources.taxa import is_genus, is_species
 
@@ -34,27 +35,51 @@ MEGABASE = 1_000_000
 class Cohort:
     """Inputs by name, an internal table folder and a document folder.
 
-    Reference inputs and outputs are separate folders, so no stage reads a path it is writing.
+    Reference inputs and outputs are separate folders, so no stage reads a path it is writing. Inside a run (`begin` to
+    `finish`) tables and documents are written under the run's number and become visible together; documents are
+    published from the committed tables. Outside of one, each table is committed on its own.
     """
 
     spark: SparkSession
     inputs: dict[str, DataFrame]
     tables: str
     public: str
+    run_no: int | None = None
+    written: list[tuple[str, DataFrame]] = field(default_factory=list)
 
     def of(self, name: str, samples: DataFrame) -> DataFrame:
         """Rows of an input for the given samples."""
         return self.inputs[name].join(samples.select("sample_id"), "sample_id", "left_semi")
 
     def stored(self, name: str, samples: DataFrame) -> DataFrame:
-        """Rows of an earlier stage's table for the given samples."""
-        return load(self.spark, name, self.tables).join(samples.select("sample_id"), "sample_id", "left_semi")
+        """Rows of an earlier stage's table, or of one that this run has written, for the given samples."""
+        mine = [of for table, of in self.written if table == name]
+        own = (self.run_no, mine[-1]) if mine else None
+        return load(self.spark, name, self.tables, own).join(samples.select("sample_id"), "sample_id", "left_semi")
 
     def keep(self, df: DataFrame, name: str, samples: DataFrame) -> None:
-        save(df, name, self.tables, samples)
+        if self.run_no is None:
+            store.save(df, name, self.tables, samples)
+        else:
+            store.write_version(df, name, self.tables, samples, self.run_no)
+            self.written.append((name, samples))
 
     def show(self, df: DataFrame, name: str, samples: DataFrame) -> None:
-        publish(df, name, self.public, samples)
+        if self.run_no is None:
+            store.publish(df, name, self.public, samples)
+        else:
+            self.keep(df, store.DOCUMENT + name, samples)
+
+    def begin(self) -> None:
+        """Open a run; what an earlier run wrote without a commit is forgotten, what it committed is published."""
+        store.publish_committed(self.spark, self.tables, self.public)
+        self.run_no, self.written = store.new_run(self.spark, self.tables), []
+
+    def finish(self) -> None:
+        """Commit the run, then publish its documents."""
+        store.commit(self.spark, self.tables, self.run_no, self.written)
+        self.run_no, self.written = None, []
+        store.publish_committed(self.spark, self.tables, self.public)
 
 
 def read_spans(reads: DataFrame) -> DataFrame:
@@ -338,8 +363,14 @@ def run(c: Cohort, samples: DataFrame, stages: list[int] | None = None, skip_don
         due = pending(c, samples, number, skip_done)
         if due.isEmpty():
             continue
-        STAGES[number](c, due)
-        c.keep(due.select("sample_id", F.lit(number).alias("stage")), f"done_{number}", due)
+        c.begin()
+        try:
+            STAGES[number](c, due)
+            c.keep(due.select("sample_id", F.lit(number).alias("stage")), f"done_{number}", due)
+        except BaseException:
+            c.run_no, c.written = None, []
+            raise
+        c.finish()
         worked.append(number)
     return worked
 

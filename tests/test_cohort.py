@@ -7,9 +7,10 @@ import pytest
 from cohort_data import build, samples_table
 from pyspark.sql import functions as F
 
+from lociframe import cohort as staged
 from lociframe.cohort import Cohort, build_panel, latest_regions, run
 from lociframe.sinks.documents import panel_document, region_document
-from lociframe.sinks.publish import load, publish, publish_panel, save
+from lociframe.sinks.publish import committed_runs, load, publish, publish_panel, save, tidy
 
 NAMES = ["S1", "S2"]
 DOCUMENTS = {
@@ -160,3 +161,64 @@ def test_regions_are_the_latest_of_each_sample(spark, tmp_path):
     part.keep(first_pass.where("sample_id = 'S2'").withColumn("disrupted_genes", F.array(F.lit("NEW"))), "regions_annotated", second)
     part.keep(second.select("sample_id", F.lit(10).alias("stage")), "done_10", second)
     assert genes() == {"S1": ["OLD"], "S2": ["NEW"]}
+
+
+class Killed(Exception):
+    pass
+
+
+def test_a_run_killed_between_two_tables_changes_nothing(spark, tmp_path, monkeypatch):
+    """Old tables and documents stay readable, another sample's too, and the next run is whole."""
+    part = Cohort(spark, {}, f"{tmp_path}/tables", f"{tmp_path}/public")
+    both = samples_table(spark, NAMES)
+    state = {"value": 1, "kill": None}
+
+    def stage(c, samples):
+        rows = samples.select("sample_id").withColumn("v", F.lit(state["value"]))
+        for name in ("one", "two"):
+            c.keep(rows, name, samples)
+            assert {r.v for r in c.stored(name, samples).collect()} == {state["value"]}
+            c.show(rows, f"{name}_result", samples)
+            if state["kill"] == name:
+                raise Killed
+
+    def seen():
+        stored = [sorted((r.sample_id, r.v) for r in load(spark, name, part.tables).collect()) for name in ("one", "two")]
+        shown = [sorted((s, d["v"]) for s in NAMES for d in read_documents(part.public, f"{name}_result", s)) for name in ("one", "two")]
+        assert stored == shown
+        return stored
+
+    monkeypatch.setattr(staged, "STAGES", {5: stage})
+    run(part, both)
+    assert seen() == [[("S1", 1), ("S2", 1)]] * 2
+    state.update(value=2, kill="one")
+    with pytest.raises(Killed):
+        run(part, both.where("sample_id = 'S2'"))
+    assert seen() == [[("S1", 1), ("S2", 1)]] * 2
+    # A new driver knows nothing of the killed run.
+    part = Cohort(spark, {}, part.tables, part.public)
+    state.update(value=3, kill=None)
+    run(part, both.where("sample_id = 'S2'"))
+    assert seen() == [[("S1", 1), ("S2", 3)]] * 2
+    assert len(committed_runs(spark, part.tables)) == 2
+    assert len(tidy(spark, "one", part.tables)) == 1 and tidy(spark, "two", part.tables) == []
+    assert seen() == [[("S1", 1), ("S2", 3)]] * 2
+
+
+def test_documents_of_a_committed_run_are_published_by_the_next(spark, tmp_path, monkeypatch):
+    part = Cohort(spark, {}, f"{tmp_path}/tables", f"{tmp_path}/public")
+    both = samples_table(spark, NAMES)
+    rows = both.select("sample_id").withColumn("v", F.lit(1))
+
+    def stop(*_):
+        raise Killed
+
+    part.begin()
+    part.show(rows, "one_result", both)
+    with monkeypatch.context() as m:
+        m.setattr(staged.store, "publish", stop)
+        with pytest.raises(Killed):
+            part.finish()
+    assert not Path(part.public).exists()
+    Cohort(spark, {}, part.tables, part.public).begin()
+    assert [read_documents(part.public, "one_result", s) for s in NAMES] == [[{"v": 1}]] * 2
