@@ -139,11 +139,13 @@ def stage_catalogue(c: Cohort, samples: DataFrame) -> None:
     catalogue = cat.drop_keys(c.inputs["catalogue"], "extra", c.inputs.get("private_keys", []))
     depth = c.stored("quality", samples).select("sample_id", F.col("genome_mean_depth").alias("mean_depth"))
     piled = rd.pileup(c.of("reads", samples), catalogue.where(F.col("pos").isNotNull()))
-    called = cat.genotype_catalogue(catalogue, c.of("calls", samples), depth, piled)
-    summary = cat.catalogue_summary(called).join(depth, "sample_id").withColumn(
+    c.keep(cat.sparse_catalogue(catalogue, c.of("calls", samples), depth, piled), "catalogue_calls", samples)
+    called = c.stored("catalogue_calls", samples)
+    defaults = cat.default_calls(catalogue, called, depth)
+    summary = cat.catalogue_summary(called, defaults=defaults).join(depth, "sample_id").withColumn(
         "read_fallback_used", F.col("mean_depth") >= cat.MIN_MEAN_DEPTH
     )
-    c.show(docs.catalogue_document(called, summary), "catalogue_result", samples)
+    c.show(docs.catalogue_document(called, defaults, catalogue, summary), "catalogue_result", samples)
 
 
 def single_alt_calls(c: Cohort, samples: DataFrame) -> DataFrame:

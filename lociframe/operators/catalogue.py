@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lociframe.functions import genotypes as gt
 from lociframe.operators.reads import call_from_counts
-from lociframe.plans.grid import every_pair
+from lociframe.plans.fill import absent
 from lociframe.plans.picks import first_by, last_by
 
 MIN_MEAN_DEPTH = 10
@@ -91,34 +91,82 @@ def call_with_fallback(rows: DataFrame, min_gp: float = 0.90, min_depth: float =
     )
 
 
-def genotype_catalogue(
-    catalogue: DataFrame, calls: DataFrame, samples: DataFrame, pileups: DataFrame, min_gp: float = 0.90
-) -> DataFrame:
-    """A call for every catalogue variant in every sample. `samples`: sample_id, mean_depth."""
+def sparse_rows(catalogue: DataFrame, calls: DataFrame, samples: DataFrame, pileups: DataFrame) -> DataFrame:
+    """Input rows of `call_with_fallback` for the pairs with a call or reads; their number follows the data."""
     found = lookup_catalogue(catalogue, calls).withColumn("in_panel", F.lit(True))
-    grid = every_pair(samples, catalogue, "cat_id")
-    rows = (
-        grid.join(found, ["cat_id", "sample_id"], "left")
+    placed = catalogue.select("cat_id", "chrom", "pos").where(F.col("pos").isNotNull())
+    piled = pileups.select("sample_id", "chrom", "pos", "counts", "total").join(placed, ["chrom", "pos"]).drop("chrom", "pos")
+    return (
+        found.join(piled, ["cat_id", "sample_id"], "full")
         .withColumn("in_panel", F.coalesce("in_panel", F.lit(False)))
-        .join(pileups.select("sample_id", "chrom", "pos", "counts", "total"), ["sample_id", "chrom", "pos"], "left")
         .withColumn("total", F.coalesce("total", F.lit(0)))
+        .join(samples.select("sample_id", "mean_depth"), "sample_id")
+        .join(catalogue, "cat_id")
+    )
+
+
+def sparse_catalogue(
+    catalogue: DataFrame, calls: DataFrame, samples: DataFrame, pileups: DataFrame, min_gp: float = 0.90
+) -> DataFrame:
+    """A call for every pair of a sample and a catalogue variant with a call or reads. `samples`: sample_id, mean_depth."""
+    return call_with_fallback(sparse_rows(catalogue, calls, samples, pileups), min_gp)
+
+
+def _without_evidence(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """Columns of a pair that has neither a call nor reads, in the types of `like`."""
+    types = dict(like.dtypes)
+    empty = {c: F.lit(None).cast(types[c]) for c in ("gt", "gp", "panel_af", "counts")}
+    return rows.withColumns({**empty, "in_panel": F.lit(False), "total": F.lit(0).cast(types["total"])})
+
+
+def default_calls(catalogue: DataFrame, sparse: DataFrame, samples: DataFrame, min_gp: float = 0.90) -> DataFrame:
+    """The calls of all pairs that `sparse` leaves out, as one row per sample and kind of variant, `n` pairs each.
+
+    Such a call depends on the sample's depth and on whether the variant is a placed SNV, so a few rows stand for all.
+    """
+    kinds = {"_placed": gt.is_snv(F.col("ref"), F.col("alt"), F.col("pos")), "_snv": gt.is_snv(F.col("ref"), F.col("alt"))}
+    listed = catalogue.withColumns(kinds).groupBy(*kinds).agg(
+        *[F.min_by(c, "cat_id").alias(c) for c in ("ref", "alt", "pos")], F.count(F.lit(1)).alias("_listed")
     )
-    return call_with_fallback(rows, min_gp)
+    held = sparse.withColumns(kinds).groupBy("sample_id", *kinds).agg(F.count(F.lit(1)).alias("_held"))
+    rows = samples.select("sample_id", "mean_depth").join(listed, F.lit(True)).join(held, ["sample_id", *kinds], "left")
+    rows = rows.withColumn("n", F.col("_listed") - F.coalesce("_held", F.lit(0))).drop("_listed", "_held", "_snv")
+    return call_with_fallback(_without_evidence(rows, sparse), min_gp)
 
 
-def catalogue_summary(called: DataFrame, keys: Sequence[str] = ("sample_id",)) -> DataFrame:
-    """Counters over the catalogue. A variant without a position counts as an indel and, by its alleles, as an SNV."""
+def genotype_catalogue(
+    catalogue: DataFrame, calls: DataFrame, samples: DataFrame, pileups: DataFrame, min_gp: float = 0.90
+) -> DataFrame:
+    """A call for every catalogue variant in every sample, as rows. The staged run keeps the sparse form."""
+    some = sparse_rows(catalogue, calls, samples, pileups)
+    rest = absent(some, samples, catalogue, "cat_id").join(catalogue, "cat_id").join(samples.select("sample_id", "mean_depth"), "sample_id")
+    return call_with_fallback(some.unionByName(_without_evidence(rest, some)), min_gp)
+
+
+def catalogue_summary(called: DataFrame, keys: Sequence[str] = ("sample_id",), defaults: DataFrame | None = None) -> DataFrame:
+    """Counters over the catalogue. A variant without a position counts as an indel and, by its alleles, as an SNV.
+
+    `called` holds all pairs, or the sparse ones if `defaults` stands for the others.
+    """
     snv = gt.is_snv(F.col("ref"), F.col("alt"))
-    affected = F.col("affected")
-    return called.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total_screened"),
-        F.count_if(affected & snv).alias("affected_snv"),
-        F.count_if(affected & snv & (F.col("call_confidence") == "high")).alias("affected_high_confidence"),
-        F.count_if(F.col("source") == "indel").alias("indel_unknown"),
-        F.count_if(~affected & snv).alias("unaffected"),
-        F.count_if(F.col("source") == "panel_imputed").alias("in_panel"),
-        F.count_if(F.col("source") == "reads_direct").alias("called_from_reads"),
-        F.count_if(F.col("source").startswith("not_in_panel")).alias("not_callable"),
+    affected, source = F.col("affected"), F.col("source")
+    needed = [*keys, "ref", "alt", "affected", "call_confidence", "source"]
+    rows = called.select(*needed, F.lit(1).cast("long").alias("n"))
+    if defaults is not None:
+        rows = rows.unionByName(defaults.select(*needed, "n"))
+
+    def count(rule):
+        return F.coalesce(F.sum(F.when(rule, F.col("n"))), F.lit(0).cast("long"))
+
+    return rows.groupBy(*keys).agg(
+        F.sum("n").alias("total_screened"),
+        count(affected & snv).alias("affected_snv"),
+        count(affected & snv & (F.col("call_confidence") == "high")).alias("affected_high_confidence"),
+        count(source == "indel").alias("indel_unknown"),
+        count(~affected & snv).alias("unaffected"),
+        count(source == "panel_imputed").alias("in_panel"),
+        count(source == "reads_direct").alias("called_from_reads"),
+        count(source.startswith("not_in_panel")).alias("not_callable"),
     )
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociframe.plans.grid import every_pair
+from lociframe.plans.fill import absent
 from lociframe.session import cut_lineage
 
 ALPHAS = (0.01, 0.1, 1.0, 10.0, 100.0)
@@ -97,8 +97,10 @@ def diversity(
 
 def align_features(features: DataFrame, samples: DataFrame, profile: DataFrame, feature: str = "clade", value: str = "abundance") -> DataFrame:
     """Every sample × every feature with 0.0 where the profile has nothing."""
-    grid = every_pair(samples.select("sample_id"), features.select(feature), feature)
-    return grid.join(profile.select("sample_id", feature, value), ["sample_id", feature], "left").na.fill(0.0, [value])
+    mine = profile.join(samples.select("sample_id"), "sample_id", "left_semi").join(features.select(feature), feature, "left_semi")
+    present = mine.select("sample_id", feature, value)
+    zero = F.lit(0.0).cast(dict(profile.dtypes)[value]).alias(value)
+    return present.na.fill(0.0, [value]).unionByName(absent(present, samples, features, feature).select("sample_id", feature, zero))
 
 
 def match_pathobionts(profile: DataFrame, fragments: DataFrame, clade: str = "clade") -> DataFrame:

@@ -98,7 +98,7 @@ final AS (
     ELSE 'none' END AS call_confidence FROM called)"""
 
 
-def called(spark, sf):
+def called_inputs(spark, sf):
     line = table(spark, sf, "lineitem")
     samples = line.select(F.col("l_returnflag").alias("sample_id")).distinct().withColumn(
         "mean_depth", F.when(F.col("sample_id") == "A", 9.96).when(F.col("sample_id") == "N", 9.94).otherwise(25.0)
@@ -112,7 +112,7 @@ def called(spark, sf):
     from lociframe.operators.reads import counts_map
 
     piled = counts_map(per_base, ["sample_id", "chrom", "pos"])
-    return cat.genotype_catalogue(catalogue(spark, sf), calls(spark, sf), samples, piled)
+    return catalogue(spark, sf), calls(spark, sf), samples, piled
 
 
 @query(
@@ -120,7 +120,18 @@ def called(spark, sf):
     f"WITH {CALLS}, {CATALOGUE}, {FOUND}, {CALLED} SELECT sample_id, cat_id, zygosity, source, affected, call_confidence FROM final",
 )
 def catalogue_genotypes(spark, sf):
-    return called(spark, sf).select("sample_id", "cat_id", "zygosity", "source", "affected", "call_confidence")
+    called = cat.genotype_catalogue(*called_inputs(spark, sf))
+    return called.select("sample_id", "cat_id", "zygosity", "source", "affected", "call_confidence")
+
+
+@query(
+    "catalogue_sparse_calls",
+    f"""WITH {CALLS}, {CATALOGUE}, {FOUND}, {CALLED} SELECT sample_id, cat_id, zygosity, source, affected, call_confidence, total
+FROM final WHERE in_panel OR (total > 0 AND pos IS NOT NULL)""",
+)
+def catalogue_sparse_calls(spark, sf):
+    called = cat.sparse_catalogue(*called_inputs(spark, sf))
+    return called.select("sample_id", "cat_id", "zygosity", "source", "affected", "call_confidence", F.col("total").cast("long").alias("total"))
 
 
 @query(
@@ -133,7 +144,9 @@ def catalogue_genotypes(spark, sf):
   count(*) FILTER (starts_with(source, 'not_in_panel')) AS not_callable FROM final GROUP BY sample_id""",
 )
 def catalogue_summary(spark, sf):
-    return cat.catalogue_summary(called(spark, sf))
+    variants, found, samples, piled = called_inputs(spark, sf)
+    sparse = cat.sparse_catalogue(variants, found, samples, piled)
+    return cat.catalogue_summary(sparse, defaults=cat.default_calls(variants, sparse, samples))
 
 
 SNPS = """

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lociframe import fixed_values as fv
 from lociframe.functions.text import natural_key
+from lociframe.functions import genotypes as gt
 from lociframe.operators import annotation as ann
 from lociframe.operators import coverage as cov
 from lociframe.operators import inbreeding as inb
@@ -115,7 +116,11 @@ def region_document(regions: DataFrame, pairs: DataFrame, summary: DataFrame, ke
     )
 
 
-def catalogue_document(called: DataFrame, summary: DataFrame) -> DataFrame:
+def catalogue_document(sparse: DataFrame, defaults: DataFrame, catalogue: DataFrame, summary: DataFrame) -> DataFrame:
+    """All catalogue variants of each sample: its own calls, and the sample's default calls for the others.
+
+    The catalogue is one shared array, from which a sample's own variants are taken out by number.
+    """
     call = F.struct(
         "zygosity",
         "affected",
@@ -127,10 +132,32 @@ def catalogue_document(called: DataFrame, summary: DataFrame) -> DataFrame:
         "note",
         *[F.when(F.col("source") == "reads_direct", F.col(c)).alias(o) for c, o in (("total", "depth"), ("ref_count", "ref_count"), ("alt_count", "alt_count"))],
     )
-    item = F.struct("cat_id", "chrom", "pos", "ref", "alt", "extra", call.alias("call"))
-    variants = called.groupBy("sample_id").agg(listed([F.col("cat_id")], item, "variants"))
+    shown = ("cat_id", "chrom", "pos", "ref", "alt", "extra")
+    shared = catalogue.agg(listed([F.col("cat_id")], F.struct(*shown), "_items"))
+    numbers = shared.select(F.posexplode(F.transform("_items", lambda x: x["cat_id"])).alias("_no", "cat_id"))
+    own = F.struct("_no", F.struct(*shown, call.alias("call")).alias("item"))
+    held = sparse.join(numbers, "cat_id").groupBy("sample_id").agg(F.collect_list(own).alias("_held"))
+    usual = defaults.groupBy("sample_id").agg(
+        F.max(F.when(F.col("_placed"), call)).alias("_snv_call"), F.max(F.when(~F.col("_placed"), call)).alias("_other_call")
+    )
+
+    def filled(no):
+        x = F.get("_items", no)
+        usual_call = F.when(gt.is_snv(x["ref"], x["alt"], x["pos"]), F.col("_snv_call")).otherwise(F.col("_other_call"))
+        return F.struct(no.alias("_no"), F.struct(*[x[c].alias(c) for c in shown], usual_call.alias("call")).alias("item"))
+
+    numbered = F.transform("_items", lambda _, no: no)
+    rest = F.transform(F.array_except(numbered, F.coalesce(F.transform("_held", lambda h: h["_no"]), F.array().cast("array<int>"))), filled)
+    by_number = lambda a, b: a["_no"] - b["_no"]
+    every = F.array_sort(F.when(F.col("_held").isNull(), rest).otherwise(F.concat("_held", rest)), by_number)
     counters = F.struct(*[c for c in summary.columns if c != "sample_id"]).alias("summary")
-    return summary.select("sample_id", counters).join(variants, "sample_id")
+    return (
+        summary.select("sample_id", counters)
+        .join(usual, "sample_id")
+        .join(held, "sample_id", "left")
+        .join(shared, F.lit(True))
+        .select("sample_id", "summary", F.transform(every, lambda x: x["item"]).alias("variants"))
+    )
 
 
 def mixture_document(ranked: DataFrame, coverage: DataFrame) -> DataFrame:
