@@ -22,6 +22,7 @@ from lociframe.operators import microbiome as mb
 from lociframe.operators import reads as rd
 from lociframe.operators import regions as reg
 from lociframe.operators import scores as sc
+from lociframe.plans.quantiles import exact_quantiles
 from lociframe.sinks import documents as docs
 from lociframe.sinks import publish as store
 from lociframe.sinks.publish import exists, load
@@ -293,25 +294,17 @@ def stage_health(c, samples, scaled, species, refs, long, n) -> None:
     leaf = F.element_at(F.split("clade", r"\|g__"), -1)
     common = genera.join(mb.prevalent(genera, n), "clade", "left_semi").withColumn("genus", leaf)
     mine = mb.rollup_genus(scaled.where(F.col("rank") == "s"))
-    # Matched genera differ between samples, so the reference rows are reduced per sample's own list.
     pairs = mine.select("sample_id", "genus", "abundance").join(common.select("genus").distinct(), "genus", "left_semi")
-    sample_div = mb.diversity(pairs, ["sample_id"], frame=samples.select("sample_id"))
-    matched = pairs.select("sample_id", "genus").join(common, "genus")
-    positive = mb.diversity(matched, ["sample_id", "ref_id"]).withColumn("w", F.lit(1).cast("long"))
-    # Reference samples without any matched genus are one row of zeros that counts as many times as there are of them.
-    seen = samples.select("sample_id").join(positive.groupBy("sample_id").agg(F.count("ref_id").alias("k")), "sample_id", "left")
-    zeros = seen.join(n, F.lit(True)).select(
-        "sample_id", F.lit(0).cast("long").alias("richness"), F.lit(0.0).alias("shannon"), (F.col("n") - F.coalesce("k", F.lit(0))).alias("w")
-    )
-    ref_div = positive.drop("ref_id").unionByName(zeros.where(F.col("w") > 0))
-    rich = inb.percentile_rank(
-        ref_div, sample_div, "richness", "richness", "rank", ["sample_id"], "richness_percentile", weight="w"
-    )
-    both = inb.percentile_rank(ref_div, rich, "shannon", "shannon", "rank", ["sample_id"], "shannon_percentile", weight="w")
+    # A sample is compared with the reference over its own genera; samples with the same genera share that reference.
+    sets = mb.feature_sets(pairs, samples)
+    ref_div = mb.set_diversity(sets, common, n)
+    sample_div = mb.diversity(pairs, ["sample_id"], frame=samples.select("sample_id")).join(sets.select("sample_id", "set_id"), "sample_id")
+    rich = inb.percentile_rank(ref_div, sample_div, "richness", "richness", "rank", ["set_id"], "richness_percentile", weight="w")
+    both = inb.percentile_rank(ref_div, rich, "shannon", "shannon", "rank", ["set_id"], "shannon_percentile", weight="w")
     quart = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
-    spread = ref_div.groupBy("sample_id").agg(
-        *[F.percentile("richness", q, F.col("w")).cast("int").alias(f"ref_richness_{k}") for k, q in quart.items()],
-        *[F.percentile("shannon", q, F.col("w")).alias(f"ref_shannon_{k}") for k, q in quart.items()],
+    spread = exact_quantiles(ref_div, ["set_id"], "richness", {f"ref_richness_{k}": q for k, q in quart.items()}, weight="w")
+    spread = spread.withColumns({c: F.col(c).cast("int") for c in spread.columns if c != "set_id"}).join(
+        exact_quantiles(ref_div, ["set_id"], "shannon", {f"ref_shannon_{k}": q for k, q in quart.items()}, weight="w"), "set_id"
     )
     whole = mb.diversity(species, ["sample_id"], frame=samples.select("sample_id")).select(
         "sample_id", F.col("richness").alias("sample_richness"), F.col("shannon").alias("sample_shannon")
@@ -321,14 +314,15 @@ def stage_health(c, samples, scaled, species, refs, long, n) -> None:
     load_ = mb.dysbiosis(hits, samples)
     burden = mb.ref_burden(long, refs, fragments)
     placed = inb.percentile_rank(burden, load_, "burden", "pathobiont_burden_pct", "rank", out="pathobiont_percentile")
-    ref_load = burden.agg(
-        F.avg("burden").alias("ref_pathobiont_mean"),
-        *[F.percentile("burden", q).alias(f"ref_pathobiont_{k}") for k, q in (("median", 0.5), ("p75", 0.75), ("p90", 0.9))],
-    )
+    marks = {f"ref_pathobiont_{k}": q for k, q in (("median", 0.5), ("p75", 0.75), ("p90", 0.9))}
+    ref_load = burden.agg(F.avg("burden").alias("ref_pathobiont_mean"))
+    # One row each: without reference rows there are no quantiles, and the left join leaves them null.
+    ref_load = ref_load.join(exact_quantiles(burden, [], "burden", marks), F.lit(True), "left")
     health = (
         both.withColumnsRenamed({"richness": "sample_richness_matched", "shannon": "sample_shannon_matched"})
         .join(whole, "sample_id")
-        .join(spread, "sample_id", "left")
+        .join(spread, "set_id", "left")
+        .drop("set_id")
         .join(placed, "sample_id")
         .join(ref_load, F.lit(True))
         .join(pairs.groupBy("sample_id").agg(F.count("genus").alias("n_matched_genera")), "sample_id", "left")

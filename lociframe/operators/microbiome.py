@@ -95,6 +95,35 @@ def diversity(
     return frame.join(out, list(keys), "left").na.fill(0, ["richness"]).na.fill(0.0, ["shannon"])
 
 
+def feature_sets(pairs: DataFrame, samples: DataFrame, feature: str = "genus") -> DataFrame:
+    """sample_id, set_id, members: the set of listed features that each sample holds, empty for a sample without any.
+
+    Equal sets have one id, so what depends on the set alone is worked out once for all samples that share it.
+    """
+    held = pairs.groupBy("sample_id").agg(F.array_sort(F.collect_set(feature)).alias("members"))
+    every = samples.select("sample_id").distinct().join(held, "sample_id", "left")
+    every = every.withColumn("members", F.coalesce("members", F.array().cast("array<string>")))
+    return cut_lineage(every.select("sample_id", F.sha2(F.to_json("members"), 256).alias("set_id"), "members"))
+
+
+def set_diversity(sets: DataFrame, reference: DataFrame, n_refs: DataFrame, feature: str = "genus", value: str = "abundance") -> DataFrame:
+    """Diversity of the reference rows over each set's features: set_id, richness, shannon, w (rows that have them).
+
+    `sets`: set_id, members; `reference`: ref_id, feature, value; `n_refs`: one row with `n`. Reference rows without any
+    feature of a set are one row of zeros. The distinct diversities are written once: both the ranks and the quantiles
+    of a set read that copy.
+    """
+    one = sets.groupBy("set_id").agg(F.first("members").alias("members"))
+    members = one.select("set_id", F.explode("members").alias(feature))
+    each = diversity(members.join(reference, feature), ["set_id", "ref_id"], value)
+    counted = each.groupBy("set_id", "richness", "shannon").agg(F.count(F.lit(1)).alias("w"))
+    seen = counted.groupBy("set_id").agg(F.sum("w").alias("_k"))
+    zeros = one.select("set_id").join(seen, "set_id", "left").join(n_refs.select("n"), F.lit(True)).select(
+        "set_id", F.lit(0).cast("long").alias("richness"), F.lit(0.0).alias("shannon"), (F.col("n") - F.coalesce("_k", F.lit(0))).alias("w")
+    )
+    return cut_lineage(counted.unionByName(zeros.where(F.col("w") > 0)))
+
+
 def align_features(features: DataFrame, samples: DataFrame, profile: DataFrame, feature: str = "clade", value: str = "abundance") -> DataFrame:
     """Every sample × every feature with 0.0 where the profile has nothing."""
     mine = profile.join(samples.select("sample_id"), "sample_id", "left_semi").join(features.select(feature), feature, "left_semi")

@@ -11,9 +11,9 @@ from lociframe.session import cut_lineage
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], parts: int | None = None
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], parts: int | None = None, weight: str | None = None
 ) -> DataFrame:
-    """Linear-interpolated quantiles per key; `probs` maps an output name to a probability.
+    """Linear-interpolated quantiles per key; `probs` maps an output name to a probability. `weight` counts a row many times.
 
     Equal values are counted first. The distinct values are laid out in ranges of equal size and written once, so
     the ranks need only one count per range, and each range is ranked on its own.
@@ -22,7 +22,7 @@ def exact_quantiles(
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     grouping = list(keys) or ["_all"]
     rows = df if keys else df.withColumn("_all", F.lit(0))
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*grouping, value).agg(F.count(F.lit(1)).alias("_n"))
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*grouping, value).agg(F.sum(F.col(weight) if weight else F.lit(1)).alias("_n"))
     laid = cut_lineage(
         counted.repartitionByRange(parts, *grouping, value).withColumn("_part", F.spark_partition_id())
     )

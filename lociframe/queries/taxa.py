@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lociframe.operators import inbreeding as inb
 from lociframe.operators import microbiome as mb
+from lociframe.plans.quantiles import exact_quantiles
 from lociframe.queries.base import query, r, table
 from lociframe.sources.taxa import is_genus, is_species, parse_profile
 
@@ -129,6 +130,36 @@ def diversity_percentiles(spark, sf):
     return out.withColumn("richness_percentile", r("richness_percentile"))
 
 
+@query(
+    "own_set_percentiles",
+    f"""WITH {PROFILE}, g AS (SELECT sample_id, genus, sum(pct) AS a FROM species GROUP BY ALL HAVING sum(pct * 100) > 600),
+d AS (SELECT s.sample_id, o.sample_id AS ref_id, count(*) AS richness, greatest(0, ln(sum(o.a)) - sum(o.a * ln(o.a)) / sum(o.a)) AS shannon
+  FROM g s JOIN g o USING (genus) GROUP BY ALL),
+f AS (SELECT a.sample_id, COALESCE(d.richness, 0) AS richness, COALESCE(d.shannon, 0) AS shannon
+  FROM t a CROSS JOIN t b LEFT JOIN d ON d.sample_id = a.sample_id AND d.ref_id = b.sample_id),
+own AS (SELECT t.sample_id, count(genus) AS own FROM t LEFT JOIN g USING (sample_id) GROUP BY 1)
+SELECT sample_id, own AS richness, round((count(*) FILTER (f.richness < own) + count(*) FILTER (f.richness <= own)
+  + CASE WHEN count(*) FILTER (f.richness = own) > 0 THEN 1 ELSE 0 END) * 50.0 / count(*), 6) AS richness_percentile,
+  round(quantile_cont(f.richness, 0.25), 6) AS richness_p25, round(quantile_cont(shannon, 0.5), 6) AS shannon_p50
+FROM f JOIN own USING (sample_id) GROUP BY sample_id, own""",
+)
+def own_set_percentiles(spark, sf):
+    """Each sample against all samples, over the genera that it holds itself in quantity."""
+    genus = F.replace("p_brand", F.lit("#"), F.lit("")).alias("genus")
+    held = quantities(spark, sf).groupBy("sample_id", genus).agg(F.sum("v").alias("v")).where(F.col("v") > 600)
+    held = held.select("sample_id", "genus", (F.col("v").cast("double") / 100).alias("abundance"))
+    every = samples(spark, sf)
+    sets = mb.feature_sets(held, every)
+    refs = held.withColumnRenamed("sample_id", "ref_id")
+    reference = mb.set_diversity(sets, refs, every.agg(F.count(F.lit(1)).alias("n")))
+    own = mb.diversity(held, ["sample_id"], frame=every).join(sets.select("sample_id", "set_id"), "sample_id")
+    ranked = inb.percentile_rank(reference, own, "richness", "richness", "rank", ["set_id"], "richness_percentile", weight="w")
+    low = exact_quantiles(reference, ["set_id"], "richness", {"richness_p25": 0.25}, weight="w")
+    mid = exact_quantiles(reference, ["set_id"], "shannon", {"shannon_p50": 0.5}, weight="w")
+    out = ranked.join(low, "set_id").join(mid, "set_id")
+    return out.select("sample_id", "richness", *[r(c).alias(c) for c in ("richness_percentile", "richness_p25", "shannon_p50")])
+
+
 HITS = f"""{PROFILE}, hits AS (SELECT sample_id, fragment, color, association, sum(pct) AS pct FROM species JOIN frag ON contains(clade, fragment) GROUP BY ALL)"""
 
 
