@@ -22,6 +22,7 @@ from lociframe.operators import microbiome as mb
 from lociframe.operators import reads as rd
 from lociframe.operators import regions as reg
 from lociframe.operators import scores as sc
+from lociframe.plans.blockscan import BLOCK, running_number
 from lociframe.plans.quantiles import exact_quantiles
 from lociframe.sinks import documents as docs
 from lociframe.sinks import publish as store
@@ -49,7 +50,9 @@ class Cohort:
     written: list[tuple[str, DataFrame]] = field(default_factory=list)
 
     def of(self, name: str, samples: DataFrame) -> DataFrame:
-        """Rows of an input for the given samples."""
+        """Rows of an input for the given samples; reads and calls that are no input come from stages 4 and 7."""
+        if name not in self.inputs:
+            return self.stored(name, samples)
         return self.inputs[name].join(samples.select("sample_id"), "sample_id", "left_semi")
 
     def stored(self, name: str, samples: DataFrame) -> DataFrame:
@@ -58,11 +61,12 @@ class Cohort:
         own = (self.run_no, mine[-1]) if mine else None
         return load(self.spark, name, self.tables, own).join(samples.select("sample_id"), "sample_id", "left_semi")
 
-    def keep(self, df: DataFrame, name: str, samples: DataFrame) -> None:
+    def keep(self, df: DataFrame, name: str, samples: DataFrame, order: tuple[str, ...] = ()) -> None:
+        """Write a table; `order` sorts the rows of each file, so that a scan by place reads a few row groups."""
         if self.run_no is None:
-            store.save(df, name, self.tables, samples)
+            store.save(df, name, self.tables, samples, order)
         else:
-            store.write_version(df, name, self.tables, samples, self.run_no)
+            store.write_version(df, name, self.tables, samples, self.run_no, order)
             self.written.append((name, samples))
 
     def show(self, df: DataFrame, name: str, samples: DataFrame) -> None:
@@ -83,6 +87,67 @@ class Cohort:
         store.publish_committed(self.spark, self.tables, self.public)
 
 
+def stage_lanes(c: Cohort, samples: DataFrame) -> None:
+    """Stage 1: the lanes of each sample in version order. Merging them is a union, so no copy of the reads is written."""
+    c.keep(rd.lane_manifest(c.of("lanes", samples)), "lane_manifest", samples)
+    both = c.stored("lane_manifest", samples).groupBy("sample_id").agg(F.sum("reads_1").alias("a"), F.sum("reads_2").alias("b"))
+    without = samples.join(both.where((F.col("a") > 0) & (F.col("b") > 0)), "sample_id", "left_anti").select("sample_id").limit(5).collect()
+    if without:
+        raise ValueError(f"no lanes of both mates for {', '.join(r.sample_id for r in without)}")
+
+
+def stage_cleaning(c: Cohort, samples: DataFrame) -> None:
+    """Stage 2: trimmed pairs for the aligner, with the figures of a trimming report."""
+    numbered = c.of("lanes", samples).join(c.stored("lane_manifest", samples).select("sample_id", "lane", "lane_no"), ["sample_id", "lane"])
+    c.keep(rd.clean_pairs(numbered), "clean_reads", samples)
+    c.keep(rd.read_figures(c.of("lanes", samples), c.stored("clean_reads", samples)), "read_figures", samples)
+
+
+def stage_marking(c: Cohort, samples: DataFrame) -> None:
+    """Stage 4: duplicates of the aligned reads (alignment itself is stage 3, outside) marked, in coordinate order."""
+    marked = rd.set_duplicate_bit(rd.mark_read_duplicates(c.of("aligned", samples)))
+    c.keep(marked, "reads", samples, ("chrom", "pos"))
+
+
+def stage_stitching(c: Cohort, samples: DataFrame) -> DataFrame:
+    """Stage 7: bring the ledger of imputed chunks up to date and stitch those that are done into the calls.
+
+    Inputs: `chunks`, `chunk_results` (the log of attempts), `chunk_calls` (calls with their chunk_key), and if there are
+    chunks known to fail, `failed_chunks`. Returns the samples that no chunk is open of; the others are due again.
+    """
+    none = c.spark.createDataFrame([], "chunk_key string")
+    before = c.stored("chunk_ledger", samples) if exists(c.spark, "chunk_ledger", c.tables) else None
+    ledger = rd.chunk_ledger(samples, c.inputs["chunks"], c.of("chunk_results", samples), c.inputs.get("failed_chunks", none), before)
+    c.keep(ledger, "chunk_ledger", samples)
+    c.keep(rd.chunk_calls_to_sites(c.of("chunk_calls", samples), c.stored("chunk_ledger", samples)), "calls", samples, ("chrom", "pos"))
+    flat = c.stored("calls", samples).withColumn("alt", F.array_join("alt", ","))
+    c.keep(rd.variant_stats(flat), "call_stats", samples)
+    return samples.join(open_chunks(c, samples).select("sample_id"), "sample_id", "left_anti")
+
+
+def open_chunks(c: Cohort, samples: DataFrame) -> DataFrame:
+    """What the imputer is to run next: chunks that are neither done nor known to fail, with their attempts so far.
+
+    Samples that the ledger does not know yet have all their chunks open but for those known to fail.
+    """
+    keys = ["sample_id", "chunk_key"]
+    none = c.spark.createDataFrame([], "chunk_key string")
+    started = c.run_no is not None or exists(c.spark, "chunk_ledger", c.tables)
+    known = c.stored("chunk_ledger", samples) if started else None
+    nothing = c.spark.createDataFrame([], "sample_id string, chunk_key string, attempt long, ok boolean")
+    rows = rd.chunk_ledger(samples, c.inputs["chunks"], nothing, c.inputs.get("failed_chunks", none), known)
+    done, failed = (rows.where(F.col("status") == s).select(*keys) for s in ("done", "known_failed"))
+    return rd.pending_chunks(rows, done, failed, keys)
+
+
+def filter_called_variants(c: Cohort, samples: DataFrame, **limits) -> DataFrame:
+    """The separate variant-calling job: marks the calls of the input `raw_variants`, keeps the passing ones as table
+    `variants` and their counts as `variant_stats`; returns the counts."""
+    c.keep(rd.filter_variants(c.of("raw_variants", samples), **limits), "variants", samples, ("chrom", "pos"))
+    c.keep(rd.variant_stats(c.stored("variants", samples)), "variant_stats", samples)
+    return c.stored("variant_stats", samples)
+
+
 def read_spans(reads: DataFrame) -> DataFrame:
     """Half-open stretches that count towards depth. Deletions and skips inside a read count, as in the usual per-region
     sum of depths; pass gaps=False to `with_blocks` for aligned bases only."""
@@ -115,7 +180,9 @@ def stage_quality(c: Cohort, samples: DataFrame) -> None:
     if "read_reports" in c.inputs:
         figures = extract_read_stats(c.of("read_reports", samples))
         flags = flags.join(figures.drop("histogram").join(rd.fragment_size(figures, ["sample_id"]), "sample_id", "left"), "sample_id", "left")
-    cleaned = F.col("total_reads_after_qc") if "read_reports" in c.inputs else F.col("primary")
+    elif exists(c.spark, "read_figures", c.tables):
+        flags = flags.join(c.stored("read_figures", samples), "sample_id", "left")
+    cleaned = F.coalesce("total_reads_after_qc", "primary") if "total_reads_after_qc" in flags.columns else F.col("primary")
     quality = docs.qc_document(windows, docs.read_figures(rd.duplication_rate(flags, cleaned)))
     c.keep(quality, "quality", samples)
     c.show(c.stored("quality", samples), "qc_result", samples)
@@ -219,7 +286,8 @@ def stage_scores(c: Cohort, samples: DataFrame) -> None:
     best = best.withColumns({"label": F.split("trait", ":")[1], "trait": F.lit("coat_type"), "predicted": F.lit(None).cast("double")})
     best = sc.carry_over(best, known, "trait", ["heritability"])
     physical = F.col("trait").isin("height_cm", "weight_kg", "coat_length")
-    counts = dosages.groupBy("sample_id").agg(F.count("dosage").alias("snps_imputed"))
+    panel = people.agg(F.count_distinct("breed").alias("n_ref_breeds"))
+    counts = dosages.groupBy("sample_id").agg(F.count("dosage").alias("snps_imputed")).join(panel, F.lit(True))
     c.show(docs.scores_document(plain.where(~physical), plain.where(physical).unionByName(best), counts), "prs_result", samples)
 
 
@@ -276,7 +344,9 @@ def stage_age(c, samples, species, refs, long, n, n_refs) -> None:
     listed = order.agg(F.array_sort(F.collect_list(F.struct("o", "clade"))).alias("l")).select(F.posexplode("l").alias("f_idx", "x"))
     indexed = listed.select("f_idx", F.col("x.clade").alias("clade"))
     p = indexed.count()
-    y = refs.select("ref_id", F.col("ref_id").alias("row_no"), F.col("age").alias("y"))
+    # Folds go by row number: ids may have gaps.
+    y = running_number(refs.select("ref_id", F.col("age").alias("y"), F.floor(F.col("ref_id") / 10_000).alias(BLOCK)), [], [F.col("ref_id")], "row_no")
+    y = y.select("ref_id", (F.col("row_no") - 1).alias("row_no"), "y")
     rows = mb.feature_rows(features.withColumn("v", mb.log_abundance(F.col("abundance"))), y, indexed)
     models = mb.ridge_cv(rows, n_refs, p)
     model = models.where(F.col("outer") == -1).select("beta")
@@ -330,9 +400,14 @@ def stage_health(c, samples, scaled, species, refs, long, n) -> None:
     c.show(docs.health_document(health, hits), "microbiome_health_result", samples)
 
 
-STAGES: dict[int, Callable[[Cohort, DataFrame], None]] = {
+#: A stage may return the samples that it has finished; without that, all of its samples are.
+STAGES: dict[int, Callable[[Cohort, DataFrame], DataFrame | None]] = {
+    1: stage_lanes,
+    2: stage_cleaning,
+    4: stage_marking,
     5: stage_coverage,
     6: stage_quality,
+    7: stage_stitching,
     8: stage_catalogue,
     9: stage_ancestry,
     10: stage_annotation,
@@ -342,13 +417,30 @@ STAGES: dict[int, Callable[[Cohort, DataFrame], None]] = {
     15: stage_taxa,
 }
 ALWAYS_FROM = 15
+#: Inputs without which a stage has nothing to do: a run may begin with marked reads and stitched calls.
+NEEDED = {1: ("lanes",), 2: ("lanes",), 4: ("aligned",), 7: ("chunks", "chunk_results", "chunk_calls")}
+#: Stored tables that a stage reads; it is due again when one of them is newer than its mark.
+SOURCES = {
+    2: ("lane_manifest",), 5: ("reads",), 6: ("reads", "read_figures", "coverage_1mb", "coverage_regions"), 8: ("calls", "reads", "quality"),
+    9: ("calls",), 10: ("calls", "regions"), 11: ("calls",), 12: ("calls",), 13: ("calls", "reads", "regions", "regions_annotated"),
+}
 
 
 def pending(c: Cohort, samples: DataFrame, stage: int, skip_done: bool) -> DataFrame:
-    """Samples whose first stage is not behind this one, minus the finished ones when asked to skip them."""
+    """Samples whose first stage is not behind this one, minus the finished ones when asked to skip them.
+
+    A sample is not finished if a table that the stage reads has been written since. Stage 7 with its log of attempts is
+    due until no chunk is open.
+    """
     due = samples if stage >= ALWAYS_FROM else samples.where(F.col("from_stage") <= stage)
-    if skip_done and exists(c.spark, f"done_{stage}", c.tables):
-        due = due.join(load(c.spark, f"done_{stage}", c.tables).select("sample_id"), "sample_id", "left_anti")
+    mark = f"done_{stage}"
+    if skip_done and exists(c.spark, mark, c.tables):
+        log = store.commits(c.spark, c.tables)
+        marked = log.where(F.col("table") == mark).groupBy("sample_id").agg(F.max("run").alias("_mark"))
+        fresh = log.where(F.col("table").isin(*SOURCES.get(stage, ()))).groupBy("sample_id").agg(F.max("run").alias("_newest"))
+        done = load(c.spark, mark, c.tables).select("sample_id").join(marked, "sample_id").join(fresh, "sample_id", "left")
+        done = done.where(F.col("_newest").isNull() | (F.col("_newest") <= F.col("_mark")))
+        due = due.join(done.select("sample_id"), "sample_id", "left_anti")
     return due
 
 
@@ -356,13 +448,16 @@ def run(c: Cohort, samples: DataFrame, stages: list[int] | None = None, skip_don
     """Run the stages in order for all samples that need them; returns the stages that had work."""
     worked = []
     for number in stages or sorted(STAGES):
+        if not all(name in c.inputs for name in NEEDED.get(number, ())):
+            continue
         due = pending(c, samples, number, skip_done)
         if due.isEmpty():
             continue
         c.begin()
         try:
-            STAGES[number](c, due)
-            c.keep(due.select("sample_id", F.lit(number).alias("stage")), f"done_{number}", due)
+            finished = STAGES[number](c, due)
+            finished = due if finished is None else finished
+            c.keep(finished.select("sample_id", F.lit(number).alias("stage")), f"done_{number}", due)
         except BaseException:
             c.run_no, c.written = None, []
             raise
@@ -373,7 +468,8 @@ def run(c: Cohort, samples: DataFrame, stages: list[int] | None = None, skip_don
 
 def build_panel(c: Cohort, names: list[str], source: str = "pooled reads") -> DataFrame:
     """Panel of normals from the pooled reads of chosen samples: chrom, bin_idx, depth, ratio."""
-    spans = read_spans(c.inputs["reads"].where(F.col("sample_id").isin(*names)))
+    chosen = c.spark.createDataFrame([(n,) for n in names], "sample_id string")
+    spans = read_spans(c.of("reads", chosen))
     tiles = cov.tile(c.inputs["contigs"].withColumn("width", F.lit(MEGABASE).cast("long")), "width")
     pooled = cov.integrate_events(cov.depth_events(spans, ["chrom"]), tiles, ["chrom"], ["chrom"])
     return cov.panel_of_normals(cov.with_depth(pooled.drop("width")))

@@ -187,38 +187,57 @@ ALLELE_LEGEND = [
 
 # Interpretation of each locus call.
 LOCUS_TEXT = {
-    "E_missing": "MC1R positions not found in panel",
-    "E_proxy_low": "Homozygous e/e from the proxy SNP only; reads do not show the causal allele",
-    "E_proxy_medium": "Homozygous e/e: proxy SNP homozygous and alt reads at the causal position",
     "E_ee": "Homozygous recessive red — all coat pigment is phaeomelanin (yellow/red/cream)",
     "E_Em_e": "Melanistic mask carrier for recessive red (Em/e)",
     "E_E_e": "Carrier for recessive red (E/e) — normal extension expressed",
     "E_Em_E": "Melanistic mask on wild-type extension background (Em/E)",
     "E_E_E": "No e or Em alleles detected — wild-type extension (E/E)",
-    "K_missing": "CBD103 positions not found in panel",
     "K_2": "Homozygous dominant black (KB/KB)",
     "K_1": "Dominant black carrier (KB/ky) — KB overrides A locus",
     "K_0": "No KB allele (ky/ky) — A locus controls pattern",
-    "A_missing": "ASIP coding positions not found; ay/aw require structural variant analysis",
     "A_at_at": "Tan-points / tricolor (at/at) — recessive black or tricolor pattern",
     "A_one": "One putative at allele detected; other allele uncertain (ay/at or at/aw possible)",
     "A_none": "No at/a coding variants detected. Sable (ay) or wild agouti (aw) likely but require structural variant analysis to confirm.",
-    "B_missing": "TYRP1 brown alleles not found in panel",
     "B_bb": "Brown/liver eumelanin (b/b or compound b1/b2)",
-    "B_one": "One b allele detected (heterozygous); a second b allele outside the panel cannot be excluded",
     "B_BB": "No brown alleles detected (B/B)",
-    "D_missing": "MLPH dilute alleles not found in panel",
     "D_dd": "Dilute coat (d/d) — black→blue, brown→isabella",
     "D_one": "Carrier for dilute (D/d) — full pigment expressed",
     "D_DD": "No dilute alleles detected (D/D) — full pigment",
     "M": "Merle (PMEL SINE insertion) not detectable from SNP imputation — PCR required",
-    "S_missing": "MITF spotting variant not found in panel",
     "S_2": "Piebald spotting (sp/sp) — white markings expected",
     "S_1": "Carrier for piebald (S/sp) — minimal or no white markings",
     "S_0": "No piebald allele at MITF queried position",
     "W": "KIT extreme white (structural variant) not detectable from SNP data",
 }
 
+# Own wording, not fixed values: texts that would name a panel or speak of one. {reads} is what the reads show.
+LOCUS_TEXT |= {
+    "E_missing": "No MC1R position of the panel was called",
+    "E_proxy_low": (
+        "Homozygous e/e rests on the proxy SNP alone (chr5:64186854, CPNE7 intron, alternative allele frequency about 29 %). The causal"
+        " MC1R p.Arg306* position (chr5:63922309) is not in the panel; the pileup there shows {reads}, which neither confirms nor excludes"
+        " the causal allele. A black or brown coat would mean that the proxy call is wrong and the genotype E/e or E/E; a cream or yellow"
+        " one agrees with e/e."
+    ),
+    "E_proxy_medium": (
+        "Homozygous e/e: the proxy SNP is homozygous (chr5:64186854) and reads at the causal MC1R position (chr5:63922309) carry the"
+        " alternative base; their low depth limits the confidence."
+    ),
+    "K_missing": "No CBD103 position of the panel was called",
+    "A_missing": "No ASIP coding position was called; ay/aw require structural variant analysis",
+    "B_missing": "No TYRP1 brown allele of the panel was called",
+    "B_one": "One b allele detected (heterozygous); a second b allele outside the panel cannot be excluded",
+    "D_missing": "No MLPH dilute allele of the panel was called",
+    "S_missing": "The MITF spotting variant of the panel was not called",
+}
+#: What the reads at the causal position show, in `E_proxy_low`.
+READS_SHOWN, READS_NONE = "%d reads, all reference", "no reads"
+#: Remark behind `E_proxy_low`: what the coat would be if the proxy is wrong.
+PROXY_REMARK = (
+    " If the proxy call is a false positive, the coat would be {colour} based on K ({k1}/{k2}) and B ({b1}/{b2}) loci."
+    " Phenotype confirmation is required to distinguish e/e (cream/yellow) from {colour}."
+)
+
 # Base pigment by B and D status (colour, nose).
 PIGMENTS = {
     "bb_dd": ("isabella/lilac", "isabella/lilac nose and pads"),
@@ -234,6 +253,11 @@ WHITE_NOTE = "Not detectable from SNP data (S locus limited; W requires structur
 MERLE_NOTE = "Not detectable from SNP imputation — requires PCR or long-read sequencing"
 DILUTION_NA = "Not applicable to coat (phaeomelanin unaffected by D locus)"
 FULL_PIGMENT = "Full pigment (D/D or D/d)"
+# Own wording, not a fixed value: the limits of the coat prediction.
+COAT_CAVEAT = (
+    "E, K, B and D are called from imputed genotypes at their causal sites. Sable and agouti (ay/aw of the A locus) require structural"
+    " variant analysis, merle (M) and extreme white (W) PCR or long reads. Commercial tests cover further alleles."
+)
 GRAYING_GENE = "IRF4"
 GRAYING_NOTES = {
     "hit": "IRF4 deletion detected — associated with progressive graying/silvering of eumelanin pigment, particularly visible in dark-coated dogs",

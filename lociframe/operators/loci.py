@@ -123,22 +123,32 @@ def locus_evidence(calls: DataFrame, min_conf: tuple[str, ...] = ("high", "mediu
         F.coalesce(
             F.max(F.when(causal, base_count(F.col("counts"), F.lit(fv.CAUSAL_E_BASE)))), F.lit(0)
         ).alias("e_causal_reads"),
+        F.max(F.when(causal, F.col("total"))).alias("e_causal_depth"),
         *[c.alias(n) for n, c in sites.items()],
     )
 
 
-def _outcome(a1: str, a2: str, conf: str, text: str) -> Column:
+def fill_template(template: str, **values: Column) -> Column:
+    """The template with each {name} replaced by its column."""
+    text = F.lit(template)
+    for name, value in values.items():
+        text = F.replace(text, F.lit("{" + name + "}"), value)
+    return text
+
+
+def _outcome(a1: str, a2: str, conf: str, text: str, **values: Column) -> Column:
     return F.struct(
-        F.lit(a1).alias("a1"), F.lit(a2).alias("a2"), F.lit(conf).alias("conf"), F.lit(fv.LOCUS_TEXT[text]).alias("text")
+        F.lit(a1).alias("a1"), F.lit(a2).alias("a2"), F.lit(conf).alias("conf"), fill_template(fv.LOCUS_TEXT[text], **values).alias("text")
     )
 
 
 def call_E() -> Column:
     two, em = F.col("n_e") == 2, F.coalesce(F.col("n_em") >= 1, F.lit(False))
     proxy, reads = F.col("e_proxy_only"), F.col("e_causal_reads") > 0
+    shown = F.when(F.col("e_causal_depth") > 0, F.format_string(fv.READS_SHOWN, "e_causal_depth")).otherwise(fv.READS_NONE)
     return (
         F.when(~F.col("found_E"), _outcome("?", "?", "low", "E_missing"))
-        .when(two & proxy & ~reads, _outcome("e", "e", "low", "E_proxy_low"))
+        .when(two & proxy & ~reads, _outcome("e", "e", "low", "E_proxy_low", reads=shown))
         .when(two & proxy, _outcome("e", "e", "medium", "E_proxy_medium"))
         .when(two, _outcome("e", "e", "high", "E_ee"))
         .when((F.col("n_e") == 1) & em, _outcome("Em", "e", "medium", "E_Em_e"))
@@ -226,12 +236,11 @@ def validate_E(loci: DataFrame) -> DataFrame:
         .when(F.col("K.a1").isin("ky", "?") & brown, "chocolate or sable (A locus)")
         .otherwise("black or sable (A locus)")
     )
-    remark = F.concat(
-        F.col("E.text"),
-        F.lit(" If the proxy call is a false positive, the coat would be "),
-        F.col("proxy_false_positive_prediction"),
-        F.format_string(" based on K (%s/%s) and B (%s/%s) loci.", "K.a1", "K.a2", "B.a1", "B.a2"),
+    remark = fill_template(
+        fv.PROXY_REMARK, colour=F.col("proxy_false_positive_prediction"),
+        k1=F.col("K.a1"), k2=F.col("K.a2"), b1=F.col("B.a1"), b2=F.col("B.a2"),
     )
+    remark = F.concat(F.col("E.text"), remark)
     return loci.withColumn("proxy_false_positive_prediction", F.when(doubtful, colour)).withColumn(
         "E", F.col("E").withField("text", F.when(doubtful, remark).otherwise(F.col("E.text")))
     )

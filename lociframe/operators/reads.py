@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lociframe.functions import cigar as cg
 from lociframe.functions import genotypes as gt
 from lociframe.plans.picks import first_by, last_by
+from lociframe.sources.tables import version_key
 
 UNMAPPED, SECONDARY, QCFAIL, DUPLICATE, SUPPLEMENTARY = 4, 256, 512, 1024, 2048
 
@@ -25,15 +26,64 @@ def low_quality_share(qual: Column, qualified: int = 20) -> Column:
     return F.size(F.filter(qual, lambda q: q < qualified)) / F.nullif(F.size(qual), F.lit(0))
 
 
-def clean_reads(
+def judge_reads(
     reads: DataFrame, min_length: int = 36, qualified: int = 20, max_unqualified: float = 0.4, min_run: int = 10
 ) -> DataFrame:
-    """Trim tails (bases and qualities together), then drop short and low-quality reads."""
+    """Trim tails (bases and qualities together); `passes` is false for short, low-quality and missing sequences."""
     trimmed = reads.withColumn("seq", trim_tail(F.col("seq"), min_run)).withColumn(
         "qual", F.slice("qual", F.lit(1), F.length("seq"))
     )
     good = F.coalesce(low_quality_share(F.col("qual"), qualified), F.lit(0.0)) <= max_unqualified
-    return trimmed.where((F.length("seq") >= min_length) & good)
+    return trimmed.withColumn("passes", F.coalesce((F.length("seq") >= min_length) & good, F.lit(False)))
+
+
+def clean_reads(reads: DataFrame, **limits) -> DataFrame:
+    """Trim tails, then drop short and low-quality reads; limits as in `judge_reads`."""
+    return judge_reads(reads, **limits).where("passes").drop("passes")
+
+
+def clean_pairs(reads: DataFrame, keys: Sequence[str] = ("sample_id", "read_id"), **limits) -> DataFrame:
+    """Trim tails, then drop every pair of which a mate is short or of low quality.
+
+    Only the ids of reads that fail are gathered, and anti-joined: a few in a good run, so Spark may broadcast them by
+    their size, and no shuffle of all reads by id is forced.
+    """
+    judged = judge_reads(reads, **limits)
+    failed = judged.where(~F.col("passes")).select(*keys).distinct()
+    return judged.where("passes").drop("passes").join(failed, list(keys), "left_anti")
+
+
+def lane_manifest(reads: DataFrame) -> DataFrame:
+    """sample_id, lane, lane_no (version order within the sample), reads_1, reads_2: what stage 1 merges.
+
+    A sample has at most a few dozen lanes, so their names are sorted as one array per sample.
+    """
+    counted = reads.groupBy("sample_id", "lane").agg(
+        F.count_if(F.col("mate") == 1).alias("reads_1"), F.count_if(F.col("mate") == 2).alias("reads_2")
+    )
+    entry = F.struct(version_key(F.col("lane")).alias("k"), "lane", "reads_1", "reads_2")
+    listed = counted.groupBy("sample_id").agg(F.array_sort(F.collect_list(entry)).alias("_l"))
+    return listed.select("sample_id", F.posexplode("_l").alias("lane_no", "_x")).select(
+        "sample_id", "_x.lane", "lane_no", "_x.reads_1", "_x.reads_2"
+    )
+
+
+def read_figures(raw: DataFrame, cleaned: DataFrame, keys: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """The figures of a trimming report, counted on the reads themselves, one pass over each of the two tables."""
+    bases = F.length("seq").cast("long")
+    first = F.when(F.col("mate") == 1, bases)
+    high = F.size(F.filter("qual", lambda q: q >= 30)).cast("long")
+    before = raw.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total_reads_raw"),
+        (F.sum(bases) / 1e9).alias("total_bases_raw_gb"),
+        (F.sum(high) / F.nullif(F.sum(bases), F.lit(0)) * 100).alias("pct_q30_raw"),
+        F.avg(first).alias("read_length_bp"),
+    )
+    after = cleaned.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total_reads_after_qc"), F.avg(first).alias("read_length_after_trimming_bp")
+    )
+    kept = F.coalesce("total_reads_after_qc", F.lit(0)).cast("long")
+    return before.join(after, list(keys), "left").withColumn("total_reads_after_qc", kept)
 
 
 def unmapped_reads(reads: DataFrame, flag: str = "flag") -> DataFrame:
@@ -208,9 +258,72 @@ def union_parts(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def pending_chunks(chunks: DataFrame, done: DataFrame, failed: DataFrame, key: str = "chunk_key") -> DataFrame:
+def set_duplicate_bit(reads: DataFrame, marked: str = "is_duplicate") -> DataFrame:
+    """Write the duplicate mark into the flag, in place of what stood there."""
+    clear = F.col("flag").bitwiseAND(F.lit(~DUPLICATE))
+    return reads.withColumn("flag", F.when(F.col(marked), clear.bitwiseOR(F.lit(DUPLICATE))).otherwise(clear).cast("int")).drop(marked)
+
+
+def pending_chunks(
+    chunks: DataFrame, done: DataFrame, failed: DataFrame, key: str | Sequence[str] = "chunk_key"
+) -> DataFrame:
     """Chunks that are neither done nor known to fail."""
-    return chunks.join(done, key, "left_anti").join(failed, key, "left_anti")
+    on = key if isinstance(key, str) else list(key)
+    return chunks.join(done, on, "left_anti").join(failed, on, "left_anti")
+
+
+#: States of a chunk that still have to be run.
+OPEN_CHUNKS = ("pending", "failed")
+
+
+def chunk_ledger(
+    samples: DataFrame, chunks: DataFrame, results: DataFrame, known_failed: DataFrame, before: DataFrame | None = None
+) -> DataFrame:
+    """sample_id, chunk_key, chrom, chunk_id, status, attempts, last_attempt: every chunk of every sample.
+
+    `results` is a log of attempts (sample_id, chunk_key, attempt, ok). `before` is the last ledger; attempts that it has
+    counted are not counted again, so a log may be delivered twice or grow. A chunk is `done` after any good attempt,
+    `known_failed` if it is on the list and not done, `failed` after bad attempts only (to be retried), else `pending`.
+    The chunk list is bounded by the genome: it is one row that every sample is joined with.
+    """
+    keys = ["sample_id", "chunk_key"]
+    entry = F.struct("chrom", "chunk_id", "chunk_key")
+    listed = chunks.agg(F.array_sort(F.collect_set(entry)).alias("_c"))
+    rows = samples.select("sample_id").distinct().join(listed, F.lit(True)).select("sample_id", F.explode("_c").alias("_x"))
+    rows = rows.select("sample_id", "_x.chunk_key", "_x.chrom", "_x.chunk_id")
+    fresh = results.select(*keys, "attempt", "ok")
+    if before is not None:
+        old = before.select(*keys, (F.col("status") == "done").alias("_done"), F.col("attempts").alias("_n"), F.col("last_attempt").alias("_last"))
+        rows = rows.join(old, keys, "left")
+        seen = old.select(*keys, F.col("_last").alias("_seen"))
+        fresh = fresh.join(seen, keys, "left").where(F.col("_seen").isNull() | (F.col("attempt") > F.col("_seen")))
+    else:
+        nothing = F.lit(None)
+        rows = rows.withColumns({"_done": nothing.cast("boolean"), "_n": nothing.cast("long"), "_last": nothing.cast("long")})
+    news = fresh.groupBy(*keys).agg(
+        F.count_distinct("attempt").alias("_new"), F.bool_or(F.coalesce("ok", F.lit(False))).alias("_ok"), F.max("attempt").alias("_newest")
+    )
+    listed_bad = known_failed.select("chunk_key").distinct().withColumn("_known", F.lit(True))
+    rows = rows.join(news, keys, "left").join(listed_bad, "chunk_key", "left")
+    attempts = F.coalesce("_n", F.lit(0)) + F.coalesce("_new", F.lit(0))
+    done = F.coalesce("_done", F.lit(False)) | F.coalesce("_ok", F.lit(False))
+    status = F.when(done, "done").when(F.col("_known"), "known_failed").when(attempts > 0, "failed").otherwise("pending")
+    return rows.select(
+        *keys, "chrom", "chunk_id", status.alias("status"), attempts.cast("long").alias("attempts"),
+        F.greatest("_last", "_newest").alias("last_attempt"),
+    )
+
+
+def chunk_calls_to_sites(calls: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Calls of the chunks that are done, one per site: the most confident, then the lowest chunk.
+
+    `ord` becomes the place in the stitched file: chunk number first, line in the chunk second.
+    """
+    done = ledger.where(F.col("status") == "done").select("sample_id", "chunk_key", "chunk_id")
+    rows = calls.join(done, ["sample_id", "chunk_key"]).withColumns(
+        {"max_gp": gt.max_posterior(F.col("gp")), "ord": F.shiftleft(F.col("chunk_id").cast("long"), 32) + F.col("ord")}
+    )
+    return stitch_chunks(rows, tie=("chunk_id", "ord")).drop("chunk_key", "chunk_id", "max_gp")
 
 
 def stitch_chunks(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lociframe.fixed_values import KNOWN_SITES, LOCUS_TEXT
+from lociframe.fixed_values import KNOWN_SITES, LOCUS_TEXT, PIGMENTS, PROXY_REMARK
 from lociframe.operators import loci as lc
 from lociframe.operators.reads import counts_map
 from lociframe.queries.base import query, table
@@ -45,6 +45,7 @@ ev AS (
     max(n_alt) FILTER (locus = 'K') AS n_kb, max(n_alt) FILTER (locus = 'S') AS n_sp,
     count(*) FILTER (locus = 'E' AND allele = 'e' AND n_alt = 2 AND pos <> 64186854) = 0 AS proxy_only,
     COALESCE(max(n_a) FILTER (locus = 'E' AND pos = 63922309), 0) AS causal_reads,
+    max(total) FILTER (locus = 'E' AND pos = 63922309) AS causal_depth,
     count(*) FILTER (locus = 'A' AND n_alt = 2) AS a2, count(*) FILTER (locus = 'A' AND n_alt = 1) AS a1,
     count(*) FILTER (locus = 'B' AND n_alt = 2) AS b2, count(*) FILTER (locus = 'B' AND n_alt = 1) AS b1, count(n_alt) FILTER (locus = 'B') AS bn,
     count(*) FILTER (locus = 'D' AND n_alt = 2) AS d2, count(*) FILTER (locus = 'D' AND n_alt = 1) AS d1, count(n_alt) FILTER (locus = 'D') AS dn
@@ -167,6 +168,41 @@ def locus_interpretations(spark, sf):
     return rows.select("sample_id", F.explode(pairs).alias("x")).select("sample_id", "x.*")
 
 
+_PIGMENTS = ", ".join(f"({_q(k)}, {_q(c)}, {_q(n)})" for k, (c, n) in PIGMENTS.items())
+_DOUBT = "CASE WHEN starts_with(k, 'KB') THEN CASE WHEN b = 'b/b high' THEN 'chocolate' ELSE 'black' END WHEN b = 'b/b high' THEN 'chocolate or sable (A locus)' ELSE 'black or sable (A locus)' END"
+
+
+@query(
+    "extension_texts",
+    f"""WITH {EVIDENCE}, t(code, text) AS (VALUES {_TEXTS}),
+codes AS (SELECT sample_id, e, k, b, {_DOUBT} AS doubt, causal_depth, CASE e WHEN '?/? low' THEN 'E_missing' WHEN 'e/e low' THEN 'E_proxy_low' WHEN 'e/e medium' THEN 'E_proxy_medium'
+  WHEN 'e/e high' THEN 'E_ee' WHEN 'Em/e medium' THEN 'E_Em_e' WHEN 'E/e medium' THEN 'E_E_e' WHEN 'Em/E medium' THEN 'E_Em_E' ELSE 'E_E_E' END AS code FROM g JOIN ev USING (sample_id))
+SELECT sample_id, CASE WHEN code <> 'E_proxy_low' THEN text ELSE
+  replace(text, '{{reads}}', CASE WHEN causal_depth > 0 THEN causal_depth || ' reads, all reference' ELSE 'no reads' END)
+  || replace(replace(replace({_q(PROXY_REMARK)}, '{{colour}}', doubt), '{{k1}}/{{k2}}', split_part(k, ' ', 1)), '{{b1}}/{{b2}}', split_part(b, ' ', 1)) END AS text
+FROM codes JOIN t USING (code)""",
+)
+def extension_texts(spark, sf):
+    return lc.validate_E(genotypes(spark, sf)).select("sample_id", F.col("E.text").alias("text"))
+
+
+@query(
+    "predicted_patterns",
+    f"""WITH {EVIDENCE}, p(code, c, nose) AS (VALUES {_PIGMENTS}),
+x AS (SELECT *, CASE WHEN b = 'b/b high' AND d = 'd/d high' THEN 'bb_dd' WHEN b = 'b/b high' THEN 'bb' WHEN b = 'b/? low' AND d = 'd/d high' THEN 'b?_dd'
+    WHEN b = 'b/? low' THEN 'b?' WHEN d = 'd/d high' THEN 'dd' ELSE 'black' END AS code, CASE WHEN contains(e, 'Em') THEN ' with melanistic mask (Em)' ELSE '' END AS mask FROM g),
+y AS (SELECT *, upper(c[1]) || c[2:] AS cap, upper(nose[1]) || nose[2:] AS cap_nose FROM x JOIN p USING (code))
+SELECT sample_id, CASE WHEN starts_with(e, 'e/e')
+    THEN 'Solid phaeomelanin coat — no eumelanin in hair regardless of K or A locus. Skin pigment (' || nose || ') is determined by B and D loci independently.'
+  WHEN starts_with(k, 'KB') THEN 'Solid ' || c || mask || ' — KB dominant black suppresses A locus entirely. ' || cap_nose || '.'
+  WHEN contains(a, 'at') THEN cap || '-based tan points' || mask || ' — ' || c || ' body with phaeomelanin markings on muzzle, eyebrows, chest, inner ears, and lower legs. ' || cap_nose || '.'
+  ELSE cap || '-based coat' || mask || '; A locus pattern unknown (sable/agouti/tan-points require structural variant analysis). ' || cap_nose || '.' END AS pattern
+FROM y""",
+)
+def predicted_patterns(spark, sf):
+    return lc.predict_phenotype(genotypes(spark, sf)).select("sample_id", F.col("predicted_pattern").alias("pattern"))
+
+
 @query(
     "locus_documents",
     f"""WITH {HITS} SELECT sample_id, locus, count(*) AS n_observed, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY site_ord) AS positions,

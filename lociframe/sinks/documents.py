@@ -293,6 +293,7 @@ def coat_document(phenotype: DataFrame, observed: DataFrame, flags: DataFrame) -
         F.lit(fv.WHITE_NOTE).alias("predicted_white"),
         F.lit(fv.MERLE_NOTE).alias("predicted_merle"),
         "overall_confidence",
+        F.lit(fv.COAT_CAVEAT).alias("caveat"),
         lc.graying_note(F.col("gene_deleted")).alias("graying_note"),
     )
     return rows.select("sample_id", summary.alias("summary"), F.struct(*[locus(l) for l in lc.LOCI]).alias("loci"))

@@ -60,18 +60,21 @@ def new_run(spark: SparkSession, path: str) -> int:
     return max([time.time_ns() // 1_000_000, *(k + 1 for k in _folders(spark, f"{path}/commits")[-1:])])
 
 
-def write_version(df: DataFrame, name: str, path: str, samples: DataFrame, run: int) -> None:
+def write_version(df: DataFrame, name: str, path: str, samples: DataFrame, run: int, order: Sequence[str] = ()) -> None:
     """Write a table of one run, not yet visible to readers.
 
     Each of `samples` also gets one empty marker row, so that the table can be read when no sample has rows. Rows are
     spread by sample and a few salts before writing, so a sample has at most SALTS files and none of its tasks holds a
-    whole large sample.
+    whole large sample. With `order` the rows of each file are sorted by these columns.
     """
     marked = df.withColumn("_empty", F.lit(False)).unionByName(
         samples.select("sample_id").distinct().withColumn("_empty", F.lit(True)), allowMissingColumns=True
     )
     spread = F.pmod(F.xxhash64(*[F.col(c) for c, kind in marked.dtypes if "map<" not in kind]), F.lit(SALTS))
-    marked.repartition("sample_id", spread).write.mode("overwrite").partitionBy("sample_id").parquet(f"{path}/{name}/run={run}")
+    laid = marked.repartition("sample_id", spread)
+    if order:
+        laid = laid.sortWithinPartitions("sample_id", *order)
+    laid.write.mode("overwrite").partitionBy("sample_id").parquet(f"{path}/{name}/run={run}")
 
 
 def commit(spark: SparkSession, path: str, run: int, written: Sequence[tuple[str, DataFrame]]) -> None:
@@ -89,11 +92,11 @@ def commits(spark: SparkSession, path: str, runs: Sequence[int] | None = None) -
     return spark.read.schema(schema).option("basePath", f"{path}/commits").parquet(*[f"{path}/commits/run={k}" for k in runs])
 
 
-def save(df: DataFrame, name: str, path: str, samples: DataFrame) -> str:
+def save(df: DataFrame, name: str, path: str, samples: DataFrame, order: Sequence[str] = ()) -> str:
     """Write and commit one table on its own. A sample whose result has no rows still replaces its older rows."""
     spark = df.sparkSession
     run = new_run(spark, path)
-    write_version(df, name, path, samples, run)
+    write_version(df, name, path, samples, run, order)
     commit(spark, path, run, [(name, samples)])
     return f"{path}/{name}"
 
