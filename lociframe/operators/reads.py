@@ -321,7 +321,7 @@ def chunk_calls_to_sites(calls: DataFrame, ledger: DataFrame) -> DataFrame:
     """
     done = ledger.where(F.col("status") == "done").select("sample_id", "chunk_key", "chunk_id")
     rows = calls.join(done, ["sample_id", "chunk_key"]).withColumns(
-        {"max_gp": gt.max_posterior(F.col("gp")), "ord": F.shiftleft(F.col("chunk_id").cast("long"), 32) + F.col("ord")}
+        {"max_gp": gt.max_posterior(F.col("gp")), "ord": F.shiftleft(F.col("chunk_id").cast("long"), 40) + F.col("ord")}
     )
     return stitch_chunks(rows, tie=("chunk_id", "ord")).drop("chunk_key", "chunk_id", "max_gp")
 

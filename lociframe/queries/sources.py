@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from lociframe.functions.text import NBSP, clean_label, contains_any, is_autosome, is_fusion_name
 from lociframe.queries.base import query, r, table
-from lociframe.sources import jsondocs, plink, tables, vcf
+from lociframe.session import ensure_checkpoint_dir
+from lociframe.sources import jsondocs, plink, tables, taxa, vcf
 
 
 @query(
@@ -237,6 +240,41 @@ def json_documents(spark, sf):
     return parsed.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("p.k").alias("k"))
 
 
+@query(
+    "json_reference_files",
+    """SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY 1""",
+)
+def json_reference_files(spark, sf):
+    """Events as JSON files, one array of neighbouring ids each, in the shared folder; the first path does not exist."""
+    parsed = F.struct("event_type", F.from_json("props", "k bigint").alias("props"))
+    arrays = table(spark, sf, "events").groupBy(F.floor(F.col("event_id") / 20_000).alias("part")).agg(F.to_json(F.collect_list(parsed)).alias("value"))
+    target = f"{ensure_checkpoint_dir(spark)}/json-{uuid4().hex}"
+    arrays.repartition("part").write.partitionBy("part").text(target)
+    docs = jsondocs.read_json_or_empty(spark, [f"{target}-missing", target], "event_type string, props struct<k: bigint>")
+    return docs.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("props.k").alias("k"))
+
+
+_CLADES = ("k__B|g__Alpha", "k__B|g__Alpha|s__one", "k__B|g__Beta|s__two", "k__B|g__Beta|s__two|t__x")
+
+
+@query(
+    "wide_reference_melted",
+    " UNION ALL ".join(
+        f"SELECT c_custkey AS ref_id, CAST(c_nationkey AS DOUBLE) AS age, '{c}' AS clade, CAST({i + 2} AS INTEGER) AS feature_ord, "
+        f"round(CAST(c_acctbal AS DOUBLE) * {i + 1}, 2) AS abundance, {str('|s__' in c and '|t__' not in c).lower()} AS species, "
+        f"{str('|s__' not in c).lower()} AS genus FROM customer"
+        for i, c in enumerate(_CLADES)
+    ),
+)
+def wide_reference_melted(spark, sf):
+    """Customers as reference samples: an age column and one column per clade."""
+    values = [F.round(F.col("c_acctbal").cast("double") * (i + 1), 2).alias(c) for i, c in enumerate(_CLADES)]
+    wide = table(spark, sf, "customer").select(F.col("c_custkey").alias("ref_id"), F.col("c_nationkey").alias("Age"), *values)
+    refs, long = taxa.melt_reference(wide)
+    marked = long.withColumns({"species": taxa.is_species(F.col("clade")), "genus": taxa.is_genus(F.col("clade"))})
+    return refs.join(marked, "ref_id").select("ref_id", "age", "clade", "feature_ord", "abundance", "species", "genus")
+
+
 @query(
     "term_filter",
     """SELECT source, lang, count(*) FILTER (regexp_matches(text, 'the|tion|eaux')) AS with_term, count(*) FILTER (contains(text, 'thand')) AS with_fragment, count(*) AS n

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lociframe import schemas
 from lociframe.fixed_values import TRAIT_COLUMNS
 from lociframe.functions.text import clean_label, in_scope
-from lociframe.sources.lines import read_lines
+from lociframe.sources.lines import read_lines, read_ordered_lines
 
 
 def fields(lines: DataFrame, sep: str = "\t") -> DataFrame:
@@ -119,7 +119,7 @@ def project_calls(lines: DataFrame, keys: Sequence[str] = ("sample_id",)) -> Dat
 
 def read_calls(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Query-text files, one per sample and part; the sample is the file name up to the first dot."""
-    lines = read_lines(spark, path)
+    lines = read_ordered_lines(spark, path)
     stem = F.regexp_extract("file", r"([^/.]+)[^/]*$", 1)
     return project_calls(lines.withColumn("sample_id", stem))
 
@@ -132,7 +132,7 @@ def parse_panel_af(lines: DataFrame) -> DataFrame:
 
 
 def read_panel_af(spark: SparkSession, path: str) -> DataFrame:
-    return parse_panel_af(read_lines(spark, path))
+    return parse_panel_af(read_ordered_lines(spark, path))
 
 
 def parse_ref_f(lines: DataFrame) -> DataFrame:

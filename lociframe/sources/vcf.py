@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lociframe.sources.lines import read_lines
+from lociframe.sources.lines import read_ordered_lines
 
 
 def parse_vcf(lines: DataFrame, keys: Sequence[str] = ("sample_id",)) -> DataFrame:
@@ -40,5 +40,5 @@ def parse_vcf(lines: DataFrame, keys: Sequence[str] = ("sample_id",)) -> DataFra
 
 def read_vcf_text(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Variant files, one per sample; the sample is the file name up to the first dot."""
-    lines = read_lines(spark, path)
+    lines = read_ordered_lines(spark, path)
     return parse_vcf(lines.withColumn("sample_id", F.regexp_extract("file", r"([^/.]+)[^/]*$", 1)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from table_rows import rows
 
 from lociframe.sources import jsondocs, plink, tables, taxa, vcf
-from lociframe.sources.lines import read_lines
+from lociframe.sources.lines import read_lines, read_ordered_lines
 
 
 def put(folder, name, text):
@@ -32,6 +32,26 @@ def test_line_numbers_over_many_splits(spark, scratch):
     assert sorted((r["ord"], r["value"]) for r in got) == [(i, f"line {i}") for i in range(5000)]
 
 
+def test_ordered_lines_need_no_shuffle(spark, scratch):
+    """Files of many, one and packed splits, blank lines and a gzip file: numbers follow the lines of each file."""
+    texts = {"a.txt": [f"a{i}" for i in range(4000)], "b.txt": [f"b{i}" for i in range(3000)], "c.txt": ["c"] * 7, "d.txt": [""] * 30_000, "e.txt.gz": [f"e{i}" for i in range(5000)]}
+    paths = [put(scratch, f"ordered/{name}", "".join(line + "\n" for line in lines)) for name, lines in texts.items()]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        df = read_ordered_lines(spark, paths)
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        got = df.collect()
+        assert df.rdd.getNumPartitions() > 6
+        calls = tables.read_calls(spark, paths)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in calls and "Sort" not in calls
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for name, lines in texts.items():
+        mine = sorted((r.ord, r.value) for r in got if r.file.endswith(name))
+        assert len({o for o, _ in mine}) == len(mine)
+        assert [v for _, v in mine] == lines, name
+
+
 def test_sample_sheet(spark, scratch):
     path = put(
         scratch, "sheet.tsv",
