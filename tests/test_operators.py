@@ -162,7 +162,7 @@ def test_clean_reads_length_and_tail(spark):
 def evidence(spark, **given):
     base = {
         "sample_id": "s", "found_E": True, "found_K": True, "found_A": True, "found_S": True, "n_e": 0, "n_em": 0, "n_kb": 0, "n_sp": 0,
-        "e_proxy_only": False, "e_causal_reads": 0, "A_hom": False, "A_hets": 0, "A_n": 2, "B_hom": False, "B_hets": 0, "B_n": 2, "D_hom": False,
+        "e_proxy_only": False, "e_causal_reads": 0, "e_causal_depth": 0, "A_hom": False, "A_hets": 0, "A_n": 2, "B_hom": False, "B_hets": 0, "B_n": 2, "D_hom": False,
         "D_hets": 0, "D_n": 2,
     }
     row = {**base, **given}
@@ -198,6 +198,8 @@ def test_phenotype_precedence(spark):
 
     red = look(n_e=2, e_proxy_only=True, n_kb=1, B_hom=True)
     assert red["predicted_base_color"].startswith("Phaeomelanin") and red["proxy_false_positive_prediction"] == "chocolate"
+    assert "shows no reads," in red["E"]["text"] and red["E"]["text"].endswith("distinguish e/e (cream/yellow) from chocolate.")
+    assert "shows 7 reads, all reference," in look(n_e=2, e_proxy_only=True, e_causal_depth=7)["E"]["text"]
     assert red["predicted_dilution"] == fv.DILUTION_NA and red["overall_confidence"] == "low"
     assert look(n_kb=2, D_hom=True)["predicted_base_color"] == "Eumelanin — solid blue/grey"
     assert look(A_hom=True)["predicted_base_color"] == "Eumelanin — black with tan points"
