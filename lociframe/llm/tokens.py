@@ -14,8 +14,8 @@ Sections are stretches between bounds: for texts, the lines (each with its line
 `heading` (the first line that is not blank, if more follow) or `body`.
 
 Defined results: null and empty texts have no tokens and no sections; lines end with a line feed only; rows are counted
-one by one, so repeated rows repeat; runs of more than RUN characters without white space are encoded in stretches of
-that length, as the vocabulary's own splitting takes quadratic time there.
+one by one, so repeated rows repeat. A run of more than RUN white-space characters, which the splitting pattern's engine
+has no stack for, is given to the merges as the one piece that the pattern makes of it: the tokens are the same.
 """
 
 from __future__ import annotations
@@ -35,16 +35,15 @@ from lociframe.llm.base import text_function
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the splitting pattern that this vocabulary was made with.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-RUN = 10_000
+RUN = 500_000
 RULES = ("most", "first", "last")
 SECTIONS = "array<struct<section:int,kind:string,start:long,end:long,n_tokens:long,n_crossing:long>>"
-_LONG = re.compile(r"\S{%d,}|\s{%d,}" % (RUN, RUN))
 
 
 class Encoder:
     """Token ids of a whole text and the length of each token in bytes."""
 
-    def __init__(self, path: str = VOCABULARY):
+    def __init__(self, path: str = VOCABULARY, run: int = RUN):
         import tiktoken
 
         with open(path, "rb") as lines:
@@ -52,20 +51,27 @@ class Encoder:
         self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             self.sizes[rank] = len(token)
+        # White space as the pattern knows it: Python also counts the separators 1C to 1F.
+        self.long = re.compile(r"[^\S\x1c-\x1f]{%d,}" % run)
         self.encoding = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def _parts(self, text: str):
+        """Stretches of the text with whether each is one piece. The last white space before a word goes to the word."""
         at = 0
-        for run in _LONG.finditer(text):
-            yield text[at : run.start()]
-            for k in range(run.start(), run.end(), RUN):
-                yield text[k : min(k + RUN, run.end())]
-            at = run.end()
-        yield text[at:]
+        for run in self.long.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            yield text[at : run.start()], False
+            yield text[run.start() : end], True
+            at = end
+        yield text[at:], False
 
     def __call__(self, text: str) -> np.ndarray:
-        parts = [self.encoding.encode_to_numpy(p, disallowed_special=()) for p in self._parts(text) if p]
-        return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+        parts = [
+            np.asarray(self.encoding._encode_single_piece(p), np.int64) if whole
+            else self.encoding.encode_to_numpy(p, disallowed_special=()).astype(np.int64)
+            for p, whole in self._parts(text) if p
+        ]
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 @functools.cache
