@@ -126,3 +126,26 @@ def test_near_copies_of_template_families(spark, make_docs):
     assert classes <= kept  # nothing but near copies goes
     gone = len(texts) - len(classes)
     assert linked > 300 and len(texts) - len(kept) >= 0.95 * gone, (len(kept), len(classes), gone)
+
+
+def test_fingerprints_bring_near_copies_together(spark):
+    """The links of the fingerprints are candidates on their own: no node here shares a band with another."""
+    from lociframe.llm import nearcopies
+
+    rows = [(11, 0b0, 100, [1]), (12, 0b11, 99, [2]), (13, 0b1111, 98, [3]), (14, 0b1111, 97, [4]), (15, 0b1111, 20, [5]), (16, 1 << 40, 100, [6]), (17, -1, 0, []), (18, -1, 0, [])]
+    classes = spark.createDataFrame(rows, "node long, fp long, n int, bands array<long>")
+    found = nearcopies.candidate_pairs(classes.select("node", "n", "bands"), nearcopies.fingerprint_pairs(classes))
+    pairs = {(r.a, r.b) for r in found.where("first").collect()}
+    assert {(12, 11), (13, 12), (14, 13)} <= pairs  # 15 is too small, 17 and 18 have no words
+    assert not {15, 17, 18} & {x for p in pairs for x in p}
+
+
+def test_near_dedup_asks_for_the_links_of_the_fingerprints(spark, make_docs, scratch, monkeypatch):
+    from lociframe.llm import nearcopies, simhash
+
+    asked = []
+    monkeypatch.setattr(nearcopies, "fingerprint_links", lambda fps: asked.append(fps.count()) or simhash.links(fps))
+    text = prose("en", 1, 200)
+    docs = make_docs([(1, text, "en", "a"), (2, text + " end", "en", "a"), (3, prose("de", 2, 200), "de", "a")])
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, scratch).collect()} == {1, 3}
+    assert len(asked) == 1 and asked[0] in (2, 3)
