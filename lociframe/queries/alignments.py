@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lociframe.functions.cigar import walk, with_blocks
+from lociframe.functions.cigar import with_blocks
 from lociframe.operators import coverage as cov
 from lociframe.operators import reads as rd
 from lociframe.queries.base import query, table
@@ -83,7 +83,7 @@ def cigar_blocks(spark, sf):
 )
 def clipped_starts(spark, sf):
     """Unclipped 5' start, and the bases of the reference that a read deletes or skips."""
-    rows = rd.with_signature(gapped(spark, sf)).withColumn("w", walk(F.col("cigar"), F.col("pos")))
+    rows = rd.with_signature(gapped(spark, sf), keep="w")
     total = lambda c: F.coalesce(F.aggregate(F.col(c), F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"] + 1), F.lit(0))
     return rows.select(*ROW, "reverse", "five_prime", total("w.deleted").alias("deleted"), total("w.skipped").alias("skipped"))
 
