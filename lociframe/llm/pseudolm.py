@@ -25,11 +25,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociframe.llm.base import lower_ascii, pieces, text_function
-from lociframe.llm.bytewords import Words, word_hashes, words_of
+from lociframe.llm.base import PIECE_BYTES, pieces, text_function
+from lociframe.llm.bytewords import BREAK, SPACE, Words, word_hashes, words_of
 from lociframe.session import cut_lineage
 
 REACH = 2
@@ -38,10 +39,12 @@ SIZE = CLASSES * MEMBERS
 COVERAGE, UNSEEN = 0.75, 0.5
 HIDDEN = 16
 BATCH, RATE, ROUNDS = 8192, 0.3, 1
+ROWS = 1024  # targets whose logits are held at a time
+SAFE = 40  # logits of this size, their exponentials and the inverse of a sum of those stay far from the bounds of 32 bits
 BLOCK = 1 << 14  # numbers in a row of weights
 SALTS = 16
+COUNTED = 4 * PIECE_BYTES
 PARTS = "n_words long, log_prob double, tail array<long>"
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 @dataclass
@@ -57,7 +60,9 @@ class Vocabulary:
         return self.shape[0] * self.shape[1] - TAIL
 
     def entries(self, w: Words) -> np.ndarray:
-        hashes = word_hashes(w)
+        return self.entries_of(word_hashes(w))
+
+    def entries_of(self, hashes: np.ndarray) -> np.ndarray:
         other = self.first_tail + tail_entry(hashes)
         if not len(self.hashes):
             return other
@@ -70,9 +75,24 @@ def tail_entry(hashes: np.ndarray) -> np.ndarray:
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """`word`, `n` over all texts."""
-    words = docs.select(F.explode(F.split(lower_ascii(F.col(text_col)), NOT_WORD)).alias("word")).where("word <> ''")
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """`word`, `n` over all texts. The words of COUNTED bytes of text are counted where they are read, and the counts summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch.column(0), COUNTED):
+                counted = pc.value_counts(word_strings(words_of(piece)))
+                yield pa.RecordBatch.from_arrays([counted.field("values"), counted.field("counts")], ["word", "n"])
+
+    words = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word string, n long")
+    return words.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def word_strings(w: Words) -> pa.Array:
+    """The words as strings."""
+    inside = (w.stream[: len(w.stream) - 8] != SPACE) & (w.stream[: len(w.stream) - 8] != BREAK)
+    bounds = np.concatenate([[0], np.cumsum(w.end - w.start)])
+    data = pa.py_buffer(w.stream[: len(w.stream) - 8][inside])
+    return pa.LargeStringArray.from_buffers(len(w.start), pa.py_buffer(bounds.astype(np.int64)), data).cast(pa.string())
 
 
 def shape_for(n_words: int) -> tuple[int, int]:
@@ -118,7 +138,11 @@ class Network:
         cuts = np.cumsum([int(np.prod(s)) for s in shapes])
         parts = np.split(flat.astype(np.float32), cuts[:-1])
         self.weights = [p.reshape(s).copy() for p, s in zip(parts, shapes, strict=True)]
-        self.seen = [np.full(w.shape[:2] if k == 0 else w.shape, 1e-2, np.float32) for k, w in enumerate(self.weights)]
+        # one table of weights and biases each; `weights` holds views of them
+        self.class_table, self.member_table = [np.concatenate([self.weights[k], self.weights[k + 1][..., None, :]], axis=-2) for k in (2, 4)]
+        for k, both in ((2, self.class_table), (4, self.member_table)):
+            self.weights[k], self.weights[k + 1] = both[..., :HIDDEN, :], both[..., HIDDEN, :]
+        self.seen = [np.full(shape, 1e-2, np.float32) for shape in (shapes[0][:2], self.class_table.shape, self.member_table.shape, shapes[1])]
 
     @classmethod
     def fresh(cls, shares: np.ndarray, shape: tuple[int, int] = (CLASSES, MEMBERS)) -> Network:
@@ -135,66 +159,114 @@ class Network:
         return np.concatenate([w.ravel() for w in self.weights])
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
+        """One row per target: the hidden values and a 1, which meets the biases."""
         side, bias = self.weights[:2]
-        total = np.broadcast_to(bias, (len(around), HIDDEN)).copy()
-        for place in range(2 * REACH):
-            total += side[place][around[:, place]]
-        return np.tanh(total)
+        total = np.take(side[0], around[:, 0], axis=0)
+        for place in range(1, 2 * REACH):
+            total += np.take(side[place], around[:, place], axis=0)
+        total += bias
+        out = np.ones((len(around), HIDDEN + 1), np.float32)
+        np.tanh(total, out=out[:, :HIDDEN])
+        return out
 
-    @staticmethod
-    def _log_softmax(x: np.ndarray) -> np.ndarray:
-        x -= x.max(axis=1, keepdims=True)
-        x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-        return x
+    def by_class(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[tuple[int, int, int]]]]:
+        """Targets in order of class: that order, their classes and members, and for each ROWS of them the runs
+        (class, start, end) of one class."""
+        kind, member = np.divmod(target, self.members)
+        order = stable_order(kind, self.classes)
+        kind, member = kind[order], member[order]
+        blocks = []
+        for start in range(0, len(kind), ROWS):
+            own = kind[start : start + ROWS]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [len(own)]]) + start
+            blocks.append(list(zip(own[cuts[:-1] - start].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)))
+        return order, kind, member, blocks
+
+    def _safe(self) -> list[bool]:
+        """Whether no logit can go beyond SAFE, of classes and of members."""
+        return [bool(np.abs(table).sum(axis=-2).max() <= SAFE) for table in (self.class_table, self.member_table)]
+
+    def _logits(self, h: np.ndarray, block: list[tuple[int, int, int]], safe: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """Of the targets of a block, for the classes and for the members of their own class; less the largest of each
+        where that is not `safe`."""
+        first, last = block[0][1], block[-1][2]
+        for_class = h[first:last] @ self.class_table
+        for_member = np.empty((last - first, self.members), np.float32)
+        for k, a, b in block:
+            np.matmul(h[a:b], self.member_table[k], out=for_member[a - first : b - first])
+        for x, is_safe in zip((for_class, for_member), safe, strict=True):
+            if not is_safe:
+                x -= x.max(axis=1, keepdims=True)
+        return for_class, for_member
 
     def log_probs(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        _, _, to_class, class_bias, to_member, member_bias = self.weights
-        h = self.hidden(around)
-        kind, member = np.divmod(target, self.members)
-        out = self._log_softmax(h @ to_class + class_bias)[np.arange(len(target)), kind].astype(np.float64)
-        order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(self.classes + 1))
-        for k in np.unique(kind).tolist():
-            own = order[cuts[k] : cuts[k + 1]]
-            out[own] += self._log_softmax(h[own] @ to_member[k] + member_bias[k])[np.arange(len(own)), member[own]]
+        order, kind, member, blocks = self.by_class(target)
+        h, safe = self.hidden(around[order]), self._safe()
+        out = np.zeros(len(target))
+        for block in blocks:
+            first, last = block[0][1], block[-1][2]
+            for x, pick in zip(self._logits(h, block, safe), (kind, member), strict=True):
+                own = x[np.arange(last - first), pick[first:last]]
+                np.exp(x, out=x)
+                out[order[first:last]] += own - np.log(row_sums(x))
         return out
 
-    def _move(self, k: int, grad: np.ndarray, at=slice(None)) -> None:
+    def _move(self, weights: np.ndarray, seen: np.ndarray, grad: np.ndarray) -> None:
         """Adagrad."""
-        self.seen[k][at] += grad**2
-        self.weights[k][at] -= RATE * grad / np.sqrt(self.seen[k][at])
+        seen += grad * grad
+        weights -= RATE * grad / np.sqrt(seen)
 
     def learn(self, around: np.ndarray, target: np.ndarray) -> None:
-        """One step on a batch, by the mean gradient."""
-        _, _, to_class, class_bias, to_member, member_bias = self.weights
+        """One step on a batch, by the mean gradient.
+
+        A gradient of logits is (e - s at the target) / s / n, with e = exp(logits) and s their sum; the division is done
+        on the narrow side of each product.
+        """
         n = len(target)
-        h = self.hidden(around)
-        kind, member = np.divmod(target, self.members)
-        error = np.exp(self._log_softmax(h @ to_class + class_bias))
-        error[np.arange(n), kind] -= 1
-        error /= n
-        back = error @ to_class.T
-        moves = [(2, h.T @ error, slice(None)), (3, error.sum(0), slice(None))]
-        order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(self.classes + 1))
-        for k in np.unique(kind).tolist():
-            own = order[cuts[k] : cuts[k + 1]]
-            error = np.exp(self._log_softmax(h[own] @ to_member[k] + member_bias[k]))
-            error[np.arange(len(own)), member[own]] -= 1
-            error /= n
-            back[own] += error @ to_member[k].T
-            moves += [(4, h[own].T @ error, k), (5, error.sum(0), k)]
-        back *= 1 - h * h
-        moves.append((1, back.sum(0), slice(None)))
-        for k, grad, at in moves:
-            self._move(k, grad, at)
+        order, kind, member, blocks = self.by_class(target)
+        around = around[order]
+        h, safe = self.hidden(around), self._safe()
+        back = np.empty((n, HIDDEN), np.float32)
+        class_grad, member_grad = np.zeros_like(self.class_table), np.zeros_like(self.member_table)
+        for block in blocks:
+            first, last = block[0][1], block[-1][2]
+            scaled = []
+            for x, pick in zip(logits := self._logits(h, block, safe), (kind, member), strict=True):
+                np.exp(x, out=x)
+                sums = row_sums(x)
+                x[np.arange(last - first), pick[first:last]] -= sums
+                scaled.append((1 / (sums * n))[:, None])
+            by_kind, by_member = [h[first:last] * s for s in scaled]
+            class_grad += by_kind.T @ logits[0]
+            back[first:last] = (logits[0] @ self.class_table[:HIDDEN].T) * scaled[0]
+            inner = np.empty((last - first, HIDDEN), np.float32)
+            for k, a, b in block:
+                own = logits[1][a - first : b - first]
+                member_grad[k] += by_member[a - first : b - first].T @ own
+                np.matmul(own, self.member_table[k, :HIDDEN].T, out=inner[a - first : b - first])
+            back[first:last] += inner * scaled[1]
+        back *= 1 - h[:, :HIDDEN] ** 2
+        self._move(self.class_table, self.seen[1], class_grad)
+        self._move(self.member_table, self.seen[2], member_grad)
+        self._move(self.weights[1], self.seen[3], back.sum(0))
         for place in range(2 * REACH):
-            order = np.argsort(around[:, place], kind="stable")
-            entries, starts = np.unique(around[order, place], return_index=True)
-            grad = np.add.reduceat(back[order], starts, axis=0)
-            seen = self.seen[0][place]
-            seen[entries] += (grad**2).mean(1)
-            self.weights[0][place][entries] -= RATE * grad / np.sqrt(seen[entries])[:, None]
+            order = stable_order(around[:, place], self.classes * self.members + 1)
+            entries = around[order, place]
+            starts = np.flatnonzero(np.diff(entries, prepend=-1))
+            entries = entries[starts]
+            grad = np.add.reduceat(np.take(back, order, axis=0), starts, axis=0)
+            seen = self.seen[0][place, entries] + np.einsum("ij,ij->i", grad, grad) / HIDDEN
+            self.seen[0][place, entries] = seen
+            self.weights[0][place, entries] -= grad * (RATE / np.sqrt(seen))[:, None]
+
+
+def stable_order(values: np.ndarray, bound: int) -> np.ndarray:
+    """Order of whole numbers from 0 to `bound` - 1; 16-bit ones are sorted by digits."""
+    return np.argsort(values.astype(np.uint16) if bound <= 1 << 16 else values, kind="stable")
+
+
+def row_sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[1], x.dtype)
 
 
 def neighbours(w: Words, entries: np.ndarray, padding: int = SIZE) -> np.ndarray:
@@ -277,13 +349,14 @@ def score_column(text: Column, words: Vocabulary, flat: np.ndarray) -> Column:
 
         def run(texts: pa.Array) -> pa.Array:
             w = words_of(texts)
-            entries = words.entries(w)
+            hashes = word_hashes(w)
+            entries = words.entries_of(hashes)
             around = neighbours(w, entries, words.first_tail + TAIL)
             logs = [net.log_probs(around[k : k + BATCH], entries[k : k + BATCH]) for k in range(0, len(entries), BATCH)]
             total = np.concatenate([[0.0], np.cumsum(np.concatenate(logs))]) if logs else np.zeros(1)
             beyond = entries >= words.first_tail
             before = np.concatenate([[0], np.cumsum(beyond)])
-            tail = pa.ListArray.from_arrays(pa.array(before[w.first], pa.int32()), pa.array(word_hashes(w)[beyond].view(np.int64)))
+            tail = pa.ListArray.from_arrays(pa.array(before[w.first], pa.int32()), pa.array(hashes[beyond].view(np.int64)))
             return pa.StructArray.from_arrays([pa.array(np.diff(w.first), pa.int64()), pa.array(total[w.first[1:]] - total[w.first[:-1]]), tail], ["n_words", "log_prob", "tail"])
 
         return run
