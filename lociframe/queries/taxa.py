@@ -208,8 +208,9 @@ def aligned_features(spark, sf):
     long = profile(spark, sf).where(F.col("rank") == "s").select("sample_id", "clade", F.col("rel_abundance").alias("abundance"))
     n = samples(spark, sf).agg(F.count(F.lit(1)).alias("n"))
     # 0.2999…: prevalence is a strict test and the SQL uses >= 0.3.
-    wanted = mb.prevalent(long, n, 0.3 - 1e-9)
-    return mb.align_features(wanted, samples(spark, sf), long).withColumn("abundance", r("abundance"))
+    packed = mb.pack_profile(long)
+    wanted = mb.prevalent(mb.unpack_profile(packed), n, 0.3 - 1e-9)
+    return mb.align_packed(wanted, samples(spark, sf), packed).withColumn("abundance", r("abundance"))
 
 
 def ridge_inputs(spark, sf):

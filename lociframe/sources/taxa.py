@@ -20,7 +20,7 @@ def parse_profile(lines: DataFrame, keys: Sequence[str] = ("sample_id",)) -> Dat
     rows = lines.where(~F.col("value").startswith("#")).withColumn("f", F.split("value", "\t")).where(F.size("f") >= 2)
     numbered = (F.size("f") >= 3) & F.get("f", 1).rlike(r"^\|*[0-9][0-9|]*$")
     clade = F.get("f", 0)
-    rank = F.split(F.element_at(F.split(clade, r"\|"), -1), "__")[0]
+    rank = F.substring_index(F.substring_index(clade, "|", -1), "__", 1)
     return rows.select(
         *keys,
         "ord",
