@@ -8,6 +8,7 @@ from lociframe.operators import inbreeding as inb
 from lociframe.operators import microbiome as mb
 from lociframe.plans.quantiles import exact_quantiles
 from lociframe.queries.base import query, r, table
+from lociframe.session import cut_lineage
 from lociframe.sources.taxa import is_genus, is_species, parse_profile
 
 FRAGMENTS = [("s__red", "red", "first"), ("s__blue_b", "orange", "second"), ("s__small_ring", "red", "third"), ("s__none", "red", "never")]
@@ -147,15 +148,17 @@ def own_set_percentiles(spark, sf):
     """Each sample against all samples, over the genera that it holds itself in quantity."""
     genus = F.replace("p_brand", F.lit("#"), F.lit("")).alias("genus")
     held = quantities(spark, sf).groupBy("sample_id", genus).agg(F.sum("v").alias("v")).where(F.col("v") > 600)
-    held = held.select("sample_id", "genus", (F.col("v").cast("double") / 100).alias("abundance"))
-    every = samples(spark, sf)
+    # Written once: the sets, the profiles and the samples' own diversity are all read from it.
+    held = cut_lineage(held.select("sample_id", "genus", (F.col("v").cast("double") / 100).alias("abundance")))
+    every = cut_lineage(samples(spark, sf))
     sets = mb.feature_sets(held, every)
-    refs = held.withColumnRenamed("sample_id", "ref_id")
-    reference = mb.set_diversity(sets, refs, every.agg(F.count(F.lit(1)).alias("n")))
+    short = cut_lineage(sets.select("set_id").distinct()).withColumn("_n", F.monotonically_increasing_id())  # a number for 64 letters
+    sets = cut_lineage(sets.join(short, "set_id").select("sample_id", F.col("_n").alias("set_id"), "members"))
+    counts, mid = mb.set_ranks(sets, held.withColumnRenamed("sample_id", "ref_id"), every.count(), 0.5, "shannon_p50")
+    counts = cut_lineage(counts)
     own = mb.diversity(held, ["sample_id"], frame=every).join(sets.select("sample_id", "set_id"), "sample_id")
-    ranked = inb.percentile_rank(reference, own, "richness", "richness", "rank", ["set_id"], "richness_percentile", weight="w")
-    low = exact_quantiles(reference, ["set_id"], "richness", {"richness_p25": 0.25}, weight="w")
-    mid = exact_quantiles(reference, ["set_id"], "shannon", {"shannon_p50": 0.5}, weight="w")
+    ranked = inb.percentile_rank(counts, own, "richness", "richness", "rank", ["set_id"], "richness_percentile", weight="w")
+    low = exact_quantiles(counts, ["set_id"], "richness", {"richness_p25": 0.25}, weight="w")
     out = ranked.join(low, "set_id").join(mid, "set_id")
     return out.select("sample_id", "richness", *[r(c).alias(c) for c in ("richness_percentile", "richness_p25", "shannon_p50")])
 
