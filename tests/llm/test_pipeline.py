@@ -149,3 +149,56 @@ def test_near_dedup_asks_for_the_links_of_the_fingerprints(spark, make_docs, scr
     docs = make_docs([(1, text, "en", "a"), (2, text + " end", "en", "a"), (3, prose("de", 2, 200), "de", "a")])
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, scratch).collect()} == {1, 3}
     assert len(asked) == 1 and asked[0] in (2, 3)
+
+
+def test_near_copies_whose_leaders_are_far(spark, make_docs, monkeypatch):
+    """Every pair of a bucket is compared, also if its leaders are near to neither: all nodes share the buckets here."""
+    import numpy as np
+    import pyarrow as pa
+
+    from lociframe.llm import nearcopies
+
+    rng, texts = random.Random(4), []
+    for k in range(30):  # pairs of similarity above 0.8, each far from all others
+        base = [f"p{k}x{i}" for i in range(100)]
+        texts += [" ".join(base), " ".join(base[:60] + [f"e{k}"] + base[61:])]
+    chain = [f"c{i}" for i in range(160)]
+    texts += [" ".join(chain[2 * k : 2 * k + 60]) for k in range(50)]  # each near to its neighbours only
+    rng.shuffle(texts)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    near = {(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    root = list(range(len(texts)))
+    for _ in texts:
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    plain = nearcopies.sketch
+
+    def crowded(found: pa.Array) -> pa.Array:
+        node, n, _ = plain(found).flatten()
+        same = np.tile(np.arange(nearcopies.BANDS), len(found))
+        return pa.StructArray.from_arrays([node, n, nearcopies._lists(np.arange(len(found) + 1) * nearcopies.BANDS, same)], ["node", "n", "bands"])
+
+    monkeypatch.setattr(nearcopies, "sketch_column", lambda text: nearcopies.text_function(lambda: crowded, nearcopies.SKETCH)(text))
+    monkeypatch.setattr(nearcopies, "TILE", 16, raising=False)
+    kept = {r.doc_id for r in nearcopies.keep_one(make_docs([(k, t, "en", "a") for k, t in enumerate(texts)])).collect()}
+    assert len(set(root)) == 31 and kept == set(root)
+
+
+def test_digests_drop_no_link(spark):
+    import pyarrow as pa
+
+    from lociframe.llm import nearcopies
+
+    rng = random.Random(8)
+    texts = []
+    for size in (5, 9, 40, 300, 3000):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        texts += [" ".join(base)] + [" ".join(base[: size - cut] + [f"o{i}" for i in range(cut)]) for cut in (1, size // 20, size // 12, size // 5)]
+    found = nearcopies.shingle_sets(pa.array(texts)).to_pylist()
+    for x in found:
+        for y in found:
+            a, b = set(x["shingles"]), set(y["shingles"])
+            differ = sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(x["bits"], y["bits"], strict=True))
+            assert len(x["bits"]) == nearcopies.WORDS and differ <= len(a ^ b)
+            if len(a & b) >= nearcopies.SIMILARITY * len(a | b):
+                assert differ * 9 <= len(a) + len(b)
